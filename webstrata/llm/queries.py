@@ -1,0 +1,126 @@
+"""The queries of the training-data operators, each over whole tables, and their SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, exact_dedup, packing, pii, quality, secrets, sharding, token_files
+from .common import table
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    out = chat.format_conversations(rows)
+    loss = chat.loss_text()
+    return out.select(
+        "conv_id",
+        F.size("recovered").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.uniform_tree(24), sharding.uniform_tree(25))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    back = token_files.read_token_files(spark, files)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_on_labels(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), sized AS (
+  SELECT *, CASE WHEN regexp_matches(text, '\[/?INST\]|\[ESC\]|</s>')
+    THEN 5 + length(text) + length(text) - length(replace(text, '\', '')) + (length(text) - length(regexp_replace(text, '\[/?INST\]|\[ESC\]|</s>', '', 'g'))
+      - length(regexp_replace(text, '\[/?INST\]|\[ESC\]|</s>', 'XXXXXX', 'g')) + length(regexp_replace(text, '\[/?INST\]|\[ESC\]|</s>', 'XXXXXXX', 'g'))
+      - (length(text) - length(regexp_replace(text, '\[/?INST\]|\[ESC\]|</s>', '', 'g'))))
+    ELSE length(text) END AS body FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(6 + length(role) + 7 + body + 4) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _draws(n_shards: int, to: str) -> str:
+    """SQL for the descent of ``uniform_tree(n_shards)``: the longest straw of each level under the chosen node."""
+    rows = ", ".join(f"({s.region}, {s.rack}, {s.shard})" for s in sharding.uniform_tree(n_shards))
+
+    def straw(node: str, weight: str) -> str:
+        return f"ln((('0x' || substr(md5(key || ':{node}' || {node}), 1, 13))::BIGINT + 0.5) / 4503599627370496) / {weight}"
+
+    return f"""
+tree_{to} AS (SELECT * FROM (VALUES {rows}) t(region, rack, shard)),
+region_{to} AS (SELECT key, arg_max(region, {straw('region', 'w')}) AS region FROM keys, (SELECT region, count(*) AS w FROM tree_{to} GROUP BY region) GROUP BY key),
+rack_{to} AS (SELECT key, arg_max(rack, {straw('rack', 'w')}) AS rack FROM region_{to} JOIN (SELECT region, rack, count(*) AS w FROM tree_{to} GROUP BY region, rack) USING (region) GROUP BY key),
+{to} AS (SELECT key, arg_max(shard, {straw('shard', '1')}) AS {to} FROM rack_{to} JOIN tree_{to} USING (rack) GROUP BY key)"""
+
+
+OP2_SQL = f"""
+WITH keys AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id IS NOT NULL), {_draws(24, 'shard')}, {_draws(25, 'grown_shard')}
+SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM documents JOIN shard ON shard.key = CAST(doc_id AS VARCHAR) JOIN grown_shard ON grown_shard.key = CAST(doc_id AS VARCHAR)
+"""
+
+OP10_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op1_chat_formatting": OP1_SQL, "op10_exact_dedup": OP10_SQL}
