@@ -9,6 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CACHES: list = []
+
+
+def only_cache(cache: dict) -> None:
+    """Empty the word caches of other operators in this Python worker, so their sizes don't add up."""
+    if not any(c is cache for c in _CACHES):
+        _CACHES.append(cache)
+    for c in _CACHES:
+        if c is not cache:
+            c.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, through Spark's reader so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import only_cache, whole_text
 
 TOKEN = re.compile(r"[^\W_]+(?:[.,][0-9]+)*|[%$€£°]|[.!?:\n\"]")
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -40,7 +40,7 @@ def _kind(token: str) -> int:
 class Templates:
     """Template words of texts as 64-bit hashes. The hash of each token is kept, with its kind in the lowest three bits."""
 
-    def __init__(self, keep: int = 600_000):
+    def __init__(self, keep: int = 300_000):
         self.known, self.keep = {}, keep
 
     @staticmethod
@@ -52,6 +52,7 @@ class Templates:
     def of(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
         """(hashes of template words, their words, whether each is a slot). A unit counts only behind a number, a name only inside a sentence."""
         tokens, known = TOKEN.findall(text), self.known
+        only_cache(known)
         if len(known) > self.keep:
             known.clear()
         found = list(map(known.get, tokens))

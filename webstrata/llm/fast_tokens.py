@@ -11,18 +11,22 @@ import os
 from array import array
 from collections.abc import Iterator
 
+from .common import only_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class FastTokens:
     """Encodes texts; ``keep`` bounds the number of parts whose ids are kept in memory."""
 
-    def __init__(self, path: str, keep: int = 800_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keep, self.known = keep, {}
+        same = {tuple(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ("a", "A", " a", "\na")}
+        self.folds = len(same) == 1  # case and white space don't count in this vocabulary
 
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -31,12 +35,16 @@ class FastTokens:
         """A point or comma between a letter or digit and the end of a part is always encoded by itself."""
         known, stems = self.known, {}
         for part in parts:
-            stems[part] = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
+            stem = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
+            if self.folds and max(stem) < "\u0100":  # in Latin-1 lower case is one to one
+                stem = stem.strip(" \n").lower()
+            stems[part] = stem
         new = [x for x in dict.fromkeys([*stems.values(), ".", ","]) if x not in known]
         known.update(zip(new, self._library(new), strict=True))
         for part, stem in stems.items():
             if part is not stem:
-                known[part] = known[stem] + known[part[-1]]
+                ends = part[-1] in ".," and len(part) > 1 and part[-2].isalnum()
+                known[part] = known[stem] + known[part[-1]] if ends else known[stem]
 
     def encode_all(self, texts: list[str], chars: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. New parts are learned for many texts at a time."""
@@ -49,23 +57,27 @@ class FastTokens:
             at = to
 
     def _encode(self, texts: list[str]) -> list[bytes]:
+        only_cache(self.known)
         if len(self.known) > self.keep:
             self.known.clear()
         get, cut, new = self.known.get, [], set()
         for text in texts:
             if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # runs, other white space, or nothing else
-                cut.append((None, None))
+                cut.append((None, None, ()))
                 continue
             parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
             found = list(map(get, parts))
-            if None in found:
-                new.update([p for p, ids in zip(parts, found, strict=True) if ids is None])
-                found = None
-            cut.append((parts, found))
+            unknown = [i for i, ids in enumerate(found) if ids is None] if None in found else ()
+            new.update([parts[i] for i in unknown])
+            cut.append((parts, found, unknown))
         if new:
             self._learn(list(new))
-        take = self.known.__getitem__
-        return [self._library([text])[0] if parts is None else b"".join(found or map(take, parts)) for text, (parts, found) in zip(texts, cut, strict=True)]
+        out = []
+        for text, (parts, found, unknown) in zip(texts, cut, strict=True):
+            for i in unknown:
+                found[i] = self.known[parts[i]]
+            out.append(self._library([text])[0] if parts is None else b"".join(found))
+        return out
 
 
 _READY: dict[str, FastTokens] = {}

@@ -13,19 +13,18 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, only_cache, whole_text
 
 SYMBOLS, INDEXED, CHUNK, RADIUS = 64, 18, 3, 11
 ERRORS = RADIUS // (INDEXED // CHUNK)
 KEEP = [(c, left) for c in range(INDEXED // CHUNK) for left in combinations(range(c * CHUNK, (c + 1) * CHUNK), CHUNK - ERRORS)]
 #: whole signatures: of 64 symbols that agree with probability 0.8, 36 or more do but for 1 in 100,000 pairs
 AGREE = 36
-BLOCK = 1024
+BLOCK, CONFIRM_BLOCK = 1024, 256
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 XOR, MULTIPLY = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64), _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -34,7 +33,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Shingles:
     """Sets of 64-bit shingle hashes; word hashes are kept for each worker."""
 
-    def __init__(self, keep: int = 600_000):
+    def __init__(self, keep: int = 300_000):
         self.known, self.keep = {}, keep
 
     def of(self, text: str, size: int) -> np.ndarray:
@@ -45,6 +44,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
+        only_cache(known)
         if len(known) > self.keep:
             known.clear()
         found = list(map(known.get, words))
@@ -63,9 +63,9 @@ class Shingles:
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The smallest of SYMBOLS different hashes over the set."""
-    if len(shingles) > 4096:
-        return np.minimum.reduce([signature(shingles[i : i + 4096]) for i in range(0, len(shingles), 4096)])
-    return ((shingles[:, None] ^ XOR) * MULTIPLY).min(0)
+    if len(shingles) > 512:  # parts that stay in the processor's cache
+        return np.minimum.reduce([signature(shingles[i : i + 512]) for i in range(0, len(shingles), 512)])
+    return ((shingles[None, :] ^ XOR[:, None]) * MULTIPLY[:, None]).min(1)
 
 
 def index_keys(sig: np.ndarray) -> np.ndarray:
@@ -81,11 +81,11 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
 
 
 _SHINGLES = Shingles()
-SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, sketch binary, keys array<long>"
+SKETCH = "doc_id long, n_shingles long, set1 long, set2 long, sketch binary, keys array<long>, packed binary"
 
 
 def _sketches(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64())), ("packed", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -96,10 +96,11 @@ def _sketches(size: int):
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     s = _SHINGLES.of(text, size)
                     if not len(s):
-                        rows.append((doc_id, 0, None, None, None, None))
+                        rows.append((doc_id, 0, None, None, None, None, None))
                         continue
                     sig, digest = signature(s), np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
-                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), index_keys(sig)))
+                    keys = index_keys(sig)
+                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), keys, keys.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -111,61 +112,123 @@ def _sets(size: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            with np.errstate(over="ignore"):
-                sets = [_SHINGLES.of(text, size).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                with np.errstate(over="ignore"):
+                    sets = [_SHINGLES.of(text, size).tobytes() for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
 
-def _matrix(values: pd.Series, kind) -> np.ndarray:
-    return np.stack([np.frombuffer(v, kind) for v in values]) if values.dtype == object and isinstance(values.iloc[0], bytes) else np.stack(values.to_numpy())
-
-
-def _promising(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-    """Members of a block with a partner that may be linked: sizes, component and whole signature allow it, and no earlier key has the pair."""
-    g = g.sort_values(["n_shingles", "id"]).reset_index(drop=True)
-    n, comp, parts = g["n_shingles"].to_numpy(), g["component"].to_numpy(), g["part"].to_numpy()
-    sketch, keys = _matrix(g["sketch"], np.uint8), _matrix(g["keys"], np.int64)
-    at = int(g["at"].iloc[0])
-    partners = np.zeros(len(g), np.int64)
-    two = key[1] != key[2]
-    for i in range(len(g)):
-        to = np.searchsorted(n, n[i] * 1.25, "right")  # sizes within a factor of 0.8
-        j = np.arange(i + 1, to)
-        j = j[comp[j] != comp[i]]
-        if two:
-            j = j[parts[j] != parts[i]]
-        if at and len(j):
-            j = j[~(keys[j, :at] == keys[i, :at]).any(1)]
-        if len(j):
-            j = j[(sketch[j] == sketch[i]).sum(1) >= AGREE]
-            partners[i] += len(j)
-            partners[j] += 1
-    hit = partners > 0
-    return pd.DataFrame({"key": key[0], "low": key[1], "high": key[2], "id": g["id"][hit], "part": parts[hit], "component": comp[hit], "partners": partners[hit]})
-
-
-def _confirm(g: pd.DataFrame) -> pd.DataFrame:
-    """Links of a block with 100 * intersection >= 80 * union on full sets; between known components one link each is enough."""
-    ids, comp = g["id"].to_numpy(), g["component"].to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
+def _whole_groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of rows sorted by group, cut only between groups, with the first row of each group (and the end)."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        change = np.zeros(max(0, table.num_rows - 1), bool)
+        for c in by:
+            v = table.column(c).to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if kept is None else pa.concat_tables([kept, table])
+        first = starts(table)
+        if len(first) > 1:  # the last group may go on in the next batch
+            yield table.slice(0, first[-1]).combine_chunks(), first
+            table = table.slice(first[-1])
+        kept = table
+    if kept is not None and kept.num_rows:
+        first = starts(kept)
+        yield kept.combine_chunks(), np.concatenate([first, [kept.num_rows]])
+
+
+BLOCK_KEY = ["key", "low", "high"]
+PROMISING = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("partners", pa.int64())])
+
+
+def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of blocks with a partner that may be linked: sizes, components and whole signatures allow it, and no earlier key has the pair.
+
+    Rows come sorted by block, then by n_shingles; each is compared with the 1st, 2nd, ... row behind it for all blocks at once.
+    """
+    for table, first in _whole_groups(batches, BLOCK_KEY):
+        col = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
+        n, comp, parts, at, two = col("n_shingles"), col("component"), col("part"), col("at"), col("low") != col("high")
+        rows = table.num_rows
+        end = np.repeat(first[1:], np.diff(first)) if first[-1] == rows else np.repeat(np.append(first[1:], rows), np.diff(np.append(first, rows)))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(rows, SYMBOLS)
+        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int64).reshape(rows, len(KEEP))
+        earlier = np.arange(len(KEEP)) < at[:, None]
+        partners, i, step = np.zeros(rows, np.int64), np.arange(rows), 0
+        while True:
+            step += 1
+            i = i[i + step < end[i]]
+            i = i[n[i + step] * 4 <= n[i] * 5]  # sizes within a factor of 0.8; later rows are larger still
+            if not len(i):
+                break
+            a, b = i, i + step
+            ok = (comp[a] != comp[b]) & ~(two[a] & (parts[a] == parts[b]))
+            a, b = a[ok], b[ok]
+            ok = ~((keys[a] == keys[b]) & earlier[a]).any(1)
+            a, b = a[ok], b[ok]
+            ok = (sketch[a] == sketch[b]).sum(1) >= AGREE
+            np.add.at(partners, a[ok], 1)
+            np.add.at(partners, b[ok], 1)
+        hit = np.flatnonzero(partners)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col("key")[hit], col("id")[hit], comp[hit], partners[hit])], schema=PROMISING)
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of blocks with 100 * intersection >= 80 * union on full sets; between two known components one link is enough."""
+    for table, first in _whole_groups(batches, BLOCK_KEY):
+        out = []
+        bounds = first if first[-1] == table.num_rows else np.append(first, table.num_rows)
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            g = table.slice(lo, hi - lo)
+            out += _confirm_block(g.column("id").to_numpy(), g.column("component").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in g.column("shingles")])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=LINKS)
+
+
+def _confirm_block(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
-    ids, comp, sizes, sets = ids[order], comp[order], sizes[order], [sets[i] for i in order]
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    root = {c: c for c in comp.tolist()}
+    ids, comp, sizes, sets = ids[order].tolist(), comp[order].tolist(), sizes[order], [sets[i] for i in order]
+    root = {c: c for c in comp}
 
-    def find(c):
+    def find(c: int) -> int:
         while root[c] != c:
             root[c] = root[root[c]]
             c = root[c]
         return c
 
-    mark, out = np.zeros(int(flat.max()) + 1, np.int32), []
+    out = []
+
+    def link(i: int, j: int) -> None:
+        a, b = find(comp[i]), find(comp[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+
+    if len(ids) <= 4:
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                if sizes[j] * 4 <= sizes[i] * 5 and find(comp[i]) != find(comp[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                        link(i, j)
+        return out
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(int(flat.max()) + 1, np.int32)
     for i in range(len(ids) - 1):
-        to = int(np.searchsorted(sizes, sizes[i] * 1.25, "right"))
+        to = int(np.searchsorted(sizes * 4, sizes[i] * 5, "right"))
         if to <= i + 1:
             continue
         own = flat[starts[i] : starts[i + 1]]
@@ -173,11 +236,8 @@ def _confirm(g: pd.DataFrame) -> pd.DataFrame:
         both = np.add.reduceat(mark[flat[starts[i + 1] : starts[to]]], starts[i + 1 : to] - starts[i + 1])
         mark[own] = 0
         for j in np.flatnonzero(100 * both >= 80 * (sizes[i] + sizes[i + 1 : to] - both)).tolist():
-            a, b = find(comp[i]), find(comp[i + 1 + j])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(ids[i]), int(ids[i + 1 + j])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            link(i, i + 1 + j)
+    return out
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -198,14 +258,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _blocks(members: DataFrame, counts: DataFrame) -> DataFrame:
-    """Deal the members of each key to pairs of blocks of about BLOCK members, so a group of any size is many bounded tasks."""
-    parts = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.join(counts, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+def _blocks(members: DataFrame, counts: DataFrame, size: int) -> DataFrame:
+    """Deal the members of each key to pairs of blocks of about ``size`` members, so a group of any size is many bounded tasks.
+
+    counts(key, members). Adds part, low and high.
+    """
+    dealt = members.join(counts, "key").withColumn("parts", F.ceil(F.col("members") / size).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts", "members")
 
 
+def _by_block(rows: DataFrame, then: str) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, then)
+
+
 def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept.
 
@@ -219,7 +287,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
     known = sketched.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(known.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     first = known.join(classes.select("set1", "set2", F.col("id").alias("doc_id")), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
-    keyed = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "keys", F.posexplode("keys").alias("at", "key"))
+    keyed = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "packed", F.posexplode("keys").alias("at", "key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     counts = materialize(counts)
     members = materialize(keyed.join(counts.select("key"), "key", "left_semi"))
@@ -231,23 +299,26 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
             rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = rows.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("key")
             rows = rows.join(several, "key", "left_semi")
-        schema = "key long, low int, high int, id long, part int, component long, partners long"
-        return _blocks(rows, counts).groupBy("key", "low", "high").applyInPandas(_promising, schema)
+        dealt = _by_block(_blocks(rows, counts, BLOCK), "n_shingles")
+        return dealt.mapInArrow(_promising, "key long, id long, component long, partners long")
 
-    def confirmed(blocks: DataFrame) -> DataFrame:
-        needed = blocks.select("id").distinct()
+    def confirmed(found: DataFrame) -> DataFrame:
+        sizes = found.groupBy("key").agg(F.count("*").alias("members"))
+        dealt = _blocks(found.select("key", "id", "component"), sizes, CONFIRM_BLOCK)
+        needed = found.select("id").distinct()
         texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").select("doc_id", "text")
         sets = texts.mapInArrow(_sets(shingle_words), "id long, shingles binary").filter(F.length("shingles") > 0)
-        return blocks.join(sets, "id").groupBy("key", "low", "high").applyInPandas(_confirm, "a long, b long")
+        rows = dealt.join(sets, "id").select(*BLOCK_KEY, "id", "component", "shingles")
+        return _by_block(rows, "id").mapInArrow(_confirm, "a long, b long")
 
     # first each class in the one block where it has most partners, then all blocks that still hold several components
-    found = materialize(promising(None))
-    most = found.groupBy("id").agg(F.max_by(F.struct("key", "low", "high"), F.struct("partners", "key", "low", "high")).alias("best"))
-    links = materialize(confirmed(most.select("id", "best.*").withColumn("component", F.col("id"))))
+    found = materialize(promising(None).groupBy("key", "id", "component").agg(F.sum("partners").alias("partners")))
+    most = found.groupBy("id").agg(F.max_by("key", F.struct("partners", "key")).alias("key")).withColumn("component", F.col("id"))
+    links = materialize(confirmed(materialize(most)))
     component = connected_components(links)
-    left = materialize(promising(component))
+    left = materialize(promising(component).select("key", "id", "component").distinct())
     if left.limit(1).count():
-        links = links.union(materialize(confirmed(left.select("id", "key", "low", "high", "component"))))
+        links = links.union(materialize(confirmed(left)))
         component = connected_components(links)
     named = classes.select("set1", "set2", "id").join(component, "id", "left").select("set1", "set2", F.coalesce("component", "id").alias("component"))
     # ids with several texts carry their smallest component along
