@@ -1,9 +1,14 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the web-archive engine and their SQL."""
+
+from __future__ import annotations
+
+from .plans import queries as plans
+from .plans import reports
 
 
 def queries():
-    return {}
+    return dict(plans.QUERIES) | dict(reports.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(plans.ORACLE) | dict(reports.ORACLE)
