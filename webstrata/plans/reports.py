@@ -630,7 +630,7 @@ def _(s, d):
     return S.tuner_reductions(T(s, d, "events").filter("event_type = 'error'").select((F.col("user_id") % 7).cast("string").alias("kind"), "ts"), 30, 3600.0)
 
 
-@query("STM13_host_gaps", "SELECT user_id AS host, ts, CAST(round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000.0) AS BIGINT) AS gap_ms FROM events QUALIFY gap_ms < 600000 WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+@query("STM13_host_gaps", "SELECT user_id AS host, ts, CAST(round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000.0) AS BIGINT) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY gap_ms < 600000")
 def _(s, d):
     from pyspark.sql import Window as W
 
@@ -648,7 +648,7 @@ def _(s, d):
     return S.latest_frames(T(s, d, "events").select((F.col("user_id") % 5).alias("job_id"), F.col("event_type").alias("slot"), "ts", F.col("value").alias("frame"))).select("job_id", "slot", "ts")
 
 
-@query("STM18_stalled", "WITH g AS (SELECT user_id AS job_id, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) SELECT job_id, min(ts) AS ts FROM g WHERE gap >= 3600 * 1000000 GROUP BY job_id")
+@query("STM18_stalled", "WITH g AS (SELECT user_id AS job_id, ts, epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts)) - epoch_us(ts) AS gap FROM events) SELECT job_id, min(ts) AS ts FROM g WHERE gap >= 3600000000 GROUP BY job_id")
 def _(s, d):
     return S.stalled(T(s, d, "events").select(F.col("user_id").alias("job_id"), "ts"), 3600).select("job_id", "ts")
 
