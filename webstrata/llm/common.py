@@ -61,3 +61,11 @@ def release(spark: SparkSession, path: str) -> None:
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

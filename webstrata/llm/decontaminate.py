@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only_cache, whole_text
+from .common import free_name, only_cache, whole_text
 
 TOKEN = re.compile(r"[^\W_]+(?:[.,][0-9]+)*|[%$€£°]|[.!?:\n\"]")
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -173,5 +173,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns; rows with a null id stay."""
-    hits = contaminated_pairs(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs[doc_id] == F.col("_hit"), "left_anti")
+    hit = free_name(docs, "hit")
+    hits = contaminated_pairs(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, docs[doc_id] == hits[hit], "left_anti")

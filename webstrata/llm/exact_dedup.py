@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import free_name, materialize, whole_text
 
 BLOCK_BYTES = 1024
 
@@ -88,12 +88,12 @@ def drop_exact_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Of rows that repeat both id and text, one stays (other columns: any one of theirs).
     """
     kept = exact_dedup(df, doc_id, text, block_bytes)
-    keys = kept.groupBy(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).agg(F.max("kept").alias("_any"), F.count("*").alias("_rows")).filter("_any")
+    key, digest, rows = (free_name(df, n) for n in ("kept_id", "kept_sha256", "kept_rows"))
+    keys = kept.groupBy(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest)).agg(F.max("kept").alias("any"), F.count("*").alias(rows)).filter("any").drop("any")
     sha = F.sha2(whole_text(df[text]).cast("binary"), 256)
-    joined = df.join(keys, df[doc_id].eqNullSafe(keys["_kept_id"]) & (sha == keys["_kept_sha"]), "inner")
+    joined = df.join(keys, df[doc_id].eqNullSafe(keys[key]) & (sha == keys[digest]), "inner")
     names = df.columns
-    single = joined.filter("_rows = 1").select(*[df[c] for c in names])
-    if keys.filter("_rows > 1").limit(1).count() == 0:
+    single = joined.filter(F.col(rows) == 1).select(*names)
+    if keys.filter(F.col(rows) > 1).limit(1).count() == 0:
         return single
-    repeated = joined.filter("_rows > 1").dropDuplicates(["_kept_id", "_kept_sha"]).select(*[df[c] for c in names])
-    return single.unionByName(repeated)
+    return single.unionByName(joined.filter(F.col(rows) > 1).dropDuplicates([key, digest]).select(*names))
