@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, only_cache, whole_text
+from .common import free_name, materialize, only_cache, whole_text
 
 SYMBOLS, INDEXED, CHUNK, RADIUS = 64, 18, 3, 11
 ERRORS = RADIUS // (INDEXED // CHUNK)
@@ -100,7 +100,7 @@ def _sketches(size: int):
                         continue
                     sig, digest = signature(s), np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
                     keys = index_keys(sig)
-                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), keys, keys.tobytes()))
+                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), keys, keys.astype(np.uint32).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -159,7 +159,7 @@ def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.num_rows
         end = np.repeat(first[1:], np.diff(first)) if first[-1] == rows else np.repeat(np.append(first[1:], rows), np.diff(np.append(first, rows)))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(rows, SYMBOLS)
-        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int64).reshape(rows, len(KEEP))
+        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint32).reshape(rows, len(KEEP))
         earlier = np.arange(len(KEEP)) < at[:, None]
         partners, i, step = np.zeros(rows, np.int64), np.arange(rows), 0
         while True:
@@ -287,9 +287,11 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
     known = sketched.filter("doc_id is not null and n_shingles > 0")
     classes = materialize(known.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     first = known.join(classes.select("set1", "set2", F.col("id").alias("doc_id")), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
-    keyed = first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "packed", F.posexplode("keys").alias("at", "key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    counts = materialize(counts)
+    first = materialize(first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "packed", "keys"))
+    payload = first.drop("keys")
+    # signatures are joined last: until then only keys and ids move
+    keyed = first.select("id", F.posexplode("keys").alias("at", "key"))
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     members = materialize(keyed.join(counts.select("key"), "key", "left_semi"))
 
     def promising(component: DataFrame | None) -> DataFrame:
@@ -299,7 +301,8 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
             rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = rows.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("key")
             rows = rows.join(several, "key", "left_semi")
-        dealt = _by_block(_blocks(rows, counts, BLOCK), "n_shingles")
+        rows = _blocks(rows, counts, BLOCK).join(payload, "id")
+        dealt = _by_block(rows.select(*BLOCK_KEY, "id", "at", "component", "part", "n_shingles", "sketch", "packed"), "n_shingles")
         return dealt.mapInArrow(_promising, "key long, id long, component long, partners long")
 
     def confirmed(found: DataFrame) -> DataFrame:
@@ -330,5 +333,6 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
 
 def drop_near_copies(df: DataFrame, shingle_words: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with their columns: of each component the smallest doc_id."""
-    dropped = near_duplicates(df, shingle_words, doc_id, text).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return df.join(dropped, df[doc_id].cast("long") == F.col("_dropped"), "left_anti")
+    gone = free_name(df, "dropped")
+    dropped = near_duplicates(df, shingle_words, doc_id, text).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return df.join(dropped, df[doc_id].cast("long") == dropped[gone], "left_anti")
