@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .plans import queries as plans
-from .plans import reports
+from .plans import reports, states
 
 
 def queries():
-    return dict(plans.QUERIES) | dict(reports.QUERIES)
+    return dict(plans.QUERIES) | dict(reports.QUERIES) | dict(states.QUERIES)
 
 
 def oracle_sql():
-    return dict(plans.ORACLE) | dict(reports.ORACLE)
+    return dict(plans.ORACLE) | dict(reports.ORACLE) | dict(states.ORACLE)

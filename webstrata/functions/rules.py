@@ -177,11 +177,12 @@ def is_isolation_failure(blocked: Column, cors: Column, kind: Column, error: Col
 
 
 def clamp_percent(value: Column) -> Column:
-    return F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.floor(value.cast("double") * 10 + 0.5) / 10))
+    # least and greatest skip nulls, so a null metric has to be kept apart
+    return F.when(value.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.floor(value.cast("double") * 10 + 0.5) / 10)))
 
 
 def clamp(value: Column, low: float, high: float, default: float) -> Column:
-    return F.coalesce(F.least(F.greatest(value, F.lit(low)), F.lit(high)), F.lit(default))
+    return F.when(value.isNull(), F.lit(default)).otherwise(F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def reached(value: Column, limit: Column) -> Column:
