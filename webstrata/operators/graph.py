@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write a round's result to the shared folder and read it back, so lineage stays short and lost executors cost a reread."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="webstrata-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.shared import cut as _cut
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_external: int | None = None, keywords: list[str] | None = None, rounds: int = 200) -> DataFrame:

@@ -12,6 +12,8 @@ from ..functions import media, rules, text, urls
 from ..operators import archives as A
 from ..operators import jobs as J
 from ..operators import pages as P
+from ..sources.shared import shared_dir
+from ..streaming import services as streams
 from .queries import HOST, T
 from .reports import CLASS, classified
 from .views import cte, view
@@ -200,6 +202,40 @@ def _(s, d):
     return J.due_schedules(plans, jobs(s, d), F.lit(datetime(1998, 1, 1)))
 
 
+def event_stream(s, d):
+    """The events table as a stream of its file, read once and to the end."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    return s.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("STM12_miss_stream", "SELECT 'u' || (event_id % 700) AS url, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM events GROUP BY url")
+def _(s, d):
+    misses = event_stream(s, d).select(F.concat(F.lit("u"), (F.col("event_id") % 700).cast("string")).alias("url"), "ts")
+    out = shared_dir(s)
+    q = streams.miss_counts(misses).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(streams.merge_into(f"{out}/rows")).start()
+    q.awaitTermination()
+    return streams.read_merged(s, f"{out}/rows")
+
+
+@query("STM1_watch_stream", "SELECT CAST(user_id AS VARCHAR) AS watch_id, ts, event_type AS now FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before <> event_type")
+def _(s, d):
+    seen = event_stream(s, d).select(F.col("user_id").cast("string").alias("watch_id"), "ts", F.col("event_type").alias("text"))
+    out = shared_dir(s)
+    q = streams.watch_notifications(seen).writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").start()
+    q.awaitTermination()
+    return s.read.schema("watch_id string, ts timestamp, before string, now string").parquet(f"{out}/rows").select("watch_id", "ts", "now")
+
+
+@query("STM8_pressure_stream", "SELECT CASE WHEN value >= 90 THEN 'critical' WHEN value >= 78 THEN 'high' WHEN value >= 65 THEN 'elevated' ELSE 'normal' END AS pressure, count(*) AS n FROM events GROUP BY pressure")
+def _(s, d):
+    none = F.lit(None).cast("double")
+    metrics = event_stream(s, d).select("ts", F.col("value").alias("cpu"), *[none.alias(c) for c in ("memory", "disk", "network", "gpu")])
+    out = shared_dir(s)
+    q = streams.pressure_stream(metrics).writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").option("path", f"{out}/rows").start()
+    q.awaitTermination()
+    return s.read.schema("ts timestamp, pressure string, capture int, discovery int").parquet(f"{out}/rows").groupBy("pressure").agg(F.count("*").alias("n"))
+
+
 @query("STM17_alerts")
 def _(s, d):
     return J.alert_times(T(s, d, "events").select("ts", F.col("value").alias("used")), 200)
