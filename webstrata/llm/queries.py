@@ -109,11 +109,26 @@ rack_{to} AS (SELECT key, arg_max(rack, {straw('rack', 'w')}) AS rack FROM regio
 {to} AS (SELECT key, arg_max(shard, {straw('shard', '1')}) AS {to} FROM rack_{to} JOIN tree_{to} USING (rack) GROUP BY key)"""
 
 
+# CRC-32 from its polynomial: a table of 256 entries, then a fold over the bytes of the text
+CRC32 = """list_reduce(list_transform(range(strlen(t)), lambda i: ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::BIGINT), lambda acc, x: xor(acc >> 8, crc[(xor(acc, x) & 255) + 1]), 4294967295::BIGINT)"""
 OP2_SQL = f"""
-WITH keys AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id IS NOT NULL), {_draws(24, 'shard')}, {_draws(25, 'grown_shard')}
-SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+WITH keys AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS key FROM documents WHERE doc_id IS NOT NULL), {_draws(24, 'shard')}, {_draws(25, 'grown_shard')},
+c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS crc),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, CAST(strlen(t) + 8 AS BIGINT) AS size, xor({CRC32}, 4294967295) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
-FROM documents JOIN shard ON shard.key = CAST(doc_id AS VARCHAR) JOIN grown_shard ON grown_shard.key = CAST(doc_id AS VARCHAR)
+FROM d CROSS JOIN c JOIN shard ON shard.key = CAST(doc_id AS VARCHAR) JOIN grown_shard ON grown_shard.key = CAST(doc_id AS VARCHAR)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1:i + 4], ' '))) END AS shingles FROM w),
+e AS (SELECT doc_id, unnest(shingles) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.shingles) + len(y.shingles) - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, l.b FROM reach r JOIN edges l ON l.a = r.b)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(doc_id, m) AS component_id, doc_id <= coalesce(m, doc_id) AS kept FROM s LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) ON a = doc_id
 """
 
 OP10_SQL = """
@@ -127,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op6_minhash_near_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
