@@ -73,17 +73,21 @@ def _risk_gradient(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> tuple[float,
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
     """The smallest ratio of the unlabelled to the positive share above a threshold of a score.
 
-    Where only positives score so high, the ratio is the share of positives; sets with less than ``least`` of the positives are too noisy.
+    Where only positives score so high, the ratio is the share of positives; sets with less than ``least`` of the positives are too noisy. Both
+    shares are widened by half a standard error, so few rows give a larger prior: good texts are then kept rather than lost.
     """
     cuts = np.quantile(positive, np.linspace(0.0, 1 - least, 81))
-    ratio = [(unlabelled >= c).mean() / max((positive >= c).mean(), 1e-9) for c in cuts]
+    more, less = 0.5 / np.sqrt(len(unlabelled)), 0.5 / np.sqrt(len(positive))
+    ratio = [((unlabelled >= c).mean() + more) / max((positive >= c).mean() - less, 1e-9) for c in cuts]
     return float(np.clip(min(ratio), 0.05, 0.98))
 
 
-def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05) -> np.ndarray:
     """Weights (last: bias) that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with Adam."""
     xp, xu = (np.column_stack([x, np.ones(len(x))]) for x in (positive, unlabelled))
     w = np.zeros(xp.shape[1])
+    decay = np.full(len(w), max(1e-4, 0.25 / len(xp)))  # few positives: small weights
+    decay[-1] = 0.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
         gp, gu = xp @ w, xu @ w
@@ -100,11 +104,12 @@ def fit_non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float,
 
 
 def _logistic(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) -> np.ndarray:
+    decay = max(1e-3, 1.0 / len(positive))
     x = np.column_stack([np.vstack([positive, unlabelled]), np.ones(len(positive) + len(unlabelled))])
     y = np.r_[np.ones(len(positive)), np.zeros(len(unlabelled))]
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        w -= 0.5 * (x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(x) + 1e-3 * w)
+        w -= 0.5 * (x.T @ (1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y) / len(x) + decay * w)
     return w
 
 
