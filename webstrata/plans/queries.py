@@ -8,11 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, rules, text, urls
-from ..operators import archives as A
-from ..operators import graph as G
 from ..operators import pages as P
 from ..operators import requests as R
-from ..operators import services as S
 from .views import cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,11 +26,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def q(pattern: str) -> str:
-    """A pattern as a DuckDB literal; RE2 has no possessive parts."""
-    return "'" + pattern.replace("'", "''") + "'"
-
-
 def T(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -268,10 +260,9 @@ def _(s, d):
     return T(s, d, "events").select("event_id", path.rlike(fixed.IDENTITY_LEAF).alias("identity"))
 
 
-@query("TXT24_clean_tags", cte("archives") + "SELECT archive_id, list_distinct(list_filter(list_transform(string_split(tags_text, ','), lambda x: trim(x)), lambda x: x <> '')) AS u, len(list_distinct(list_filter(list_transform(string_split(tags_text, ','), lambda x: trim(x)), lambda x: x <> ''))) AS n FROM archives".replace("AS u, ", "IS NOT NULL AS ok, "))
+@query("TXT24_clean_tags", cte("archives") + "SELECT archive_id, len(list_distinct(list_filter(list_transform(string_split(tags_text, ','), lambda x: trim(x)), lambda x: x <> ''))) AS n FROM archives")
 def _(s, d):
-    tags = text.clean_tags(F.col("tags_text"))
-    return view(s, d, "archives").select("archive_id", tags.isNotNull().alias("ok"), F.size(tags).cast("long").alias("n"))
+    return view(s, d, "archives").select("archive_id", F.size(text.clean_tags(F.col("tags_text"))).cast("long").alias("n"))
 
 
 @query("TXT25_redact", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[a-zA-Z]{2,}')) AS masked FROM (SELECT doc_id, substr(text, 1, 1000) AS text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))")

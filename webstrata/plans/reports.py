@@ -66,7 +66,7 @@ def _(s, d):
 @query("PRD3_PRD4_noise", "SELECT event_id, event_id % 5 < 3 AS noise, event_id % 5 IN (0, 2) AS auxiliary FROM events")
 def _(s, d):
     at = F.element_at(F.array(*[F.lit(u) for u in ("https://www.google-analytics.com/a", "https://ad.doubleclick.net/x", "https://h.example/telemetry/1", "https://h.example/app.js", "https://h.example/collect.js")]), (F.col("event_id") % 5 + 1).cast("int"))
-    return T(s, d, "events").select("event_id", rules.F.coalesce(urls.is_noise(at, F.lit("Image")), F.lit(False)).alias("noise"), urls.is_auxiliary(at).alias("auxiliary"))
+    return T(s, d, "events").select("event_id", F.coalesce(urls.is_noise(at, F.lit("Image")), F.lit(False)).alias("noise"), urls.is_auxiliary(at).alias("auxiliary"))
 
 
 @query("PRD5_PRD6_boundary_account")
@@ -115,7 +115,7 @@ def _(s, d):
     return good.groupBy("archive_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@query("PRD13_byte_range", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN user_id >= 100 THEN NULL ELSE user_id END AS start, CASE WHEN event_id % 3 = 2 OR user_id >= 100 THEN NULL ELSE least(user_id + 50, 99) END AS stop FROM events".replace("user_id + 50", "CASE WHEN event_id % 3 = 0 THEN user_id + 50 ELSE 99 END"))
+@query("PRD13_byte_range", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL WHEN user_id >= 100 THEN NULL ELSE user_id END AS start, CASE WHEN event_id % 3 = 2 OR user_id >= 100 THEN NULL ELSE least(CASE WHEN event_id % 3 = 0 THEN user_id + 50 ELSE 99 END, 99) END AS stop FROM events")
 def _(s, d):
     u = F.col("user_id").cast("string")
     value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("bytes="), u, F.lit("-"), (F.col("user_id") + 50).cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("bytes="), u, F.lit("-"))).otherwise("items=1-2")
@@ -150,8 +150,8 @@ def _(s, d):
 
 
 @query("JN3_archive_diff", cte("captures") + """
-, now AS (SELECT page_id % 100 AS k, page_id, html FROM captures WHERE html <> '' AND page_id % 4 < 3), old AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || '<p>more</p>' ELSE html END AS html FROM captures WHERE html <> '' AND page_id % 4 > 0)
-SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN o.page_id IS NULL THEN 'added' WHEN n.page_id IS NULL THEN 'removed' WHEN n.html = o.html THEN 'unchanged' ELSE 'changed' END AS status FROM now n FULL JOIN old o ON n.page_id = o.page_id""".replace("page_id % 100 AS k, ", ""))
+, now AS (SELECT page_id, html FROM captures WHERE html <> '' AND page_id % 4 < 3), old AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || '<p>more</p>' ELSE html END AS html FROM captures WHERE html <> '' AND page_id % 4 > 0)
+SELECT coalesce(n.page_id, o.page_id) AS page_id, CASE WHEN o.page_id IS NULL THEN 'added' WHEN n.page_id IS NULL THEN 'removed' WHEN n.html = o.html THEN 'unchanged' ELSE 'changed' END AS status FROM now n FULL JOIN old o ON n.page_id = o.page_id""")
 def _(s, d):
     side = view(s, d, "captures").withColumn("url", F.concat(F.lit("https://d.example/"), F.col("page_id").cast("string"))).withColumn("requested_url", F.lit(None).cast("string")).withColumn("archive_id", F.lit(1))
     old = side.filter("page_id % 4 > 0").withColumn("html", F.when((F.col("page_id") % 5 == 0) & (F.col("html") != ""), F.concat("html", F.lit("<p>more</p>"))).otherwise(F.col("html")))
@@ -423,7 +423,8 @@ def _(s, d):
     return A.blob_dedupe(view(s, d, "resources")).select("digest", "copies", "keep_archive")
 
 
-@query("AGG21_deferred_entries", cte("resources") + "SELECT archive_id, CASE WHEN url LIKE '%.ts?%' THEN 'stream' ELSE 'file' END AS kind, CASE WHEN url LIKE '%.ts?%' THEN regexp_extract(url, '^.*/') ELSE url END AS key, count(*) AS n FROM resources GROUP BY ALL".replace("SELECT archive_id, CASE", "SELECT archive_id, kind, CASE WHEN kind = 'stream' THEN n ELSE 1 END AS remaining FROM (SELECT archive_id, CASE", 1) + ")")
+@query("AGG21_deferred_entries", cte("resources") + """, k AS (SELECT archive_id, CASE WHEN url LIKE '%.ts?%' THEN 'stream' ELSE 'file' END AS kind, CASE WHEN url LIKE '%.ts?%' THEN regexp_extract(url, '^.*/') ELSE url END AS key, count(*) AS n FROM resources GROUP BY ALL)
+SELECT archive_id, kind, CASE WHEN kind = 'stream' THEN n ELSE 1 END AS remaining FROM k""")
 def _(s, d):
     return A.deferred_entries(view(s, d, "resources")).select("archive_id", "kind", "remaining")
 
@@ -502,7 +503,7 @@ def _(s, d):
     return G.robots_allowed(p, G.robots_rules(files)).select("page_id")
 
 
-@query("ORD4_search", f"SELECT page_id AS rank, count(*) OVER () AS total FROM pages WHERE contains(lower(title_of || ' ' || body), 'the') AND contains(lower(title_of || ' ' || body), 'and') ORDER BY page_id LIMIT 50".replace("FROM pages", f"FROM (SELECT page_id, 'T' AS title_of, {SEARCH} AS body FROM pages)"))
+@query("ORD4_search", f"SELECT page_id AS rank, count(*) OVER () AS total FROM (SELECT page_id, 'T' AS title_of, {SEARCH} AS body FROM pages) WHERE contains(lower(title_of || ' ' || body), 'the') AND contains(lower(title_of || ' ' || body), 'and') ORDER BY page_id LIMIT 50")
 def _(s, d):
     docs = T(s, d, "pages").select(F.col("page_id").alias("rank"), "url", F.lit("T").alias("title"), text.html_to_search_text(F.col("html")).alias("text"))
     return P.search(docs, "The  AND").select("rank", "total")
@@ -632,9 +633,6 @@ def _(s, d):
 
 @query("STM13_host_gaps", "SELECT user_id AS host, ts, CAST(round((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000.0) AS BIGINT) AS gap_ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY gap_ms < 600000")
 def _(s, d):
-    from pyspark.sql import Window as W
-
-    del W
     return S.host_gaps(T(s, d, "events").select(F.col("user_id").alias("host"), "ts"), 600000)
 
 
