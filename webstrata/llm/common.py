@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 _CACHES: list = []
 
 
-def only_cache(cache: dict) -> None:
+def only_cache(cache) -> None:
     """Empty the word caches of other operators in this Python worker, so their sizes don't add up."""
     if not any(c is cache for c in _CACHES):
         _CACHES.append(cache)
@@ -69,3 +70,8 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]

@@ -17,17 +17,20 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 class FastTokens:
-    """Encodes texts; ``keep`` bounds the number of parts whose ids are kept in memory."""
+    """Encodes texts. The ids of parts are kept in two generations of about ``keep`` parts: a full one becomes the old one, and parts met again move over."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.old = keep, {}, {}
         same = {tuple(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ("a", "A", " a", "\na")}
         self.folds = len(same) == 1  # case and white space don't count in this vocabulary
 
+    def clear(self) -> None:
+        self.known, self.old = {}, {}
+
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -39,6 +42,8 @@ class FastTokens:
             if self.folds and max(stem) < "\u0100":  # in Latin-1 lower case is one to one
                 stem = stem.strip(" \n").lower()
             stems[part] = stem
+        for x in {*stems.values(), ".", ","}.intersection(self.old):
+            known.setdefault(x, self.old[x])
         new = [x for x in dict.fromkeys([*stems.values(), ".", ","]) if x not in known]
         known.update(zip(new, self._library(new), strict=True))
         for part, stem in stems.items():
@@ -57,10 +62,10 @@ class FastTokens:
             at = to
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        only_cache(self.known)
+        only_cache(self)
         if len(self.known) > self.keep:
-            self.known.clear()
-        get, cut, new = self.known.get, [], set()
+            self.known, self.old = {}, self.known
+        get, old, cut, new = self.known.get, self.old, [], set()
         for text in texts:
             if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # runs, other white space, or nothing else
                 cut.append((None, None, ()))
@@ -68,7 +73,12 @@ class FastTokens:
             parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
             found = list(map(get, parts))
             unknown = [i for i, ids in enumerate(found) if ids is None] if None in found else ()
-            new.update([parts[i] for i in unknown])
+            for i in unknown:
+                ids = old.get(parts[i])
+                if ids is None:
+                    new.add(parts[i])
+                else:
+                    self.known[parts[i]] = ids
             cut.append((parts, found, unknown))
         if new:
             self._learn(list(new))
