@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import free_name, let, whole_text
 
 MARKS = "!*%$#&|@=~^<>{}[]\\_+"
 
@@ -26,13 +26,27 @@ def _soft(share: Column, half: float = 0.01) -> Column:
     return share / (share + half)
 
 
-def text_features(text: Column) -> dict[str, Column]:
+def word_statistics(text: Column) -> Column:
+    """struct<n, again, distinct>: words, words equal to the one before, distinct words. Split once for all three."""
+
+    def of(words: Column) -> Column:
+        pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b)
+        return F.struct(F.size(words).alias("n"), F.size(F.filter(pairs, lambda same: same)).alias("again"), F.size(F.array_distinct(words)).alias("distinct"))
+
+    return let(F.filter(F.split(whole_text(text), "[ \n]+"), lambda w: w != ""), of)
+
+
+def with_word_statistics(df: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """``df`` with a generated column of word statistics, which isn't computed again by what reads it; and its name."""
+    name = free_name(df, "word_statistics")
+    return df.select("*", F.explode(F.array(word_statistics(df[text]))).alias(name)), name
+
+
+def text_features(text: Column, words: Column) -> dict[str, Column]:
     """Doubles for each whole text (null: empty). All are shares or logarithms, so a text's length doesn't scale them."""
     text = whole_text(text)
     n = F.greatest(F.length(text), F.lit(1))
-    words = F.filter(F.split(text, "[ \n]+"), lambda w: w != "")
-    n_words = F.greatest(F.size(words), F.lit(1))
-    again = F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: a == b), lambda same: same))
+    n_words = F.greatest(words["n"], F.lit(1))
     return {
         "log_chars": F.log1p(F.length(text).cast("double")),
         "marks": _soft(_share_of(text, MARKS, n)),
@@ -43,8 +57,8 @@ def text_features(text: Column) -> dict[str, Column]:
         "digits": _soft(_share_of(text, "0123456789", n)),
         "stops": _soft(_share_of(text, ".,;:?", n)),
         "words": n_words / n,
-        "repeats": _soft(again / n_words, 0.02),
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
+        "repeats": _soft(words["again"] / n_words, 0.02),
+        "distinct_words": words["distinct"] / n_words,
     }
 
 
@@ -121,10 +135,11 @@ def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, ma
 
     def sample(ids: DataFrame) -> np.ndarray:
         ids = ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_sampled")
-        rows = docs.join(F.broadcast(ids), docs[doc_id] == F.col("_sampled")).select(*[c.alias(k) for k, c in text_features(docs[text]).items()]).limit(2 * max_rows)
+        rows, words = with_word_statistics(docs.join(F.broadcast(ids), docs[doc_id] == ids["_sampled"]).select(docs[text].alias("text")), "text")
+        rows = rows.select(*[c.alias(k) for k, c in text_features(F.col("text"), F.col(words)).items()]).limit(2 * max_rows)
         return np.array([tuple(r) for r in rows.collect()], float).reshape(-1, len(names))
 
-    names = list(text_features(docs[text]))
+    names = list(text_features(F.lit(""), F.struct(*[F.lit(0).alias(k) for k in ("n", "again", "distinct")])))
     p, u = sample(positives), sample(unlabelled)
     if not len(p) or not len(u):
         return QualityModel(names, np.zeros(len(names)), np.ones(len(names)), np.zeros(len(names)), 0.0, 0.5)
@@ -150,12 +165,12 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, do
 
 def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score (0 to 1), predicted (1 from 0.5). Null text scores as the empty one."""
-    features = text_features(docs[text])
-    rows = docs.select(docs[doc_id].alias("doc_id"), *[c.alias(k) for k, c in features.items()])
-    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score({k: F.col(k) for k in features}).alias("score"))
+    rows, words = with_word_statistics(docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")), "text")
+    scored = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(text_features(F.col("text"), F.col(words))).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least 0.5, with their columns."""
-    return docs.filter(model.score(text_features(docs[text])) >= 0.5)
+    rows, words = with_word_statistics(docs, text)
+    return rows.filter(model.score(text_features(F.col(text), F.col(words))) >= 0.5).select(*docs.columns)
