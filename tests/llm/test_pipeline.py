@@ -85,4 +85,5 @@ def test_stages_survive_empty_tables_and_nulls(spark, tmp_path):
             assert out.columns == docs.columns
             docs = out
         got = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
-        assert got.count() == (4 if rows else 0)
+        # null and empty texts are equal, so one of these four rows stays beside the plain text
+        assert sorted(r.doc_id or 0 for r in got.collect()) == ([0, 2] if rows else [])
