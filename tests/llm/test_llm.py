@@ -108,6 +108,17 @@ def test_fast_tokens_equal_the_library(name, rows):
     assert [np.frombuffer(b, "<u4").tolist() for b in k.encode_all(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_fast_tokens_equal_an_untouched_library(name):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(7)
+    texts = ["x\ty\tz\n\n\nw", "x\u00a0y  z", "a\x1fb c", "a <|endoftext|> b", "a<|endoftext|>b", "A <|ENDOFTEXT|> b", "c <|EndOfText|>. d", "\ta b\n"]
+    texts += ["".join(rng.choice(["a", "Bc", "1", ".", "'s", " ", " ", "\n", "\n\n", "\t", "\u00a0", "\r\n", "\u3000", "é"]) for _ in range(rng.randrange(1, 12))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in FastTokens(vocabulary(name), keep=50).encode_all(texts)] == want
+
+
 def test_token_files(spark, docs, none, tmp_path, rows):
     path = vocabulary("byte_bpe_50k.json")
     files = token_files.write_token_files(docs, path, f"file://{tmp_path}/t", frame_bytes=2000)

@@ -2,7 +2,7 @@
 
 Both public BPE vocabularies split a text before merging, and a space or line break that stands alone always begins a new
 part. A text is therefore cut there, each different part is encoded once by the library, and the ids are joined.
-Texts with other white space or runs of it, where the cut isn't certain, are encoded whole.
+Texts with other white space, runs of it or an added token of the vocabulary, where the cut isn't certain, are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ class FastTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known, self.old = keep, {}, {}
         same = {tuple(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ("a", "A", " a", "\na")}
         self.folds = len(same) == 1  # case and white space don't count in this vocabulary
@@ -40,7 +40,9 @@ class FastTokens:
         for part in parts:
             stem = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
             if self.folds and max(stem) < "\u0100":  # in Latin-1 lower case is one to one
-                stem = stem.strip(" \n").lower()
+                low = stem.strip(" \n").lower()
+                if not any(a in low for a in self.added):  # they are matched before case is folded
+                    stem = low
             stems[part] = stem
         for x in {*stems.values(), ".", ","}.intersection(self.old):
             known.setdefault(x, self.old[x])
@@ -67,7 +69,9 @@ class FastTokens:
             self.known, self.old = {}, self.known
         get, old, cut, new = self.known.get, self.old, [], set()
         for text in texts:
-            if len(text.split()) != text.count(" ") + text.count("\n") + 1:  # runs, other white space, or nothing else
+            words, single = text.split(), text.count(" ") + text.count("\n")
+            # with as many white-space characters as spaces and newlines there is no other, and with one word more than these no run
+            if len(words) != single + 1 or len("".join(words)) != len(text) - single or any(a in text for a in self.added):
                 cut.append((None, None, ()))
                 continue
             parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
