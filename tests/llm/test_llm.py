@@ -209,6 +209,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_pairs(df.filter("false"), bench).count() == 0
 
 
+def test_decontamination_repeated_values(spark):
+    item = "A farmer sells 12 boxes of pears in the morning and then 12 boxes of plums at noon before Anna sees Anna leave"
+    texts = [item, item.replace("12", "15", 1).replace("12", "7"), item.replace("12", "13", 1), item.replace("Anna", "Maria", 1), item.replace("Anna", "Maria", 1).replace("Anna", "Ruth")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "w1 w2. " + t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_windows, r.share, r.reparameterised) for r in decontaminate.contaminated_pairs(docs, bench, min_share=0.1).collect()}
+    # of 16 windows, 4 hold one of the two different names or both
+    assert got == {0: (16, 1.0, False), 1: (16, 1.0, True), 2: (16, 1.0, True), 3: (16, 1.0, True), 4: (12, 12 / 16, False)}
+
+
 # near duplicates
 
 

@@ -2,8 +2,9 @@
 
 Words become typed templates: numbers, names (capitalised words inside a sentence) and units are replaced by placeholders whose
 values are kept as slots. Windows of a fixed number of template words of the benchmark and the documents meet in a hash join; a document and an item
-with enough windows in common are reported if their slots are consistent, i.e. one item value always stands for
-one document value. A question asked again with other numbers or names is so caught with its new values.
+with enough consistent windows in common are reported. A name of the item may stand for itself and one other name; equal numbers
+or units of an item may be different quantities, so each occurrence has a value of its own. A question asked again with
+other numbers or names is so caught with its new values.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class Templates:
         return xxhash.xxh64_intdigest(word) & ~7
 
     def of(self, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
-        """(hashes of template words, their words, whether each is a slot). A unit counts only behind a number, a name only inside a sentence."""
+        """(hashes of template words, their words, slots: 0 for none, 1 for numbers and units, 2 for names). A unit counts only behind a number, a name only inside a sentence."""
         tokens, known = TOKEN.findall(text), self.known
         only_cache(known)
         if len(known) > self.keep:
@@ -69,10 +70,15 @@ class Templates:
         for which, placeholder in ((number, NUMBER), (unit, UNIT), (name, NAME)):
             if which.any():
                 hashes[which] = self._hash(placeholder)
-        slot = number | unit | name
+        slot = (number | unit) + 2 * name.astype(np.int8)
         return hashes[word], [t for t, k in zip(tokens, word.tolist(), strict=True) if k], slot[word]
 
 
+def _slot(word: str, kind: int) -> str | None:
+    """The value of a slot, for a name behind an @; null for other words."""
+    return (("@" if kind == 2 else "") + word.lower()) if kind else None
+
+
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; of fewer words, none."""
     n = len(words) - size + 1
@@ -107,7 +113,7 @@ def _windows(size: int, bloom=None):
                     at = at[(bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                 signed = hashes.view(np.int64)
                 for i in at.tolist():
-                    rows.append((key, i, len(words), int(signed[i]), [words[k].lower() if slot[k] else None for k in range(i, i + size)]))
+                    rows.append((key, i, len(words), int(signed[i]), [_slot(words[k], slot[k]) for k in range(i, i + size)]))
                 if len(rows) > 20_000:
                     yield _batch(rows, schema)
                     rows = []
@@ -146,19 +152,22 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, m
     found = texts.mapInArrow(_windows(window, bloom), SCHEMA).select(F.col("key").alias("doc_id"), "pos", "hash", "slots")
     joined = found.join(item_windows, "hash")
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"].isNotNull())
-    binding = F.transform(pairs, lambda s: F.concat_ws("\x1f", s["item_slots"], s["slots"]))
-    changed = F.exists(pairs, lambda s: s["item_slots"] != s["slots"])
-    each = joined.select("doc_id", "item_id", "item_pos", "item_words", "pos", (F.col("pos") - F.col("item_pos")).alias("shift"), binding.alias("bound"), changed.alias("changed"))
-    # an item's value stands for one document value: windows of the commonest binding of each value count
-    runs = each.groupBy("doc_id", "item_id", "shift").agg(
-        F.size(F.collect_set("item_pos")).alias("n"), F.max("item_words").alias("item_words"), F.min("pos").alias("first"), F.max("pos").alias("last"),
-        F.max("changed").alias("changed"), F.array_distinct(F.flatten(F.collect_set("bound"))).alias("bound"),
-    )
-    value = F.transform(F.col("bound"), lambda b: F.substring_index(b, "\x1f", 1))
-    runs = runs.withColumn("consistent", F.size(F.array_distinct(value)) == F.size("bound"))
+    other = F.filter(pairs, lambda s: s["item_slots"] != s["slots"])
+    names = F.transform(F.filter(other, lambda s: s["item_slots"].startswith("@")), lambda s: F.struct(s["item_slots"].alias("name"), s["slots"].alias("value")))
+    each = joined.select("doc_id", "item_id", "item_pos", "item_words", "pos", (F.size(other) > 0).alias("changed"), names.alias("names"), F.forall("item_slots", lambda s: s.isNotNull()).alias("bare"))
+    # windows of slots alone say nothing about the template: they count if they are verbatim
+    each = each.filter(~(F.col("bare") & F.col("changed"))).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    windows = F.collect_set(F.struct("item_pos", "pos", "changed", "names"))
+    runs = each.groupBy("doc_id", "item_id", "shift").agg(windows.alias("windows"), F.max("item_words").alias("item_words"))
+    # windows with a name that stands for several other names don't count; verbatim ones always do
+    values = F.array_distinct(F.flatten(F.col("windows.names")))
+    runs = runs.withColumn("values", F.transform(values, lambda v: v["name"]))
+    runs = runs.withColumn("several", F.array_distinct(F.filter("values", lambda n: F.size(F.filter("values", lambda m: m == n)) > 1)))
+    good = F.filter("windows", lambda w: ~F.arrays_overlap(F.transform(w["names"], lambda n: n["name"]), F.col("several")))
+    counted = runs.select("doc_id", "item_id", "item_words", F.explode(good).alias("w")).select("doc_id", "item_id", "item_words", "w.*")
     total = F.col("item_words") - window + 1
-    out = runs.filter("consistent").groupBy("doc_id", "item_id").agg(
-        F.sum("n").alias("n_windows"), F.max("item_words").alias("item_words"), F.min("first").alias("first_word"), (F.max("last") + window - 1).alias("last_word"), F.max("changed").alias("reparameterised"),
+    out = counted.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_windows"), F.max("item_words").alias("item_words"), F.min("pos").alias("first_word"), (F.max("pos") + window - 1).alias("last_word"), F.max("changed").alias("reparameterised"),
     )
     return out.withColumn("share", F.least(F.col("n_windows") / total, F.lit(1.0))).filter(F.col("share") >= min_share).drop("item_words")
 
