@@ -219,6 +219,19 @@ def test_decontamination_repeated_values(spark):
     assert got == {0: (16, 1.0, False), 1: (16, 1.0, True), 2: (16, 1.0, True), 3: (16, 1.0, True), 4: (12, 12 / 16, False)}
 
 
+def test_decontamination_counts_different_windows(spark):
+    item = "the quick brown fox jumps over a lazy dog while all other animals sleep under the old tree"
+    line = item.split(" ")[:9]
+    table = "Sum up 1 2 3 4 5 6 7 8 9 10"
+    twice = "so every one of them counts 3 pears today and every one of them counts 4 pears today and every one of them"
+    bench = spark.createDataFrame([(1, item), (2, table), (3, twice)], "item_id long, text string")
+    texts = [" ".join(line) + ".\n", " ".join(str(i * 7) for i in range(60)), twice]
+    docs = spark.createDataFrame([(0, texts[0] * 6), (1, texts[1]), (2, twice), (3, item)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.share) for r in decontaminate.contaminated_pairs(docs, bench, min_share=0.1).collect()}
+    assert got == {(0, 1): (2, 2 / 11), (2, 3): (10, 1.0), (3, 1): (11, 1.0)}
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [0, 1]
+
+
 # near duplicates
 
 

@@ -93,12 +93,12 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 BLOOM_BITS = 1 << 23
 _TEMPLATES = Templates()
-SCHEMA = "key long, pos int, n_words int, hash long, slots array<string>"
+SCHEMA = "key long, pos int, n_windows int, hash long, slots array<string>"
 
 
 def _windows(size: int, bloom=None):
-    """mapInArrow function: all windows of each (key, text), or those in a bitmap of fixed size."""
-    schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("n_words", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+    """mapInArrow function: all windows of each (key, text), or those in a bitmap of fixed size. n_windows: different ones of the text, without a bitmap."""
+    schema = pa.schema([("key", pa.int64()), ("pos", pa.int32()), ("n_windows", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bloom is None else np.frombuffer(bloom.value, np.uint8)
@@ -107,13 +107,13 @@ def _windows(size: int, bloom=None):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashed, words, slot = _TEMPLATES.of(text)
                 hashes = window_hashes(hashed, size)
-                at = np.arange(len(hashes))
+                at, n = np.arange(len(hashes)), 0 if bits is not None else len(np.unique(hashes))
                 if bits is not None:
                     bit = (hashes % np.uint64(BLOOM_BITS)).astype(np.int64)
                     at = at[(bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                 signed = hashes.view(np.int64)
                 for i in at.tolist():
-                    rows.append((key, i, len(words), int(signed[i]), [_slot(words[k], slot[k]) for k in range(i, i + size)]))
+                    rows.append((key, i, n, int(signed[i]), [_slot(words[k], slot[k]) for k in range(i, i + size)]))
                 if len(rows) > 20_000:
                     yield _batch(rows, schema)
                     rows = []
@@ -139,14 +139,15 @@ def bitmap(windows: DataFrame) -> bytes:
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, share, first_word, last_word, reparameterised for each document that holds a benchmark item.
 
-    share: part of the item's windows found with consistent slots, at least ``min_share``. Items of fewer words than a window are one window of
+    n_windows, share: the item's different windows, and their part, found with consistent slots, at least ``min_share``. Items of fewer words than a window are one window of
     their own length and aren't joined (they can't be told from ordinary prose). first_word, last_word: where in the document,
     in template words. reparameterised: some slot has another value. Null texts and ids give no rows; rows that repeat an id
     count as one document.
     """
     spark = docs.sparkSession
     items = benchmark.select(benchmark[item_id].cast("long").alias("key"), whole_text(benchmark[item_text]).alias("text")).filter("key is not null")
-    item_windows = items.mapInArrow(_windows(window), SCHEMA).dropDuplicates(["key", "hash"]).select(F.col("key").alias("item_id"), "hash", F.col("pos").alias("item_pos"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slots"))
+    # equal windows with other slots stay, so that a verbatim copy of each is seen
+    item_windows = items.mapInArrow(_windows(window), SCHEMA).groupBy(F.col("key").alias("item_id"), "hash", F.col("slots").alias("item_slots")).agg(F.min("pos").alias("item_pos"), F.max("n_windows").alias("item_windows"))
     bloom = spark.sparkContext.broadcast(bitmap(item_windows))
     texts = docs.select(docs[doc_id].cast("long").alias("key"), whole_text(docs[text]).alias("text")).filter("key is not null and text <> ''")
     found = texts.mapInArrow(_windows(window, bloom), SCHEMA).select(F.col("key").alias("doc_id"), "pos", "hash", "slots")
@@ -154,22 +155,21 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, m
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"].isNotNull())
     other = F.filter(pairs, lambda s: s["item_slots"] != s["slots"])
     names = F.transform(F.filter(other, lambda s: s["item_slots"].startswith("@")), lambda s: F.struct(s["item_slots"].alias("name"), s["slots"].alias("value")))
-    each = joined.select("doc_id", "item_id", "item_pos", "item_words", "pos", (F.size(other) > 0).alias("changed"), names.alias("names"), F.forall("item_slots", lambda s: s.isNotNull()).alias("bare"))
+    each = joined.select("doc_id", "item_id", "hash", "item_pos", "item_windows", "pos", (F.size(other) > 0).alias("changed"), names.alias("names"), F.forall("item_slots", lambda s: s.isNotNull()).alias("bare"))
     # windows of slots alone say nothing about the template: they count if they are verbatim
     each = each.filter(~(F.col("bare") & F.col("changed"))).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    windows = F.collect_set(F.struct("item_pos", "pos", "changed", "names"))
-    runs = each.groupBy("doc_id", "item_id", "shift").agg(windows.alias("windows"), F.max("item_words").alias("item_words"))
+    windows = F.collect_set(F.struct("hash", "pos", "changed", "names"))
+    runs = each.groupBy("doc_id", "item_id", "shift").agg(windows.alias("windows"), F.max("item_windows").alias("item_windows"))
     # windows with a name that stands for several other names don't count; verbatim ones always do
     values = F.array_distinct(F.flatten(F.col("windows.names")))
     runs = runs.withColumn("values", F.transform(values, lambda v: v["name"]))
     runs = runs.withColumn("several", F.array_distinct(F.filter("values", lambda n: F.size(F.filter("values", lambda m: m == n)) > 1)))
     good = F.filter("windows", lambda w: ~F.arrays_overlap(F.transform(w["names"], lambda n: n["name"]), F.col("several")))
-    counted = runs.select("doc_id", "item_id", "item_words", F.explode(good).alias("w")).select("doc_id", "item_id", "item_words", "w.*")
-    total = F.col("item_words") - window + 1
+    counted = runs.select("doc_id", "item_id", "item_windows", F.explode(good).alias("w")).select("doc_id", "item_id", "item_windows", "w.*")
     out = counted.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_windows"), F.max("item_words").alias("item_words"), F.min("pos").alias("first_word"), (F.max("pos") + window - 1).alias("last_word"), F.max("changed").alias("reparameterised"),
+        F.count_distinct("hash").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.min("pos").alias("first_word"), (F.max("pos") + window - 1).alias("last_word"), F.max("changed").alias("reparameterised"),
     )
-    return out.withColumn("share", F.least(F.col("n_windows") / total, F.lit(1.0))).filter(F.col("share") >= min_share).drop("item_words")
+    return out.withColumn("share", F.least(F.col("n_windows") / F.col("item_windows"), F.lit(1.0))).filter(F.col("share") >= min_share).drop("item_windows")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
