@@ -232,6 +232,14 @@ def test_decontamination_counts_different_windows(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [0, 1]
 
 
+def test_decontamination_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Add 2 and 3."), (3, "one two three four five six seven"), (4, " ?"), (5, "one two three four five six seven eight")], "item_id long, text string")
+    texts = ["w1 asked: what is the capital of France? Paris", "He asked What is the Capital of France", "What is the capital of Spain?", "add 2 and 3; add 2 and 3", "add 2 and 4", "one two three four five six", "zero one two three four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.share, r.first_word, r.last_word, r.reparameterised) for r in decontaminate.contaminated_pairs(docs, bench).collect()}
+    assert got == {(0, 1): (1, 1.0, 2, 7, False), (1, 1): (1, 1.0, 2, 7, False), (3, 2): (1, 1.0, 0, 7, False), (6, 3): (1, 1.0, 1, 7, False)}
+
+
 # near duplicates
 
 
