@@ -357,6 +357,16 @@ def noisy(seed, pieces, n=400):
     return [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))) for i in range(n)] + [(n, None), (n + 1, ""), (None, "a@b.cc AKIAABCDEFGHIJKL"), (3, "x")]
 
 
+def test_personal_data_of_several_tokens(spark):
+    long = "z" * 80
+    texts = [f"please phone +1 (0{i}7) 555-77{i:02d}, then wait" for i in range(10, 22)]
+    texts += [f"the card 4111 1111 1111 1111 of {long}" if i == 0 else f"{long} 10.0.0.{i} done" for i in range(8)]
+    texts += ["please phone (017) 555 7713 then wait", f"see {long} 12 345 678 done", "about 12 345 678 others", "+1 (017) 555-7713 123456 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.found] for r in pii.personal_data(docs).collect()}
+    assert {i: f for i, f in got.items() if f} == {20: [("phone", "(017) 555 7713")], 21: [("ip", "12 345 678")]}
+
+
 def test_pii_base_equals_brute_force(spark, none):
     data = noisy(1, ["a.b@c.de", "_x@y.z", "@", ".", "-", " ", "1.2.3.4", "300.1.2.3", "4041894974608795", "4041 8949-7460 8795", "+1 (988) 555-2485", "+", "12", "é日", "\n", "word", "+49.123456789", "9" * 30])
     out = pii.personal_data(spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, base int"), min_support=10**9)

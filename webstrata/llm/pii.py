@@ -1,8 +1,8 @@
 """Personal data: base expressions, and identifiers found by bootstrapped contextual extraction.
 
-Base spans are seeds. The words around a token with a digit or an @ form lexical patterns; a graph joins patterns and the tokens
-seen in them. Scores go from instances to patterns and back a few times, and patterns of high
-confidence give their kind to tokens that no base expression matches. Built-in functions only.
+Base spans are seeds. The words around them, around runs of tokens with a digit and around tokens with an @ form lexical patterns; a graph
+joins patterns and the values seen in them. Scores go from instances to patterns and back a few times, and patterns of high
+confidence give their kind to runs and tokens that no base expression matches. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"[0-9]([\x20-]?[0-9])+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![^ \n])[^ \n]*[0-9@][^ \n]*"
+# a token with an @ is by itself; others with a digit join over spaces
+_DIGIT_TOKEN = r"[^ \n@0-9]*+[0-9][^ \n@]*+(?![^ \n])"
+RUN = rf"(?<![^ \n])(?:[^ \n@]*+@[^ \n]*+|{_DIGIT_TOKEN}(?:\x20++{_DIGIT_TOKEN})*+)"
 
 
 def _digits(match: Column) -> Column:
@@ -50,36 +52,66 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _tokens(text: Column) -> Column:
-    """Tokens that hold a digit or an @, with the words before and behind: array<struct<..., left, right>>."""
-    return find_spans(text, "token", TOKEN, text.rlike("[0-9@]"), lambda m: F.lit(True))
+def _masked(text: Column, base: Column) -> Column:
+    """The text with an @ for each character of a base span, so that no run goes over one."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
+    def step(state: Column, b: Column) -> Column:
+        at = F.greatest(state["at"], b["start"])
+        gap = F.substring(text, (state["at"] + 1).cast("int"), (at - state["at"]).cast("int"))
+        return F.struct(F.greatest(at, b["end"]).alias("at"), F.concat(state["out"], gap, F.repeat(F.lit("@"), F.greatest(b["end"] - at, F.lit(0)).cast("int"))).alias("out"))
 
-def _context(text: Column, span: Column) -> Column:
-    left = F.regexp_extract(F.substring(text, F.greatest(span["start"] - 60, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(60)).cast("int")), r"([^ \n]+)[ \n]*$", 1)
-    right = F.regexp_extract(F.substring(text, (span["end"] + 1).cast("int"), F.lit(60)), r"^[ \n]*([^ \n]+)", 1)
+    spans = F.array_sort(F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+    masked = F.aggregate(spans, start, step, lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text))))
+    return F.when(F.size(base) > 0, masked).otherwise(text)
+
+
+def _runs(text: Column) -> Column:
+    """Maximal runs of tokens that hold a digit, and tokens that hold an @."""
+    return find_spans(text, "run", RUN, text.rlike("[0-9@]"), lambda m: F.lit(True))
+
+
+def _context(text: Column, span: Column, near: int = 60) -> Column:
+    """start, end, kind, value, left, right of a span; left and right are whole words. Signs that touch the span aren't words."""
+    before, behind = F.substring(text, F.lit(1), span["start"].cast("int")), F.substring(text, (span["end"] + 1).cast("int"), F.length(text))
+    close_before = F.substring(text, F.greatest(span["start"] - near, F.lit(0)).cast("int") + 1, F.least(span["start"], F.lit(near)).cast("int"))
+    close_behind = F.substring(text, (span["end"] + 1).cast("int"), F.lit(near))
+    signs = r"[^ \n\p{L}\p{N}]++"
+
+    def left(x: Column) -> Column:
+        return F.regexp_extract(F.regexp_replace(x, rf"(?<![^ \n]){signs}$", ""), r"(?<![^ \n])([^ \n]++)[ \n]*+$", 1)
+
+    def right(x: Column) -> Column:
+        return F.regexp_extract(F.regexp_replace(x, rf"^{signs}(?![^ \n])", ""), r"^[ \n]*+([^ \n]++)", 1)
+
+    # the near text is enough if a blank bounds the word in it
+    far_left = (span["start"] > near) & ~close_before.rlike(r"[ \n][^ \n]++[ \n]++[^ \n\p{L}\p{N}]*+$|[ \n][^ \n]*[\p{L}\p{N}][^ \n]*$")
+    far_right = (F.length(text) > span["end"] + near) & ~close_behind.rlike(r"^[^ \n\p{L}\p{N}]*+[ \n]++[^ \n]++[ \n]|^[^ \n]*[\p{L}\p{N}][^ \n]*[ \n]")
     value = F.regexp_replace(span["match"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
-    return F.struct(span["start"].alias("start"), span["end"].alias("end"), value.alias("value"), F.lower(left).alias("left"), F.lower(right).alias("right"))
+    return F.struct(
+        span["start"].alias("start"), span["end"].alias("end"), span["kind"].alias("kind"), value.alias("value"),
+        F.lower(F.when(far_left, left(before)).otherwise(left(close_before))).alias("left"), F.lower(F.when(far_right, right(behind)).otherwise(right(close_behind))).alias("right"),
+    )
 
 
 def personal_data(df: DataFrame, rounds: int = 3, min_support: int = 5, min_confidence: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, base (base spans), found (spans of discovered identifiers).
 
     Null texts are empty. Rows may repeat and ids be null: each row is searched by itself. ``min_support``: different seeds a pattern needs;
-    ``min_confidence``: share of its instances' scores. A found token has a digit or an @, at least six characters, and overlaps no base span.
+    ``min_confidence``: share of its instances' scores. What is found is a run of tokens with a digit or a token with an @, of at least six characters, and overlaps no base span.
     """
     body = whole_text(df[text])
-    docs = df.select(df[doc_id].alias("doc_id"), body.alias("text"))
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", base_spans(F.col("text")).alias("base"), F.transform(_tokens(F.col("text")), lambda s: _context(F.col("text"), s)).alias("tokens"))
-    docs = materialize(docs)
-
-    def seed_kind(token: Column) -> Column:
-        over = F.filter("base", lambda b: (b["start"] < token["end"]) & (b["end"] > token["start"]))
-        return F.try_element_at(F.transform(over, lambda b: b["kind"]), F.lit(1))
-
-    # the graph: patterns (side, word) and instances (values), counted; only here do tokens meet across documents
-    seen = docs.select(F.explode(F.transform("tokens", lambda t: F.struct(t["value"].alias("value"), t["left"].alias("left"), t["right"].alias("right"), F.when(F.size("base") > 0, seed_kind(t)).alias("kind")))).alias("t")).select("t.*")
-    edges = seen.filter(F.length("value") >= 6).select("value", "kind", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern")).filter(F.length("pattern") > 2)
+    docs = df.select(F.monotonically_increasing_id().alias("row"), df[doc_id].alias("doc_id"), body.alias("text"))
+    docs = docs.select("row", "doc_id", "text", base_spans(F.col("text")).alias("base"))
+    docs = docs.select("row", "doc_id", "text", "base", _runs(_masked(F.col("text"), F.col("base"))).alias("runs"))
+    free = F.filter("runs", lambda t: (F.length(t["match"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    docs = docs.select("row", "doc_id", "base", *[F.transform(spans, lambda s: _context(F.col("text"), s)).alias(name) for spans, name in ((F.col("base"), "seeds"), (free, "tokens"))])
+    docs = materialize(docs.withColumn("tokens", F.filter("tokens", lambda t: F.length(t["value"]) >= 6)))
+
+    # the graph: patterns (side, word) and instances (values), counted; only here do values meet across documents
+    unseen = F.transform("tokens", lambda t: t.withField("kind", F.lit(None).cast("string")))
+    seen = docs.select(F.explode(F.concat("seeds", unseen)).alias("t")).select("t.*")
+    edges = seen.select("value", "kind", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern")).filter(F.length("pattern") > 2)
     edges = materialize(edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed"), F.count("*").alias("n")))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     # only patterns with seeds can ever score
@@ -99,8 +131,7 @@ def personal_data(df: DataFrame, rounds: int = 3, min_support: int = 5, min_conf
         return docs.select("doc_id", "base", F.array().cast(SPAN).alias("found"))
 
     # patterns are looked up by a join on the tokens, never held whole by a task
-    free = F.filter("tokens", lambda t: (F.length(t["value"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    asked = docs.select("row", F.explode(free).alias("t")).select("row", "t.*")
+    asked = docs.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", "t.value", "t.left", "t.right")
     asked = asked.select("row", "start", "end", "value", F.explode(F.array(F.concat(F.lit("L:"), "left"), F.concat(F.lit("R:"), "right"))).alias("pattern"))
     hits = asked.join(best, "pattern").groupBy("row", "start", "end", "value").agg(F.min("kind").alias("kind"))
     hits = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", "start", "end", F.col("value").alias("match")))).alias("found"))
