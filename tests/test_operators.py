@@ -107,3 +107,31 @@ def test_blobs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2
     f = spark.createDataFrame([("/x/ab/" + "ab" + "0" * 62,), ("/x/ac/" + "ab" + "0" * 62,), ("/x/ab/readme",)], "path string")
     assert logs.valid_blobs(f).count() == 1
+
+
+def test_alerts_and_tuner_stream_and_excluded_hosts_join(spark):
+    import random
+
+    from webstrata.operators import jobs as J
+
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(400) * 1800) for _ in range(600)]
+    errors = spark.createDataFrame(data, "kind string, s long").select("kind", F.timestamp_seconds("s").alias("ts"), F.lit(9).alias("used")).repartition(5)
+
+    def fold(times, gap, most=10**9):
+        out = []
+        for t in sorted(times):
+            if len(out) < most and (not out or t - out[-1] >= gap):
+                out.append(t)
+        return out
+
+    alerts = J.alert_times(errors, 5)
+    assert sorted(r.s for r in alerts.select(F.unix_seconds("ts").alias("s")).collect()) == fold([t for _, t in data], 86400)
+    tuner = S.tuner_reductions(errors, 8, 7200)
+    want = {(k, t, 8 - n, 7 - n) for k in ("a", "b", None) for n, t in enumerate(fold([t for x, t in data if x == k], 7200, 7))}
+    assert {tuple(r) for r in tuner.select("kind", F.unix_seconds("ts"), "from", "to").collect()} == want
+    for df in (alerts, tuner):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
+    found = spark.createDataFrame([(i, f"https://m.h{i}.example/") for i in range(400)] + [(400, "https://h.example/")], "page_id long, url string")
+    hosts = spark.createDataFrame([(f"m.h{i}.example",) for i in range(400)], "host string")
+    assert [r.page_id for r in J.discovered_queue(found, hosts).collect()] == [400]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, urls
 from .pages import first_by
+from .services import spaced
 
 ACTIVE = ["queued", "running", "discovering", "pausing", "capturing"]
 TERMINAL = ["complete", "complete-with-errors", "cancelled", "limit-reached", "failed", "blocked", "login-required"]
@@ -121,9 +122,11 @@ def drop_resolved(blocked: DataFrame, saved: DataFrame) -> DataFrame:
     return blocked.join(saved.select("archive_id", "url").distinct(), ["archive_id", "url"], "left_anti")
 
 
-def discovered_queue(found: DataFrame, excluded_hosts: list[str]) -> DataFrame:
+def discovered_queue(found: DataFrame, excluded_hosts: DataFrame) -> DataFrame:
+    """The rows of ``found`` whose host isn't in ``excluded_hosts`` (host)."""
     host = urls.parts(F.col("url"))["host"]
-    return found.filter(~host.isin(excluded_hosts)) if excluded_hosts else found
+    out = excluded_hosts.select(F.col("host").alias("_excluded")).distinct()
+    return found.join(out, host == F.col("_excluded"), "left_anti")
 
 
 def external_hosts(found: DataFrame, start_host: str) -> DataFrame:
@@ -154,11 +157,10 @@ def due_schedules(schedules: DataFrame, jobs: DataFrame, now: Column) -> DataFra
 def alert_times(usage: DataFrame, limit: int, hours: int = 24) -> DataFrame:
     """(ts): checks (ts, used) over the limit that give a notification, at most one in ``hours``.
 
-    Only the first one in each run of checks over the limit and those ``hours`` apart count, so it is a fold over one service's own checks.
+    Only the first one in each run of checks over the limit and those ``hours`` apart count, so the different times of one service's own checks stream through one task.
     """
-    times = usage.filter(F.col("used") > limit).groupBy().agg(F.sort_array(F.collect_list(F.col("ts").cast("timestamp"))).alias("ts"))
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (F.unix_micros(t) - F.unix_micros(F.try_element_at(acc, F.lit(-1))) >= hours * 3_600_000_000), F.concat(acc, F.array(t))).otherwise(acc)
-    return times.select(F.explode(F.aggregate("ts", F.array().cast("array<timestamp>"), step)).alias("ts"))
+    times = usage.filter(F.col("used") > limit).select(F.lit("").alias("kind"), "ts")
+    return spaced(times, hours * 3_600_000_000).select("ts")
 
 
 def references_to(references: DataFrame, archives: DataFrame) -> DataFrame:

@@ -151,17 +151,41 @@ def stage_timings(stages: DataFrame) -> DataFrame:
     return stages.select("job_id", "stage", ((at - F.lag(at).over(W.partitionBy("job_id").orderBy("ts"))) / 1000).alias("ms"))
 
 
+def spaced(times: DataFrame, gap_us: int, most: int | None = None) -> DataFrame:
+    """(kind, n, ts): of the times (kind, ts) of each kind, the first and then each one at least ``gap_us`` behind the last accepted; ``most`` of a kind.
+
+    Sorted times stream through a task, which keeps the last accepted one only.
+    """
+    at = times.select(F.col("kind").cast("string").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).filter("us is not null")
+    at = at.distinct() if gap_us > 0 else at
+
+    def accept(batches):
+        import pyarrow as pa
+
+        now, last, n = None, None, 0
+        for batch in batches:
+            out = []
+            for kind, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if last is None or kind != now:
+                    now, n = kind, 0
+                elif us - last < gap_us or n == most:
+                    continue
+                if most is None or n < most:
+                    out.append((kind, n, us))
+                    last, n = us, n + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["kind", "n", "us"])
+
+    found = at.repartition("kind").sortWithinPartitions("kind", "us").mapInArrow(accept, "kind string, n int, us long")
+    return found.select("kind", "n", F.timestamp_micros("us").alias("ts"))
+
+
 def tuner_reductions(errors: DataFrame, start: int, cooldown_seconds: float = 5.0) -> DataFrame:
     """(kind, ts, from, to): each accepted error lowers the limit by one; errors within the cool-down of the last accepted one don't count.
 
-    A fold over the ordered times of one kind (errors(kind, ts)); the limit bounds the accepted ones.
+    errors(kind, ts); the limit bounds the accepted ones of a kind.
     """
-    times = errors.groupBy("kind").agg(F.sort_array(F.collect_list(F.col("ts").cast("timestamp"))).alias("ts"))
-    accept = F.aggregate(
-        "ts", F.array().cast("array<timestamp>"),
-        lambda acc, t: F.when((F.size(acc) < start - 1) & ((F.size(acc) == 0) | (F.unix_micros(t) - F.unix_micros(F.try_element_at(acc, F.lit(-1))) >= int(cooldown_seconds * 1e6))), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    out = times.select("kind", F.posexplode(accept).alias("n", "ts"))
+    out = spaced(errors, int(cooldown_seconds * 1e6), max(0, start - 1))
     return out.select("kind", "ts", (F.lit(start) - F.col("n")).alias("from"), (F.lit(start) - F.col("n") - 1).alias("to"))
 
 

@@ -171,7 +171,7 @@ def _(s, d):
 @query("DML12_discovered_queue", "SELECT page_id FROM pages WHERE NOT contains(url, '//m.')")
 def _(s, d):
     p = T(s, d, "pages")
-    out = [r.host for r in p.select(urls.parts(F.col("url"))["host"].alias("host")).filter("host like 'm.%'").distinct().limit(300).collect()]
+    out = p.select(urls.parts(F.col("url"))["host"].alias("host")).filter("host like 'm.%'")
     return J.discovered_queue(p, out).select("page_id")
 
 
