@@ -31,6 +31,15 @@ class FastTokens:
     def clear(self) -> None:
         self.known, self.old = {}, {}
 
+    @staticmethod
+    def _folded(text: str) -> str:
+        """In lower case where that is one to one: in Latin-1."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
@@ -38,12 +47,7 @@ class FastTokens:
         """A point or comma between a letter or digit and the end of a part is always encoded by itself."""
         known, stems = self.known, {}
         for part in parts:
-            stem = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
-            if self.folds and max(stem) < "\u0100":  # in Latin-1 lower case is one to one
-                low = stem.strip(" \n").lower()
-                if not any(a in low for a in self.added):  # they are matched before case is folded
-                    stem = low
-            stems[part] = stem
+            stems[part] = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
         for x in {*stems.values(), ".", ","}.intersection(self.old):
             known.setdefault(x, self.old[x])
         new = [x for x in dict.fromkeys([*stems.values(), ".", ","]) if x not in known]
@@ -69,12 +73,14 @@ class FastTokens:
             self.known, self.old = {}, self.known
         get, old, cut, new = self.known.get, self.old, [], set()
         for text in texts:
-            words, single = text.split(), text.count(" ") + text.count("\n")
-            # with as many white-space characters as spaces and newlines there is no other, and with one word more than these no run
-            if len(words) != single + 1 or len("".join(words)) != len(text) - single or any(a in text for a in self.added):
+            low = self._folded(text) if self.folds else text
+            words, single = low.split(), low.count(" ") + low.count("\n")
+            # with as many white-space characters as spaces and newlines there is no other, and with one word more than these no run;
+            # added tokens are matched before case is folded
+            if len(words) != single + 1 or len("".join(words)) != len(low) - single or any(a in low for a in self.added):
                 cut.append((None, None, ()))
                 continue
-            parts = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
+            parts = words if self.folds else text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
             found = list(map(get, parts))
             unknown = [i for i, ids in enumerate(found) if ids is None] if None in found else ()
             for i in unknown:
