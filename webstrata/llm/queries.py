@@ -96,17 +96,9 @@ FROM sized GROUP BY conv_id
 
 
 def _draws(n_shards: int, to: str) -> str:
-    """SQL for the descent of ``uniform_tree(n_shards)``: the longest straw of each level under the chosen node."""
-    rows = ", ".join(f"({s.region}, {s.rack}, {s.shard})" for s in sharding.uniform_tree(n_shards))
-
-    def straw(node: str, weight: str) -> str:
-        return f"ln((('0x' || substr(md5(key || ':{node}' || {node}), 1, 13))::BIGINT + 0.5) / 4503599627370496) / {weight}"
-
-    return f"""
-tree_{to} AS (SELECT * FROM (VALUES {rows}) t(region, rack, shard)),
-region_{to} AS (SELECT key, arg_max(region, {straw('region', 'w')}) AS region FROM keys, (SELECT region, count(*) AS w FROM tree_{to} GROUP BY region) GROUP BY key),
-rack_{to} AS (SELECT key, arg_max(rack, {straw('rack', 'w')}) AS rack FROM region_{to} JOIN (SELECT region, rack, count(*) AS w FROM tree_{to} GROUP BY region, rack) USING (region) GROUP BY key),
-{to} AS (SELECT key, arg_max(shard, {straw('shard', '1')}) AS {to} FROM rack_{to} JOIN tree_{to} USING (rack) GROUP BY key)"""
+    """SQL for the descent in ``uniform_tree(n_shards)``: the shard with the longest straw."""
+    straw = "ln((('0x' || substr(md5(key || ':shard' || shard), 1, 13))::BIGINT + 0.5) / 4503599627370496)"
+    return f"{to} AS (SELECT key, arg_max(shard, {straw}) AS {to} FROM keys, range({n_shards}) t(shard) GROUP BY key)"
 
 
 # CRC-32 from its polynomial: a table of 256 entries, then a fold over the bytes of the text

@@ -1,8 +1,9 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A key descends from the root by regions, racks and shards. At each node every child draws a straw
-ln(u) / weight, with u hashed from the key and the child's name, and the longest straw wins. A child's draw
-depends on its own name and weight only, so a changed weight moves keys into or out of that subtree alone.
+Every shard draws a straw ln(u) / weight, with u hashed from the key and the shard's name. The straw of a rack is the longest of its
+shards', that of a region the longest of its racks', which is how a draw of the summed weight is distributed. A key descends from
+the root to the region, rack and shard whose straw is longest. A draw depends on its own shard's name and weight only, so a changed weight
+moves keys into or out of that shard alone, and a new shard takes keys without moving any between older ones.
 """
 
 from __future__ import annotations
@@ -26,50 +27,33 @@ class Shard:
 
 
 def uniform_tree(n_shards: int) -> list[Shard]:
-    """Shards of weight 1, four to a rack and three racks to a region.
-
-    After a multiple of twelve shards the next one opens a region of its own: it then takes keys from all, and no key
-    moves between older shards. Within a region a new shard moves keys inside that region too.
-    """
+    """Shards of weight 1, four to a rack and three racks to a region."""
     return [Shard(i // (SHARDS_PER_RACK * RACKS_PER_REGION), i // SHARDS_PER_RACK, i) for i in range(n_shards)]
 
 
-def _draw(key: Column, node: str, weight: float) -> Column:
-    digits = F.substring(F.md5(F.concat(key, F.lit(f":{node}"))), 1, 13)
+def _straw(key: Column, shard: Shard) -> Column:
+    digits = F.substring(F.md5(F.concat(key, F.lit(f":shard{shard.shard}"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return F.log(u) / weight
+    return F.struct((F.log(u) / shard.weight).alias("straw"), F.lit(shard.shard).alias("shard"))
 
 
-def _longest(draws: list[tuple[Column, Column]]) -> Column:
-    straws = [F.struct(draw.alias("straw"), child.alias("child")) for draw, child in draws]
-    return (F.greatest(*straws) if len(straws) > 1 else straws[0])["child"]
+def _longest(straws: list[Column]) -> Column:
+    return F.greatest(*straws) if len(straws) > 1 else straws[0]
 
 
 def place(key: Column, tree: list[Shard]) -> Column:
-    """The shard of a key (a string column; null reads as 'null')."""
+    """The shard of a key (a string column; null reads as 'null'). A row costs one hash for each shard."""
     if not tree or any(s.weight <= 0 for s in tree):
         raise ValueError("a tree needs shards, and their weights must be positive")
     key = F.coalesce(key, F.lit("null"))
 
-    def total(of) -> float:
-        return sum(s.weight for s in tree if of(s))
-
-    def shard_of(region: int, rack: int) -> Column:
-        return _longest([(_draw(key, f"shard{s.shard}", s.weight), F.lit(s.shard)) for s in tree if (s.region, s.rack) == (region, rack)])
-
-    def choose(options: dict[int, tuple[Column, Column]]) -> Column:
-        """The branch whose straw is longest; only that branch's own draws are then made."""
-        winner = _longest([(draw, F.lit(i)) for i, (draw, _) in options.items()])
-        out = None
-        for i, (_, below) in options.items():
-            out = F.when(winner == i, below) if out is None else out.when(winner == i, below)
-        return out
-
-    regions = {}
-    for r in sorted({s.region for s in tree}):
-        racks = {k: (_draw(key, f"rack{k}", total(lambda s, k=k: s.rack == k)), shard_of(r, k)) for k in sorted({s.rack for s in tree if s.region == r})}
-        regions[r] = (_draw(key, f"region{r}", total(lambda s, r=r: s.region == r)), choose(racks))
-    return choose(regions)
+    def rack(region: int, name: int) -> Column:
+        return _longest([_straw(key, s) for s in tree if (s.region, s.rack) == (region, name)])
+
+    def region(name: int) -> Column:
+        return _longest([rack(name, r) for r in sorted({s.rack for s in tree if s.region == name})])
+
+    return _longest([region(r) for r in sorted({s.region for s in tree})])["shard"]
 
 
 def shard_documents(df: DataFrame, tree: list[Shard], grown: list[Shard] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
