@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors share.
 
-    It lies in spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    a local folder is made and set for the session.
+    It lies in spark.checkpoint.dir. Only where that is unset and Spark runs on one machine (tests)
+    a local folder is made and set for the session; a cluster needs the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="webstrata-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -72,6 +74,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+BITS = 1 << 23
+
+
+def with_bit(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the place of a key in a bitmap of BITS bits: columns _word and _bit."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    return rows.withColumn("_word", F.floor(at / 64).cast("int")).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")))
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """``rows`` with _maybe: false only if ``wanted`` doesn't have the key; null keys: false.
+
+    What goes to all tasks is a bitmap of at most BITS / 64 rows, however many keys are wanted, so a join that follows shuffles little but the rows it needs.
+    """
+    bitmap = with_bit(wanted.select(wanted_key), wanted_key).groupBy(F.col("_word").alias("_w")).agg(F.bit_or("_bit").alias("_bits"))
+    out = with_bit(rows, key).join(F.broadcast(bitmap), F.col("_word") == F.col("_w"), "left")
+    maybe = F.col(key).isNotNull() & F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return out.withColumn("_maybe", maybe).select(*rows.columns, "_maybe")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]

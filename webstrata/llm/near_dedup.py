@@ -1,8 +1,10 @@
 """Near duplicates by MinHash signatures and a multi-index Hamming join.
 
-A document is its set of word shingles. Its signature has SYMBOLS min-hash values of b bits; the first INDEXED of them are the index:
+A document is its set of word shingles. Its signature has SYMBOLS min-hash values; the first INDEXED of them are the index:
 two signatures within RADIUS differing symbols must, by pigeonhole, have a chunk of CHUNK symbols with at most
-RADIUS // chunks errors. The allowed errors of each chunk are enumerated by leaving symbols out, so every such pair shares a key. Pairs that share
+RADIUS // chunks errors. The allowed errors of each chunk are enumerated by leaving symbols out, so every such pair shares a key of
+CHUNK - ERRORS symbols. While some key has more members outside its largest component than fit into a block, each document is first compared with one other
+of its keys' members, on full sets; that joins most of a large group at a cost in proportion to its size. Then the pairs of different components that share
 a key are compared by whole signatures, and what may be linked is confirmed on full sets, inside blocks of bounded size. Links that only repeat
 a known component aren't looked for; no link between components is lost.
 """
@@ -17,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, only_cache, whole_text
+from .common import free_name, marked, materialize, only_cache, whole_text
 
-SYMBOLS, INDEXED, CHUNK, RADIUS = 64, 18, 3, 11
+SYMBOLS, INDEXED, CHUNK, RADIUS = 64, 28, 4, 13
 ERRORS = RADIUS // (INDEXED // CHUNK)
 KEEP = [(c, left) for c in range(INDEXED // CHUNK) for left in combinations(range(c * CHUNK, (c + 1) * CHUNK), CHUNK - ERRORS)]
 #: whole signatures: of 64 symbols that agree with probability 0.8, 36 or more do but for 1 in 100,000 pairs
 AGREE = 36
 BLOCK, CONFIRM_BLOCK = 1024, 256
+#: most rounds of comparing with a leader; shared keys that make a leader worth comparing on full sets
+LEADER_ROUNDS, LEADER_KEYS = 6, 4
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 XOR, MULTIPLY = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64), _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,7 +104,7 @@ def _sketches(size: int):
                         continue
                     sig, digest = signature(s), np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64)
                     keys = index_keys(sig)
-                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), keys, keys.astype(np.uint32).tobytes()))
+                    rows.append((doc_id, len(s), int(digest[0]), int(digest[1]), sig.astype(np.uint8).tobytes(), keys, keys.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -159,7 +163,7 @@ def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.num_rows
         end = np.repeat(first[1:], np.diff(first)) if first[-1] == rows else np.repeat(np.append(first[1:], rows), np.diff(np.append(first, rows)))
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(rows, SYMBOLS)
-        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint32).reshape(rows, len(KEEP))
+        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.int64).reshape(rows, len(KEEP))
         earlier = np.arange(len(KEEP)) < at[:, None]
         partners, i, step = np.zeros(rows, np.int64), np.arange(rows), 0
         while True:
@@ -196,6 +200,34 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=LINKS)
 
 
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """100 * intersection >= 80 * union of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if len(large) * 4 > len(small) * 5:
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= 80 * (len(a) + len(b) - both)
+
+
+def _confirm_star(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members with their leader, on full sets. Rows come sorted by (leader, salt), the leader's own before its members."""
+    now, centre = None, []
+    for batch in batches:
+        out = []
+        for leader, salt, id_, member, shingles in zip(*[batch.column(i).to_pylist() for i in range(4)], batch.column(4), strict=True):
+            if (leader, salt) != now:
+                now, centre = (leader, salt), []
+            own = np.frombuffer(shingles.as_buffer(), np.uint64)
+            if not member:
+                centre.append(own.copy())
+            elif any(_similar(own, c) for c in centre):
+                out.append((id_, leader))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=LINKS)
+
+
 def _confirm_block(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
@@ -219,10 +251,8 @@ def _confirm_block(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) ->
     if len(ids) <= 4:
         for i in range(len(ids)):
             for j in range(i + 1, len(ids)):
-                if sizes[j] * 4 <= sizes[i] * 5 and find(comp[i]) != find(comp[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= 80 * (sizes[i] + sizes[j] - both):
-                        link(i, j)
+                if find(comp[i]) != find(comp[j]) and _similar(sets[i], sets[j]):
+                    link(i, j)
         return out
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -258,15 +288,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _blocks(members: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-    """Deal the members of each key to pairs of blocks of about ``size`` members, so a group of any size is many bounded tasks.
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Deal the members of each key (key, id, component) to pairs of blocks of about ``size`` members, so a group of any size is many bounded tasks.
 
-    counts(key, members). Adds part, low and high.
+    The members of a key's largest component aren't compared with each other: they only meet those of other components. Adds part, low and high.
     """
-    dealt = members.join(counts, "key").withColumn("parts", F.ceil(F.col("members") / size).cast("int"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).drop("other", "parts", "members")
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    shape = materialize(each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("members")).filter(F.col("members") > F.col("of_main")))
+    dealt = rows.join(shape, "key")
+    is_main, count = F.col("component") == F.col("main"), lambda n: F.ceil(F.col(n) / size).cast("int")
+    dealt = dealt.withColumn("members", F.col("members") - F.col("of_main")).withColumn("rest", count("members")).withColumn("mains", count("of_main"))
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    dealt = dealt.withColumn("part", F.when(is_main, F.col("rest") + spread("mains")).otherwise(spread("rest")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
+    dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
+    return dealt.drop("other", "rest", "mains", "members", "main", "of_main")
 
 
 def _by_block(rows: DataFrame, then: str) -> DataFrame:
@@ -291,39 +327,64 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
     payload = first.drop("keys")
     # signatures are joined last: until then only keys and ids move
     keyed = first.select("id", F.posexplode("keys").alias("at", "key"))
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
-    members = materialize(keyed.join(counts.select("key"), "key", "left_semi"))
+    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
+    members = materialize(keyed.join(several, "key", "left_semi"))
 
-    def promising(component: DataFrame | None) -> DataFrame:
+    def open_keys(component: DataFrame | None) -> DataFrame:
+        """Members of keys that hold several components, with theirs."""
         if component is None:
-            rows = members.withColumn("component", F.col("id"))
-        else:
-            rows = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            several = rows.groupBy("key").agg((F.min("component") < F.max("component")).alias("several")).filter("several").select("key")
-            rows = rows.join(several, "key", "left_semi")
-        rows = _blocks(rows, counts, BLOCK).join(payload, "id")
+            return members.withColumn("component", F.col("id"))
+        rows = materialize(members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        return materialize(rows.join(materialize(rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")), "key", "left_semi"))
+
+    def crowded(rows: DataFrame) -> bool:
+        each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+        return each.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).filter(F.col("rest") > BLOCK).limit(1).count() > 0
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        texts = marked(docs, "doc_id", ids, "id").filter("_maybe").select("doc_id", "text")
+        texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
+        return texts.mapInArrow(_sets(shingle_words), "id long, shingles binary").filter(F.length("shingles") > 0)
+
+    def led(rows: DataFrame, seed: int) -> DataFrame:
+        """Links of each id with the leader it shares most keys with. A key's leader is the member whose id has the smallest hash."""
+        leaders = materialize(rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(seed), "id")).alias("leader")))
+        pairs = rows.join(leaders, "key").filter("component <> leader.component").groupBy("id", F.col("leader.id").alias("leader")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEADER_KEYS)
+        pairs = materialize(pairs.groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")))
+        sets = materialize(sets_of(materialize(pairs.select("id").union(pairs.select("leader")).distinct())))
+        parts = materialize(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CONFIRM_BLOCK).cast("int").alias("parts")))
+        own = pairs.join(parts, "leader").join(sets, "id").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), "id", F.lit(True).alias("member"), "shingles")
+        centre = parts.join(sets, F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "id", F.lit(False).alias("member"), "shingles")
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = own.unionByName(centre).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "member")
+        return dealt.mapInArrow(_confirm_star, "a long, b long")
+
+    def promising(rows: DataFrame) -> DataFrame:
+        rows = _blocks(rows, BLOCK).join(payload, "id")
         dealt = _by_block(rows.select(*BLOCK_KEY, "id", "at", "component", "part", "n_shingles", "sketch", "packed"), "n_shingles")
         return dealt.mapInArrow(_promising, "key long, id long, component long, partners long")
 
     def confirmed(found: DataFrame) -> DataFrame:
-        sizes = found.groupBy("key").agg(F.count("*").alias("members"))
-        dealt = _blocks(found.select("key", "id", "component"), sizes, CONFIRM_BLOCK)
-        needed = found.select("id").distinct()
-        texts = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(_sets(shingle_words), "id long, shingles binary").filter(F.length("shingles") > 0)
-        rows = dealt.join(sets, "id").select(*BLOCK_KEY, "id", "component", "shingles")
+        rows = _blocks(found, CONFIRM_BLOCK).join(sets_of(materialize(found.select("id").distinct())), "id").select(*BLOCK_KEY, "id", "component", "shingles")
         return _by_block(rows, "id").mapInArrow(_confirm, "a long, b long")
 
-    # first each class in the one block where it has most partners, then all blocks that still hold several components
-    found = materialize(promising(None).groupBy("key", "id", "component").agg(F.sum("partners").alias("partners")))
-    most = found.groupBy("id").agg(F.max_by("key", F.struct("partners", "key")).alias("key")).withColumn("component", F.col("id"))
-    links = materialize(confirmed(materialize(most)))
-    component = connected_components(links)
-    left = materialize(promising(component).select("key", "id", "component").distinct())
+    links = df.sparkSession.createDataFrame([], "a long, b long")
+    rows = open_keys(None)
+    for seed in range(LEADER_ROUNDS):
+        if not crowded(rows):
+            break
+        found = materialize(led(rows, seed))
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        rows = open_keys(connected_components(links))
+    # then all blocks that still hold several components
+    left = materialize(promising(rows).select("key", "id", "component").distinct())
     if left.limit(1).count():
         links = links.union(materialize(confirmed(left)))
-        component = connected_components(links)
+    component = connected_components(links)
     named = classes.select("set1", "set2", "id").join(component, "id", "left").select("set1", "set2", F.coalesce("component", "id").alias("component"))
+    named = materialize(named)
     # ids with several texts carry their smallest component along
     out = sketched.select("doc_id", "n_shingles", "set1", "set2").join(named, ["set1", "set2"], "left")
     component_id = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
