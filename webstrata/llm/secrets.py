@@ -1,7 +1,7 @@
 """Secret scans through a trigram inverted index.
 
-Each rule's expression gives a Boolean query over trigrams that any match must hold. Postings of these trigrams are written for all
-documents, intersected for each rule, and only candidates are verified by the expression. A rule without
+The index has the postings of all trigrams of all texts, whatever the rules are; rules added later need no new scan. Each rule's expression gives a
+Boolean query over trigrams that any match must hold. Their postings are intersected, and only candidates are verified by the expression. A rule without
 mandatory trigrams scans every text. Built-in functions only.
 """
 
@@ -15,7 +15,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import marked, materialize, whole_text
 from .spans import count_kind, find_spans, spans_string
 
 
@@ -77,16 +77,25 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     return [list(q) for q in dict.fromkeys(tuple(q) for q in query)]
 
 
-def build_index(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (trigram, doc_id) of whole lower-cased texts for the trigrams that queries name, written once."""
+PIECE = 4096
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+    """Postings (trigram, doc_id) of all trigrams of whole lower-cased texts, written to ``path``; rows with a null id have none.
+
+    A task writes the segment of its own documents, sorted by trigram, so nothing is shuffled and a reader that asks for some trigrams skips the
+    row groups of others. Long texts are cut into pieces that overlap by two characters.
+    """
     low = docs.select(docs[doc_id].alias("doc_id"), F.lower(whole_text(docs[text])).alias("low")).filter("doc_id is not null")
-    grams = F.filter(F.array(*[F.lit(t) for t in trigrams]), lambda t: F.contains(F.col("low"), t))
-    return materialize(low.select("doc_id", F.explode(grams).alias("trigram")).select("trigram", "doc_id"))
+    piece = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{3,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
+    grams = low.select("doc_id", F.explode(piece).alias("piece")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("trigram"))
+    return materialize(grams.select("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"), path)
 
 
-def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
+def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
     """(doc_id, rules): documents in the intersection of the postings of one of a rule's ANDs."""
-    held = postings.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
+    trigrams = sorted({g for q in queries.values() for grams in q for g in grams})
+    held = index.filter(F.col("trigram").isin(trigrams)).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
 
     def satisfied(query: list[list[str]]) -> Column:
         out = F.lit(False)
@@ -98,24 +107,27 @@ def candidates(postings: DataFrame, queries: dict[str, list[list[str]]]) -> Data
     return held.select("doc_id", rules.alias("rules")).filter(F.size("rules") > 0)
 
 
-def find_secrets(df: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, spans (array<struct<kind, start, end, match>>).
 
-    Null texts are empty; rows with a null id aren't indexed and are scanned by all rules; rows may repeat.
+    Null texts are empty; rows with a null id aren't indexed and are scanned by all rules; rows may repeat. ``index``: of ``build_index`` over the
+    same documents, built here if there is none. A bitmap of the candidates' ids tells which texts may be
+    candidates; only those are shuffled to meet the rules they are candidates for.
     """
     rules = [*BASE, *ADDED] if rules is None else rules
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     docs = df.select(df[doc_id].alias("doc_id"), whole_text(df[text]).alias("text"))
-    trigrams = sorted({g for q in queries.values() for grams in q for g in grams})
-    hits = candidates(build_index(df, trigrams, doc_id, text), queries).withColumnRenamed("doc_id", "_hit")
-    joined = docs.join(hits, F.col("doc_id") == F.col("_hit"), "left")
 
-    def needed(rule: Rule) -> Column:
-        if rule.kind not in queries:
-            return F.col("text").rlike(rule.needs or rule.pattern)
-        return F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", rule.kind), F.lit(False))
+    def spans(needed: Callable[[Rule], Column]) -> Column:
+        return F.concat(*[find_spans(F.col("text"), r.kind, r.pattern, needed(r) if r.kind in queries else F.col("text").rlike(r.needs or r.pattern), r.keep) for r in rules]).alias("spans")
 
-    return joined.select("doc_id", F.concat(*[find_spans(F.col("text"), r.kind, r.pattern, needed(r), r.keep) for r in rules]).alias("spans"))
+    if not queries:
+        return docs.select("doc_id", spans(lambda r: F.lit(True)))
+    hits = materialize(candidates(build_index(df, doc_id, text) if index is None else index, queries).withColumnRenamed("doc_id", "_hit"))
+    docs = marked(docs, "doc_id", hits, "_hit")
+    rest = docs.filter(~F.col("_maybe")).select("doc_id", spans(lambda r: F.col("doc_id").isNull()))
+    asked = docs.filter("_maybe").select("doc_id", "text").join(hits, F.col("doc_id") == F.col("_hit"), "left")
+    return rest.unionByName(asked.select("doc_id", spans(lambda r: F.coalesce(F.array_contains("rules", r.kind), F.lit(False)))))
 
 
 def secrets_digest(found: DataFrame) -> DataFrame:
