@@ -3,7 +3,8 @@
 A text is cut into blocks of fixed size in bytes. The distinct blocks are sorted and numbered,
 so every block has an integer name that equals another's only if their bytes do. Adjacent names are
 then paired and the pairs named in turn, until each document has one name: its identity, free of
-collisions. Only integers move after the first level.
+collisions. Only integers move after the first level. Names and groups are written before they are joined back, so both sides of
+these joins are plain exchanges and a key that very many rows share is split among tasks.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def block_identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     longest = docs.agg(F.max(F.size("hashes"))).first()[0] or 1
     while longest > 1:
         even = F.col("pos") % 2 == 0
-        pairs = level.filter("n > 1").groupBy("row", "n", F.expr("pos div 2").alias("pos")).agg(
+        pairs = materialize(level.filter("n > 1").groupBy("row", "n", F.expr("pos div 2").alias("pos")).agg(
             F.max(F.when(even, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("right"),
             F.min("occurrence").alias("occurrence"),
-        )
+        ))
         # a pair's name is the place of its first occurrence: unique for each pair of names
-        named = pairs.groupBy("left", "right").agg(F.min("occurrence").alias("name"))
+        named = materialize(pairs.groupBy("left", "right").agg(F.min("occurrence").alias("name")))
         level = materialize(pairs.join(named, ["left", "right"]).select("row", F.expr("(n + 1) div 2").alias("n"), "pos", "name", "occurrence"))
         finished.append(level.filter("n = 1").select("row", "name"))
         longest = (longest + 1) // 2
@@ -77,7 +78,7 @@ def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     An empty table gives an empty result.
     """
     docs = materialize(block_identities(df, doc_id, text, block_bytes))
-    groups = docs.groupBy("n_bytes", "identity").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    groups = materialize(docs.groupBy("n_bytes", "identity").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")))
     out = docs.join(groups, ["n_bytes", "identity"])
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "text_sha256")
 
