@@ -113,6 +113,10 @@ def _windows(size: int, bloom=None, short: Iterable[int] = ()):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashed, words, slot, plain = _TEMPLATES.of(text)
                 hashes = window_hashes(hashed, size)
+                if len(hashes):
+                    # a window of slots alone says nothing by its template and would be one key for all tables of numbers: its own words are hashed
+                    bare = np.convolve(slot > 0, np.ones(size, int), "valid") == size
+                    hashes = np.where(bare, window_hashes(plain, size), hashes)
                 at, n = np.arange(len(hashes)), 0 if bits is not None else len(np.unique(hashes))
                 if bits is not None:
                     at = at[_in(bits, hashes)]
@@ -153,12 +157,12 @@ def bitmap(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = 100_000) -> DataFrame:
     """doc_id, item_id, n_windows, share, first_word, last_word, reparameterised for each document that holds a benchmark item.
 
     n_windows, share: the item's different windows, and their part, found with consistent slots, at least ``min_share``. Items of fewer words than a window are found where all
     their words follow each other with their own values. first_word, last_word: where in the document,
-    in template words. reparameterised: some slot has another value. Null texts and ids give no rows; rows that repeat an id
+    in template words. reparameterised: some slot has another value. ``max_broadcast``: so many windows of the benchmark go to all tasks. Null texts and ids give no rows; rows that repeat an id
     count as one document.
     """
     spark = docs.sparkSession
@@ -170,12 +174,14 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = 8, m
     bloom = spark.sparkContext.broadcast(bitmap(item_windows))
     texts = docs.select(docs[doc_id].cast("long").alias("key"), whole_text(docs[text]).alias("text")).filter("key is not null and text <> ''")
     found = texts.mapInArrow(_windows(window, bloom, short), SCHEMA).select(F.col("key").alias("doc_id"), "pos", "size", "hash", "slots")
+    if item_windows.count() <= max_broadcast:  # beyond that, the windows meet in a shuffled hash join
+        item_windows = F.broadcast(item_windows)
     joined = found.join(item_windows, ["hash", "size"])
     pairs = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"].isNotNull())
     other = F.filter(pairs, lambda s: s["item_slots"] != s["slots"])
     names = F.transform(F.filter(other, lambda s: s["item_slots"].startswith("@")), lambda s: F.struct(s["item_slots"].alias("name"), s["slots"].alias("value")))
     each = joined.select("doc_id", "item_id", "hash", "item_pos", "item_windows", "pos", (F.col("pos") + F.col("size") - 1).alias("end"), (F.size(other) > 0).alias("changed"), names.alias("names"), F.forall("item_slots", lambda s: s.isNotNull()).alias("bare"))
-    # windows of slots alone say nothing about the template: they count if they are verbatim
+    # windows of slots alone count if they are verbatim
     each = each.filter(~(F.col("bare") & F.col("changed"))).withColumn("shift", F.col("pos") - F.col("item_pos"))
     windows = F.collect_set(F.struct("hash", "pos", "end", "changed", "names"))
     runs = each.groupBy("doc_id", "item_id", "shift").agg(windows.alias("windows"), F.max("item_windows").alias("item_windows"))
