@@ -130,14 +130,15 @@ def _logistic(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400) ->
 def fit_quality(docs: DataFrame, positives: DataFrame, unlabelled: DataFrame, max_rows: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> QualityModel:
     """Fit on at most ``max_rows`` trusted positives and ``max_rows`` unlabelled documents, those with the smallest hashes of their ids.
 
-    ``positives`` and ``unlabelled`` have one column doc_id. Without positives or unlabelled rows the model scores every text 0.5.
+    ``positives`` and ``unlabelled`` have one column doc_id. Of rows that repeat a sampled id, the one with the smallest statistics counts. Without positives or unlabelled rows the model scores every text 0.5.
     """
 
     def sample(ids: DataFrame) -> np.ndarray:
         ids = ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumnRenamed("doc_id", "_sampled")
-        rows, words = with_word_statistics(docs.join(F.broadcast(ids), docs[doc_id] == ids["_sampled"]).select(docs[text].alias("text")), "text")
-        rows = rows.select(*[c.alias(k) for k, c in text_features(F.col("text"), F.col(words)).items()]).limit(2 * max_rows)
-        return np.array([tuple(r) for r in rows.collect()], float).reshape(-1, len(names))
+        rows, words = with_word_statistics(docs.join(F.broadcast(ids), docs[doc_id] == ids["_sampled"]).select("_sampled", docs[text].alias("text")), "text")
+        features = F.struct(*[c.alias(k) for k, c in text_features(F.col("text"), F.col(words)).items()])
+        rows = rows.select("_sampled", features.alias("f")).groupBy("_sampled").agg(F.min("f").alias("f")).orderBy("_sampled")
+        return np.array([tuple(r["f"]) for r in rows.collect()], float).reshape(-1, len(names))
 
     names = list(text_features(F.lit(""), F.struct(*[F.lit(0).alias(k) for k in ("n", "again", "distinct")])))
     p, u = sample(positives), sample(unlabelled)
