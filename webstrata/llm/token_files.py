@@ -10,6 +10,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,13 +26,13 @@ SEEK_FRAME, INDEX_FRAME, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A5E, 0x184D2A50, 0x
 
 
 class TokenFile:
-    """Builds one file's bytes and knows where its documents are."""
+    """Writes one file to a binary stream, a frame as soon as it is full; only the index of documents and frames is held."""
 
-    def __init__(self, frame_bytes: int, level: int = 1):
+    def __init__(self, out, frame_bytes: int, level: int = 1):
         import zstandard
 
-        self.compressor, self.frame_bytes = zstandard.ZstdCompressor(level=level), frame_bytes
-        self.body, self.frames, self.open, self.docs, self.tokens = bytearray(), [], bytearray(), [], 0
+        self.out, self.compressor, self.frame_bytes = out, zstandard.ZstdCompressor(level=level), frame_bytes
+        self.frames, self.open, self.docs, self.tokens = [], bytearray(), [], 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.open and len(self.open) + len(ids) > self.frame_bytes:
@@ -45,15 +46,15 @@ class TokenFile:
 
         packed = self.compressor.compress(bytes(self.open))
         self.frames.append((len(packed), len(self.open), xxhash.xxh64_intdigest(self.open) & 0xFFFFFFFF))
-        self.body += packed
+        self.out.write(packed)
         self.open = bytearray()
 
-    def finish(self) -> bytes:
+    def finish(self) -> None:
         if self.open:
             self._close()
         index = self.compressor.compress(np.array(self.docs, INDEX_TYPE).tobytes())
         seek = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), CHECKSUM_FLAG, SEEK_FOOTER)
-        return bytes(self.body) + struct.pack("<II", INDEX_FRAME, len(index)) + index + struct.pack("<II", SEEK_FRAME, len(seek)) + seek
+        self.out.write(struct.pack("<II", INDEX_FRAME, len(index)) + index + struct.pack("<II", SEEK_FRAME, len(seek)) + seek)
 
 
 INDEX_TYPE = np.dtype([("doc_id", "<i8"), ("known", "?"), ("frame", "<u4"), ("offset", "<u4"), ("n", "<u4")])
@@ -98,38 +99,41 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", frame_bytes: int = 1 << 18) -> DataFrame:
+def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", frame_bytes: int = 1 << 18, file_text: int = 64 << 20) -> DataFrame:
     """Write the ids of all rows of ``df`` in ascending doc_id order and return the files: file_no, path, n_docs, n_tokens, start.
 
     ``tokenizer``: file of the tokenizers library. Each document gets ``end_id`` appended; a null text is empty, null ids come first,
-    repeated rows are written each. ``start``: ids in all files before. A task writes one file under a name of its
+    repeated rows are written each. ``start``: ids in all files before. A task writes one file, of about ``file_text`` bytes of text, under a name of its
     own, and only the files of tasks that ended are listed, so a lost executor leaves no wrong rows.
     """
     spark, folder = df.sparkSession, folder or shared_dir(df.sparkSession)
     end = struct.pack("<I", end_id)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         from .fast_tokens import tokens_of
 
-        encoder, out = tokens_of(tokenizer), TokenFile(frame_bytes)
-        for batch in batches:
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
-                out.add(key, ids + end)
-        if not out.docs:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
             return
-        from pyspark import TaskContext
-
+        encoder, part = tokens_of(tokenizer), TaskContext.get().partitionId()
         store, at = _store(folder)
         store.create_dir(at, recursive=True)
-        name = f"{at}/tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.zst"
-        data = out.finish()
-        with store.open_output_stream(name, compression=None) as f:
-            f.write(data)
-        yield pa.RecordBatch.from_pydict({"file_no": [TaskContext.get().partitionId()], "path": [f"{folder}/{name.rsplit('/', 1)[1]}"], "n_docs": [len(out.docs)], "n_tokens": [out.tokens]})
+        name = f"tokens-{part:06d}-{uuid.uuid4().hex}.zst"
+        with store.open_output_stream(f"{at}/{name}", compression=None) as stream:
+            out = TokenFile(stream, frame_bytes)
+            for batch in chain([first], batches):
+                for key, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+                    out.add(key, ids + end)
+            out.finish()
+        yield pa.RecordBatch.from_pydict({"file_no": [part], "path": [f"{folder}/{name}"], "n_docs": [len(out.docs)], "n_tokens": [out.tokens]})
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(df[doc_id].cast("long").alias("doc_id"), whole_text(df[text]).alias("text"))
-    files = materialize(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, "file_no long, path string, n_docs long, n_tokens long"))
+    ordered = ["doc_id", F.xxhash64("text")]  # rows that share an id, or have none, needn't share a file
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_text))
+    files = materialize(rows.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered).mapInArrow(write, "file_no long, path string, n_docs long, n_tokens long"))
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
