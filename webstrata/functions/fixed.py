@@ -29,7 +29,46 @@ CAPTURE_FAILURE = r"(?i)(?:取得できません|読み込みに失敗|空でし
 VOLATILE_NAMES = ["buyer_flags", "analytics_trace_id", "code_challenge", "nonce"]
 GENERIC_KEYWORDS = ["www", "com", "net", "org", "info", "biz", "app", "dev", "shop", "store", "cdn"]
 IPV4_RANGES = [("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4)]
-# second-level suffixes under which a third label is registered; a short list of our own
-SECOND_LEVEL = ["co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.kr", "com.br", "com.cn", "com.tw", "co.in", "com.mx", "co.za", "github.io", "gitlab.io", "pages.dev", "web.app", "vercel.app", "netlify.app", "myshopify.com", "blogspot.com"]
+SIGNED_TOKEN = r"^eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}$"
+VOLATILE_VALUE = r"^\d{8,}$|^(?i:[a-f0-9]{16,})$|^0?\.\d{6,}$|^(?i:[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12})$"
+CLIP_PATH = r"^/(?:vi|vi_webp|an_webp)/([A-Za-z0-9_-]{6,20})/[A-Za-z0-9_]+\.(?:jpg|jpeg|webp)$"
+CLIP_HOST = r"^i\d?\.ytimg\.com$"
+SIZED_HOST = r"(?:^|\.)(?:googleusercontent\.com|ggpht\.com)$"
+IMAGE_SIZES = ["maxresdefault", "maxres2", "sddefault", "hq720", "hqdefault", "mqdefault", "default"]
+SHOP_BOUNDARY = r"(?i)^/(?:accounts/pre_auth|checkouts|pay|__manifest)(?:/|$)"
+SIGN_IN_BOUNDARY = r"(?i)^/gsi/"
+VIEWER_HOST = r"^api\.(?:x|twitter)\.com$"
+VIEWER_PATH = r"(?i)^/1\.1/(?:flow|graphql)/viewer"
+LOGIN_WITH_SHOP = r"(?i)^/services/login_with_shop/"
+DISPLAY_FILE = r"(?i)\.(?:m?js|css|png|jpe?g|gif|webp|svg|woff2?)$"
+PIXEL_PATH = r"(?i)/cdn/wpm/|^/web-pixels@"
+PIXEL_WORKER = r"(?i)/web-pixels@[^/]+/.*/sandbox/worker(?:\.[^/]+)?\.js$"
+LOGIN_ISSUE_PATH = r"(?i)/(?:login|signin|authorize|oauth)(?:[_/-]|$)"
+NOT_FOUND_REASON = r"HTTP (?:404|410)\b"
+REFUSED_REASON = r"(?i)HTTP (?:401|403|429)\b|ERR_HTTP_RESPONSE_CODE_FAILURE|ERR_BLOCKED_BY_RESPONSE|アクセス確認|Bot"
+TIMEOUT_REASON = r"(?i)タイムアウト|時間切れ|timed? ?out|超えたため"
+NETWORK_REASON = r"(?i)fetch failed|net::ERR_|ECONN|EAI_AGAIN|ENOTFOUND|socket|接続できません|応答しません"
+UNAVAILABLE_REASON = r"取得できません|空でした|読み込みに失敗"
+PAGE_FAILURE = r"^ページを開けませんでした|ページの保存|保存を完了|HTTP \d{3}"
+RESOURCE_REASON = r"素材|参照|本文"
+RETRYABLE_CODES = ["BROWSER_UNAVAILABLE", "PAGE_NAVIGATION_FAILED", "PAGE_CAPTURE_TIMEOUT", "PAGE_STALLED", "ETIMEDOUT", "ECONNRESET", "ECONNREFUSED", "EAI_AGAIN", "UND_ERR_SOCKET", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT"]
+RETRYABLE_MESSAGE = r"(?i)net::ERR_|timed? ?out|タイムアウト|時間切れ|fetch failed|socket hang up|DevTools接続|ECONNRESET|HTTP (?:408|425|429|5\d\d)\b"
+MEDIA_TYPE, MEDIA_PATH = r"^(?:video|audio)/|mpegurl|dash\+xml|mp2t", r"\.(?:mp4|m4v|m4s|webm|mov|mkv|mp3|m4a|aac|ogg|oga|opus|wav|flac|ts|m3u8|mpd)$"
+IMAGE_TYPE, IMAGE_PATH = r"^image/", r"\.(?:png|jpe?g|gif|webp|avif|svg|ico|bmp)$"
+FONT_TYPE, FONT_PATH = r"^font/|woff|opentype|truetype|x-font", r"\.(?:woff2?|ttf|otf|eot)$"
+SYSTEM_TYPE, SYSTEM_PATH = r"javascript|ecmascript|text/css|wasm", r"\.(?:m?js|css|wasm)$"
+PAGE_TYPE, DATA_TYPE = r"text/html|xhtml", r"json|xml|text/plain|protobuf|graphql|x-www-form"
+ADVISORY_MESSAGE = r"(?i)falling back to|deprecated|third-party cookie|\bAbortError:\s*Transition was skipped\b"
+ISOLATION_MESSAGE = r"(?i)content security policy|violates the following .* directive|refused to (?:connect|frame|load|execute)|failed to load resource:.*(?:404|405)|mime type .*not executable|second declarative shadow root cannot be created"
+ISOLATION_ERROR = r"(?i)ERR_BLOCKED|BLOCKED_BY_RESPONSE|CSP"
+BLOCK_END = "title|head|p|div|li|tr|h[1-6]|section|article|header|footer|nav|main|aside|dd|dt|blockquote|pre|table|ul|ol|figure|figcaption|summary|details|option"
+SCRIPT_LITERAL = r"""(?i)["'`]((?:https?://|\.{1,2}/|/)[^"'`\s<>()]{1,300}?\.(?:m?js|css)(?:\?[^"'`\s<>()]{0,200})?)["'`]"""
+SCRIPT_IMPORT = r"""(?i)\bimport\s*\(\s*["'`]([^"'`\s]{1,300}\.m?js(?:\?[^"'`\s]{0,200})?)["'`]\s*\)"""
+INLINE_HANDLER = r"""(?i)(<[a-z][a-z0-9:-]*\b[^<>]*?)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
+AUTOPLAY = r"""(?i)(<(?:video|audio)\b[^>]*?)\s+autoplay(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
+SECRET_NAME = r"(?i)(?:pass(?:word|wd)?|secret|token|cookie|authorization|api[-_]?key|session|credential)"
+# public suffixes of two labels: common second levels under two-letter countries, and private ones; of our own choice
+SECOND_LEVEL = r"(?:^|\.)(?:ac|co|com|ed|edu|gob|go|gov|gouv|govt|gv|ltd|mil|ne|net|nhs|nom|or|org|plc|sch|school)\.[a-z]{2}$"
+PRIVATE_SUFFIXES = ["github.io", "gitlab.io", "pages.dev", "workers.dev", "web.app", "firebaseapp.com", "vercel.app", "netlify.app", "herokuapp.com", "myshopify.com", "blogspot.com", "azurewebsites.net", "cloudfront.net", "appspot.com", "onrender.com", "fly.dev", "s3.amazonaws.com", "glitch.me", "surge.sh", "readthedocs.io", "translate.goog", "wordpress.com"]
 STATUS_TEXT = {"complete": "完了", "complete-with-errors": "一部エラー", "cancelled": "中止", "limit-reached": "上限停止", "failed": "保存失敗", "blocked": "アクセス確認で停止", "login-required": "ログインが必要"}
 # fmt: on

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import BROWSER_START, CAPTURE_FAILURE, CHALLENGE_BODY, CHALLENGE_TITLE, ERROR_TITLE, LOGIN_PATH, LOGIN_TITLE, OUT_OF_SCOPE
+from .fixed import (
+    ADVISORY_MESSAGE, BROWSER_START, CAPTURE_FAILURE, CHALLENGE_BODY, CHALLENGE_TITLE, DATA_TYPE, ERROR_TITLE, FONT_PATH, FONT_TYPE, IMAGE_PATH, IMAGE_TYPE, ISOLATION_ERROR, ISOLATION_MESSAGE, LOGIN_ISSUE_PATH, LOGIN_PATH, LOGIN_TITLE, MEDIA_PATH,
+    MEDIA_TYPE, NETWORK_REASON, NOT_FOUND_REASON, OUT_OF_SCOPE, PAGE_TYPE, REFUSED_REASON, RETRYABLE_CODES, RETRYABLE_MESSAGE, SYSTEM_PATH, SYSTEM_TYPE, TIMEOUT_REASON, UNAVAILABLE_REASON,
+)
 from .text import compact_text, wildcard_regex
-from .urls import is_account_like, is_server_boundary, parts
+from .urls import account_of, boundary_of, let, parts
 
 
 def text(c: Column) -> Column:
@@ -71,16 +74,17 @@ def classify_title(title: Column, start_url: Column) -> Column:
 
 def issue_category(url: Column, reason: Column) -> Column:
     """One of nine categories; the first rule that holds."""
-    reason = text(reason)
-    login = is_server_boundary(url) | is_account_like(url) | text(parts(url)["path"]).rlike("(?i)/(?:login|signin|authorize|oauth)(?:[_/-]|$)") | reason.contains("ログイン")
-    return (
-        F.when(reason.rlike(OUT_OF_SCOPE), "outOfScope").when(reason.rlike(BROWSER_START), "browser").when(login, "login")
-        .when(reason.rlike(r"HTTP (?:404|410)\b"), "originMissing")
-        .when(reason.rlike(r"(?i)HTTP (?:401|403|429)\b|ERR_HTTP_RESPONSE_CODE_FAILURE|ERR_BLOCKED_BY_RESPONSE|アクセス確認|Bot"), "refused")
-        .when(reason.rlike("(?i)タイムアウト|時間切れ|timed? ?out|超えたため"), "timeout")
-        .when(reason.rlike("(?i)fetch failed|net::ERR_|ECONN|EAI_AGAIN|ENOTFOUND|socket|接続できません|応答しません"), "network")
-        .when(reason.rlike("取得できません|空でした|読み込みに失敗"), "unavailable").otherwise("other")
-    )
+
+    def of(p: Column) -> Column:
+        login = boundary_of(p) | account_of(p) | text(p["path"]).rlike(LOGIN_ISSUE_PATH) | text(reason).contains("ログイン")
+        says = text(reason)
+        return (
+            F.when(says.rlike(OUT_OF_SCOPE), "outOfScope").when(says.rlike(BROWSER_START), "browser").when(login, "login")
+            .when(says.rlike(NOT_FOUND_REASON), "originMissing").when(says.rlike(REFUSED_REASON), "refused").when(says.rlike(TIMEOUT_REASON), "timeout")
+            .when(says.rlike(NETWORK_REASON), "network").when(says.rlike(UNAVAILABLE_REASON), "unavailable").otherwise("other")
+        )
+
+    return let(parts(url), of)
 
 
 def retryable_status(status: Column) -> Column:
@@ -88,10 +92,8 @@ def retryable_status(status: Column) -> Column:
 
 
 def retryable_error(code: Column, message: Column) -> Column:
-    # fixed values: error codes that are worth another attempt
-    codes = ["BROWSER_UNAVAILABLE", "PAGE_NAVIGATION_FAILED", "PAGE_CAPTURE_TIMEOUT", "PAGE_STALLED", "ETIMEDOUT", "ECONNRESET", "ECONNREFUSED", "EAI_AGAIN", "UND_ERR_SOCKET", "UND_ERR_CONNECT_TIMEOUT", "UND_ERR_HEADERS_TIMEOUT"]
-    says = text(message).rlike(r"(?i)net::ERR_|timed? ?out|タイムアウト|時間切れ|fetch failed|socket hang up|DevTools接続|ECONNRESET|HTTP (?:408|425|429|5\d\d)\b")
-    return F.when(F.coalesce(code == "NON_HTML_DOCUMENT", F.lit(False)), False).otherwise(F.coalesce(code.isin(codes), F.lit(False)) | says)
+    says = text(message).rlike(RETRYABLE_MESSAGE)
+    return F.when(F.coalesce(code == "NON_HTML_DOCUMENT", F.lit(False)), False).otherwise(F.coalesce(code.isin(RETRYABLE_CODES), F.lit(False)) | says)
 
 
 def is_hls(mime: Column, url: Column) -> Column:
@@ -125,13 +127,15 @@ def byte_range(value: Column, size: Column) -> Column:
 
 def resource_category(mime: Column, url: Column, background: Column) -> Column:
     """media, image or background, font, system, page, data or other."""
-    mime, path = F.lower(text(mime)), F.lower(text(parts(url)["path"]))
+    return let(F.struct(F.lower(text(mime)).alias("mime"), F.lower(text(parts(url)["path"])).alias("path"), background.alias("background")), lambda r: category_of(r["mime"], r["path"], r["background"]))
+
+
+def category_of(mime: Column, path: Column, background: Column) -> Column:
+    """``resource_category`` of a type and a URL's path, both in lower case and not null."""
     return (
-        F.when(mime.rlike("^(?:video|audio)/|mpegurl|dash\\+xml|mp2t") | path.rlike(r"\.(?:mp4|m4v|m4s|webm|mov|mkv|mp3|m4a|aac|ogg|oga|opus|wav|flac|ts|m3u8|mpd)$"), "media")
-        .when(mime.rlike("^image/") | path.rlike(r"\.(?:png|jpe?g|gif|webp|avif|svg|ico|bmp)$"), F.when(background, "background").otherwise("image"))
-        .when(mime.rlike("^font/|woff|opentype|truetype|x-font") | path.rlike(r"\.(?:woff2?|ttf|otf|eot)$"), "font")
-        .when(mime.rlike("javascript|ecmascript|text/css|wasm") | path.rlike(r"\.(?:m?js|css|wasm)$"), "system")
-        .when(mime.rlike("text/html|xhtml"), "page").when(mime.rlike("json|xml|text/plain|protobuf|graphql|x-www-form"), "data").otherwise("other")
+        F.when(mime.rlike(MEDIA_TYPE) | path.rlike(MEDIA_PATH), "media").when(mime.rlike(IMAGE_TYPE) | path.rlike(IMAGE_PATH), F.when(background, "background").otherwise("image"))
+        .when(mime.rlike(FONT_TYPE) | path.rlike(FONT_PATH), "font").when(mime.rlike(SYSTEM_TYPE) | path.rlike(SYSTEM_PATH), "system")
+        .when(mime.rlike(PAGE_TYPE), "page").when(mime.rlike(DATA_TYPE), "data").otherwise("other")
     )
 
 
@@ -165,15 +169,15 @@ def replay_page_status(page: dict[str, Column]) -> Column:
 
 
 def is_runtime_advisory(message: Column) -> Column:
-    return text(message).rlike(r"(?i)falling back to|deprecated|third-party cookie|\bAbortError:\s*Transition was skipped\b")
+    return text(message).rlike(ADVISORY_MESSAGE)
 
 
 def is_isolation_message(message: Column) -> Column:
-    return text(message).rlike(r"(?i)content security policy|violates the following .* directive|refused to (?:connect|frame|load|execute)|failed to load resource:.*(?:404|405)|mime type .*not executable|second declarative shadow root cannot be created")
+    return text(message).rlike(ISOLATION_MESSAGE)
 
 
 def is_isolation_failure(blocked: Column, cors: Column, kind: Column, error: Column) -> Column:
-    return (text(blocked) != "") | (text(cors) != "") | text(kind).isin("Ping", "WebSocket") | text(error).rlike("(?i)ERR_BLOCKED|BLOCKED_BY_RESPONSE|CSP")
+    return (text(blocked) != "") | (text(cors) != "") | text(kind).isin("Ping", "WebSocket") | text(error).rlike(ISOLATION_ERROR)
 
 
 def clamp_percent(value: Column) -> Column:

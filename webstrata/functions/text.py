@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import TEXT_TYPE
+from .fixed import AUTOPLAY, BLOCK_END, INLINE_HANDLER, SCRIPT_IMPORT, SCRIPT_LITERAL, SECRET_NAME, TEXT_TYPE
 from .urls import normalize_url
 
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
-BLOCK_END = "title|head|p|div|li|tr|h[1-6]|section|article|header|footer|nav|main|aside|dd|dt|blockquote|pre|table|ul|ol|figure|figcaption|summary|details|option"
 
 
 def _without(html: Column, *tags: str) -> Column:
@@ -101,9 +100,7 @@ def css_references(css: Column, base: Column) -> Column:
 def script_references(text: Column, base: Column) -> Column:
     """Quoted script and style paths, and targets of import()."""
     source = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\\/"), F.lit("/")), F.lit("&amp;"), F.lit("&"))
-    literal = r"""(?i)["'`]((?:https?://|\.{1,2}/|/)[^"'`\s<>()]{1,300}?\.(?:m?js|css)(?:\?[^"'`\s<>()]{0,200})?)["'`]"""
-    call = r"""(?i)\bimport\s*\(\s*["'`]([^"'`\s]{1,300}\.m?js(?:\?[^"'`\s]{0,200})?)["'`]\s*\)"""
-    return _resolved(F.concat(F.regexp_extract_all(source, F.lit(literal), F.lit(1)), F.regexp_extract_all(source, F.lit(call), F.lit(1))), base)
+    return _resolved(F.concat(F.regexp_extract_all(source, F.lit(SCRIPT_LITERAL), F.lit(1)), F.regexp_extract_all(source, F.lit(SCRIPT_IMPORT), F.lit(1))), base)
 
 
 def hls_targets(text: Column, base: Column) -> Column:
@@ -225,8 +222,8 @@ def lightweight_html(html: Column) -> Column:
     """Without scripts, inline handlers, autoplay and script links."""
     out = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>|<script\b[^>]*/>", "")
     for _ in range(8):  # several handlers in one tag
-        out = F.regexp_replace(out, r"""(?i)(<[a-z][a-z0-9:-]*\b[^<>]*?)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "$1")
-    out = F.regexp_replace(out, r"""(?i)(<(?:video|audio)\b[^>]*?)\s+autoplay(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?""", "$1")
+        out = F.regexp_replace(out, INLINE_HANDLER, "$1")
+    out = F.regexp_replace(out, AUTOPLAY, "$1")
     return F.regexp_replace(out, r"""(?i)\bhref\s*=\s*(["'])\s*javascript:[^"']*\1""", 'href="#"')
 
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .fixed import ACCOUNT_HOSTS, ACCOUNT_SEGMENT, AUTH_PATH, FILE_EXTENSION, GENERIC_KEYWORDS, IPV4_RANGES, NOISE_HOST, NOISE_HOST_PATH, NOISE_PATH, SECOND_LEVEL, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VOLATILE_KEY, VOLATILE_NAMES
+from .fixed import (
+    ACCOUNT_HOSTS, ACCOUNT_SEGMENT, AUTH_PATH, CLIP_HOST, CLIP_PATH, DISPLAY_FILE, FILE_EXTENSION, GENERIC_KEYWORDS, IPV4_RANGES, LOGIN_WITH_SHOP, NOISE_HOST, NOISE_HOST_PATH, NOISE_PATH, PIXEL_PATH, PIXEL_WORKER,
+    PRIVATE_SUFFIXES, SECOND_LEVEL, SHOP_BOUNDARY, SIGN_IN_BOUNDARY, SIGNED_TOKEN, SIZED_HOST, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VIEWER_HOST, VIEWER_PATH, VOLATILE_KEY, VOLATILE_NAMES, VOLATILE_VALUE,
+)
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*):/{0,2}([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -56,8 +59,41 @@ def _clean_path(path: Column) -> Column:
     return let(path, cleaned)
 
 
+#: URLs that are canonical as they are: lower-case host without port, no dot segments, nothing to encode
+CANONICAL = r"^https?://[a-z0-9.-]++(?:/(?!\.)[!$&'()*+,\-.0-9:;=@A-Z\[\]_a-z|~]*+)*+(?:\?[!$-&(-;=?-~]*+)?(?:#.*)?$"
+
+
 def parts(url: Column) -> Column:
-    """struct<scheme, host, port, path, query, fragment, href, origin> of an absolute http(s) URL without credentials, else null."""
+    """struct<scheme, host, port, path, query, fragment, href, origin> of an absolute http(s) URL without credentials, else null.
+
+    Canonical URLs are cut by generated code alone; only others are resolved and encoded.
+    """
+    t = F.trim(url)
+    return F.when(t.rlike(CANONICAL), _cut(t)).otherwise(_resolved(t))
+
+
+def parsed(df: DataFrame, url: str, name: str = "_p") -> DataFrame:
+    """``df`` with the parts of a URL column, worked out once a row: a generated column isn't put into the filters and join keys made from it."""
+    t = F.trim(F.col(url))
+    cut = df.select("*", F.when(t.rlike(CANONICAL), _cut(t)).alias("_cut"))
+    return cut.select(*df.columns, F.explode(F.array(F.coalesce("_cut", _resolved(t)))).alias(name))
+
+
+def _cut(t: Column) -> Column:
+    """``parts`` of a canonical URL."""
+    bare = F.substring_index(t, "#", 1)
+    head = F.substring_index(bare, "?", 1)
+    scheme = F.substring_index(t, ":", 1)
+    rest = F.substr(head, F.length(scheme) + 4)
+    host = F.substring_index(rest, "/", 1)
+    path = F.concat(F.when(F.contains(rest, F.lit("/")), "").otherwise("/"), F.substr(rest, F.length(host) + 1))
+    query, origin = F.substr(bare, F.length(head) + 1), F.concat(scheme, F.lit("://"), host)
+    fields = {"scheme": scheme, "host": host, "port": F.lit(""), "path": path, "query": query, "fragment": F.substr(t, F.length(bare) + 1), "href": F.concat(origin, path, query), "origin": origin}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _resolved(url: Column) -> Column:
+    """``parts`` of any URL."""
 
     def split(t: Column) -> Column:
         part = lambda i: F.regexp_extract(t, URL, i)
@@ -74,7 +110,7 @@ def parts(url: Column) -> Column:
         origin = F.concat(p["scheme"], F.lit("://"), p["host"], F.when(p["port"] != "", F.concat(F.lit(":"), p["port"])).otherwise(""))
         return F.when(p.isNotNull(), F.struct(*[p[k].alias(k) for k in ("scheme", "host", "port", "path", "query", "fragment")], F.concat(origin, p["path"], p["query"]).alias("href"), origin.alias("origin")))
 
-    return let(F.trim(url), lambda t: let(let(split(t), named), joined))
+    return let(url, lambda t: let(let(split(t), named), joined))
 
 
 def normalize_url(url: Column, base: Column | None = None) -> Column:
@@ -100,12 +136,17 @@ def is_ip(host: Column) -> Column:
 
 
 def registrable_domain(host: Column) -> Column:
-    """The last two labels, or three under a listed second-level suffix; addresses as they are."""
+    """The label in front of the public suffix, with the suffix; addresses as they are.
+
+    Suffixes: a country's second level under a common name (co.jp, edu.au), the listed private ones (github.io, s3.amazonaws.com), else the last label.
+    """
 
     def domain(h: Column) -> Column:
         labels = F.split(h, r"\.")
-        three = F.concat_ws(".", F.slice(labels, -2, 2)).isin(SECOND_LEVEL)
-        return F.when(is_ip(h) | (F.size(labels) <= 2), h).when(three, F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(F.concat_ws(".", F.slice(labels, -2, 2)))
+        last = lambda n: F.concat_ws(".", F.slice(labels, -n, n))
+        suffix = F.greatest(F.lit(1), *[F.when((F.size(labels) >= n) & last(n).isin([x for x in PRIVATE_SUFFIXES if x.count(".") == n - 1]), n).otherwise(1) for n in (2, 3)], F.when(h.rlike(SECOND_LEVEL), 2).otherwise(1))
+        size = F.least(F.size(labels), suffix + 1)
+        return F.when(is_ip(h), h).otherwise(F.concat_ws(".", F.slice(labels, -size, size)))
 
     return let(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), domain)
 
@@ -189,8 +230,7 @@ def _filter_query(url: Column, drop) -> Column:
 
 def stable_document_key(url: Column) -> Column:
     """Without session parameters and signed tokens; the input itself if it has none or can't be parsed."""
-    token = r"^eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}$"
-    return F.coalesce(_filter_query(url, lambda n, v: F.lower(n).isin(VOLATILE_NAMES) | v.rlike(token)), url)
+    return F.coalesce(_filter_query(url, lambda n, v: F.lower(n).isin(VOLATILE_NAMES) | v.rlike(SIGNED_TOKEN)), url)
 
 
 def apply_query_policy(url: Column, policy: str = "keep") -> Column:
@@ -225,13 +265,18 @@ def timestamp14(ts: Column) -> Column:
 
 
 def volatile_param(name: Column, value: Column) -> Column:
-    return name.rlike(VOLATILE_KEY) | value.rlike(r"^\d{8,}$|^(?i:[a-f0-9]{16,})$|^0?\.\d{6,}$|^(?i:[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12})$")
+    return name.rlike(VOLATILE_KEY) | value.rlike(VOLATILE_VALUE)
 
 
 def stable_query(url: Column) -> Column:
     """Sorted query items that don't change between visits, as JSON."""
-    kept = F.filter(query_pairs(parts(url)["query"]), lambda x: ~volatile_param(x["name"], x["value"]))
-    return F.to_json(F.transform(F.array_sort(kept), lambda x: F.array(x["name"], x["value"])))
+    return stable_query_of(parts(url))
+
+
+def stable_query_of(p: Column) -> Column:
+    """``stable_query`` of a URL's parts."""
+    kept = F.filter(query_pairs(p["query"]), lambda x: ~volatile_param(x["name"], x["value"]))
+    return F.coalesce(F.to_json(F.transform(F.sort_array(kept), lambda x: F.array(x["name"], x["value"]))), F.lit("[]"))
 
 
 def image_variant_key(url: Column) -> Column:
@@ -239,19 +284,20 @@ def image_variant_key(url: Column) -> Column:
 
     def of(p: Column) -> Column:
         base = F.substring_index(p["path"], "=", 1)
-        clip = F.regexp_extract(p["path"], r"^/(?:vi|vi_webp|an_webp)/([A-Za-z0-9_-]{6,20})/[A-Za-z0-9_]+\.(?:jpg|jpeg|webp)$", 1)
-        sized = p["host"].rlike(r"(?:^|\.)(?:googleusercontent\.com|ggpht\.com)$")
-        return F.when(sized & (F.length(base) > 8), F.concat(F.lit("sized:"), p["host"], base)).when(~sized & p["host"].rlike(r"^i\d?\.ytimg\.com$") & (clip != ""), F.concat(F.lit("ytimg:"), clip))
+        clip = F.regexp_extract(p["path"], CLIP_PATH, 1)
+        sized = p["host"].rlike(SIZED_HOST)
+        return F.when(sized & (F.length(base) > 8), F.concat(F.lit("sized:"), p["host"], base)).when(~sized & p["host"].rlike(CLIP_HOST) & (clip != ""), F.concat(F.lit("ytimg:"), clip))
 
     return let(parts(url), of)
 
 
-def endpoint_key(url: Column) -> Column:
+def endpoint_of(p: Column, url: Column) -> Column:
+    """``endpoint_key`` of a URL and its parts."""
+    return F.coalesce(F.concat(p["origin"], p["path"]), url, F.lit(""))
 
-    def of(p: Column) -> Column:
-        return F.coalesce(F.concat(p["origin"], p["path"]), url)
 
-    return let(parts(url), of)
+def endpoint_key(url: Column) -> Column:
+    return let(parts(url), lambda p: endpoint_of(p, url))
 
 
 def auth_redirect_identity(url: Column) -> Column:
@@ -327,42 +373,45 @@ def page_seed(url: Column) -> Column:
 
 def is_server_boundary(url: Column) -> Column:
     """Login and payment end points that only answer live."""
+    return let(parts(url), boundary_of)
 
-    def of(p: Column) -> Column:
-        host, path = p["host"], p["path"]
-        shop = (host == "shop.app") & path.rlike(r"(?i)^/(?:accounts/pre_auth|checkouts|pay|__manifest)(?:/|$)")
-        sign_in = (host == "accounts.google.com") & path.rlike("(?i)^/gsi/")
-        viewer = host.rlike(r"^api\.(?:x|twitter)\.com$") & path.rlike(r"(?i)^/1\.1/(?:flow|graphql)/viewer")
-        return F.coalesce(shop | sign_in | path.rlike("(?i)^/services/login_with_shop/") | viewer, F.lit(False))
 
-    return let(parts(url), of)
+def boundary_of(p: Column) -> Column:
+    """``is_server_boundary`` of a URL's parts."""
+    host, path = p["host"], p["path"]
+    shop = (host == "shop.app") & path.rlike(SHOP_BOUNDARY)
+    sign_in = (host == "accounts.google.com") & path.rlike(SIGN_IN_BOUNDARY)
+    viewer = host.rlike(VIEWER_HOST) & path.rlike(VIEWER_PATH)
+    return F.coalesce(shop | sign_in | path.rlike(LOGIN_WITH_SHOP) | viewer, F.lit(False))
 
 
 def is_auxiliary(url: Column) -> Column:
     """Telemetry and pixels that a saved page does without."""
+    return let(parts(url), auxiliary_of)
 
-    def of(p: Column) -> Column:
-        host, path = p["host"], p["path"]
-        pixel = (host == "p.typekit.net") & (path == "/p.gif")
-        collector = path.rlike(TELEMETRY_PATH) & ~path.rlike(r"(?i)\.(?:m?js|css|png|jpe?g|gif|webp|svg|woff2?)$")
-        return F.coalesce(pixel | path.rlike("(?i)/cdn/wpm/|^/web-pixels@") | host.rlike(TELEMETRY_HOST) | collector | path.rlike(r"(?i)/web-pixels@[^/]+/.*/sandbox/worker(?:\.[^/]+)?\.js$"), F.lit(False))
 
-    return let(parts(url), of)
+def auxiliary_of(p: Column) -> Column:
+    """``is_auxiliary`` of a URL's parts."""
+    host, path = p["host"], p["path"]
+    pixel = (host == "p.typekit.net") & (path == "/p.gif")
+    collector = path.rlike(TELEMETRY_PATH) & ~path.rlike(DISPLAY_FILE)
+    return F.coalesce(pixel | path.rlike(PIXEL_PATH) | host.rlike(TELEMETRY_HOST) | collector | path.rlike(PIXEL_WORKER), F.lit(False))
 
 
 def is_noise(url: Column, kind: Column) -> Column:
     """Trackers and advertisements."""
 
     def of(p: Column) -> Column:
-        named = p["host"].rlike(NOISE_HOST) | F.concat(p["host"], p["path"]).rlike(NOISE_HOST_PATH) | p["path"].rlike(NOISE_PATH)
-        return F.coalesce(F.lower(kind).isin("ping", "cspviolationreport"), F.lit(False)) | is_auxiliary(url) | F.coalesce(named, F.lit(False))
+        named = auxiliary_of(p) | p["host"].rlike(NOISE_HOST) | F.concat(p["host"], p["path"]).rlike(NOISE_HOST_PATH) | p["path"].rlike(NOISE_PATH)
+        return F.coalesce(F.lower(kind).isin("ping", "cspviolationreport"), F.lit(False)) | F.coalesce(named, F.lit(False))
 
     return let(parts(url), of)
 
 
 def is_account_like(url: Column) -> Column:
+    return let(parts(url), account_of)
 
-    def of(p: Column) -> Column:
-        return F.coalesce(p["host"].rlike(ACCOUNT_HOSTS) | p["path"].rlike(ACCOUNT_SEGMENT), F.lit(False))
 
-    return let(parts(url), of)
+def account_of(p: Column) -> Column:
+    """``is_account_like`` of a URL's parts."""
+    return F.coalesce(p["host"].rlike(ACCOUNT_HOSTS) | p["path"].rlike(ACCOUNT_SEGMENT), F.lit(False))

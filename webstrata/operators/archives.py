@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..functions.fixed import LOGIN_REDIRECT, NOT_A_FAILURE, STATUS_TEXT
+from ..functions.fixed import LOGIN_REDIRECT, NOT_A_FAILURE, PAGE_FAILURE, RESOURCE_REASON, STATUS_TEXT
 from .pages import first_by
 
 CATEGORIES = ["media", "image", "background", "font", "system", "page", "data", "screenshot", "warc", "other"]
@@ -46,17 +46,16 @@ def storage_summary(files: DataFrame, background: DataFrame | None = None) -> Da
 
     files(archive_id, ordinal, file, category, size): category null means by type, then mime_type and url are needed.
     """
-    known = files
+    known = files.withColumn("_b", F.lit(False))
     if background is not None:
-        known = files.join(background.select("archive_id", "url").distinct().withColumn("_b", F.lit(True)), ["archive_id", "url"], "left")
-    else:
-        known = files.withColumn("_b", F.lit(False))
-    category = F.coalesce("category", rules.resource_category(F.col("mime_type"), F.col("url"), F.coalesce("_b", F.lit(False))))
-    typed = known.filter("file is not null").select("archive_id", "file", F.struct("ordinal", category.alias("category"), F.coalesce("size", F.lit(0)).alias("size")).alias("r"))
+        known = files.join(background.select("archive_id", "url").distinct().withColumn("_b", F.lit(True)), ["archive_id", "url"], "left").withColumn("_b", F.coalesce("_b", F.lit(False)))
+    category = F.coalesce("category", rules.category_of(F.lower(rules.text(F.col("mime_type"))), F.lower(rules.text(F.col("_p.path"))), F.col("_b")))
+    typed = urls.parsed(known, "url").select("archive_id", "file", F.struct("ordinal", category.alias("category"), F.coalesce("size", F.lit(0)).alias("size")).alias("r"))
     once = typed.groupBy("archive_id", "file").agg(F.min("r").alias("r"))
-    totals = once.groupBy("archive_id", "r.category").agg(F.sum("r.size").alias("bytes"), F.count("*").alias("n"))
-    every = files.select("archive_id").distinct().select("archive_id", F.explode(F.array(*[F.lit(c) for c in CATEGORIES])).alias("category"))
-    return every.join(totals, ["archive_id", "category"], "left").fillna(0, ["bytes", "n"])
+    counted = F.col("file").isNotNull()
+    of = lambda c: counted & (F.col("r.category") == c)
+    totals = [F.struct(F.lit(c).alias("category"), F.coalesce(F.sum(F.when(of(c), F.col("r.size"))), F.lit(0)).alias("bytes"), F.count_if(of(c)).alias("n")) for c in CATEGORIES]
+    return once.groupBy("archive_id").agg(F.array(*totals).alias("t")).select("archive_id", F.inline("t"))
 
 
 def unresolved_failures(blocked: DataFrame, resources: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -82,14 +81,17 @@ def archive_quality(pages: DataFrame, failures: DataFrame, jobs: DataFrame, miss
         F.count("*").alias("pages"), F.count_if(site).alias("site_pages"), F.count_if(site & issue).alias("page_issues"), F.count_if(~site & issue).alias("external_page_issues"),
         F.coalesce(F.max(site & issue & (F.col("level") == "blocked")), F.lit(False)).alias("any_blocked"),
     )
-    domain = lambda c: urls.registrable_domain(urls.parts(c)["host"])
-    owned = failures.join(jobs.select("archive_id", "start_url"), "archive_id").withColumn("site", domain(F.col("url")).eqNullSafe(domain(F.col("start_url"))) | domain(F.col("start_url")).isNull())
-    boundary, endpoint = urls.is_server_boundary(F.col("url")), urls.endpoint_key(F.col("url"))
+    domain = lambda p: urls.registrable_domain(p["host"])
+    p = F.col("_p")
+    sites = jobs.select("archive_id", domain(urls.parts(F.col("start_url"))).alias("_site"))
+    owned = urls.parsed(failures.select("archive_id", "url"), "url").select("archive_id", domain(p).alias("_own"), urls.boundary_of(p).alias("_boundary"), urls.endpoint_of(p, F.col("url")).alias("_endpoint"))
+    owned = owned.distinct().join(sites, "archive_id").withColumn("site", F.col("_own").eqNullSafe(F.col("_site")) | F.col("_site").isNull())
+    boundary, endpoint = F.col("_boundary"), F.col("_endpoint")
     of_failures = owned.groupBy("archive_id").agg(
         F.countDistinct(F.when(F.col("site") & ~boundary, endpoint)).alias("hard_blocked"), F.countDistinct(F.when(~F.col("site") & ~boundary, endpoint)).alias("external_hard_blocked"), F.countDistinct(F.when(boundary, endpoint)).alias("boundaries"),
     )
-    open_ = misses.filter(~F.coalesce("repaired", F.lit(False)))
-    auxiliary = urls.is_auxiliary(F.col("url"))
+    open_ = urls.parsed(misses.filter(~F.coalesce("repaired", F.lit(False))), "url")
+    boundary, auxiliary = urls.boundary_of(p), urls.auxiliary_of(p)
     of_misses = open_.groupBy("archive_id").agg(F.count_if(~boundary & ~auxiliary).alias("runtime_missing"), F.count_if(auxiliary).alias("auxiliary_missing"), F.count_if(boundary).alias("runtime_boundaries"))
     of_references = references.groupBy("archive_id").agg(F.lit(True).alias("checked"), F.count_if(F.col("state") == "missing").alias("reference_missing"))
     counts = ["pages", "site_pages", "page_issues", "external_page_issues", "hard_blocked", "external_hard_blocked", "boundaries", "runtime_missing", "auxiliary_missing", "runtime_boundaries", "reference_missing"]
@@ -130,7 +132,7 @@ def issue_report(blocked: DataFrame, failures: DataFrame, pages: DataFrame, exam
     failed = failures.select("archive_id", "url", F.coalesce("reason", F.lit("")).alias("reason")).distinct().withColumn("_failed", F.lit(True))
     rows = blocked.filter("url is not null").withColumn("reason", F.coalesce("reason", F.lit(""))).join(failed, ["archive_id", "url", "reason"], "left")
     rows = rows.withColumn("category", rules.issue_category(F.col("url"), F.col("reason")))
-    says = F.col("reason").rlike(r"^ページを開けませんでした|ページの保存|保存を完了|HTTP \d{3}")
+    says = F.col("reason").rlike(PAGE_FAILURE)
     rows = rows.filter(F.col("category").isin("outOfScope", "login", "browser") | F.coalesce("_failed", F.lit(False)) | says).select("archive_id", F.lit(0).alias("source"), "ordinal", "url", "reason", "category")
     bad = pages.filter("classification is not null and classification <> 'normal'").withColumn("reason", F.coalesce("reason", F.lit("")))
     of_page = F.when(F.col("classification") == "login-required", "login").when(F.col("classification") == "access-challenge", "refused").otherwise(rules.issue_category(F.col("url"), F.col("reason")))
@@ -153,7 +155,7 @@ def retry_plan(pages: DataFrame, retries: DataFrame, blocked: DataFrame) -> Data
     saved = pages.filter((kind == "normal") & ~partial).select("archive_id", F.explode(F.array("url", "requested_url")).alias("url")).filter("url is not null").distinct()
     broken = pages.filter(kind.isin("error-page", "missing-html") | partial).select("archive_id", asked.alias("url"), "depth", F.lit(1).alias("source"), "ordinal", F.when(kind.isin("error-page", "missing-html"), "error page").otherwise("partial").alias("reason"))
     ledger = retries.filter("status = 'failed'").select("archive_id", "url", F.lit(0).alias("depth"), F.lit(2).alias("source"), F.lit(0).alias("ordinal"), "reason")
-    stopped = blocked.filter(F.col("depth").isNotNull() & ~rules.text(F.col("reason")).rlike(NOT_A_FAILURE) & ~rules.text(F.col("reason")).rlike("素材|参照|本文"))
+    stopped = blocked.filter(F.col("depth").isNotNull() & ~rules.text(F.col("reason")).rlike(NOT_A_FAILURE) & ~rules.text(F.col("reason")).rlike(RESOURCE_REASON))
     stopped = stopped.select("archive_id", "url", "depth", F.lit(3).alias("source"), "ordinal", F.substring("reason", 1, 200).alias("reason"))
     failed = broken.unionByName(ledger).unionByName(stopped).join(saved, ["archive_id", "url"], "left_anti")
     failed = failed.groupBy("archive_id", "url").agg(F.min_by(F.struct("depth", "reason"), F.struct("source", "ordinal")).alias("f"))
@@ -238,7 +240,7 @@ def integrity_audit(resources: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def peer_archives(archives: DataFrame, limit: int = 6) -> DataFrame:
     """(archive_id, peer_id, place): other archives of the same host, the previous capture first, then the newest; at most ``limit``."""
-    a = archives.select("archive_id", "previous_archive_id", urls.parts(F.col("start_url"))["host"].alias("host"), "saved_at").filter("host is not null")
+    a = urls.parsed(archives.select("archive_id", "previous_archive_id", "start_url", "saved_at"), "start_url").select("archive_id", "previous_archive_id", F.col("_p.host").alias("host"), "saved_at").filter("host is not null")
     # a host may have very many archives: only its newest limit + 1 and the previous capture can ever be peers
     top = a.withColumn("r", F.row_number().over(W.partitionBy("host").orderBy(F.desc("saved_at"), "archive_id"))).filter(F.col("r") <= limit + 1)
     peers = a.join(top.select("host", F.col("archive_id").alias("peer_id"), F.col("saved_at").alias("peer_saved")), "host").filter("peer_id <> archive_id")

@@ -6,21 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..sources.shared import all_rounds, put, shared_dir
 from ..sources.shared import cut as _cut
 
 
-def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_external: int | None = None, keywords: list[str] | None = None, rounds: int = 200) -> DataFrame:
+def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_external: int | None = None, keywords: list[str] | None = None) -> DataFrame:
     """(url, depth, external_depth, scope, parent): pages in breadth-first order from (url) seeds along (src, dst) links.
 
-    A page is visited once, at its smallest depth; of equal depths the smallest external depth and then parent counts. Null limits are none. Cycles end
-    because visited pages aren't entered again.
+    A page is visited once, at its smallest depth; of equal depths the smallest external depth and then parent counts. Null limits are none; the rounds
+    go on until nothing new is found. Cycles end because visited pages aren't entered again. Each round writes its own pages only.
     """
     words = F.array(*[F.lit(k) for k in keywords]) if keywords else None
     start = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(0).alias("external_depth"), F.lit("origin").alias("scope"), F.lit(None).cast("string").alias("parent"), F.col("url").alias("root"))
-    visited = frontier = _cut(start)
-    for _ in range(rounds):
-        if max_depth is not None and _ >= max_depth:
-            break
+    folder = shared_dir(seeds.sparkSession)
+    visited = frontier = put(start, folder, 0)
+    depth = 0
+    while max_depth is None or depth < max_depth:
         step = frontier.select(F.col("url").alias("src"), "depth", "external_depth", "scope", "root").join(links, "src")
         scope = urls.classify_scope(F.col("root"), F.col("dst"), words)
         step = step.withColumn("next", scope).withColumn("outside", urls.next_external_depth(F.col("next"), F.col("scope"), F.col("external_depth")))
@@ -28,10 +29,11 @@ def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = N
             step = step.filter(F.col("outside") <= max_external)
         best = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("outside", "src", "next", "root", "depth")).alias("b"))
         fresh = best.join(visited.select("url"), "url", "left_anti")
-        frontier = _cut(fresh.select("url", (F.col("b.depth") + 1).alias("depth"), F.col("b.outside").alias("external_depth"), F.col("b.next").alias("scope"), F.col("b.src").alias("parent"), F.col("b.root").alias("root")))
+        depth += 1
+        frontier = put(fresh.select("url", (F.col("b.depth") + 1).alias("depth"), F.col("b.outside").alias("external_depth"), F.col("b.next").alias("scope"), F.col("b.src").alias("parent"), F.col("b.root").alias("root")), folder, depth)
         if frontier.limit(1).count() == 0:
             break
-        visited = _cut(visited.unionByName(frontier))
+        visited = all_rounds(frontier, folder)
     return visited.drop("root")
 
 
@@ -54,14 +56,15 @@ def redirect_chains(edges: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def reference_closure(roots: DataFrame, edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """(url, level): what (url) roots need along (src, dst) references, to ``rounds`` levels."""
-    visited = frontier = _cut(roots.select("url").distinct().withColumn("level", F.lit(0)))
+    """(url, level): what (url) roots need along (src, dst) references, to ``rounds`` levels; styles that import each other are nested no deeper in practice."""
+    folder = shared_dir(roots.sparkSession)
+    visited = frontier = put(roots.select("url").distinct().withColumn("level", F.lit(0)), folder, 0)
     for level in range(1, rounds + 1):
         step = frontier.select(F.col("url").alias("src")).join(edges, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = _cut(step.join(visited.select("url"), "url", "left_anti").withColumn("level", F.lit(level)))
+        frontier = put(step.join(visited.select("url"), "url", "left_anti").withColumn("level", F.lit(level)), folder, level)
         if frontier.limit(1).count() == 0:
             break
-        visited = _cut(visited.unionByName(frontier))
+        visited = all_rounds(frontier, folder)
     return visited
 
 

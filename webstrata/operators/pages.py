@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
+from ..functions.fixed import IMAGE_SIZES, SAVED_REDIRECT
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -55,12 +56,14 @@ def reference_audit(references: DataFrame, known: DataFrame, aliases: DataFrame)
     have = known.select("archive_id", "url").distinct()
     lost = via.join(have.withColumnRenamed("url", "ref"), ["archive_id", "ref"], "left_anti")
     lost = lost.join(have.withColumnRenamed("url", "target"), ["archive_id", "target"], "left_anti").select("archive_id", "ref").distinct()
-    font = lambda c: urls.parts(c)["host"].eqNullSafe("use.typekit.net") & urls.parts(c)["path"].startswith("/af/")
-    whole = have.filter(font(F.col("url")) & F.exists(urls.query_pairs(urls.parts(F.col("url"))["query"]), lambda q: (q["name"] == "chunks") & (q["value"] == "0")))
-    whole = whole.select("archive_id", urls.endpoint_key(F.col("url")).alias("_font")).distinct().withColumn("_whole", F.lit(True))
-    routed = lost.withColumn("_font", urls.endpoint_key(F.col("ref"))).join(whole, ["archive_id", "_font"], "left")
-    ref = F.col("ref")
-    state = F.when(urls.is_server_boundary(ref), "boundary").when(urls.is_auxiliary(ref), "auxiliary").when(font(ref) & F.coalesce("_whole", F.lit(False)), "font-fallback").otherwise("missing")
+    p, host = F.col("_p"), "use.typekit.net"
+    font = p["host"].eqNullSafe(host) & p["path"].startswith("/af/")
+    whole = urls.parsed(have.filter(F.contains("url", F.lit(host))), "url").filter(font & F.exists(urls.query_pairs(p["query"]), lambda q: (q["name"] == "chunks") & (q["value"] == "0")))
+    whole = whole.select("archive_id", urls.endpoint_of(p, F.col("url")).alias("_font")).distinct().withColumn("_whole", F.lit(True))
+    # only references to that host can have a font in their place
+    lost = urls.parsed(lost, "ref")
+    routed = lost.withColumn("_font", F.when(font, urls.endpoint_of(p, F.col("ref")))).join(whole, ["archive_id", "_font"], "left")
+    state = F.when(urls.boundary_of(p), "boundary").when(urls.auxiliary_of(p), "auxiliary").when(F.coalesce("_whole", F.lit(False)), "font-fallback").otherwise("missing")
     return routed.select("archive_id", "ref", state.alias("state"))
 
 
@@ -132,53 +135,77 @@ def line_changes(diff: DataFrame, limit: int = 3000) -> DataFrame:
     def counts(before, after):  # noqa: ANN001
         import pandas as pd
 
-        done = [_lcs_counts(list(a), list(b), limit) for a, b in zip(before, after, strict=True)]
-        return pd.DataFrame(done, columns=["added", "removed"])
+        pairs = [_middles(list(a), list(b))[1:] for a, b in zip(before, after, strict=True)]
+        common = [0 if max(len(a), len(b)) > limit else _common_from(a, b)[0].bit_count() for a, b in pairs]
+        return pd.DataFrame({"added": [len(b) - c for (_, b), c in zip(pairs, common)], "removed": [len(a) - c for (a, _), c in zip(pairs, common)]})
 
     changed = diff.filter("status = 'changed'").withColumn("n", counts("lines_old", "lines_now"))
     return changed.select("key", "url", "n.added", "n.removed").orderBy(F.desc(F.col("added") + F.col("removed")), "key")
 
 
+def line_rows(diff: DataFrame, limit: int = 3000) -> DataFrame:
+    """(key, place, op, line) of all pages on both sides of a diff: same, remove or add, in reading order."""
+
+    @F.pandas_udf("array<struct<op:string,line:string>>")
+    def operations(before, after):  # noqa: ANN001
+        import pandas as pd
+
+        return pd.Series([[{"op": k, "line": x} for k, x in line_operations(list(a), list(b), limit)] for a, b in zip(before, after, strict=True)])
+
+    both = diff.filter("lines_old is not null and lines_now is not null").select("key", F.posexplode(operations("lines_old", "lines_now")).alias("place", "o"))
+    return both.select("key", "place", "o.op", "o.line")
+
+
+def _middles(before: list[str], after: list[str]) -> tuple[int, list[str], list[str]]:
+    """How many first lines are equal, and what lies between equal first and equal last lines."""
+    head = next((k for k, (x, y) in enumerate(zip(before, after)) if x != y), min(len(before), len(after)))
+    a, b = before[head:], after[head:]
+    tail = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    return head, a[: len(a) - tail], b[: len(b) - tail]
+
+
+def _common_from(a: list[str], b: list[str]) -> list[int]:
+    """For each start in ``a`` (and its end) an integer: its lowest n bits hold as many ones as the last n lines of ``b`` and all lines of ``a`` from there on have in common.
+
+    Bit-parallel: a line of ``a`` costs a few operations on integers of len(b) bits.
+    """
+    places: dict[str, int] = {}
+    for k, line in enumerate(reversed(b)):
+        places[line] = places.get(line, 0) | 1 << k
+    every = (1 << len(b)) - 1
+    zeros, out = every, [0]
+    for line in reversed(a):
+        hit = zeros & places.get(line, 0)
+        zeros = ((zeros + hit) | (zeros - hit)) & every
+        out.append(every & ~zeros)
+    return out[::-1]
+
+
 def line_operations(before: list[str], after: list[str], limit: int = 3000) -> list[tuple[str, str]]:
-    """(same|remove|add, line): equal ends are kept, the middle is matched by length of common subsequences; removals come first on a tie.
+    """(same|remove|add, line) along a longest common subsequence; where a removal and an addition lead equally far, the removal comes first.
 
-    A middle with more than ``limit`` lines on a side is removed and added whole.
+    Equal first and last lines are kept. What lies between is removed and added whole if a side has more than ``limit`` lines of it.
     """
-    n, m, head = len(before), len(after), 0
-    while head < min(n, m) and before[head] == after[head]:
-        head += 1
-    tail = 0
-    while tail < min(n, m) - head and before[n - 1 - tail] == after[m - 1 - tail]:
-        tail += 1
-    a, b = before[head : n - tail], after[head : m - tail]
-    ops = [("same", x) for x in before[:head]]
-    if len(a) > limit or len(b) > limit:
-        ops += [("remove", x) for x in a] + [("add", x) for x in b]
+    head, a, b = _middles(before, after)
+    same = lambda lines: [("same", x) for x in lines]
+    middle: list[tuple[str, str]] = []
+    if max(len(a), len(b)) > limit:
+        middle = [("remove", x) for x in a] + [("add", x) for x in b]
     else:
-        longest = [[0] * (len(b) + 1)]
-        for x in reversed(a):
-            below, row = longest[-1], [0] * (len(b) + 1)
-            for j in range(len(b) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x == b[j] else max(below[j], row[j + 1])
-            longest.append(row)
-        longest.reverse()
-        i = j = 0
-        while i < len(a) or j < len(b):
-            if i < len(a) and j < len(b) and a[i] == b[j]:
-                ops.append(("same", a[i]))
-                i, j = i + 1, j + 1
-            elif j == len(b) or (i < len(a) and longest[i + 1][j] >= longest[i][j + 1]):
-                ops.append(("remove", a[i]))
-                i += 1
+        left, common = len(b), _common_from(a, b)
+        reach = lambda k, n: (common[k] & ((1 << n) - 1)).bit_count()
+        for k, line in enumerate(a):
+            # lines of b come in as long as they lead further than giving up this line
+            while left and b[-left] != line and reach(k + 1, left) < reach(k, left - 1):
+                middle.append(("add", b[-left]))
+                left -= 1
+            if left and b[-left] == line:
+                middle.append(("same", line))
+                left -= 1
             else:
-                ops.append(("add", b[j]))
-                j += 1
-    return ops + [("same", x) for x in before[n - tail :]]
-
-
-def _lcs_counts(before: list[str], after: list[str], limit: int) -> tuple[int, int]:
-    ops = line_operations(before, after, limit)
-    return sum(k == "add" for k, _ in ops), sum(k == "remove" for k, _ in ops)
+                middle.append(("remove", line))
+        middle += [("add", x) for x in b[len(b) - left :]]
+    return same(before[:head]) + middle + same(before[head + len(a) :])
 
 
 def page_history(entries: DataFrame, archives: DataFrame, url: str, limit: int = 60) -> DataFrame:
@@ -199,8 +226,6 @@ def missing_page_match(requests: DataFrame, pages: DataFrame, blocked: DataFrame
 
     requests(archive_id, target); pages as for ``page_index``; blocked(archive_id, ordinal, url, reason).
     """
-    from ..functions.fixed import SAVED_REDIRECT
-
     asked = requests.withColumn("key", urls.stable_document_key(F.col("target")))
     known = pages.filter(rules.text(F.col("html")) != "")
     by_key = known.select("archive_id", "ordinal", F.col("url").alias("saved_url"), F.explode(F.array("requested_url", "url")).alias("u")).withColumn("key", urls.stable_document_key(F.col("u")))
@@ -216,22 +241,25 @@ def missing_page_match(requests: DataFrame, pages: DataFrame, blocked: DataFrame
 
 def query_variant(requests: DataFrame, resources: DataFrame) -> DataFrame:
     """(target, url): the first good resource with the same address and the same stable query items. requests(archive_id, target)."""
-    address = lambda c: urls.endpoint_key(c)
-    asked = requests.filter(urls.parts(F.col("target"))["query"] != "").withColumn("at", address(F.col("target"))).withColumn("stable", urls.stable_query(F.col("target")))
-    good = resources.filter((F.col("status") < 400) & (F.col("size") > 0) & urls.parts(F.col("url")).isNotNull())
-    keyed = good.select("archive_id", "ordinal", "url", address(F.col("url")).alias("at"), urls.stable_query(F.col("url")).alias("stable"))
-    first = keyed.groupBy("archive_id", "at", "stable").agg(F.min_by("url", F.struct("ordinal", "url")).alias("url"))
+
+    def keyed(df: DataFrame, url: str) -> DataFrame:
+        p = F.col("_p")
+        df = urls.parsed(df, url).filter(p.isNotNull())
+        return df.select("archive_id", F.col(url), *[c for c in df.columns if c == "ordinal"], urls.endpoint_of(p, F.col(url)).alias("at"), urls.stable_query_of(p).alias("stable"))
+
+    asked = keyed(requests.filter(F.contains("target", F.lit("?"))), "target")
+    good = resources.filter((F.col("status") < 400) & (F.col("size") > 0)).groupBy("archive_id", "url").agg(F.min("ordinal").alias("ordinal"))
+    first = keyed(good, "url").groupBy("archive_id", "at", "stable").agg(F.min_by("url", F.struct("ordinal", "url")).alias("url"))
     return asked.join(first, ["archive_id", "at", "stable"]).select("archive_id", "target", "url")
 
 
 def image_variant(requests: DataFrame, resources: DataFrame) -> DataFrame:
     """(target, url): the best saved size of the same image; a named size first, then the larger file."""
-    sizes = ["maxresdefault", "maxres2", "sddefault", "hq720", "hqdefault", "mqdefault", "default"]
     name = F.regexp_replace(F.element_at(F.split(urls.parts(F.col("url"))["path"], "/"), -1), r"\.\w+$", "")
-    position = F.array_position(F.array(*[F.lit(s) for s in sizes]), name)
+    position = F.array_position(F.array(*[F.lit(s) for s in IMAGE_SIZES]), name)
     good = resources.filter((F.col("status") < 400) & (F.col("size") > 0) & rules.text(F.col("mime_type")).rlike("(?i)^image/|^$"))
     keyed = good.withColumn("key", urls.image_variant_key(F.col("url"))).filter("key is not null")
-    best = keyed.groupBy("archive_id", "key").agg(F.max_by("url", F.struct(F.when(position > 0, len(sizes) + 1 - position).otherwise(0), "size", F.negative("ordinal"))).alias("url"))
+    best = keyed.groupBy("archive_id", "key").agg(F.max_by("url", F.struct(F.when(position > 0, len(IMAGE_SIZES) + 1 - position).otherwise(0), "size", F.negative("ordinal"))).alias("url"))
     return requests.withColumn("key", urls.image_variant_key(F.col("target"))).join(best, ["archive_id", "key"]).select("archive_id", "target", "url")
 
 

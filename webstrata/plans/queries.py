@@ -159,7 +159,7 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", text.html_to_search_text(F.col("html")).alias("body"))
 
 
-LINES = "list_filter(list_transform(string_split(" + ENT.format("regexp_replace(regexp_replace(" + BARE.format("html") + f", '<(br|hr)\\b[^>]*>|</({text.BLOCK_END})>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')") + ", chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+LINES = "list_filter(list_transform(string_split(" + ENT.format("regexp_replace(regexp_replace(" + BARE.format("html") + f", '<(br|hr)\\b[^>]*>|</({fixed.BLOCK_END})>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')") + ", chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
 
 
 @query("TXT2_lines", f"SELECT page_id, len({LINES}) AS n, sha256(array_to_string({LINES}, '|')) AS digest FROM pages")

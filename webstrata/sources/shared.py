@@ -24,3 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def put(df: DataFrame, folder: str, n: int) -> DataFrame:
+    """Write round ``n`` of an iteration below its folder and read that round back."""
+    df.write.parquet(f"{folder}/round={n}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/round={n}")
+
+
+def all_rounds(like: DataFrame, folder: str) -> DataFrame:
+    """All rounds written so far; nothing is written again."""
+    return like.sparkSession.read.schema(like.schema).parquet(f"{folder}/round=*")
