@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import captures, reports, states, stored
 from .plans import queries as plans
-from .plans import reports, states
+
+MODULES = (plans, reports, states, stored, captures)
 
 
 def queries():
-    return dict(plans.QUERIES) | dict(reports.QUERIES) | dict(states.QUERIES)
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return dict(plans.ORACLE) | dict(reports.ORACLE) | dict(states.ORACLE)
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

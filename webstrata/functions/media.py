@@ -1,4 +1,4 @@
-"""Stateful text parsers as table functions: DASH manifests, JSON assigned to a script variable, and archive tar files."""
+"""Stateful text parsers as table functions: DASH manifests and JSON assigned to a script variable."""
 
 from __future__ import annotations
 
@@ -106,21 +106,3 @@ class AssignedJson:
     def eval(self, source: str, name: str):
         if source and name and (found := assigned_json(source, name)):
             yield (found,)
-
-
-@udtf(returnType="name string, size long, content binary")
-class TarEntries:
-    """Files of a USTAR archive (binary). Names that leave the archive, and broken headers, raise an error."""
-
-    def eval(self, data: bytes):
-        import io
-        import tarfile
-
-        if not data:
-            return
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
-            for entry in tar:
-                if entry.name.startswith("/") or ".." in entry.name.split("/") or "\\" in entry.name:
-                    raise ValueError(f"unsafe name {entry.name!r}")
-                if entry.isfile():
-                    yield entry.name, entry.size, tar.extractfile(entry).read()

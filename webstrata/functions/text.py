@@ -157,11 +157,8 @@ CHARSETS = {"utf-8": "utf-8", "utf8": "utf-8", "shift_jis": "shift_jis", "shift-
 
 def charset_name(label: Column) -> Column:
     """The encoding a label stands for; null if unknown."""
-    label = F.lower(F.trim(F.regexp_replace(label, "^[\"']|[\"']$", "")))
-    out = F.lit(None).cast("string")
-    for k, v in CHARSETS.items():
-        out = F.when(label == k, v).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for pair in CHARSETS.items() for x in pair])
+    return F.try_element_at(names, F.lower(F.trim(F.regexp_replace(label, "^[\"']|[\"']$", ""))))
 
 
 def detect_charset(content_type: Column, body: Column) -> Column:

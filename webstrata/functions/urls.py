@@ -66,10 +66,9 @@ CANONICAL = r"^https?://[a-z0-9.-]++(?:/(?!\.)[!$&'()*+,\-.0-9:;=@A-Z\[\]_a-z|~]
 def parts(url: Column) -> Column:
     """struct<scheme, host, port, path, query, fragment, href, origin> of an absolute http(s) URL without credentials, else null.
 
-    Canonical URLs are cut by generated code alone; only others are resolved and encoded.
+    Canonical URLs are only cut; others are resolved and encoded. Where a URL is a column, ``parsed`` cuts it in generated code.
     """
-    t = F.trim(url)
-    return F.when(t.rlike(CANONICAL), _cut(t)).otherwise(_resolved(t))
+    return let(F.trim(url), lambda t: F.when(t.rlike(CANONICAL), _cut(t)).otherwise(_resolved(t)))
 
 
 def parsed(df: DataFrame, url: str, name: str = "_p") -> DataFrame:

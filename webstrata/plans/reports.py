@@ -159,13 +159,6 @@ def _(s, d):
     return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "status")
 
 
-@query("JN3_GRF9_line_changes", "SELECT page_id, 1 AS added, 1 AS removed FROM pages WHERE page_id % 3 = 0")
-def _(s, d):
-    p = T(s, d, "pages").filter("page_id % 3 = 0").select(F.lit(1).alias("archive_id"), F.col("page_id").alias("ordinal"), "page_id", F.concat(F.lit("https://d.example/"), F.col("page_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("requested_url"), F.lit("t").alias("title"), F.lit("<p>a</p><p>b</p><p>c</p>").alias("html"))
-    out = P.line_changes(P.archive_diff(p.withColumn("html", F.lit("<p>a</p><p>x</p><p>c</p>")), p))
-    return out.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "added", "removed")
-
-
 @query("JN4_page_index", cte("captures") + "SELECT archive_id, min(ordinal) AS ordinal, CASE WHEN page_id % 13 = 0 THEN 'https://start.example/in' ELSE url END AS key FROM captures WHERE html <> '' GROUP BY archive_id, key")
 def _(s, d):
     return P.page_index(view(s, d, "captures")).select("archive_id", "ordinal", "key")
@@ -197,12 +190,6 @@ def _(s, d):
     return P.latest_by_url(P.parse_index_lines(e.unionByName(noise))).select("line_no", "url", "text")
 
 
-@query("JN6_shared_links", cte("captures") + "SELECT page_id, url AS via FROM captures UNION SELECT page_id, requested_url FROM captures WHERE requested_url IS NOT NULL")
-def _(s, d):
-    c = view(s, d, "captures")
-    return c.select("page_id", F.explode(F.array_distinct(F.array("url", "requested_url"))).alias("via")).filter("via is not null")
-
-
 @query("JN8_page_history", cte("captures", "archives") + """
 SELECT a.archive_id, a.saved_at FROM archives a WHERE status <> 'running' AND archive_id IN (SELECT archive_id FROM captures WHERE url = (SELECT url FROM pages WHERE page_id = 7)) ORDER BY saved_at DESC LIMIT 60""")
 def _(s, d):

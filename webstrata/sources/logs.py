@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +49,54 @@ def write_by_day(records: DataFrame, path: str, ts: str = "ts") -> None:
 
 
 def store_blobs(bodies: DataFrame, path: str) -> DataFrame:
-    """Write each distinct body once, in folders by the first two digits of its SHA-256; returns (id, digest, size) of all."""
-    hashed = bodies.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body"))
+    """Write each distinct body once, in folders by the first two digits of its SHA-256; returns (id, digest, size) of all.
+
+    A stored body counts only if it still has its digest; a damaged one is written again, and ``read_blobs`` gives whole ones only, each once,
+    so that two runs at once do no harm.
+    """
+    hashed = bodies.withColumn("digest", F.sha2("body", 256)).withColumn("size", F.octet_length("body").cast("long"))
     once = hashed.groupBy("digest").agg(F.first("body").alias("body")).withColumn("prefix", F.substring("digest", 1, 2))
     try:
-        have = bodies.sparkSession.read.parquet(path).select("digest")
-        once = once.join(have, "digest", "left_anti")
-    except Exception as e:  # nothing stored yet
+        once = once.join(read_blobs(bodies.sparkSession, path).select("digest"), "digest", "left_anti")
+    except AnalysisException as e:  # nothing stored yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
     once.write.mode("append").partitionBy("prefix").parquet(path)
     return hashed.select("id", "digest", "size")
 
 
+def read_blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(digest, body): stored bodies that have the digest they are filed under, each once."""
+    rows = spark.read.schema("digest string, body binary, prefix string").parquet(path)
+    return rows.filter(F.sha2("body", 256) == F.col("digest")).groupBy("digest").agg(F.first("body").alias("body"))
+
+
+def page_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, url, title) of the latest entry of each URL; the texts of the index aren't parsed."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.from_json("value", "url string, title string").alias("r"))
+    kept = lines.select("line_no", "r.url", "r.title").filter("url is not null")
+    return kept.groupBy("url").agg(F.min("line_no").alias("line_no"), F.max_by("title", "line_no").alias("title"))
+
+
+def recent_files(files: DataFrame, limit: int = 10) -> DataFrame:
+    """The newest log files (name, modified): by time, then by name, both downwards."""
+    return files.filter(F.col("name").endswith(".jsonl")).orderBy(F.desc("modified"), F.desc("name")).limit(limit)
+
+
+def log_tail(spark: SparkSession, folder: str, lines: int, limit: int = 10) -> DataFrame:
+    """The last ``lines`` records (event_id, level) of the newest files of a log folder."""
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("modificationTime").alias("modified"))
+    newest = recent_files(found, limit)
+    rows = spark.read.schema("event_id long, level string").json(folder).select("*", F.col("_metadata.file_name").alias("name"), F.monotonically_increasing_id().alias("_n"))
+    kept = rows.join(F.broadcast(newest), "name")  # at most ``limit`` rows
+    return kept.orderBy(F.desc("modified"), F.desc("name"), F.desc("_n")).limit(lines).select("event_id", "level")
+
+
+def expire_days(spark: SparkSession, path: str, today, keep: int = 7) -> DataFrame:
+    """The records of day partitions that aren't older than ``keep`` days; older folders aren't read."""
+    return spark.read.parquet(path).filter(F.datediff(today, F.col("day")) < keep)
+
+
 def valid_blobs(files: DataFrame) -> DataFrame:
     """Files (path) that are blobs: a folder of two hex digits and a name of 64 that begins with them."""
     name, folder = F.element_at(F.split("path", "/"), -1), F.element_at(F.split("path", "/"), -2)

@@ -39,19 +39,22 @@ def warc_record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n", mtime=0)
 
 
-def read_members(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers in lower case, block) of each member; ValueError on a record that breaks off."""
-    at = 0
-    while at < len(data):
-        unpack = zlib.decompressobj(wbits=31)
-        raw = unpack.decompress(data[at:])
-        head, _, rest = raw.partition(b"\r\n\r\n")
+def read_members(stream, block: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers in lower case, block) of each member of a binary stream; one member is held at a time. ValueError on a record that breaks off."""
+    at, ahead = 0, stream.read(block)
+    while ahead:
+        unpack, raw, used = zlib.decompressobj(wbits=31), bytearray(), 0
+        while ahead and not unpack.eof:
+            raw += unpack.decompress(ahead)
+            used += len(ahead) - len(unpack.unused_data)
+            ahead = unpack.unused_data or stream.read(block)
+        head, _, rest = bytes(raw).partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "replace").split("\r\n")
         if not unpack.eof or not lines[0].startswith("WARC/"):
             raise ValueError(f"no whole WARC record at {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
         yield at, fields, rest[: int(fields["content-length"])]
-        at = len(data) - len(unpack.unused_data)
+        at += used
 
 
 def _store(path: str):
@@ -60,6 +63,17 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
+def files_of(path: str, endings: tuple[str, ...]) -> list[str]:
+    """A file, or the files of a folder with one of the endings."""
+    from pyarrow import fs
+
+    store, at = _store(path)
+    info = store.get_file_info(at)
+    files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at))
+    scheme = path.split("://")[0] + "://" if "://" in path else "file://"
+    return [scheme + f.path for f in files if f.path.endswith(endings)]
+
+
 @dataclass
 class File(InputPartition):
     path: str
@@ -70,20 +84,13 @@ class WarcReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[File]:
-        from pyarrow import fs
-
-        store, at = _store(self.path)
-        info = store.get_file_info(at)
-        files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(at))
-        scheme = self.path.split("://")[0] + "://" if "://" in self.path else "file://"
-        return [File(scheme + f.path) for f in files if f.path.endswith((".warc.gz", ".warc"))]
+        return [File(f) for f in files_of(self.path, (".warc.gz", ".warc"))]
 
     def read(self, partition: File) -> Iterator[tuple]:
         store, at = _store(partition.path)
         with store.open_input_stream(at, compression=None) as f:
-            data = f.read()
-        for offset, h, block in read_members(data):
-            yield h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), block, h.get("warc-block-digest"), partition.path, offset
+            for offset, h, block in read_members(f):
+                yield h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), block, h.get("warc-block-digest"), partition.path, offset
 
 
 @dataclass
