@@ -3,8 +3,8 @@
 A document is its set of word shingles. Its signature has SYMBOLS min-hash values; the first INDEXED of them are the index:
 two signatures within RADIUS differing symbols must, by pigeonhole, have a chunk of CHUNK symbols with at most
 RADIUS // chunks errors. The allowed errors of each chunk are enumerated by leaving symbols out, so every such pair shares a key of
-CHUNK - ERRORS symbols. While some key has more members outside its largest component than fit into a block, each document is first compared with one other
-of its keys' members, on full sets; that joins most of a large group at a cost in proportion to its size. Then the pairs of different components that share
+CHUNK - ERRORS symbols. While a key with more members than fit into a block holds several components and it helps, each document is first compared with one other
+member of its keys, on full sets; that joins a large group at a cost in proportion to its size. Then the pairs of different components that share
 a key are compared by whole signatures, and what may be linked is confirmed on full sets, inside blocks of bounded size. Links that only repeat
 a known component aren't looked for; no link between components is lost.
 """
@@ -27,8 +27,8 @@ KEEP = [(c, left) for c in range(INDEXED // CHUNK) for left in combinations(rang
 #: whole signatures: of 64 symbols that agree with probability 0.8, 36 or more do but for 1 in 100,000 pairs
 AGREE = 36
 BLOCK, CONFIRM_BLOCK = 1024, 256
-#: most rounds of comparing with a leader; shared keys that make a leader worth comparing on full sets
-LEADER_ROUNDS, LEADER_KEYS = 6, 4
+#: most rounds of comparing with a leader; the keys that have one: the first of each chunk
+LEADER_ROUNDS, LEADER_KEYS = 6, range(0, len(KEEP), len(KEEP) * CHUNK // INDEXED)
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 XOR, MULTIPLY = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64), _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -289,20 +289,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Deal the members of each key (key, id, component) to pairs of blocks of about ``size`` members, so a group of any size is many bounded tasks.
+    """Deal the members of each key (key, id, component) that holds several components to pairs of blocks of about ``size`` members, so a group of any size is many bounded tasks.
 
     The members of a key's largest component aren't compared with each other: they only meet those of other components. Adds part, low and high.
     """
-    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    shape = materialize(each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("of_main"), F.sum("n").alias("members")).filter(F.col("members") > F.col("of_main")))
-    dealt = rows.join(shape, "key")
-    is_main, count = F.col("component") == F.col("main"), lambda n: F.ceil(F.col(n) / size).cast("int")
-    dealt = dealt.withColumn("members", F.col("members") - F.col("of_main")).withColumn("rest", count("members")).withColumn("mains", count("of_main"))
+    dealt = rows.join(materialize(_shapes(rows).filter(F.col("rest") > 0)), "key")
+    is_main, blocks = F.col("component") == F.col("main"), lambda n: F.ceil(F.col(n) / size).cast("int")
+    dealt = dealt.withColumn("rest", blocks("rest")).withColumn("mains", blocks("of_main"))
     spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     dealt = dealt.withColumn("part", F.when(is_main, F.col("rest") + spread("mains")).otherwise(spread("rest")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(is_main, 0).otherwise(F.col("mains")))))
     dealt = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other"))
-    return dealt.drop("other", "rest", "mains", "members", "main", "of_main")
+    return dealt.drop("other", "rest", "mains", "main", "of_main")
+
+
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(key, main, of_main, rest): the largest component of each key, its members and those of others."""
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    return each.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("of_main"), (F.sum("n") - F.max("n")).alias("rest"))
 
 
 def _by_block(rows: DataFrame, then: str) -> DataFrame:
@@ -325,21 +329,12 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
     first = known.join(classes.select("set1", "set2", F.col("id").alias("doc_id")), ["set1", "set2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
     first = materialize(first.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "packed", "keys"))
     payload = first.drop("keys")
-    # signatures are joined last: until then only keys and ids move
-    keyed = first.select("id", F.posexplode("keys").alias("at", "key"))
-    several = materialize(keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key"))
-    members = materialize(keyed.join(several, "key", "left_semi"))
-
-    def open_keys(component: DataFrame | None) -> DataFrame:
-        """Members of keys that hold several components, with theirs."""
-        if component is None:
-            return members.withColumn("component", F.col("id"))
-        rows = materialize(members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        return materialize(rows.join(materialize(rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")), "key", "left_semi"))
-
-    def crowded(rows: DataFrame) -> bool:
-        each = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-        return each.groupBy("key").agg((F.sum("n") - F.max("n")).alias("rest")).filter(F.col("rest") > BLOCK).limit(1).count() > 0
+
+    def keyed(component: DataFrame, at: Iterable[int]) -> DataFrame:
+        """(id, component, at, key) for some of the keys; only these move until blocks are dealt."""
+        chosen = F.array(*[F.struct(F.lit(i).alias("at"), F.col("keys")[i].alias("key")) for i in at])
+        rows = first.join(component, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode(chosen).alias("k"))
+        return rows.select("id", "component", "k.at", "k.key")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = marked(docs, "doc_id", ids, "id").filter("_maybe").select("doc_id", "text")
@@ -348,10 +343,11 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
 
     def led(rows: DataFrame, seed: int) -> DataFrame:
         """Links of each id with the leader it shares most keys with. A key's leader is the member whose id has the smallest hash."""
-        leaders = materialize(rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(seed), "id")).alias("leader")))
-        pairs = rows.join(leaders, "key").filter("component <> leader.component").groupBy("id", F.col("leader.id").alias("leader")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEADER_KEYS)
+        leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(seed), "id")).alias("leader"), F.min("component").alias("a"), F.max("component").alias("b"))
+        leaders = materialize(leaders.filter("a < b").select("key", "leader"))
+        pairs = rows.join(leaders, "key").filter("component <> leader.component").groupBy("id", F.col("leader.id").alias("leader")).agg(F.count("*").alias("n"))
         pairs = materialize(pairs.groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")))
-        sets = materialize(sets_of(materialize(pairs.select("id").union(pairs.select("leader")).distinct())))
+        sets = materialize(sets_of(pairs.select("id").union(pairs.select("leader")).distinct()))
         parts = materialize(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CONFIRM_BLOCK).cast("int").alias("parts")))
         own = pairs.join(parts, "leader").join(sets, "id").select("leader", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("salt"), "id", F.lit(True).alias("member"), "shingles")
         centre = parts.join(sets, F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "id", F.lit(False).alias("member"), "shingles")
@@ -359,30 +355,32 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
         dealt = own.unionByName(centre).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "member")
         return dealt.mapInArrow(_confirm_star, "a long, b long")
 
-    def promising(rows: DataFrame) -> DataFrame:
-        rows = _blocks(rows, BLOCK).join(payload, "id")
+    def promising(component: DataFrame) -> DataFrame:
+        rows = _blocks(keyed(component, range(len(KEEP))), BLOCK).join(payload, "id")
         dealt = _by_block(rows.select(*BLOCK_KEY, "id", "at", "component", "part", "n_shingles", "sketch", "packed"), "n_shingles")
         return dealt.mapInArrow(_promising, "key long, id long, component long, partners long")
 
     def confirmed(found: DataFrame) -> DataFrame:
-        rows = _blocks(found, CONFIRM_BLOCK).join(sets_of(materialize(found.select("id").distinct())), "id").select(*BLOCK_KEY, "id", "component", "shingles")
+        rows = _blocks(found, CONFIRM_BLOCK).join(sets_of(found.select("id").distinct()), "id").select(*BLOCK_KEY, "id", "component", "shingles")
         return _by_block(rows, "id").mapInArrow(_confirm, "a long, b long")
 
-    links = df.sparkSession.createDataFrame([], "a long, b long")
-    rows = open_keys(None)
+    links = component = None
+    none = df.sparkSession.createDataFrame([], "id long, component long")
     for seed in range(LEADER_ROUNDS):
-        if not crowded(rows):
+        rows = keyed(none if component is None else component, LEADER_KEYS)
+        if not _shapes(rows).filter((F.col("rest") > 0) & (F.col("of_main") + F.col("rest") > BLOCK)).limit(1).count():
             break
         found = materialize(led(rows, seed))
         if not found.limit(1).count():
             break
-        links = links.union(found)
-        rows = open_keys(connected_components(links))
+        links = found if links is None else links.union(found)
+        component = connected_components(links)
     # then all blocks that still hold several components
-    left = materialize(promising(rows).select("key", "id", "component").distinct())
+    left = materialize(promising(none if component is None else component).select("key", "id", "component").distinct())
     if left.limit(1).count():
-        links = links.union(materialize(confirmed(left)))
-    component = connected_components(links)
+        found = materialize(confirmed(left))
+        component = connected_components(found if links is None else links.union(found))
+    component = none if component is None else component
     named = classes.select("set1", "set2", "id").join(component, "id", "left").select("set1", "set2", F.coalesce("component", "id").alias("component"))
     named = materialize(named)
     # ids with several texts carry their smallest component along
