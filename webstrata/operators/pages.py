@@ -263,6 +263,13 @@ def image_variant(requests: DataFrame, resources: DataFrame) -> DataFrame:
     return requests.withColumn("key", urls.image_variant_key(F.col("target"))).join(best, ["archive_id", "key"]).select("archive_id", "target", "url")
 
 
+def page_variants(requests: DataFrame, resources: DataFrame, variants: DataFrame) -> DataFrame:
+    """(archive_id, url, page_url, digest, variant): the body a page saw where its own is kept, else the resource's. Requests (archive_id, url, page_url) without a resource are left out."""
+    rows = requests.join(resources.select("archive_id", "url", F.col("digest").alias("_usual")), ["archive_id", "url"])
+    rows = rows.join(variants.select("archive_id", "url", "page_url", F.col("digest").alias("_own")), ["archive_id", "url", "page_url"], "left")
+    return rows.select("archive_id", "url", "page_url", F.coalesce("_own", "_usual").alias("digest"), F.col("_own").isNotNull().alias("variant"))
+
+
 def resolve_resource(requests: DataFrame, resources: DataFrame, aliases: DataFrame) -> DataFrame:
     """(archive_id, target, url, via): direct, by alias, by query variant or by image size; the first that holds. url is null if none does."""
     have = resources.select("archive_id", "url").distinct()

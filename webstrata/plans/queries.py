@@ -47,12 +47,16 @@ def _(s, d):
     return view(s, d, "archives").select("archive_id", urls.registrable_domain(urls.parts(F.col("start_url"))["host"]).alias("domain"))
 
 
-@query("URL3_classify_scope", cte("links") + f"""
-SELECT src, dst, count(*) AS n, CASE WHEN {HOST.format('src')} = {HOST.format('dst')} THEN 'origin' WHEN split_part({HOST.format('dst')}, '.', 2) = 'example' AND split_part({HOST.format('src')}, '.', 2) = 'example' AND {HOST.format('dst')} = {HOST.format('src')} THEN 'site' ELSE 'external' END AS scope FROM links GROUP BY ALL""")
+@query("URL3_classify_scope", cte("links") + f""", l AS (SELECT DISTINCT src, dst, (length(dst) + length(src)) % 4 AS k FROM links), u AS (SELECT src, dst, 'https://' || CASE k WHEN 0 THEN 'www.' WHEN 1 THEN 'gamma.' ELSE '' END || regexp_replace({HOST.format('src')}, 'example', 'example.co.uk') || '/' AS a, 'https://' || CASE k WHEN 1 THEN 'docs.gamma.' WHEN 2 THEN 'm.' ELSE '' END || regexp_replace({HOST.format('dst')}, 'example', 'example.co.uk') || '/x' AS b FROM l),
+h AS (SELECT src, dst, {HOST.format('a')} AS a, {HOST.format('b')} AS b FROM u), t AS (SELECT *, array_to_string(list_slice(string_split(a, '.'), CASE WHEN a LIKE '%.co.uk' THEN -3 ELSE -2 END, -1), '.') AS da, array_to_string(list_slice(string_split(b, '.'), CASE WHEN b LIKE '%.co.uk' THEN -3 ELSE -2 END, -1), '.') AS db FROM h)
+SELECT src, dst, CASE WHEN a = b THEN 'origin' WHEN da = db THEN 'site' WHEN contains(a, 'gamma') AND contains(b, 'gamma') THEN 'keyword-site' ELSE 'external' END AS scope FROM t""")
 def _(s, d):
-    # .example hosts here have two labels, so each is a domain of its own
-    out = view(s, d, "links").withColumn("scope", urls.classify_scope(F.col("src"), F.col("dst"), F.array().cast("array<string>")))
-    return out.groupBy("src", "dst", "scope").agg(F.count("*").alias("n"))
+    host = lambda c: F.regexp_replace(urls.parts(F.col(c))["host"], "example", "example.co.uk")
+    k = (F.length("dst") + F.length("src")) % 4
+    a = F.concat(F.lit("https://"), F.when(k == 0, "www.").when(k == 1, "gamma.").otherwise(""), host("src"), F.lit("/"))
+    b = F.concat(F.lit("https://"), F.when(k == 1, "docs.gamma.").when(k == 2, "m.").otherwise(""), host("dst"), F.lit("/x"))
+    rows = view(s, d, "links").select("src", "dst").distinct().select("src", "dst", a.alias("a"), b.alias("b"))
+    return rows.select("src", "dst", urls.classify_scope(F.col("a"), F.col("b"), F.array(F.lit("gamma"))).alias("scope"))
 
 
 @query("URL4_keyword_matches_host", cte("archives") + f"SELECT archive_id, regexp_matches({HOST.format('start_url')}, '(^|[.-])docs([.-]|$)') AS matches FROM archives")
@@ -97,10 +101,14 @@ def _(s, d):
     return view(s, d, "resources").select("url").distinct().select("url", urls.stable_query(F.col("url")).alias("stable"))
 
 
-@query("URL11_image_variant_key", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'ytimg:abcdef' || user_id END AS key FROM events")
+@query("URL11_image_variant_key", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ytimg:abcdef' || user_id WHEN 1 THEN 'ytimg:abcdef' || user_id WHEN 2 THEN 'sized:lh' || (user_id % 7) || '.googleusercontent.com/photograph-' || user_id END AS key FROM events")
 def _(s, d):
-    clip = F.concat(F.lit("https://i1.ytimg.com/vi/abcdef"), F.col("user_id").cast("string"), F.lit("/hq720.jpg"))
-    return T(s, d, "events").select("event_id", urls.image_variant_key(F.when(F.col("event_id") % 2 == 0, clip).otherwise("https://a.example/x.jpg")).alias("key"))
+    k, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    clip = F.concat(F.lit("https://i1.ytimg.com/vi/abcdef"), u, F.lit("/hq720.jpg"))
+    webp = F.concat(F.lit("https://i.ytimg.com/an_webp/abcdef"), u, F.lit("/mqdefault.webp?x=1"))
+    sized = F.concat(F.lit("https://lh"), (F.col("user_id") % 7).cast("string"), F.lit(".googleusercontent.com/photograph-"), u, F.lit("=w"), F.col("event_id").cast("string"))
+    url = F.when(k == 0, clip).when(k == 1, webp).when(k == 2, sized).when(k == 3, "https://i1.ytimg.com/other/abcdefgh/x.jpg").otherwise("https://a.example/x.jpg")
+    return T(s, d, "events").select("event_id", urls.image_variant_key(url).alias("key"))
 
 
 @query("URL12_endpoint_key", "SELECT page_id, regexp_extract(url, '^[^?#]*') AS endpoint FROM pages")
@@ -137,12 +145,13 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", urls.safe_url(F.col("url"), "key").alias("safe"))
 
 
-@query("URL17_URL18_archived_path", "SELECT page_id, url AS back FROM pages")
+@query("URL17_URL18_archived_path", "SELECT page_id, '/archive/' || page_id || '/resource?url=' || replace(url_encode(split_part(url, '#', 1)), '%2A', '*') || regexp_extract(url, '#.*$') AS path, url AS back FROM pages")
 def _(s, d):
-    return T(s, d, "pages").select("page_id", urls.original_target(urls.archived_path(F.col("page_id"), F.col("url"))).alias("back"))
+    path = urls.archived_path(F.col("page_id"), F.col("url"))
+    return T(s, d, "pages").select("page_id", path.alias("path"), urls.original_target(path).alias("back"))
 
 
-@query("URL19_page_seed")
+@query("URL19_page_seed", "SELECT page_id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda c: CAST(unicode(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS seed FROM pages")
 def _(s, d):
     return T(s, d, "pages").select("page_id", urls.page_seed(F.col("url")).alias("seed"))
 
@@ -183,15 +192,20 @@ def _(s, d):
     return P.page_links(T(s, d, "pages")).select("page_id", "dst")
 
 
-@query("TXT5_asset_references")
+@query("TXT5_asset_references", f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS o, regexp_extract(url, '^https?://[^/?#]*') || CASE WHEN {PATH.format('url')} = '' THEN '/' ELSE regexp_replace({PATH.format('url')}, '[^/]*$', '') END AS dir FROM pages)
+SELECT page_id, o || '/i/' || page_id || '.png' AS ref FROM u UNION ALL SELECT page_id, dir || unnest(['a.png', 'b,c.png', 'fav.ico', 'bg.png']) FROM u""")
 def _(s, d):
     extra = F.concat("html", F.lit("<img src=\"/i/"), F.col("page_id").cast("string"), F.lit(".png\" srcset=\"a.png 1x, b,c.png 2x\"><link rel=\"icon\" href=\"fav.ico\"><div style=\"background:url(bg.png)\"></div>"))
     return P.asset_references(T(s, d, "pages").withColumn("html", extra))
 
 
-@query("TXT6_css_references", "SELECT page_id, unnest(['https://c.example/s/a' || page_id || '.png', 'https://c.example/b.css']) AS ref FROM pages")
+@query("TXT6_css_references", "SELECT page_id, 'https://c.example/s/a' || page_id || '.png' AS ref FROM pages UNION SELECT page_id, 'https://c.example/b' || (page_id % 3) || '.css' FROM pages WHERE page_id % 2 = 0 UNION SELECT page_id, 'https://d.example/' || unnest(range(page_id % 4)) || '/f.woff2' FROM pages")
 def _(s, d):
-    css = F.concat(F.lit("a{background:url('a"), F.col("page_id").cast("string"), F.lit(".png')} @import \"/b.css\"; b{background:url(data:x)}"))
+    k = F.col("page_id").cast("string")
+    fonts = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit('src: url("//d.example/'), (i - 1).cast("string"), F.lit('/f.woff2#iefix") format("woff2");')))), "")
+    rule = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('@import "/b'), (F.col("page_id") % 3).cast("string"), F.lit('.css";'))).otherwise("@import url(data:text/css,x);")
+    css = F.concat(F.lit("a{background:url('a"), k, F.lit(".png')} b{background:URL( a"), k, F.lit(".png )} "), rule, F.coalesce(fonts, F.lit("")), F.lit(" c{background:url(data:x)}"))
     return T(s, d, "pages").select("page_id", F.explode(text.css_references(css, F.lit("https://c.example/s/m.css"))).alias("ref"))
 
 
@@ -201,9 +215,12 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", text.document_base(html, F.col("url")).alias("base"))
 
 
-@query("TXT8_srcset", "SELECT page_id, unnest(['a' || page_id || '.png', 'b,c.png', 'd.png']) AS u FROM pages")
+@query("TXT8_srcset", "SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN ['a' || page_id || '.png', 'b,c.png', 'd.png'] WHEN 1 THEN ['one.png'] WHEN 2 THEN list_transform(range(page_id % 9), lambda i: 'w' || i || '.webp') ELSE ['p.png', 'q(1,2).png'] END) AS u FROM pages")
 def _(s, d):
-    return T(s, d, "pages").select("page_id", F.explode(P.srcset_urls(F.concat(F.lit("a"), F.col("page_id").cast("string"), F.lit(".png 1x, b,c.png 2x,d.png")))).alias("u"))
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 4
+    many = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), (F.col("page_id") % 9).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("w"), (i - 1).cast("string"), F.lit(".webp "), (i * 100).cast("string"), F.lit("w")))), lambda x: x.isNotNull()), " ,\n ")
+    value = F.when(n == 0, F.concat(F.lit("a"), k, F.lit(".png 1x, b,c.png 2x,d.png"))).when(n == 1, "  one.png  ").when(n == 2, many).otherwise("p.png (max-width: 3px, x), q(1,2).png 2x")
+    return T(s, d, "pages").select("page_id", F.explode(P.srcset_urls(value)).alias("u"))
 
 
 @query("TXT9_script_references", "SELECT page_id, unnest(['https://s.example/a/m' || page_id || '.js', 'https://s.example/lib/x.mjs']) AS ref FROM pages")
@@ -218,9 +235,11 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", text.hls_targets(body, F.lit("https://m.example/v/i.m3u8")).alias("h")).select("page_id", "h.playlists", "h.segments")
 
 
-@query("TXT12_iso_duration", "SELECT event_id, CAST(event_id % 5 * 86400 + user_id * 60 + 1.5 AS DOUBLE) AS seconds FROM events")
+@query("TXT12_iso_duration", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id % 5 * 86400 + user_id * 60 + 1.5 AS DOUBLE) WHEN 1 THEN CAST(user_id * 3600 AS DOUBLE) WHEN 2 THEN round(value, 2) END AS seconds FROM events")
 def _(s, d):
-    value = F.concat(F.lit("P"), (F.col("event_id") % 5).cast("string"), F.lit("DT"), F.col("user_id").cast("string"), F.lit("M1.5S"))
+    n, u = F.col("event_id") % 4, F.col("user_id").cast("string")
+    whole = F.concat(F.lit("P"), (F.col("event_id") % 5).cast("string"), F.lit("DT"), u, F.lit("M1.5S"))
+    value = F.when(n == 0, whole).when(n == 1, F.concat(F.lit("pt"), u, F.lit("h"))).when(n == 2, F.concat(F.lit("PT"), F.round("value", 2).cast("string"), F.lit("S"))).otherwise(F.concat(u, F.lit(" seconds")))
     return T(s, d, "events").select("event_id", text.iso_duration_seconds(value).alias("seconds"))
 
 
@@ -254,9 +273,11 @@ def _(s, d):
     return R.body_leaves(T(s, d, "events").select(F.col("event_id").alias("id"), body.alias("body")))
 
 
-@query("TXT21_identity_leaf", "SELECT event_id, event_id % 2 = 0 AS identity FROM events")
+@query("TXT21_identity_leaf", "SELECT event_id, event_id % 6 IN (0, 2, 3) AS identity FROM events")
 def _(s, d):
-    path = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("a.videoId."), F.col("user_id").cast("string"))).otherwise("a.video")
+    u = F.col("user_id").cast("string")
+    paths = [F.concat(F.lit("a.videoId."), u), F.lit("a.video"), F.lit("ID"), F.concat(F.lit("variables."), u, F.lit(".handle")), F.concat(F.lit("id."), u, F.lit(".name")), F.lit("valid")]
+    path = F.element_at(F.array(*paths), (F.col("event_id") % 6 + 1).cast("int"))
     return T(s, d, "events").select("event_id", path.rlike(fixed.IDENTITY_LEAF).alias("identity"))
 
 
@@ -265,9 +286,9 @@ def _(s, d):
     return view(s, d, "archives").select("archive_id", F.size(text.clean_tags(F.col("tags_text"))).cast("long").alias("n"))
 
 
-@query("TXT25_redact", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[a-zA-Z]{2,}')) AS masked FROM (SELECT doc_id, substr(text, 1, 1000) AS text FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$'))")
+@query("TXT25_redact", "SELECT doc_id, len(regexp_extract_all(substr(text, 1, 1000), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[a-zA-Z]{2,}')) AS masked FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    docs = T(s, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    docs = T(s, d, "documents").filter("text is not null")
     return docs.select("doc_id", F.size(F.regexp_extract_all(text.redact(F.col("text")), F.lit(r"\[email-redacted\]"), F.lit(0))).cast("long").alias("masked"))
 
 
@@ -293,6 +314,9 @@ def _(s, d):
     return view(s, d, "archives").select("archive_id", text.export_file_name(F.col("title"), F.col("saved_at"), "wacz").alias("name"))
 
 
-@query("TXT32_readable_bytes", cte("archives") + "SELECT archive_id, CASE WHEN bytes >= 1024 THEN CAST(floor(bytes / 1024 + 0.5) AS BIGINT) || ' KB' ELSE bytes || ' B' END AS label FROM archives WHERE bytes < 1048576")
+SIZE = "bytes * (CASE archive_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 300 WHEN 2 THEN 90000 ELSE 0 END) + archive_id % 1500"
+
+
+@query("TXT32_readable_bytes", cte("archives") + f", b AS (SELECT archive_id, {SIZE} AS n FROM archives) SELECT archive_id, CASE WHEN n >= 1073741824 THEN format('{{:.1f}} GB', n / 1073741824.0) WHEN n >= 1048576 THEN format('{{:.1f}} MB', n / 1048576.0) WHEN n >= 1024 THEN CAST(floor(n / 1024 + 0.5) AS BIGINT) || ' KB' ELSE n || ' B' END AS label FROM b")
 def _(s, d):
-    return view(s, d, "archives").filter("bytes < 1048576").select("archive_id", text.readable_bytes(F.col("bytes")).alias("label"))
+    return view(s, d, "archives").select("archive_id", text.readable_bytes(F.expr(SIZE)).alias("label"))

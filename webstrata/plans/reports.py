@@ -197,11 +197,21 @@ def _(s, d):
     return P.page_history(view(s, d, "captures").select("archive_id", "ordinal", "url", "title"), view(s, d, "archives"), url).select("archive_id", "saved_at")
 
 
-@query("JN9_resolve_resource", cte("resources", "aliases") + f""", {ONE_ALIAS}, asked AS (SELECT DISTINCT archive_id, alias AS target FROM aliases)
-SELECT k.archive_id, k.target, CASE WHEN EXISTS (SELECT 1 FROM one o JOIN resources r ON r.archive_id = o.archive_id AND r.url = o.target WHERE o.archive_id = k.archive_id AND o.alias = k.target) THEN 'alias' ELSE 'none' END AS via FROM asked k""")
+IMAGES = """i AS (SELECT o_orderkey AS archive_id, 'https://i.ytimg.com/vi/clip' || (o_orderkey % 900) || 'x/' || CASE WHEN o_custkey % 2 = 0 THEN 'hqdefault' ELSE 'default' END || '.jpg' AS url, 'https://i.ytimg.com/vi/clip' || (o_orderkey % 900) || 'x/hq720.jpg' AS target FROM orders)"""
+
+
+@query("JN9_resolve_resource", cte("resources", "aliases") + f""", {ONE_ALIAS}, {IMAGES}, k AS (SELECT DISTINCT archive_id, alias AS target FROM aliases UNION SELECT DISTINCT archive_id, CASE ordinal % 3 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, 'v=[0-9]+', 'v=999') ELSE split_part(url, '?', 1) || '?id=77' END FROM resources UNION SELECT archive_id, target FROM i),
+good AS (SELECT archive_id, split_part(url, '?', 1) || '|' || regexp_extract(url, 'id=([0-9]+)', 1) AS key FROM resources WHERE status < 400 AND size > 0)
+SELECT k.archive_id, k.target, CASE WHEN (k.archive_id, k.target) IN (SELECT (archive_id, url) FROM resources) THEN 'direct' WHEN (k.archive_id, k.target) IN (SELECT (o.archive_id, o.alias) FROM one o JOIN resources r ON r.archive_id = o.archive_id AND r.url = o.target) THEN 'alias'
+ WHEN contains(k.target, '?') AND (k.archive_id, split_part(k.target, '?', 1) || '|' || regexp_extract(k.target, 'id=([0-9]+)', 1)) IN (SELECT (archive_id, key) FROM good) THEN 'query-variant' WHEN k.target LIKE 'https://i.ytimg.com/%' THEN 'image-size' ELSE 'none' END AS via FROM k""")
 def _(s, d):
-    asked = view(s, d, "aliases").select("archive_id", F.col("alias").alias("target")).distinct()
-    return P.resolve_resource(asked, view(s, d, "resources"), one_alias(s, d)).select("archive_id", "target", "via")
+    res, clip = view(s, d, "resources"), F.concat(F.lit("https://i.ytimg.com/vi/clip"), (F.col("o_orderkey") % 900).cast("string"), F.lit("x/"))
+    images = T(s, d, "orders").select(F.col("o_orderkey").alias("archive_id"), F.lit(0).cast("long").alias("ordinal"), F.concat(clip, F.when(F.col("o_custkey") % 2 == 0, "hqdefault").otherwise("default"), F.lit(".jpg")).alias("url"), F.lit("image/jpeg").alias("mime_type"), F.lit(200).alias("status"), F.lit(9).cast("long").alias("size"), F.concat(clip, F.lit("hq720.jpg")).alias("target"))
+    n = F.col("ordinal") % 3
+    asked = res.select("archive_id", F.when(n == 0, F.col("url")).when(n == 1, F.regexp_replace("url", "v=[0-9]+", "v=999")).otherwise(F.concat(F.substring_index("url", "?", 1), F.lit("?id=77"))).alias("target"))
+    asked = asked.union(view(s, d, "aliases").select("archive_id", "alias")).union(images.select("archive_id", "target")).distinct()
+    every = res.select("archive_id", "ordinal", "url", "mime_type", "status", "size").unionByName(images.drop("target"))
+    return P.resolve_resource(asked, every, one_alias(s, d)).select("archive_id", "target", "via")
 
 
 @query("JN10_query_variant", cte("resources") + """, r AS (SELECT archive_id, ordinal, url, split_part(url, '?', 1) AS at, regexp_extract(url, 'id=([0-9]+)', 1) AS id FROM resources WHERE status < 400 AND size > 0),
@@ -224,11 +234,14 @@ def _(s, d):
     return P.image_variant(asked, res).select("archive_id", F.regexp_extract("url", r"e=(\d+)", 1).cast("long").alias("best"))
 
 
-@query("JN13_page_variants", cte("captures") + "SELECT page_id, archive_id, 'v' || (page_id % 3) AS digest FROM captures WHERE page_id % 2 = 0")
+@query("JN13_page_variants", cte("resources") + """, q AS (SELECT DISTINCT archive_id, url, 'p' || (ordinal % 3) AS page_url FROM resources), r AS (SELECT archive_id, url, arg_min(digest, ordinal) AS digest FROM resources GROUP BY ALL), v AS (SELECT archive_id, url, 'p' || (ordinal % 4) AS page_url, max(digest) || 'v' AS digest FROM resources WHERE ordinal % 2 = 0 GROUP BY ALL)
+SELECT q.archive_id, q.url, q.page_url, coalesce(v.digest, r.digest) AS digest, v.digest IS NOT NULL AS variant FROM q JOIN r ON r.archive_id = q.archive_id AND r.url = q.url LEFT JOIN v ON v.archive_id = q.archive_id AND v.url = q.url AND v.page_url = q.page_url""")
 def _(s, d):
-    c = view(s, d, "captures")
-    variants = c.filter("page_id % 2 = 0").groupBy("archive_id", F.concat(F.lit("v"), (F.col("page_id") % 3).cast("string")).alias("digest")).agg(F.collect_list("page_id").alias("pages"))
-    return c.join(variants.select("archive_id", "digest", F.explode("pages").alias("page_id")), ["archive_id", "page_id"]).select("page_id", "archive_id", "digest")
+    res = view(s, d, "resources")
+    page = lambda n: F.concat(F.lit("p"), (F.col("ordinal") % n).cast("string")).alias("page_url")
+    asked = res.select("archive_id", "url", page(3)).distinct()
+    variants = res.filter("ordinal % 2 = 0").groupBy("archive_id", "url", page(4)).agg(F.concat(F.max("digest"), F.lit("v")).alias("digest"))
+    return P.page_variants(asked, res.groupBy("archive_id", "url").agg(F.min_by("digest", "ordinal").alias("digest")), variants)
 
 
 @query("JN14_match_posts", cte("posts") + """, r AS (SELECT archive_id, url, body, min(id) AS response FROM posts WHERE id % 3 = 0 GROUP BY ALL), n AS (SELECT archive_id, url, count(*) AS n, min(id) AS only_one FROM posts WHERE id % 3 = 0 GROUP BY ALL)
@@ -239,10 +252,10 @@ def _(s, d):
     return R.match_posts(p.filter("id % 3 = 1"), p.filter("id % 3 = 0").withColumn("response", F.col("id")))
 
 
-@query("JN15_similar_posts", cte("posts") + """, p AS (SELECT *, id % 11 AS cursor, id % 5 AS a FROM posts WHERE id < 3000), c AS (SELECT q.id, r.id AS response, 1.0 + CASE WHEN q.a = r.a THEN 1 ELSE 0 END AS score FROM p q JOIN p r ON q.archive_id = r.archive_id AND q.url = r.url AND q.cursor = r.cursor AND q.id % 3 = 1 AND r.id % 3 = 0)
+@query("JN15_similar_posts", cte("posts") + """, p AS (SELECT *, id % 11 AS cursor, id % 5 AS a FROM posts), c AS (SELECT q.id, r.id AS response, 1.0 + CASE WHEN q.a = r.a THEN 1 ELSE 0 END AS score FROM p q JOIN p r ON q.archive_id = r.archive_id AND q.url = r.url AND q.cursor = r.cursor AND q.id % 3 = 1 AND r.id % 3 = 0)
 SELECT id, max(score) AS score FROM c GROUP BY id""")
 def _(s, d):
-    p = view(s, d, "posts").filter("id < 3000").withColumn("page_url", F.lit("p"))
+    p = view(s, d, "posts").withColumn("page_url", F.lit("p"))
     body = F.concat(F.lit('{"cursor":'), (F.col("id") % 11).cast("string"), F.lit(',"a":'), (F.col("id") % 5).cast("string"), F.lit("}"))
     leaves = R.body_leaves(p.select("id", body.alias("body")))
     out = R.similar_posts(p.filter("id % 3 = 1"), leaves.filter("id % 3 = 1"), p.filter("id % 3 = 0").withColumn("response", F.col("id")), leaves.filter("id % 3 = 0").withColumnRenamed("id", "response"))
@@ -273,10 +286,10 @@ def _(s, d):
     return A.peer_archives(view(s, d, "archives"))
 
 
-@query("JN21_peer_blobs", cte("resources") + ", w AS (SELECT DISTINCT archive_id, digest, size FROM resources WHERE archive_id < 2000) SELECT * FROM w WHERE EXISTS (SELECT 1 FROM resources r WHERE r.archive_id = w.archive_id + 1 AND r.digest = w.digest AND r.size = w.size)")
+@query("JN21_peer_blobs", cte("resources") + ", w AS (SELECT DISTINCT archive_id, digest, size FROM resources) SELECT * FROM w WHERE EXISTS (SELECT 1 FROM resources r WHERE r.archive_id = w.archive_id + 1 AND r.digest = w.digest AND r.size = w.size)")
 def _(s, d):
     res = view(s, d, "resources")
-    wanted = res.filter("archive_id < 2000").select("archive_id", "digest", "size").distinct()
+    wanted = res.select("archive_id", "digest", "size").distinct()
     return A.peer_blobs(wanted, wanted.select("archive_id", (F.col("archive_id") + 1).alias("peer_id")).distinct(), res)
 
 
@@ -290,12 +303,12 @@ SAVED = "saved AS (SELECT archive_id, url FROM c WHERE k = 'normal' AND NOT part
 
 
 @query("JN24_retry_plan", cte("captures", "blocked") + f""", c AS (SELECT *, {CLASS} AS k, coalesce(requested_url, url) AS asked FROM captures), {SAVED},
-failed AS (SELECT archive_id, asked AS url FROM c WHERE k IN ('error-page', 'missing-html') OR partial UNION SELECT archive_id, url FROM blocked WHERE archive_id < 40 AND depth IS NOT NULL AND NOT regexp_matches(coalesce(reason, ''), '保存済みです|対象外|除外|robots\\.txt|深度上限|範囲外|素材|参照|本文')),
-logins AS (SELECT archive_id, asked AS url FROM c WHERE k = 'login-required' UNION SELECT archive_id, url FROM blocked WHERE archive_id < 40 AND reason LIKE 'ログイン誘導先は保存済みです: %')
+failed AS (SELECT archive_id, asked AS url FROM c WHERE k IN ('error-page', 'missing-html') OR partial UNION SELECT archive_id, url FROM blocked WHERE depth IS NOT NULL AND NOT regexp_matches(coalesce(reason, ''), '保存済みです|対象外|除外|robots\\.txt|深度上限|範囲外|素材|参照|本文')),
+logins AS (SELECT archive_id, asked AS url FROM c WHERE k = 'login-required' UNION SELECT archive_id, url FROM blocked WHERE reason LIKE 'ログイン誘導先は保存済みです: %')
 SELECT archive_id, url, 'login' AS kind FROM logins UNION ALL SELECT f.archive_id, f.url, 'failed' FROM failed f WHERE NOT EXISTS (SELECT 1 FROM saved s WHERE s.archive_id = f.archive_id AND s.url = f.url) AND NOT EXISTS (SELECT 1 FROM logins l WHERE l.archive_id = f.archive_id AND l.url = f.url)""")
 def _(s, d):
     none = s.createDataFrame([], "archive_id long, url string, status string, reason string")
-    return A.retry_plan(classified(s, d), none, view(s, d, "blocked").filter("archive_id < 40")).select("archive_id", "url", "kind")
+    return A.retry_plan(classified(s, d), none, view(s, d, "blocked")).select("archive_id", "url", "kind")
 
 
 # aggregates
@@ -334,7 +347,21 @@ def _(s, d):
     return view(s, d, "resources").select("url", rules.resource_category(F.col("mime_type"), F.col("url"), F.lit(False)).alias("category")).distinct()
 
 
-@query("AGG6_archive_quality")
+QUALITY = f""", {ONE_ALIAS}, {UNRESOLVED}, c AS (SELECT *, scope <> 'external' AS site, {CLASS} AS k FROM captures),
+pg AS (SELECT archive_id, count(*) AS pages, count(*) FILTER (site) AS site_pages, count(*) FILTER (site AND k <> 'normal') AS page_issues, count(*) FILTER (NOT site AND k <> 'normal') AS external_page_issues, bool_or(site AND k IN ('access-challenge', 'login-required')) AS any_blocked FROM c GROUP BY archive_id),
+own AS (SELECT u.archive_id, u.url, {BOUNDARY.replace('(url', '(u.url').replace("'url'", "'u.url'")} AS b, regexp_extract(u.url, '([^./]+\.[^./]+)/', 1) = regexp_extract(a.start_url, '([^./]+\.(example|co\.jp))/', 1) AS site FROM unresolved u JOIN archives a ON a.archive_id = u.archive_id),
+f AS (SELECT archive_id, count(DISTINCT url) FILTER (site AND NOT b) AS hard_blocked, count(DISTINCT url) FILTER (NOT site AND NOT b) AS external_hard_blocked, count(DISTINCT url) FILTER (b) AS boundaries FROM own GROUP BY archive_id),
+m AS (SELECT archive_id, count(*) FILTER (status = 404 AND NOT empty_confirmed) AS runtime_missing, count(*) FILTER (status <> 200) AS reference_missing FROM resources GROUP BY archive_id),
+n AS (SELECT a.archive_id, a.errors, a.status, coalesce(pages, 0) AS pages, coalesce(site_pages, 0) AS site_pages, coalesce(page_issues, 0) AS page_issues, coalesce(external_page_issues, 0) AS external_page_issues, coalesce(any_blocked, false) AS any_blocked, coalesce(hard_blocked, 0) AS hard_blocked, coalesce(external_hard_blocked, 0) AS external_hard_blocked, coalesce(boundaries, 0) AS boundaries,
+ coalesce(runtime_missing, 0) AS runtime_missing, 0 AS auxiliary_missing, 0 AS runtime_boundaries, coalesce(reference_missing, 0) AS reference_missing, m.archive_id IS NOT NULL AS checked FROM archives a LEFT JOIN pg USING (archive_id) LEFT JOIN f USING (archive_id) LEFT JOIN m USING (archive_id)),
+s1 AS (SELECT *, CASE WHEN pages > 0 THEN 100 ELSE 0 END - least(80, page_issues * 25) - least(45, hard_blocked * 3) - least(40, errors * 8) - least(35, runtime_missing * 3) AS s FROM n),
+s2 AS (SELECT *, CASE WHEN checked THEN s ELSE least(s, 94) END - least(45, reference_missing * 3) AS t FROM s1),
+s3 AS (SELECT *, CASE WHEN boundaries > 0 THEN least(t, 94) ELSE t END AS v FROM s2), s4 AS (SELECT *, greatest(0, CASE WHEN status IN ('limit-reached', 'cancelled') THEN least(v, 69) ELSE v END) AS raw, site_pages > 0 AND page_issues = site_pages AS hopeless FROM s3)
+SELECT archive_id, CASE WHEN hopeless THEN CASE WHEN any_blocked THEN 'blocked' ELSE 'failed' END WHEN raw >= 95 AND runtime_missing + reference_missing + hard_blocked + page_issues = 0 THEN 'verified' WHEN raw >= 70 THEN 'good' WHEN raw > 0 THEN 'partial' ELSE 'failed' END AS level, CAST(CASE WHEN hopeless THEN 0 ELSE raw END AS INTEGER) AS score,
+ page_issues, external_page_issues, hard_blocked, external_hard_blocked, boundaries, runtime_missing, auxiliary_missing, runtime_boundaries, reference_missing FROM s4"""
+
+
+@query("AGG6_archive_quality", cte("captures", "blocked", "resources", "aliases", "archives").rstrip() + QUALITY)
 def _(s, d):
     pages = classified(s, d)
     failures = A.unresolved_failures(view(s, d, "blocked"), view(s, d, "resources"), one_alias(s, d))
@@ -429,11 +456,12 @@ def _(s, d):
     return S.log_counts(view(s, d, "log"))
 
 
-@query("AGG25_visual_grid", "SELECT event_id AS image_id, 4 AS cells, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS changed, CASE WHEN event_id % 2 = 0 THEN 0.75 ELSE 1.0 END AS similarity FROM events WHERE event_id < 50")
+@query("AGG25_visual_grid", "SELECT event_id AS image_id, 4 AS cells, event_id % 5 AS changed, floor((1 - (event_id % 5) / 4.0) * 1000 + 0.5) / 1000 AS similarity FROM events")
 def _(s, d):
-    e = T(s, d, "events").filter("event_id < 50").select(F.col("event_id").alias("image_id"))
+    e = T(s, d, "events").select(F.col("event_id").alias("image_id"))
     grid = e.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("x")).select("image_id", "x", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"))
-    lit = F.when((F.col("x") < 4) & (F.col("y") >= 4) & (F.col("image_id") % 2 == 0), 255).otherwise(0)
+    cell = F.floor(F.col("x") / 4) * 2 + F.floor(F.col("y") / 4)
+    lit = F.when(cell < F.col("image_id") % 5, 255).otherwise(F.col("x"))  # a difference of 7 of 255 isn't seen
     return S.visual_grid(grid.select("image_id", "x", "y", *[F.lit(0).alias(c) for c in ("r1", "g1", "b1")], *[lit.alias(c) for c in ("r2", "g2", "b2")]))
 
 
@@ -554,23 +582,23 @@ def _(s, d):
     return A.retry_queue(plan, ["accounts.google.com"], [], include_failed=False).select("archive_id", "url")
 
 
-@query("SET7_DML8_prune_media", cte("resources") + f", m AS (SELECT archive_id, file, max(size) AS size, max(nlink) AS nlink, count(*) AS n FROM resources WHERE archive_id < 500 AND {CATEGORY} = 'media' GROUP BY ALL) SELECT archive_id, CAST(sum(n) AS BIGINT) AS pruned, CAST(sum(CASE WHEN nlink = 1 THEN size ELSE 0 END) AS BIGINT) AS freed_bytes FROM m GROUP BY archive_id")
+@query("SET7_DML8_prune_media", cte("resources") + f", m AS (SELECT archive_id, file, max(size) AS size, max(nlink) AS nlink, count(*) AS n FROM resources WHERE {CATEGORY} = 'media' GROUP BY ALL) SELECT archive_id, CAST(sum(n) AS BIGINT) AS pruned, CAST(sum(CASE WHEN nlink = 1 THEN size ELSE 0 END) AS BIGINT) AS freed_bytes FROM m GROUP BY archive_id")
 def _(s, d):
     res = view(s, d, "resources")
     none = s.createDataFrame([], "archive_id long, file string")
-    return A.prune_media(res, res.filter("archive_id < 500"), none).select("archive_id", "pruned", "freed_bytes")
+    return A.prune_media(res, res, none).select("archive_id", "pruned", "freed_bytes")
 
 
-@query("DML1_upsert_archives", cte("archives") + "SELECT archive_id, CASE WHEN archive_id % 2 = 0 THEN 'new' ELSE title END AS title, folder FROM archives WHERE archive_id < 1000")
+@query("DML1_upsert_archives", cte("archives") + "SELECT archive_id, CASE WHEN archive_id % 2 = 0 THEN 'new' ELSE title END AS title, folder FROM archives")
 def _(s, d):
-    old = view(s, d, "archives").filter("archive_id < 1000").select("archive_id", "title", "folder")
+    old = view(s, d, "archives").select("archive_id", "title", "folder")
     new = old.filter("archive_id % 2 = 0").select("archive_id", F.lit("new").alias("title"), F.lit(None).cast("string").alias("folder"))
     return A.upsert_archives(old, new, ["folder"])
 
 
-@query("DML4_EVT11_delete_guard", cte("archives") + "SELECT archive_id, status <> 'running' AND archive_id % 9 <> 0 AS allowed FROM archives WHERE archive_id < 900")
+@query("DML4_EVT11_delete_guard", cte("archives") + "SELECT archive_id, status <> 'running' AND archive_id % 9 <> 0 AS allowed FROM archives")
 def _(s, d):
-    a = view(s, d, "archives").filter("archive_id < 900")
+    a = view(s, d, "archives")
     refs = a.filter("archive_id % 9 = 0").select(F.when(F.col("archive_id") == 0, 1).otherwise(0).cast("long").alias("source"), F.col("archive_id").alias("target"))
     return A.cascade_delete(a, a.select("archive_id", "status"), a, refs).select("archive_id", "allowed")
 
@@ -613,7 +641,9 @@ def _(s, d):
     return T(s, d, "events").select("event_id", p.alias("pressure"), rules.adapted_limit(p, 4).alias("capture"))
 
 
-@query("STM10_tuner")
+@query("STM10_tuner", """
+WITH RECURSIVE e AS (SELECT CAST(user_id % 7 AS VARCHAR) AS kind, ts FROM events WHERE event_type = 'error'), t AS (SELECT kind, min(ts) AS ts, 0 AS n FROM e GROUP BY kind
+UNION ALL SELECT t.kind, min(e.ts), t.n + 1 FROM t JOIN e ON e.kind = t.kind AND e.ts >= t.ts + INTERVAL 1 HOUR WHERE t.n < 28 GROUP BY t.kind, t.n) SELECT kind, ts, 30 - n AS "from", 29 - n AS "to" FROM t""")
 def _(s, d):
     return S.tuner_reductions(T(s, d, "events").filter("event_type = 'error'").select((F.col("user_id") % 7).cast("string").alias("kind"), "ts"), 30, 3600.0)
 

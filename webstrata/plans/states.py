@@ -110,9 +110,9 @@ def _(s, d):
     return J.network_busy(r, F.lit(datetime(2024, 1, 21)), 6 * 86_400_000, 86_400_000)
 
 
-@query("EVT5_new_variants", cte("resources") + "SELECT DISTINCT archive_id, url, digest || 'x' AS digest, CASE WHEN archive_id % 2 = 0 THEN 'known-variant' ELSE 'new-variant' END AS state FROM resources WHERE archive_id < 800")
+@query("EVT5_new_variants", cte("resources") + "SELECT DISTINCT archive_id, url, digest || 'x' AS digest, CASE WHEN archive_id % 2 = 0 THEN 'known-variant' ELSE 'new-variant' END AS state FROM resources")
 def _(s, d):
-    res = view(s, d, "resources").filter("archive_id < 800").select("archive_id", "url", "digest")
+    res = view(s, d, "resources").select("archive_id", "url", "digest")
     other = res.withColumn("digest", F.concat("digest", F.lit("x")))
     return J.new_variants(other, res.groupBy("archive_id", "url").agg(F.min("digest").alias("digest")), other.filter("archive_id % 2 = 0"))
 
@@ -138,10 +138,10 @@ def _(s, d):
     return out.groupBy(F.substring("state", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("EVT13_page_filter", cte("captures") + "SELECT page_id, false AS shared FROM captures WHERE contains(lower(url || ' ' || title), '/fr/') UNION ALL SELECT page_id, true FROM captures WHERE page_id < 20 AND contains(lower(url || ' ' || title), '/fr/')")
+@query("EVT13_page_filter", cte("captures") + "SELECT page_id, false AS shared FROM captures WHERE contains(lower(url || ' ' || title), '/fr/') UNION ALL SELECT page_id, true FROM captures WHERE contains(lower(url || ' ' || title), '/fr/')")
 def _(s, d):
     c = view(s, d, "captures").select("url", "title", "page_id")
-    out = J.filter_pages(c, c.filter("page_id < 20"), "/FR/ ")
+    out = J.filter_pages(c, c, "/FR/ ")
     return out.join(c.select("url", "title", "page_id"), ["url", "title"]).select("page_id", "shared")
 
 
@@ -236,7 +236,7 @@ def _(s, d):
     return s.read.schema("ts timestamp, pressure string, capture int, discovery int").parquet(f"{out}/rows").groupBy("pressure").agg(F.count("*").alias("n"))
 
 
-@query("STM17_alerts")
+@query("STM17_alerts", "WITH RECURSIVE e AS (SELECT ts FROM events WHERE value > 200), t AS (SELECT min(ts) AS ts FROM e HAVING min(ts) IS NOT NULL UNION ALL SELECT min(e.ts) FROM t JOIN e ON e.ts >= t.ts + INTERVAL 24 HOUR HAVING min(e.ts) IS NOT NULL) SELECT ts FROM t")
 def _(s, d):
     return J.alert_times(T(s, d, "events").select("ts", F.col("value").alias("used")), 200)
 
@@ -249,11 +249,17 @@ def _(s, d):
     return T(s, d, "events").select("event_id", S.describe_diff(n, F.lit(0), F.lit(0)).alias("says"))
 
 
-@query("TXT11_dash", "SELECT page_id, unnest(['https://m.example/v/i-hi.mp4', 'https://m.example/v/hi-00001.m4s', 'https://m.example/v/hi-00002.m4s', 'https://m.example/v/hi-00003.m4s']) AS url FROM pages WHERE page_id < 20")
+@query("TXT11_dash", """SELECT page_id, 'https://m.example/v/i-hi.mp4' AS url FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT page_id, 'https://m.example/v/hi-' || lpad(CAST(unnest(range(1, 2 + page_id % 7)) AS VARCHAR), 5, '0') || '.m4s' FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'https://m.example/v/hi/t' || unnest(range(0, 10 * (1 + page_id % 5), 10)) || '.m4s' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'https://n.example/' || unnest(['s' || page_id || '.mp4', 'last.mp4']) FROM pages WHERE page_id % 3 = 2""")
 def _(s, d):
-    mpd = '<MPD mediaPresentationDuration="PT6S"><Period><AdaptationSet><SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$-$Number%05d$.m4s" duration="2" timescale="1"/><Representation id="lo" bandwidth="1"/><Representation id="hi" bandwidth="9"/></AdaptationSet></Period></MPD>'
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 3
+    head = lambda body, length: F.concat(F.lit('<MPD mediaPresentationDuration="PT'), length, F.lit('S"><Period><AdaptationSet>'), body, F.lit("</AdaptationSet></Period></MPD>"))
+    two = '<Representation id="lo" bandwidth="1"/><Representation id="hi" bandwidth="9"/>'
+    numbered = head(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$-$Number%05d$.m4s" duration="2" timescale="1"/>' + two), (2 * (1 + F.col("page_id") % 7)).cast("string"))
+    timeline = head(F.concat(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$/t$Time$.m4s" timescale="1"><SegmentTimeline><S t="0" d="10" r="'), (F.col("page_id") % 5).cast("string"), F.lit('"/></SegmentTimeline></SegmentTemplate>' + two)), F.lit("9"))
+    listed = head(F.concat(F.lit('<Representation id="a" bandwidth="1"><BaseURL>https://n.example/</BaseURL><SegmentList><SegmentURL media="s'), k, F.lit('.mp4"/><SegmentURL media="last.mp4"/></SegmentList></Representation>')), F.lit("9"))
     s.udtf.register("dash_segments", media.DashSegments)
-    rows = T(s, d, "pages").filter("page_id < 20").select("page_id", F.lit(mpd).alias("mpd"))
+    rows = T(s, d, "pages").select("page_id", F.when(n == 0, numbered).when(n == 1, timeline).otherwise(listed).alias("mpd"))
     return s.sql("SELECT r.page_id, t.url FROM {rows} r, LATERAL dash_segments(r.mpd, 'https://m.example/v/m.mpd') t", rows=rows)
 
 
