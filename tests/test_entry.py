@@ -1,11 +1,15 @@
 """The driver's contract: names, SQL and whole agreement with DuckDB for a few queries on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
 
 DATA = Path("/root/testdata/sf0.001")
-SAMPLE = ["flagship_page_report", "URL8_surt_key", "TXT1_search_text", "PRD7_unresolved_failures", "JN9_resolve_resource", "JN15_similar_posts", "JN20_peer_archives", "AGG3_storage_summary", "AGG8_issue_report", "WIN3_AGG20_cleanup_plan", "SRC5_JN5_shared_pages", "STM3_next_run", "GRF1_crawl_frontier"]
+SAMPLE = ["flagship_page_report", "URL8_surt_key", "TXT1_search_text", "PRD7_unresolved_failures", "JN9_resolve_resource", "AGG6_archive_quality", "JN16_page_identity", "SRC11_SNK6_ORD9_tar_export", "SNK7_wacz", "STM10_tuner", "JN20_peer_archives", "AGG3_storage_summary", "AGG8_issue_report", "WIN3_AGG20_cleanup_plan", "SRC5_JN5_shared_pages", "STM3_next_run", "GRF1_crawl_frontier"]
 
 
 def test_names():
@@ -40,3 +44,16 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).limit(1).count() == 1
+
+
+@pytest.mark.parametrize("gone", [["webstrata/llm"], ["webstrata/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_other_queries_load_without_the_training_data_subpackage(tmp_path, gone):
+    root = Path(__file__).resolve().parent.parent
+    skip = shutil.ignore_patterns(".git", "__pycache__", "tests", *(g.split("/")[-1] for g in gone))
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    assert not any((tmp_path / "copy" / g).exists() for g in gone)
+    code = "import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); assert set(o) <= set(q); print(sum(not k.startswith('op') for k in q), 'pipeline' in q)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    n, pipeline = out.stdout.split()
+    assert int(n) > 200 and pipeline == "False"

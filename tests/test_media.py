@@ -3,7 +3,7 @@ import tarfile
 
 import pytest
 
-from webstrata.functions.media import TarEntries, assigned_json, dash_segments
+from webstrata.functions.media import assigned_json, dash_segments
 
 BASE = "https://m.example/v/m.mpd"
 
@@ -33,11 +33,3 @@ def tar(names):
             info.size = 2
             t.addfile(info, io.BytesIO(b"hi"))
     return out.getvalue()
-
-
-def test_tar_entries():
-    read = TarEntries.func if hasattr(TarEntries, "func") else TarEntries
-    assert list(read().eval(tar(["manifest.json", "blobs/aa/x"]))) == [("manifest.json", 2, b"hi"), ("blobs/aa/x", 2, b"hi")]
-    with pytest.raises(ValueError):
-        list(read().eval(tar(["../x"])))
-    assert list(read().eval(None)) == []

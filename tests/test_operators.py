@@ -1,5 +1,7 @@
+import hashlib
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from webstrata.operators import archives as A
@@ -7,7 +9,7 @@ from webstrata.operators import graph as G
 from webstrata.operators import pages as P
 from webstrata.operators import requests as R
 from webstrata.operators import services as S
-from webstrata.sources import logs
+from webstrata.sources import logs, packages
 from webstrata.sources.warc import WarcSource, cdxj
 
 
@@ -100,15 +102,78 @@ def test_warc_round_trip(spark, tmp_path):
     assert lines.first().line.startswith("example,a)/x 20240101000000 {")
 
 
+def test_warc_members_stream_in_parts():
+    import io
+
+    from webstrata.sources.warc import read_members, warc_record
+
+    bodies = [b"x" * n for n in (0, 10, 5000, 3)]
+    data = b"".join(warc_record("response", {"WARC-Target-URI": str(len(b))}, b) for b in bodies)
+    for size in (1, 7, 1 << 20):
+        found = list(read_members(io.BytesIO(data), size))
+        assert [b for _, _, b in found] == bodies and [int(h["warc-target-uri"]) for _, h, _ in found] == [len(b) for b in bodies]
+        assert found[0][0] == 0 and all(data[at : at + 2] == b"\x1f\x8b" for at, _, _ in found)
+    with pytest.raises(ValueError):
+        list(read_members(io.BytesIO(data[:-5])))
+
+
 def test_blobs(spark, tmp_path):
-    bodies = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"a")), (3, bytearray(b"b"))], "id int, body binary")
-    logs.store_blobs(bodies, str(tmp_path / "blobs"))
-    logs.store_blobs(bodies, str(tmp_path / "blobs"))
-    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2
+    bodies = spark.createDataFrame([(1, bytearray(b"a")), (2, bytearray(b"a")), (3, bytearray(b"b")), (4, bytearray(b""))], "id int, body binary")
+    folder = str(tmp_path / "blobs")
+    logs.store_blobs(bodies, folder)
+    logs.store_blobs(bodies, folder)
+    assert spark.read.parquet(folder).count() == 3
+    digest = hashlib.sha256(b"c").hexdigest()
+    spark.createDataFrame([(digest, bytearray(b"broken"), digest[:2])], "digest string, body binary, prefix string").write.mode("append").partitionBy("prefix").parquet(folder)
+    assert logs.read_blobs(spark, folder).count() == 3  # the damaged body doesn't count
+    logs.store_blobs(spark.createDataFrame([(5, bytearray(b"c"))], "id int, body binary"), folder)
+    assert sorted(bytes(r.body) for r in logs.read_blobs(spark, folder).collect()) == [b"", b"a", b"b", b"c"]
     f = spark.createDataFrame([("/x/ab/" + "ab" + "0" * 62,), ("/x/ac/" + "ab" + "0" * 62,), ("/x/ab/readme",)], "path string")
     assert logs.valid_blobs(f).count() == 1
 
 
+def test_packages(spark, tmp_path):
+    import tarfile
+
+    files = spark.createDataFrame([(1, 1, "manifest.json", bytearray(b"{}")), (1, 2, "blobs/aa", bytearray(b"x" * 3000)), (2, 1, "manifest.json", None)], "archive_id long, place long, name string, content binary")
+    out = packages.write_packages(files, folder=f"file://{tmp_path}/tar")
+    back = sorted((r.archive_id, r.place, r.name, bytes(r.content)) for r in packages.read_tars(out).collect())
+    assert back == [(1, 0, "manifest.json", b"{}"), (1, 1, "blobs/aa", b"x" * 3000), (2, 0, "manifest.json", b"")]
+    assert packages.listed(spark, f"file://{tmp_path}/tar").count() == 2 and packages.write_packages(files.filter("false")).count() == 0
+    (tmp_path / "bad").mkdir()
+    with tarfile.open(tmp_path / "bad" / "9-x.tar", "w") as tar:
+        tar.addfile(tarfile.TarInfo("../out"))
+    with pytest.raises(Exception, match="unsafe name"):
+        packages.read_tars(packages.listed(spark, f"file://{tmp_path}/bad")).collect()
+    wacz = packages.write_packages(files, packages.WaczPackage)
+    rows_ = packages.read_wacz(wacz).filter("archive_id = 1").collect()
+    assert {r.name for r in rows_} == {"manifest.json", "blobs/aa", "datapackage.json"} and all(r.hash == "sha256:" + hashlib.sha256(bytes(r.content)).hexdigest() for r in rows_ if r.hash)
+
+
+def test_crawl_is_deeper_than_any_fixed_number_of_rounds(spark):
+    links = spark.range(230).select(F.concat(F.lit("https://d.example/"), "id").alias("src"), F.concat(F.lit("https://d.example/"), F.col("id") + 1).alias("dst"))
+    seeds = spark.createDataFrame([("https://d.example/222",)], "url string")
+    assert G.crawl_frontier(seeds, links).agg(F.max("depth")).first()[0] == 8
+    assert G.crawl_frontier(seeds, links, max_depth=3).count() == 4
+
+
+def test_records(spark):
+    from webstrata.operators import capture as M
+    from webstrata.operators import records as C
+
+    jobs = spark.createDataFrame([(1, "a", "complete", 1, 0), (2, "a", "paused", 2, 5), (3, "b", "failed", 1, 4)], "job_id int, archive_id string, status string, created_at int, waiting int")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("b",)], "archive_id string")
+    assert rows(C.continue_archives(asked, jobs), "archive_id") == [("a", "ARCHIVE_BUSY", None), ("b", "resumed", 3), ("c", "NOT_FOUND", None)]
+    old = spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "id int, at int, text string")
+    new = spark.createDataFrame([(2, 5, "z"), (3, 9, "late"), (4, 8, "early")], "id int, at int, text string")
+    assert rows(C.upsert_records(old, new, "id", "at", 3).select("id", "text"), "id") == [(1, "x"), (2, "z"), (4, "early")]
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    h = lambda i, u: tuple(one(M.append_history(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(i), F.lit(u).cast("string"))))
+    assert h(0, "z") == (["a", "z"], 1) and h(1, "b") == (["a", "b", "c"], 1) and h(2, None) == (["a", "b", "c"], 2)
+    assert one(M.resolve_asset(F.lit("data:x"), F.lit("https://a.example/"), F.lit(1))) == "data:x"
+    assert one(M.rewrite_script(F.lit("import 'react'"), F.lit("https://a.example/"), F.lit(1))) == "import 'react'"
+
+
 def test_alerts_and_tuner_stream_and_excluded_hosts_join(spark):
     import random
 
