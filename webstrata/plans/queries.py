@@ -223,15 +223,25 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", F.explode(P.srcset_urls(value)).alias("u"))
 
 
-@query("TXT9_script_references", "SELECT page_id, unnest(['https://s.example/a/m' || page_id || '.js', 'https://s.example/lib/x.mjs']) AS ref FROM pages")
-def _(s, d):
-    js = F.concat(F.lit("load('./m"), F.col("page_id").cast("string"), F.lit(".js'); import(\"/lib\\/x.mjs\"); plain('y.js')"))
+@query("TXT9_script_references", """SELECT page_id, 'https://s.example/a/m' || page_id || '.js' AS ref FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'https://s.example/lib/x.mjs' FROM pages WHERE page_id % 3 < 2
+UNION ALL SELECT page_id, 'https://s.example/c' || (page_id % 5) || '.css?v=1' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'https://t' || (page_id % 4) || '.example/' || unnest(['a.js', 'b.js?x=1&y=2']) FROM pages WHERE page_id % 3 = 2""")
+def _(s, d):
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 3
+    first = F.concat(F.lit("load('./m"), k, F.lit(".js'); import(\"/lib\\/x.mjs\"); plain('y.js'); load('./m"), k, F.lit(".js')"))
+    second = F.concat(F.lit("s = `/c"), (F.col("page_id") % 5).cast("string"), F.lit(".css?v=1`; import( '../lib/x.mjs' ); x = '/a b.js'"))
+    host = F.concat(F.lit("'https://t"), (F.col("page_id") % 4).cast("string"), F.lit(".example/"))
+    third = F.concat(host, F.lit("a.js', "), host, F.lit("b.js?x=1&amp;y=2', '/i.png', \"data:text/javascript,x.js\""))
+    js = F.when(n == 0, first).when(n == 1, second).otherwise(third)
     return T(s, d, "pages").select("page_id", F.explode(text.script_references(js, F.lit("https://s.example/a/b.js"))).alias("ref"))
 
 
-@query("TXT10_hls", "SELECT page_id, ['https://m.example/v/low' || page_id || '.m3u8'] AS playlists, ['https://m.example/v/s1.ts', 'https://m.example/v/key.bin'] AS segments FROM pages")
+@query("TXT10_hls", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN ['https://m.example/v/low' || page_id || '.m3u8', 'https://m.example/audio.m3u8'] ELSE [] END AS playlists,
+ list_concat(list_transform(range(page_id % 4), lambda i: 'https://m.example/v/s' || i || '.ts'), CASE WHEN page_id % 3 = 0 THEN ['https://m.example/v/key.bin'] ELSE [] END) AS segments FROM pages""")
 def _(s, d):
-    body = F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH=1\nlow"), F.col("page_id").cast("string"), F.lit(".m3u8\ns1.ts\n#EXT-X-KEY:METHOD=AES,URI=\"key.bin\"\ns1.ts"))
+    k = F.col("page_id")
+    master = F.when(k % 2 == 0, F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH=1\nlow"), k.cast("string"), F.lit('.m3u8\n#EXT-X-MEDIA:TYPE=AUDIO,URI="/audio.m3u8"\n'))).otherwise("")
+    parts = F.array_join(F.filter(F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.when(i > 0, F.concat(F.lit("#EXTINF:4,\r\ns"), (i - 1).cast("string"), F.lit(".ts\n")))), lambda x: x.isNotNull()), "")
+    body = F.concat(F.lit("#EXTM3U\n"), master, parts, F.when(k % 3 == 0, '#EXT-X-KEY:METHOD=AES,URI="key.bin"').otherwise("#EXT-X-ENDLIST"), F.when(k % 4 > 0, "\ns0.ts").otherwise(""))
     return T(s, d, "pages").select("page_id", text.hls_targets(body, F.lit("https://m.example/v/i.m3u8")).alias("h")).select("page_id", "h.playlists", "h.segments")
 
 
@@ -243,17 +253,20 @@ def _(s, d):
     return T(s, d, "events").select("event_id", text.iso_duration_seconds(value).alias("seconds"))
 
 
-@query("TXT13_content_range", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN event_id * 10 END AS total FROM events")
+@query("TXT13_content_range", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 10 WHEN 1 THEN user_id END AS total FROM events")
 def _(s, d):
-    value = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("bytes 0-9/"), (F.col("event_id") * 10).cast("string"))).otherwise("bytes 0-9/*")
+    n = F.col("event_id") % 4
+    value = F.when(n == 0, F.concat(F.lit("bytes 0-9/ "), (F.col("event_id") * 10).cast("string"), F.lit(" "))).when(n == 1, F.concat(F.lit("bytes */"), F.col("user_id").cast("string"))).when(n == 2, "bytes 0-9/*")
     return T(s, d, "events").select("event_id", text.content_range_total(value).alias("total"))
 
 
-@query("TXT14_charset", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'shift_jis' WHEN 1 THEN 'utf-8' ELSE 'euc-jp' END AS charset FROM pages")
+@query("TXT14_charset", "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'shift_jis' WHEN 1 THEN 'utf-8' WHEN 2 THEN 'euc-jp' WHEN 3 THEN 'utf-8' WHEN 4 THEN 'gbk' ELSE 'utf-16le' END AS charset FROM pages")
 def _(s, d):
-    mime = F.when(F.col("page_id") % 3 == 0, "text/html; charset=Shift_JIS").otherwise("text/html")
-    html = F.when(F.col("page_id") % 3 == 2, F.regexp_replace("html", "utf-8", "euc-jp")).otherwise(F.col("html"))
-    return T(s, d, "pages").select("page_id", text.detect_charset(mime, F.encode(html, "UTF-8")).alias("charset"))
+    n = F.col("page_id") % 6
+    mime = F.when(n.isin(0, 3), 'text/html; charset="Shift_JIS"').when(n == 4, "text/css").when(n == 1, "text/html; charset=unheard-of").otherwise("text/html")
+    body = F.encode(F.when(n == 2, F.regexp_replace("html", "utf-8", "euc-jp")).when(n == 4, F.concat(F.lit('@charset "GB2312"; '), "html")).otherwise(F.col("html")), "UTF-8")
+    mark = F.when(n == 3, F.unhex(F.lit("EFBBBF"))).when(n == 5, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    return T(s, d, "pages").select("page_id", text.detect_charset(mime, F.concat(mark, body)).alias("charset"))
 
 
 @query("TXT16_TXT17_content_type", cte("resources") + "SELECT DISTINCT mime_type, CASE WHEN mime_type = '' THEN '' ELSE mime_type || '; charset=utf-8' END AS typed, mime_type IN ('text/javascript', 'text/css', 'text/html', 'application/json') AS textual FROM resources")
@@ -267,9 +280,14 @@ def _(s, d):
     return T(s, d, "events").select("event_id", text.request_digests(F.col("props")).alias("g")).select("event_id", "g.request", "g.canonical")
 
 
-@query("TXT20_body_leaves", "SELECT event_id AS id, unnest(['a.0', 'a.1.k', 'b', 'e']) AS path, unnest(['1', regexp_extract(props, '[0-9]+'), event_type, '{}']) AS value FROM events")
+@query("TXT20_body_leaves", """SELECT event_id AS id, unnest(['a.0', 'a.1.k', 'b', 'e']) AS path, unnest(['1', regexp_extract(props, '[0-9]+'), event_type, '{}']) AS value FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, unnest(['user', 'q']), unnest([CAST(user_id AS VARCHAR), event_type || ' x']) FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, i || '.v', CAST(user_id + i AS VARCHAR) FROM events, range(3) t(i) WHERE event_id % 3 = 2 AND i <= event_id % 4""")
 def _(s, d):
-    body = F.concat(F.lit('{"a":[1,'), F.col("props"), F.lit('],"b":"'), F.col("event_type"), F.lit('","e":{}}'))
+    n, u = F.col("event_id") % 3, F.col("user_id")
+    nested = F.concat(F.lit('{"a":[1,'), F.col("props"), F.lit('],"b":"'), F.col("event_type"), F.lit('","e":{}}'))
+    form = F.concat(F.lit("user="), u.cast("string"), F.lit("&q="), F.col("event_type"), F.lit("%20x"))
+    listed = F.to_json(F.transform(F.sequence(F.lit(0), F.least(F.col("event_id") % 4, F.lit(2)).cast("int")), lambda i: F.struct((u + i).alias("v"))))
+    body = F.when(n == 0, nested).when(n == 1, form).otherwise(listed)
     return R.body_leaves(T(s, d, "events").select(F.col("event_id").alias("id"), body.alias("body")))
 
 

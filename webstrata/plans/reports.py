@@ -224,14 +224,16 @@ def _(s, d):
     return P.query_variant(asked, res).join(first, ["archive_id", "url"]).select("archive_id", "target", "ordinal")
 
 
-@query("JN11_image_variant", "SELECT user_id AS archive_id, arg_max(event_id, (CASE WHEN event_type = 'view' THEN 7 ELSE 0 END) * 1000000 + event_id) AS best FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id")
+@query("JN11_image_variant", """WITH r AS (SELECT *, CASE event_id % 5 WHEN 0 THEN 7 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END AS rank FROM events WHERE event_type IN ('view', 'click') AND event_id % 5 < 4)
+SELECT user_id AS archive_id, event_id % 3 AS clip, arg_max(event_id, struct_pack(r := rank, s := event_id % 97 + 1, o := -event_id)) AS best FROM r GROUP BY ALL""")
 def _(s, d):
     e = T(s, d, "events").filter("event_type in ('view', 'click')")
-    name = F.when(F.col("event_type") == "view", "maxresdefault").otherwise("x")
-    url = F.concat(F.lit("https://i.ytimg.com/vi/abcdefgh/"), name, F.lit(".jpg?e="), F.col("event_id").cast("string"))
-    res = e.select(F.col("user_id").alias("archive_id"), F.col("event_id").alias("ordinal"), url.alias("url"), F.lit(200).alias("status"), (F.col("event_id") + 1).alias("size"), F.lit("image/jpeg").alias("mime_type"))
-    asked = e.select(F.col("user_id").alias("archive_id"), F.lit("https://i.ytimg.com/vi_webp/abcdefgh/hq720.webp").alias("target")).distinct()
-    return P.image_variant(asked, res).select("archive_id", F.regexp_extract("url", r"e=(\d+)", 1).cast("long").alias("best"))
+    k, clip = F.col("event_id") % 5, F.concat(F.lit("clip000"), (F.col("event_id") % 3).cast("string"))
+    name = F.when(k == 0, "maxresdefault").when(k == 1, "hq720").when(k == 2, "default").otherwise("0")
+    url = F.concat(F.lit("https://i.ytimg.com/vi/"), clip, F.lit("/"), name, F.lit(".jpg?e="), F.col("event_id").cast("string"))
+    res = e.select(F.col("user_id").alias("archive_id"), F.col("event_id").alias("ordinal"), url.alias("url"), F.when(k == 4, 404).otherwise(200).alias("status"), (F.col("event_id") % 97 + 1).alias("size"), F.lit("image/jpeg").alias("mime_type"))
+    asked = e.select(F.col("user_id").alias("archive_id"), F.concat(F.lit("https://i.ytimg.com/vi_webp/"), clip, F.lit("/sddefault.webp")).alias("target")).distinct()
+    return P.image_variant(asked, res).select("archive_id", F.regexp_extract("target", r"clip000(\d)", 1).cast("long").alias("clip"), F.regexp_extract("url", r"e=(\d+)", 1).cast("long").alias("best"))
 
 
 @query("JN13_page_variants", cte("resources") + """, q AS (SELECT DISTINCT archive_id, url, 'p' || (ordinal % 3) AS page_url FROM resources), r AS (SELECT archive_id, url, arg_min(digest, ordinal) AS digest FROM resources GROUP BY ALL), v AS (SELECT archive_id, url, 'p' || (ordinal % 4) AS page_url, max(digest) || 'v' AS digest FROM resources WHERE ordinal % 2 = 0 GROUP BY ALL)
@@ -349,7 +351,7 @@ def _(s, d):
 
 QUALITY = f""", {ONE_ALIAS}, {UNRESOLVED}, c AS (SELECT *, scope <> 'external' AS site, {CLASS} AS k FROM captures),
 pg AS (SELECT archive_id, count(*) AS pages, count(*) FILTER (site) AS site_pages, count(*) FILTER (site AND k <> 'normal') AS page_issues, count(*) FILTER (NOT site AND k <> 'normal') AS external_page_issues, bool_or(site AND k IN ('access-challenge', 'login-required')) AS any_blocked FROM c GROUP BY archive_id),
-own AS (SELECT u.archive_id, u.url, {BOUNDARY.replace('(url', '(u.url').replace("'url'", "'u.url'")} AS b, regexp_extract(u.url, '([^./]+\.[^./]+)/', 1) = regexp_extract(a.start_url, '([^./]+\.(example|co\.jp))/', 1) AS site FROM unresolved u JOIN archives a ON a.archive_id = u.archive_id),
+own AS (SELECT u.archive_id, u.url, {BOUNDARY.replace('(url', '(u.url').replace("'url'", "'u.url'")} AS b, regexp_extract(u.url, '([^./]+[.][^./]+)/', 1) = regexp_extract(a.start_url, '([^./]+[.](example|co[.]jp))/', 1) AS site FROM unresolved u JOIN archives a ON a.archive_id = u.archive_id),
 f AS (SELECT archive_id, count(DISTINCT url) FILTER (site AND NOT b) AS hard_blocked, count(DISTINCT url) FILTER (NOT site AND NOT b) AS external_hard_blocked, count(DISTINCT url) FILTER (b) AS boundaries FROM own GROUP BY archive_id),
 m AS (SELECT archive_id, count(*) FILTER (status = 404 AND NOT empty_confirmed) AS runtime_missing, count(*) FILTER (status <> 200) AS reference_missing FROM resources GROUP BY archive_id),
 n AS (SELECT a.archive_id, a.errors, a.status, coalesce(pages, 0) AS pages, coalesce(site_pages, 0) AS site_pages, coalesce(page_issues, 0) AS page_issues, coalesce(external_page_issues, 0) AS external_page_issues, coalesce(any_blocked, false) AS any_blocked, coalesce(hard_blocked, 0) AS hard_blocked, coalesce(external_hard_blocked, 0) AS external_hard_blocked, coalesce(boundaries, 0) AS boundaries,

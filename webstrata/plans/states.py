@@ -129,13 +129,13 @@ def _(s, d):
     return J.complete_deferred(e, e.filter(F.col("url").cast("long") % 3 == 0))
 
 
-@query("EVT12_crawl_tree", "SELECT 'v' AS kind, count(*) AS n FROM (SELECT 1 FROM events WHERE event_type = 'view' LIMIT 80) UNION ALL SELECT 'a', 5 UNION ALL SELECT 'w', count(*) FROM (SELECT 1 FROM events WHERE event_type = 'error' AND event_id % 2 = 1 LIMIT 80)")
+@query("EVT12_crawl_tree", """(SELECT CAST(event_id AS VARCHAR) AS url, 'visited' AS state FROM events WHERE event_type = 'view' ORDER BY event_id DESC LIMIT 80) UNION ALL (SELECT CAST(event_id AS VARCHAR), 'active' FROM events WHERE event_type = 'error' AND event_id % 2 = 0 ORDER BY event_id LIMIT 5)
+UNION ALL (SELECT CAST(event_id AS VARCHAR), 'planned' FROM events WHERE event_type = 'click' ORDER BY event_id LIMIT 80) UNION ALL (SELECT CAST(event_id AS VARCHAR), 'waiting' FROM events WHERE event_type = 'error' AND event_id % 2 = 1 ORDER BY event_id LIMIT 80)""")
 def _(s, d):
     e = T(s, d, "events").select(F.col("event_id").alias("ordinal"), F.col("event_id").cast("string").alias("url"), "event_type")
     active = e.filter("event_type = 'error' and ordinal % 2 = 0").orderBy("ordinal").limit(5)
     queue = e.filter("event_type = 'error' and ordinal % 2 = 1").unionByName(active)
-    out = J.crawl_tree(e.filter("event_type = 'view'"), active, e.filter("false"), queue)
-    return out.groupBy(F.substring("state", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    return J.crawl_tree(e.filter("event_type = 'view'"), active, e.filter("event_type = 'click'").unionByName(active), queue)
 
 
 @query("EVT13_page_filter", cte("captures") + "SELECT page_id, false AS shared FROM captures WHERE contains(lower(url || ' ' || title), '/fr/') UNION ALL SELECT page_id, true FROM captures WHERE contains(lower(url || ' ' || title), '/fr/')")
@@ -241,12 +241,12 @@ def _(s, d):
     return J.alert_times(T(s, d, "events").select("ts", F.col("value").alias("used")), 200)
 
 
-@query("STM6_describe_diff", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '前回から変わったページはありません。' ELSE '前回から 追加' || (event_id % 3) || 'ページ・変更0ページ・削除0ページ。' END AS says FROM events")
+@query("STM6_describe_diff", "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '前回との比較はできませんでした。' WHEN event_id % 3 + user_id % 4 + event_id % 2 = 0 THEN '前回から変わったページはありません。' ELSE '前回から 追加' || (event_id % 3) || 'ページ・変更' || (user_id % 4) || 'ページ・削除' || (event_id % 2) || 'ページ。' END AS says FROM events")
 def _(s, d):
     from ..operators import services as S
 
-    n = (F.col("event_id") % 3).cast("int")
-    return T(s, d, "events").select("event_id", S.describe_diff(n, F.lit(0), F.lit(0)).alias("says"))
+    n = lambda c, m: (F.col(c) % m).cast("int")
+    return T(s, d, "events").select("event_id", S.describe_diff(F.when(F.col("event_id") % 11 > 0, n("event_id", 3)), n("user_id", 4), n("event_id", 2)).alias("says"))
 
 
 @query("TXT11_dash", """SELECT page_id, 'https://m.example/v/i-hi.mp4' AS url FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT page_id, 'https://m.example/v/hi-' || lpad(CAST(unnest(range(1, 2 + page_id % 7)) AS VARCHAR), 5, '0') || '.m4s' FROM pages WHERE page_id % 3 = 0
@@ -263,22 +263,29 @@ def _(s, d):
     return s.sql("SELECT r.page_id, t.url FROM {rows} r, LATERAL dash_segments(r.mpd, 'https://m.example/v/m.mpd') t", rows=rows)
 
 
-@query("TXT22_assigned_json", "SELECT page_id, '{\"a\":{\"b\":\"}' || page_id || '\"}}' AS json FROM pages")
+@query("TXT22_assigned_json", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"a":{"b":"}' || page_id || '"}}' WHEN 1 THEN '{"q":"\\"{' || page_id || '","l":[{},{"m":1}]}' ELSE '{}' END AS json FROM pages WHERE page_id % 4 < 3""")
 def _(s, d):
-    html = F.concat(F.lit('<script>var ytData = {"a":{"b":"}'), F.col("page_id").cast("string"), F.lit('"}}; var x={};</script>'))
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 4
+    value = F.when(n == 0, F.concat(F.lit('{"a":{"b":"}'), k, F.lit('"}}'))).when(n == 1, F.concat(F.lit('{"q":"\\"{'), k, F.lit('","l":[{},{"m":1}]}'))).otherwise("{}")
+    name = F.when(n == 2, 'window["ytData"]').when(n == 3, "other").otherwise("var ytData")
+    html = F.concat(F.lit("<script>var first = {}; "), name, F.lit(" = "), value, F.lit("; var x={};</script>"))
     s.udtf.register("assigned_json", media.AssignedJson)
     return s.sql("SELECT r.page_id, t.json FROM {rows} r, LATERAL assigned_json(r.html, 'ytData') t", rows=T(s, d, "pages").select("page_id", html.alias("html")))
 
 
-@query("TXT28_attribute_decode", "SELECT page_id, 'a=\"' || page_id || '\"&''b''' AS v FROM pages")
+@query("TXT28_attribute_decode", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'a=\"' || page_id || '\"&' || chr(39) || 'b' WHEN 1 THEN '&quot;' || page_id || '&lt;' ELSE 'plain ' || page_id END AS v FROM pages")
 def _(s, d):
-    return T(s, d, "pages").select("page_id", text.attribute_decode(F.concat(F.lit("a=&quot;"), F.col("page_id").cast("string"), F.lit("&quot;&amp;&#39;b&#39;"))).alias("v"))
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 3
+    value = F.when(n == 0, F.concat(F.lit("a=&quot;"), k, F.lit("&quot;&amp;&#39;b"))).when(n == 1, F.concat(F.lit("&amp;quot;"), k, F.lit("&lt;"))).otherwise(F.concat(F.lit("plain "), k))
+    return T(s, d, "pages").select("page_id", text.attribute_decode(value).alias("v"))
 
 
-@query("MSC4_page_options", "SELECT event_id, CASE WHEN event_type = 'view' THEN '2' ELSE '1' END AS detail, '9' AS depth FROM events")
+@query("MSC4_page_options", "SELECT event_id, CASE WHEN event_type = 'view' AND user_id % 3 > 0 THEN 'x' || (user_id % 3) ELSE 'd' || (event_id % 5) END AS detail, CASE WHEN event_type = 'view' THEN CAST(user_id AS VARCHAR) ELSE '9' END AS depth, CASE WHEN event_type = 'view' THEN 'off' END AS scroll FROM events")
 def _(s, d):
-    o = J.page_options(F.when(F.col("event_type") == "view", "external").otherwise("site"), F.create_map(F.lit("detail"), F.lit("1"), F.lit("depth"), F.lit("9")), F.create_map(F.lit("detail"), F.lit("2")))
-    return T(s, d, "events").select("event_id", o["detail"].alias("detail"), o["depth"].alias("depth"))
+    external = F.map_concat(F.create_map(F.lit("depth"), F.col("user_id").cast("string"), F.lit("scroll"), F.lit("off")), F.when(F.col("user_id") % 3 > 0, F.create_map(F.lit("detail"), F.concat(F.lit("x"), (F.col("user_id") % 3).cast("string")))).otherwise(F.create_map().cast("map<string,string>")))
+    own = F.create_map(F.lit("detail"), F.concat(F.lit("d"), (F.col("event_id") % 5).cast("string")), F.lit("depth"), F.lit("9"))
+    o = J.page_options(F.when(F.col("event_type") == "view", "external").otherwise("site"), own, external)
+    return T(s, d, "events").select("event_id", *[F.try_element_at(o, F.lit(k)).alias(k) for k in ("detail", "depth", "scroll")])
 
 
 @query("MSC14_limits", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND user_id >= 50 THEN 'limit-reached' ELSE 'open' END AS state FROM events")
@@ -286,9 +293,10 @@ def _(s, d):
     return T(s, d, "events").select("event_id", J.limited(F.col("user_id"), F.when(F.col("event_id") % 2 == 0, 50)).alias("state"))
 
 
-@query("PRD15_replay_messages", "SELECT event_id, event_type = 'view' AS advisory, event_type = 'click' AS isolation FROM events")
+@query("PRD15_replay_messages", "SELECT event_id, event_id % 7 IN (0, 1, 2) AS advisory, event_id % 7 IN (3, 4, 5) AS isolation FROM events")
 def _(s, d):
-    m = F.when(F.col("event_type") == "view", "API X is DEPRECATED").when(F.col("event_type") == "click", "Refused to load the script").otherwise("TypeError: x")
+    said = ["API X is DEPRECATED", "Falling back to software", "AbortError: Transition was skipped", "Refused to load the script", "Failed to load resource: status of 404", "This violates the following Content Security Policy directive", "TypeError: x"]
+    m = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("event_id") % 7 + 1).cast("int"))
     return T(s, d, "events").select("event_id", rules.is_runtime_advisory(m).alias("advisory"), rules.is_isolation_message(m).alias("isolation"))
 
 
