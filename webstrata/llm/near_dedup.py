@@ -3,8 +3,8 @@
 A document is its set of word shingles. Its signature has SYMBOLS min-hash values; the first INDEXED of them are the index:
 two signatures within RADIUS differing symbols must, by pigeonhole, have a chunk of CHUNK symbols with at most
 RADIUS // chunks errors. The allowed errors of each chunk are enumerated by leaving symbols out, so every such pair shares a key of
-CHUNK - ERRORS symbols. While a key with more members than fit into a block holds several components and it helps, each document is first compared with one other
-member of its keys, on full sets; that joins a large group at a cost in proportion to its size. Then the pairs of different components that share
+CHUNK - ERRORS symbols. While a key with more members than fit into a block holds several components and at least half of the comparisons link, each document is first compared with
+one other member of its keys, on full sets; that joins a large group at a cost in proportion to its size. Then the pairs of different components that share
 a key are compared by whole signatures, and what may be linked is confirmed on full sets, inside blocks of bounded size. Links that only repeat
 a known component aren't looked for; no link between components is lost.
 """
@@ -27,8 +27,8 @@ KEEP = [(c, left) for c in range(INDEXED // CHUNK) for left in combinations(rang
 #: whole signatures: of 64 symbols that agree with probability 0.8, 36 or more do but for 1 in 100,000 pairs
 AGREE = 36
 BLOCK, CONFIRM_BLOCK = 1024, 256
-#: most rounds of comparing with a leader; the keys that have one: the first of each chunk
-LEADER_ROUNDS, LEADER_KEYS = 6, range(0, len(KEEP), len(KEEP) * CHUNK // INDEXED)
+#: most rounds of comparing with a leader; shared keys that make a leader worth it; the keys that have one: the first of each chunk
+LEADER_ROUNDS, LEADER_SHARED, LEADER_KEYS = 6, 2, range(0, len(KEEP), len(KEEP) * CHUNK // INDEXED)
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 XOR, MULTIPLY = _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64), _RANDOM.integers(0, 2**64, SYMBOLS, np.uint64) | np.uint64(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -341,11 +341,11 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
         texts = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi")
         return texts.mapInArrow(_sets(shingle_words), "id long, shingles binary").filter(F.length("shingles") > 0)
 
-    def led(rows: DataFrame, seed: int) -> DataFrame:
-        """Links of each id with the leader it shares most keys with. A key's leader is the member whose id has the smallest hash."""
+    def led(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Links of each id with the leader it shares most keys with, and the pairs compared. A key's leader is the member whose id has the smallest hash."""
         leaders = rows.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64(F.lit(seed), "id")).alias("leader"), F.min("component").alias("a"), F.max("component").alias("b"))
         leaders = materialize(leaders.filter("a < b").select("key", "leader"))
-        pairs = rows.join(leaders, "key").filter("component <> leader.component").groupBy("id", F.col("leader.id").alias("leader")).agg(F.count("*").alias("n"))
+        pairs = rows.join(leaders, "key").filter("component <> leader.component").groupBy("id", F.col("leader.id").alias("leader")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEADER_SHARED)
         pairs = materialize(pairs.groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader")))
         sets = materialize(sets_of(pairs.select("id").union(pairs.select("leader")).distinct()))
         parts = materialize(pairs.groupBy("leader").agg(F.ceil(F.count("*") / CONFIRM_BLOCK).cast("int").alias("parts")))
@@ -353,7 +353,7 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
         centre = parts.join(sets, F.col("leader") == F.col("id")).select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), "id", F.lit(False).alias("member"), "shingles")
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = own.unionByName(centre).repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt", "member")
-        return dealt.mapInArrow(_confirm_star, "a long, b long")
+        return materialize(dealt.mapInArrow(_confirm_star, "a long, b long")), pairs
 
     def promising(component: DataFrame) -> DataFrame:
         rows = _blocks(keyed(component, range(len(KEEP))), BLOCK).join(payload, "id")
@@ -370,11 +370,11 @@ def near_duplicates(df: DataFrame, shingle_words: int = 4, doc_id: str = "doc_id
         rows = keyed(none if component is None else component, LEADER_KEYS)
         if not _shapes(rows).filter((F.col("rest") > 0) & (F.col("of_main") + F.col("rest") > BLOCK)).limit(1).count():
             break
-        found = materialize(led(rows, seed))
-        if not found.limit(1).count():
-            break
+        found, compared = led(rows, seed)
         links = found if links is None else links.union(found)
         component = connected_components(links)
+        if 2 * found.count() < compared.count():
+            break
     # then all blocks that still hold several components
     left = materialize(promising(none if component is None else component).select("key", "id", "component").distinct())
     if left.limit(1).count():
