@@ -11,6 +11,8 @@ import os
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 from .common import only_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -23,7 +25,11 @@ class FastTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        self.mark = next(((t.content, n) for n, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        if self.mark is None:
+            self.added = [*self.added, ""]  # nothing to put between parts: all texts are encoded whole
         self.keep, self.known, self.old = keep, {}, {}
         same = {tuple(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in ("a", "A", " a", "\na")}
         self.folds = len(same) == 1  # case and white space don't count in this vocabulary
@@ -43,6 +49,21 @@ class FastTokens:
     def _library(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _library_parts(self, parts: list[str], at_once: int = 500) -> list[bytes]:
+        """The same for parts that hold no added token: many are one text with an added token between them, which the library always takes out first."""
+        (mark, number), out = self.mark, []
+        joined = [mark.join(parts[i : i + at_once]) for i in range(0, len(parts), at_once)]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            ids, n = np.array(e.ids, "<u4"), min(at_once, len(parts) - i * at_once)
+            cuts = np.flatnonzero(ids == number)
+            if len(cuts) != n - 1:
+                raise ValueError("a part holds an added token")
+            data, begin = ids.tobytes(), 0
+            for end in [*(4 * cuts).tolist(), len(data)]:
+                out.append(data[begin:end])
+                begin = end + 4
+        return out
+
     def _learn(self, parts: list[str]) -> None:
         """A point or comma between a letter or digit and the end of a part is always encoded by itself."""
         known, stems = self.known, {}
@@ -51,7 +72,9 @@ class FastTokens:
         for x in {*stems.values(), ".", ","}.intersection(self.old):
             known.setdefault(x, self.old[x])
         new = [x for x in dict.fromkeys([*stems.values(), ".", ","]) if x not in known]
-        known.update(zip(new, self._library(new), strict=True))
+        # where case is folded a text is normalised as a whole, and long ones cost more than many calls
+        encode = self._library if self.folds else self._library_parts
+        known.update(zip(new, encode(new), strict=True))
         for part, stem in stems.items():
             if part is not stem:
                 ends = part[-1] in ".," and len(part) > 1 and part[-2].isalnum()
