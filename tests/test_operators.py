@@ -72,6 +72,11 @@ def test_leaves_and_similar_posts(spark):
     ours = spark.createDataFrame([(1, "id", "7"), (1, "n", "1")], "id int, path string, value string")
     theirs = spark.createDataFrame([(10, "id", "8"), (10, "n", "1"), (11, "id", "7"), (11, "n", "2")], "response int, path string, value string")
     assert rows(R.similar_posts(asked, ours, saved, theirs), "id") == [(1, 11, 1.0)]
+    mute = spark.createDataFrame([(2, 1, "https://h.example/q?x=1", "p"), (3, 2, "https://h.example/q?x=1", "p"), (4, 2, "https://h.example/q", "p")], "id int, archive_id int, url string, page_url string")
+    more = saved.union(spark.createDataFrame([(2, 1, 12, "https://h.example/q", "p")], saved.schema))
+    assert rows(R.similar_posts(mute, ours.filter("false"), more, theirs), "id") == [(3, 12, None)]  # of several, or of a known URL, none
+    deep = spark.createDataFrame([(1, '{"a":' * 11 + "7" + "}" * 11)], "id int, body string")
+    assert rows(R.body_leaves(deep), "id") == [(1, ".".join("a" * 11), "7")]
 
 
 def test_schedule(spark):

@@ -7,32 +7,33 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..functions.fixed import IDENTITY_LEAF
+from ..sources.shared import cut
 from .pages import first_by
 
 
-def body_leaves(bodies: DataFrame, depth: int = 8) -> DataFrame:
+def body_leaves(bodies: DataFrame) -> DataFrame:
     """(id, path, value) of the scalar leaves of JSON bodies (id, body), and of form bodies with ``=``; dots join the path.
 
-    Bodies are unfolded one level at a time up to ``depth``; deeper values stay JSON text. Empty objects and arrays are leaves.
+    Bodies are unfolded one level at a time, each level written once, until nothing is nested any more. Empty objects and arrays are leaves.
     """
-    # one map from name to JSON text per level; arrays by index
-    parsed = bodies.select("id", F.lit("").alias("path"), F.col("body").alias("value")).filter(F.try_parse_json("value").isNotNull() & F.col("body").rlike(r"^\s*[\[{]"))
+    level = bodies.select("id", F.lit("").alias("path"), F.col("body").alias("value")).filter(F.try_parse_json("value").isNotNull() & F.col("body").rlike(r"^\s*[\[{]"))
+    as_map, as_list = F.from_json("value", "map<string,string>"), F.from_json("value", "array<string>")
+    listed = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.greatest(F.size(as_list) - 1, F.lit(0))), lambda i: i.cast("string")), F.when(F.size(as_list) > 0, as_list).otherwise(F.array(F.lit(""))))
+    kind = F.substring(F.ltrim("value"), 1, 1)
+    items = F.when(kind == "{", as_map).when((kind == "[") & (F.size(as_list) > 0), listed)
     leaves = None
-    level = parsed
-    for d in range(depth):
-        kind = F.substring(F.ltrim("value"), 1, 1)
-        as_map = F.from_json("value", "map<string,string>")
-        as_list = F.from_json("value", "array<string>")
-        listed = F.map_from_arrays(F.transform(F.sequence(F.lit(0), F.greatest(F.size(as_list) - 1, F.lit(0))), lambda i: i.cast("string")), F.when(F.size(as_list) > 0, as_list).otherwise(F.array(F.lit(""))))
-        items = F.when(kind == "{", as_map).when((kind == "[") & (F.size(as_list) > 0), listed)
+    while leaves is None or level.limit(1).count():
         inner = level.withColumn("items", items)
-        empty = inner.filter(F.col("items").isNull() | (F.size("items") == 0)).select("id", "path", "value")
-        opened = inner.filter(F.size("items") > 0).select("id", "path", F.explode("items").alias("k", "v"))
-        opened = opened.select("id", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), F.coalesce("v", F.lit("null")).alias("value"))
-        nested = F.col("value").rlike(r"^\s*[\[{]") & F.try_parse_json("value").isNotNull()
-        done = empty.unionByName(opened.filter(~nested)) if d < depth - 1 else empty.unionByName(opened)
+        # an empty object or array is kept as a leaf by a row without a name
+        named = F.when(F.size("items") > 0, F.col("items")).otherwise(F.create_map().cast("map<string,string>"))
+        opened = inner.select("id", "path", "value", F.explode_outer(named).alias("k", "v"))
+        path = F.when(F.col("k").isNull() | (F.col("path") == ""), F.coalesce("k", "path")).otherwise(F.concat_ws(".", "path", "k"))
+        opened = opened.select("id", path.alias("path"), F.when(F.col("k").isNull(), F.col("value")).otherwise(F.coalesce("v", F.lit("null"))).alias("value"), F.col("k").isNotNull().alias("inside"))
+        nested = F.col("inside") & F.col("value").rlike(r"^\s*[\[{]") & F.try_parse_json("value").isNotNull()
+        opened = cut(opened.select("id", "path", "value", nested.alias("nested")))
+        done = opened.filter("not nested").drop("nested")
         leaves = done if leaves is None else leaves.unionByName(done)
-        level = opened.filter(nested)
+        level = opened.filter("nested").drop("nested")
     form = bodies.filter(F.try_parse_json("body").isNull() & F.col("body").rlike(r"^[^{\[\s][^\s]*="))
     pairs = form.select("id", F.explode(urls.query_pairs(F.col("body"))).alias("p")).select("id", F.col("p.name").alias("path"), F.col("p.value").alias("value"))
     return leaves.unionByName(pairs)
@@ -59,6 +60,7 @@ def similar_posts(requests: DataFrame, request_leaves: DataFrame, responses: Dat
 
     Equal leaves count 1, leaves that the saved body lacks -0.25; a different identity leaf rules the candidate out. Candidates have the same URL, or the
     same address where no URL agrees; the last ``candidates`` of each are looked at, and those of the same page first on a tie.
+    A request without leaves has nothing to compare: it gets the only response of its address, without a score, and none where there are several or its URL is known.
     requests(id, archive_id, url, page_url), responses(archive_id, ordinal, response, url, page_url); leaves(id or response, path, value).
     """
     from pyspark.sql import Window as W
@@ -70,7 +72,10 @@ def similar_posts(requests: DataFrame, request_leaves: DataFrame, responses: Dat
     by_path = responses.withColumn("at", at).withColumn("r", recent(["archive_id", "at"])).filter(F.col("r") <= candidates).select("archive_id", "at", "response", F.col("page_url").alias("saved_page"))
     first = requests.join(by_url, ["archive_id", "url"]).select("id", "response", "page_url", "saved_page")
     rest = requests.join(responses.select("archive_id", "url").distinct(), ["archive_id", "url"], "left_anti").withColumn("at", at)
-    pairs = first.unionByName(rest.join(by_path, ["archive_id", "at"]).select("id", "response", "page_url", "saved_page"))
+    told = request_leaves.select("id").distinct()
+    near = rest.join(by_path, ["archive_id", "at"]).select("id", "response", "page_url", "saved_page")
+    only = near.join(told, "id", "left_anti").groupBy("id").agg(F.min("response").alias("response"), F.count("*").alias("n")).filter("n = 1").select("id", "response", F.lit(None).cast("double").alias("score"))
+    pairs = first.unionByName(near).join(told, "id", "left_semi")
     ours = pairs.select("id", "response").join(request_leaves, "id").select("id", "response", "path", F.col("value").alias("asked"))
     saved = pairs.select("id", "response").join(response_leaves, "response").select("id", "response", "path", F.col("value").alias("saved"))
     both = ours.join(saved, ["id", "response", "path"], "full_outer")
@@ -79,7 +84,7 @@ def similar_posts(requests: DataFrame, request_leaves: DataFrame, responses: Dat
     scored = both.groupBy("id", "response").agg(F.sum(score).alias("score"), F.max(identity & ~equal).alias("veto")).filter("not veto")
     ranked = scored.join(pairs, ["id", "response"])
     best = first_by(ranked, ["id"], F.desc("score"), F.desc(F.col("page_url").eqNullSafe(F.col("saved_page"))), F.col("response"))
-    return best.select("id", "response", "score")
+    return best.select("id", "response", "score").unionByName(only)
 
 
 def graphql_match(requests: DataFrame, sources: DataFrame) -> DataFrame:
