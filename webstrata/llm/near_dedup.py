@@ -124,7 +124,7 @@ def _sets(size: int):
     return run
 
 
-def _whole_groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of rows sorted by group, cut only between groups, with the first row of each group (and the end)."""
 
     def starts(table: pa.Table) -> np.ndarray:
@@ -157,7 +157,7 @@ def _promising(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Rows come sorted by block, then by n_shingles; each is compared with the 1st, 2nd, ... row behind it for all blocks at once.
     """
-    for table, first in _whole_groups(batches, BLOCK_KEY):
+    for table, first in whole_groups(batches, BLOCK_KEY):
         col = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
         n, comp, parts, at, two = col("n_shingles"), col("component"), col("part"), col("at"), col("low") != col("high")
         rows = table.num_rows
@@ -190,7 +190,7 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of blocks with 100 * intersection >= 80 * union on full sets; between two known components one link is enough."""
-    for table, first in _whole_groups(batches, BLOCK_KEY):
+    for table, first in whole_groups(batches, BLOCK_KEY):
         out = []
         bounds = first if first[-1] == table.num_rows else np.append(first, table.num_rows)
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):

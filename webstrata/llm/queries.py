@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, near_dedup, packing, pii, quality, secrets, sharding, token_files
+from . import centroids, chat, decontaminate, embedding_dedup, exact_dedup, merkle, near_dedup, packing, pii, quality, secrets, sharding, token_files
 from .common import table
 
 
@@ -75,6 +75,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(merkle.document_manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -129,9 +141,70 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def _clustering(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """SQL of the rounds, one after the other; floors of quotients by whole numbers."""
+    steps = []
+    for r in range(rounds + 1):
+        far = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (q[i] - m[i]) * (q[i] - m[i])))"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT id, min(struct_pack(d := d, j := j)) AS best FROM (SELECT id, j, {far}::BIGINT AS d FROM v, c{r}) GROUP BY id)")
+        if r < rounds:
+            steps.append(f"u{r} AS (SELECT best.j AS j, i, sum(q[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (id), range(1, {dims + 1}) t(i) GROUP BY ALL)")
+            steps.append(f"m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM u{r} GROUP BY j)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT j, coalesce(m{r}.m, c{r}.m) AS m FROM c{r} LEFT JOIN m{r} USING (j))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: isfinite(x))) = {dims}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS j, q AS m FROM v QUALIFY j < {k}),
+{", ".join(steps)}
+SELECT vec_id, best.j::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.j))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (id) JOIN c{rounds} ON c{rounds}.j = best.j
+"""
+
+
+def _tree(nodes: str, leaves: str, name: str, levels: int) -> str:
+    """SQL that hashes ``nodes`` (g, idx, h, n) eight at a time and folds ``leaves`` (rid, g, idx, f, proof) up along them; a node that is alone stays."""
+    steps, at, leaf = [], nodes, leaves
+    for k in range(levels):
+        to, fold = f"{name}n{k}", f"{name}p{k}"
+        steps.append(f"{name}r{k} AS MATERIALIZED (SELECT g, idx // 8 AS par, any_value(n) AS n, list(h ORDER BY idx) AS hs FROM {at} GROUP BY g, par)")
+        steps.append(f"{to} AS MATERIALIZED (SELECT g, par AS idx, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, (n + 7) // 8 AS n FROM {name}r{k})")
+        before, behind = "array_to_string(hs[:idx % 8], '')", "array_to_string(hs[idx % 8 + 2:], '')"
+        steps.append(f"""{fold} AS MATERIALIZED (SELECT rid, p.g, par AS idx, CASE WHEN n > 1 THEN sha256({before} || f || {behind}) ELSE f END AS f, CASE WHEN n > 1 THEN proof || {before} || {behind} ELSE proof END AS proof
+  FROM {leaf} p JOIN {name}r{k} r ON r.g = p.g AND r.par = p.idx // 8)""")
+        at, leaf = to, fold
+    return ", ".join(steps)
+
+
+LEAF_LEVELS, LANG_LEVELS = 8, 4
+_field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_leaf = "sha256(" + " || ".join(_field.format(x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+OP12_SQL = f"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS crc),
+d AS (SELECT *, doc_id::VARCHAR AS t, hex(encode(doc_id::VARCHAR)) AS h, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {_leaf.format(text="text")} AS leaf, CASE WHEN xor({CRC32}, 4294967295) % 3 = 0 THEN {_leaf.format(text="low")} END AS tampered FROM d CROSS JOIN c),
+w AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY g, doc_id NULLS FIRST, leaf) AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM l),
+nodes AS (SELECT g, idx, leaf AS h, n FROM w), leaves AS (SELECT rid, g, idx, coalesce(tampered, leaf) AS f, '' AS proof FROM w),
+{_tree("nodes", "leaves", "a", LEAF_LEVELS)},
+top AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, h, count(*) OVER () AS n, g AS name FROM an{LEAF_LEVELS - 1}),
+up AS (SELECT rid, '' AS g, top.idx, f, proof FROM ap{LEAF_LEVELS - 1} p JOIN top ON top.name = p.g),
+{_tree("top", "up", "b", LANG_LEVELS)}
+SELECT doc_id, leaf, top.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM w JOIN bp{LANG_LEVELS - 1} p USING (rid) JOIN top ON top.name = w.g CROSS JOIN bn{LANG_LEVELS - 1} root
+"""
+
+OP13_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, m) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) x ON x.a = vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) y ON y.a = vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op6_minhash_near_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op2_sharding": OP2_SQL, "op6_minhash_near_dedup": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_centroid_clustering": _clustering(), "op12_merkle_manifest": OP12_SQL, "op13_embedding_near_dedup": OP13_SQL}
