@@ -136,6 +136,31 @@ def library(path):
     return lambda text: np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+PARTS = st.sampled_from([*"abIiİıßÀéñ.,;'-12 \n", "\u0307", "\u0301", "\u0327", "ﬁ", "日本", "ŉ", "ǰ", "ẞ", "İ.", "İ,", "é.", "DENİZLİ", "x.", "Å,"])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(PARTS, max_size=14).map("".join), min_size=1, max_size=40))
+def test_signs_behind_any_letter_are_encoded_as_by_the_library(name, texts):
+    from webstrata.llm.fast_tokens import tokens_of
+
+    k = tokens_of(vocabulary(name))
+    k.clear()
+    want = [e.ids for e in k.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in k.encode_all(texts)] == want
+
+
+def test_pack_of_composed_letters_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), ["DENİZLİ.", "bir DENİZLİ, iki", "İ.İ, é. a.", "x" * 30_000 + "İ."]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary("word_bpe_49k.json")).collect()
+    for i, t in enumerate(texts):
+        pieces = sorted((r.start, bytes(r.ids)) for r in out if r.doc_id == i)
+        assert np.frombuffer(b"".join(p for _, p in pieces), "<u4").tolist() == [*library.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_token_files(spark, docs, none, tmp_path, rows):
     path = vocabulary("byte_bpe_50k.json")
     files = token_files.write_token_files(docs, path, f"file://{tmp_path}/t", frame_bytes=2000)

@@ -65,10 +65,14 @@ class FastTokens:
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        """A point or comma between a letter or digit and the end of a part is always encoded by itself."""
+        """A point or comma between an ASCII letter or digit and the end of a part is always encoded by itself.
+
+        Behind other characters it may not be: some are normalised to several, the last of which joins a sign that follows.
+        """
         known, stems = self.known, {}
         for part in parts:
-            stems[part] = part[:-1] if part[-1] in ".," and len(part) > 1 and part[-2].isalnum() else part
+            ends = part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum()
+            stems[part] = part[:-1] if ends else part
         for x in {*stems.values(), ".", ","}.intersection(self.old):
             known.setdefault(x, self.old[x])
         new = [x for x in dict.fromkeys([*stems.values(), ".", ","]) if x not in known]
@@ -77,8 +81,7 @@ class FastTokens:
         known.update(zip(new, encode(new), strict=True))
         for part, stem in stems.items():
             if part is not stem:
-                ends = part[-1] in ".," and len(part) > 1 and part[-2].isalnum()
-                known[part] = known[stem] + known[part[-1]] if ends else known[stem]
+                known[part] = known[stem] + known[part[-1]]
 
     def encode_all(self, texts: list[str], chars: int = 4_000_000) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. New parts are learned for many texts at a time."""
