@@ -150,9 +150,96 @@ def test_packages(spark, tmp_path):
         tar.addfile(tarfile.TarInfo("../out"))
     with pytest.raises(Exception, match="unsafe name"):
         packages.read_tars(packages.listed(spark, f"file://{tmp_path}/bad")).collect()
-    wacz = packages.write_packages(files, packages.WaczPackage)
-    rows_ = packages.read_wacz(wacz).filter("archive_id = 1").collect()
-    assert {r.name for r in rows_} == {"manifest.json", "blobs/aa", "datapackage.json"} and all(r.hash == "sha256:" + hashlib.sha256(bytes(r.content)).hexdigest() for r in rows_ if r.hash)
+
+
+WACZ_RECORDS = "archive_id long, url string, captured_at timestamp, status int, headers map<string,string>, mime_type string, body binary"
+
+
+def wacz_tables(spark):
+    from datetime import datetime
+
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    records = [(a, f"https://www.b.example/{'é' if i == 5 else i}?z=1&a=2", None if i == 3 else at, None if i == 4 else 200, {"Set": "x", "Content-Encoding": "gzip"} if i % 2 else None, "text/html; charset=x", None if i == 6 else bytearray(f"body {a} {i} ".encode() * (1 + 997 * i))) for a in (1, 2) for i in range(30)]
+    records += [(1, "https://b.example/0?a=2&z=1", at, 404, None, None, bytearray(b"same key")), (9, "https://b.example/", at, 200, None, "x", bytearray(b"not listed"))]
+    pages = spark.createDataFrame([(1, "https://b.example/", at, "One"), (1, "https://b.example/2", None, None), (2, "not a url", at, 'Tw"o')], "archive_id long, url string, captured_at timestamp, title string")
+    archives = spark.createDataFrame([(1, "T", "https://b.example/", at), (2, None, "https://c.example/", None), (3, None, None, None)], "archive_id long, title string, start_url string, main_date timestamp")
+    return archives, spark.createDataFrame(records, WACZ_RECORDS), pages, records
+
+
+@pytest.mark.parametrize("most", [1 << 30, 100_000])
+def test_wacz_is_read_back_through_its_index(spark, tmp_path, most):
+    import gzip
+    import json
+    import zipfile
+
+    from webstrata.sources import wacz
+
+    archives, records, pages, data = wacz_tables(spark)
+    out = wacz.write_wacz(archives, records, pages, folder=f"file://{tmp_path}/w", most_bytes=most)
+    made = out.collect()
+    assert {r.archive_id for r in made} == {1, 2, 3} and sum(r.records for r in made) == 61 and sum(r.pages for r in made) == 3
+    assert (len(made) == 3) == (most > 1 << 20)
+    index = wacz.read_index(out)
+    back = wacz.fetch(index).collect()
+    plain = lambda b: bytes(b or b"")
+    assert sorted((r.archive_id, r.url, r.status, bytes(r.body)) for r in back) == sorted((a, u, s or 200, plain(b)) for a, u, _, s, _, _, b in data if a < 9)
+    assert all("Content-Encoding" not in r.headers and r.headers.startswith(f"HTTP/1.1 {r.status}") and f"content-length: {len(r.body)}" in r.headers for r in back)
+    for r in made:  # an entry of gzip members, an index that is sorted, lists with their heads
+        with zipfile.ZipFile(r.path.removeprefix("file://")) as z:
+            assert z.namelist() == [wacz.DATA, wacz.INDEX, wacz.PAGES, "datapackage.json"]
+            raw, about = z.read(wacz.DATA), json.loads(z.read("datapackage.json"))
+            lines = z.read(wacz.INDEX).decode().splitlines()
+            keys = [line.split(" ", 2)[:2] for line in lines]
+            assert keys == sorted(keys)
+            for line in lines:
+                e = json.loads(line.split(" ", 2)[2])
+                member = raw[int(e["offset"]) : int(e["offset"]) + int(e["length"])]
+                assert gzip.decompress(member).startswith(b"WARC/1.1\r\nWARC-Type: response") and e["url"].encode() in gzip.decompress(member)
+            first, *listed = z.read(wacz.PAGES).decode().splitlines()
+            assert json.loads(first)["format"] == "json-pages-1.0" and all({"id", "url", "ts", "title"} <= set(json.loads(x)) for x in listed)
+            assert {x["path"] for x in about["resources"]} == {wacz.DATA, wacz.INDEX, wacz.PAGES} and about["mainPageDate"]
+    assert {r.entry for r in wacz.verified(out).collect() if r.whole} == {wacz.DATA, wacz.INDEX, wacz.PAGES} and wacz.verified(out).filter("not whole").count() == 0
+    assert wacz.write_wacz(archives.filter("false"), records, pages).count() == 0
+
+
+def test_wacz_reads_only_the_members_asked_for(spark, tmp_path):
+    """Everything but one member and the directory is destroyed; that member is read all the same, others raise."""
+    from webstrata.sources import wacz
+
+    archives, records, pages, _ = wacz_tables(spark)
+    out = wacz.write_wacz(archives.filter("archive_id = 1"), records, pages, folder=f"file://{tmp_path}/w")
+    index = wacz.read_index(out).collect()
+    one = next(r for r in index if r.url.endswith("/7?z=1&a=2"))
+    path = one.path.removeprefix("file://")
+    data = bytearray(open(path, "rb").read())
+    begin = 30 + int.from_bytes(data[26:28], "little") + int.from_bytes(data[28:30], "little")
+    end = data.find(b"PK\x03\x04", begin + sum(r.length for r in index))
+    kept = range(begin + one.offset, begin + one.offset + one.length)
+    for i in range(begin, end):
+        if i not in kept:
+            data[i] = 0
+    open(path, "wb").write(data)
+    asked = spark.createDataFrame(index)
+    got = wacz.fetch(asked.filter(F.col("url") == one.url)).collect()
+    assert [bytes(r.body) for r in got] == [b"body 1 7 " * (1 + 997 * 7)]
+    assert [r.entry for r in wacz.verified(out).collect() if not r.whole] == [wacz.DATA]
+    with pytest.raises(Exception, match="not a"):
+        wacz.fetch(asked.filter(F.col("url") != one.url)).collect()
+
+
+def test_requests_are_linked_to_their_responses(spark, tmp_path):
+    from webstrata.sources import warc
+
+    assert warc.http_request("GET", "https://a.example?x=1#f", {"Host": "b", "A": "1"}, b"") == b"GET /?x=1 HTTP/1.1\r\nHost: a.example\r\nA: 1\r\n\r\n"
+    assert warc.http_request("POST", "https://a.example/p?x=1", {}, b"ab") == b"POST /p?x=1 HTTP/1.1\r\nHost: a.example\r\ncontent-length: 2\r\n\r\nab"
+    spark.dataSource.register(warc.WarcSource)
+    rows_ = [("https://a.example/1", 200, None, bytearray(b"x"), "GET"), ("https://a.example/2", 200, {"A": "b"}, None, None)]
+    df = spark.createDataFrame(rows_, "url string, status int, headers map<string,string>, body binary, request_method string").withColumn("captured_at", F.lit(None).cast("timestamp"))
+    df.write.format("warc").mode("append").save(f"file://{tmp_path}/r")
+    back = spark.read.format("warc").load(f"file://{tmp_path}/r").filter("type <> 'warcinfo'").collect()
+    ids = {r.record_id: r for r in back}
+    assert sorted((r.type, r.url) for r in back) == [("request", "https://a.example/1"), ("response", "https://a.example/1"), ("response", "https://a.example/2")]
+    assert [ids[r.concurrent_to].url for r in back if r.type == "request"] == ["https://a.example/1"] and len(ids) == 3
 
 
 def test_crawl_is_deeper_than_any_fixed_number_of_rounds(spark):

@@ -156,6 +156,30 @@ def export_order(files: DataFrame) -> DataFrame:
     return files.withColumn("place", F.row_number().over(W.partitionBy("archive_id").orderBy(rank, "name")))
 
 
+def package_records(pages: DataFrame, resources: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The responses that a package of each archive holds: archive_id, url, captured_at, status, headers, mime_type, body.
+
+    pages: archive_id, ordinal, url, requested_url, captured_at, html. resources: archive_id, ordinal, url, captured_at, status, headers, mime_type, body; the first of an
+    archive's rows for a URL counts. aliases: archive_id, alias, target. Pages with HTML are responses of their own, with a redirect from another requested URL;
+    resources are added unless a page has their URL, and aliases of saved resources are redirects unless a resource has their URL.
+    """
+    columns = ["archive_id", "url", "captured_at", "status", "headers", "mime_type", "body"]
+
+    def redirect(rows: DataFrame, url: str, target: str) -> DataFrame:
+        made = rows.select("archive_id", F.col(url).alias("url"), "captured_at", F.lit(302).alias("status"), F.create_map(F.lit("Location"), F.col(target)).alias("headers"))
+        return made.withColumn("mime_type", F.lit("text/html")).withColumn("body", F.lit(b"")).select(*columns)
+
+    shown = pages.filter(rules.text(F.col("html")) != "")
+    html = shown.select("archive_id", "url", "captured_at", F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("headers"), F.lit("text/html").alias("mime_type"), F.col("html").cast("binary").alias("body"))
+    asked = redirect(shown.filter("requested_url is not null and requested_url <> url"), "requested_url", "url")
+    first = first_by(resources, ["archive_id", "url"], "ordinal")
+    kept = first.join(pages.select("archive_id", "url").distinct(), ["archive_id", "url"], "left_anti")
+    kept = kept.select("archive_id", "url", "captured_at", F.coalesce(F.nullif("status", F.lit(0)), F.lit(200)).alias("status"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "mime_type", "body")
+    named = aliases.dropDuplicates(["archive_id", "alias", "target"]).join(first.select("archive_id", F.col("url").alias("target"), "captured_at"), ["archive_id", "target"])
+    named = named.join(first.select("archive_id", F.col("url").alias("alias")), ["archive_id", "alias"], "left_anti")
+    return html.unionByName(asked).unionByName(kept.select(*columns)).unionByName(redirect(named, "alias", "target"))
+
+
 def issue_pages(audit: DataFrame, limit: int = 30) -> DataFrame:
     """The first ``limit`` pages of each audit (audit_id, ordinal, status, ...) that aren't healthy."""
     place = F.row_number().over(W.partitionBy("audit_id").orderBy("ordinal"))

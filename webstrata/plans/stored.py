@@ -12,7 +12,7 @@ from ..functions import text, urls
 from ..operators import archives as A
 from ..operators import jobs as J
 from ..operators import records as C
-from ..sources import logs, packages, warc
+from ..sources import logs, packages, wacz, warc
 from ..sources.shared import cut, shared_dir
 from .queries import PATH, T
 from .reports import CATEGORY, LOG, change_log, classified, tagged
@@ -125,36 +125,72 @@ def warc_pages(s, d) -> DataFrame:
     return T(s, d, "pages").select("page_id", "url", F.lit(200).alias("status"), F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Encoding"), F.lit("gzip")).alias("headers"), F.col("html").cast("binary").alias("body"), F.timestamp_seconds(F.col("page_id") * 60).alias("captured_at"))
 
 
-@query("SNK5_MSC2_warc", "SELECT url, strftime(to_timestamp(page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date, 'HTTP/1.1 200 OK\r\nContent-Type: text/html\r\ncontent-length: ' || strlen(html) || '\r\n\r\n' || html AS block FROM pages")
+@query("SNK5_MSC2_warc", """
+WITH r AS (SELECT *, strftime(to_timestamp(page_id * 60) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS date FROM pages)
+SELECT 'response' AS type, url, date, 'HTTP/1.1 200 OK\r\nContent-Type: text/html\r\ncontent-length: ' || strlen(html) || '\r\n\r\n' || html AS block, CAST(NULL AS VARCHAR) AS answered_by FROM r
+UNION ALL SELECT 'request', url, date, CASE page_id % 3 WHEN 1 THEN 'GET ' ELSE 'POST ' END || CASE WHEN regexp_matches(url, '^https?://[^/?#]*/') THEN '' ELSE '/' END || regexp_extract(url, '^https?://[^/?#]*([^#]*)', 1) || ' HTTP/1.1\r\nHost: ' || regexp_extract(url, '^https?://([^/?#]*)', 1) || '\r\nAccept: */*\r\n'
+  || CASE page_id % 3 WHEN 1 THEN '\r\n' ELSE 'content-length: ' || strlen('page=' || page_id) || '\r\n\r\npage=' || page_id END, url FROM r WHERE page_id % 3 > 0""")
 def _(s, d):
     s.dataSource.register(warc.WarcSource)
-    folder = shared_dir(s)
-    warc_pages(s, d).drop("page_id").write.format("warc").mode("append").save(folder)
-    return s.read.format("warc").load(folder).filter("type = 'response'").select("url", "date", F.decode("block", "UTF-8").alias("block"))
+    folder, third = shared_dir(s), F.col("page_id") % 3
+    asked = {
+        "request_method": F.when(third == 1, "GET").when(third == 2, "POST"),
+        "request_headers": F.create_map(F.lit("Accept"), F.lit("*/*"), F.lit("Host"), F.lit("elsewhere"), F.lit("Content-Length"), F.lit("9")),
+        "request_body": F.when(third == 2, F.concat(F.lit("page="), F.col("page_id").cast("string"))).cast("binary"),
+    }
+    warc_pages(s, d).withColumns(asked).drop("page_id").write.format("warc").mode("append").save(folder)
+    rows = s.read.format("warc").load(folder).filter("type <> 'warcinfo'")
+    answers = rows.filter("type = 'response'").select(F.col("record_id").alias("concurrent_to"), F.col("url").alias("answered_by"))
+    return rows.join(answers, "concurrent_to", "left").select("type", "url", "date", F.decode("block", "UTF-8").alias("block"), "answered_by")
 
 
 SURT = """array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www[0-9]*\\.', ''), '.')), ',') || ')' || CASE WHEN """ + PATH.format("url") + """ = '' THEN '/' ELSE lower(""" + PATH.format("url") + """) END
   || CASE WHEN contains(url, '?') THEN '?' || array_to_string(list_sort(string_split(lower(regexp_extract(url, '\\?([^#]*)', 1)), '&')), '&') ELSE '' END"""
 
 
-@query("SNK7_wacz", f"""
-WITH k AS (SELECT page_id % 40 AS archive_id, {SURT} || ' ' || strftime(to_timestamp(page_id * 60) AT TIME ZONE 'UTC', '%Y%m%d%H%M%S') AS key FROM pages)
-SELECT archive_id, 'indexes/index.cdxj' AS name, string_agg(key, chr(10) ORDER BY key) AS keys, count(*) AS n, true AS whole FROM k GROUP BY archive_id
-UNION ALL SELECT page_id % 40, 'pages/pages.jsonl', string_agg(url, chr(10) ORDER BY page_id), count(*), true FROM pages GROUP BY page_id % 40""")
-def _(s, d):
-    p = warc_pages(s, d).withColumn("archive_id", F.col("page_id") % 40)
-    entry = F.struct("url", F.lit("text/html").alias("mime"), F.lit("200").alias("status"))
-    line = F.concat_ws(" ", urls.surt_key(F.col("url")), urls.timestamp14(F.col("captured_at")), F.to_json(entry))
-    joined = lambda rows: F.array_join(rows, "\n").cast("binary")
-    index = p.groupBy("archive_id").agg(joined(F.sort_array(F.collect_list(line))).alias("content")).select("archive_id", F.lit(1).alias("place"), F.lit("indexes/index.cdxj").alias("name"), "content")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "url"))), lambda r: F.to_json(F.struct(r["url"].alias("url"))))
-    pages = p.groupBy("archive_id").agg(joined(listed).alias("content")).select("archive_id", F.lit(2).alias("place"), F.lit("pages/pages.jsonl").alias("name"), "content")
-    record = F.struct("archive_id", F.lit(0).alias("place"), F.concat(F.lit("archive/"), F.lpad(F.col("page_id").cast("string"), 8, "0"), F.lit(".warc")).alias("name"), F.col("body").alias("content"))
-    files = p.select(record.alias("r")).select("r.*").unionByName(index).unionByName(pages)
-    back = packages.read_wacz(packages.write_packages(files, packages.WaczPackage)).filter("name in ('indexes/index.cdxj', 'pages/pages.jsonl')")
-    lines = F.split(F.decode("content", "UTF-8"), "\n")
-    keys = F.when(F.col("name") == "pages/pages.jsonl", F.transform(lines, lambda x: F.get_json_object(x, "$.url"))).otherwise(F.transform(lines, lambda x: F.regexp_replace(x, r" \{.*$", "")))
-    return back.select("archive_id", "name", F.array_join(keys, "\n").alias("keys"), F.size(lines).cast("long").alias("n"), (F.concat(F.lit("sha256:"), F.sha2("content", 256)) == F.col("hash")).alias("whole"))
+PACKAGED = f"""
+, p AS (SELECT archive_id, ordinal, url, requested_url, title, to_timestamp(ordinal * 60) AT TIME ZONE 'UTC' AS seen, html FROM captures),
+r AS (SELECT archive_id, url, min(ordinal) AS ordinal, arg_min(seen, ordinal) AS seen, arg_min(status, ordinal) AS status, arg_min(mime_type, ordinal) AS mime, arg_min(body, ordinal) AS body FROM (
+  SELECT archive_id, ordinal, url, saved_at AS seen, status, mime_type, digest AS body FROM resources WHERE archive_id IN (SELECT archive_id FROM captures)
+  UNION ALL SELECT archive_id, ordinal, url, seen, 200, 'text/html; charset=x', 'page' FROM p WHERE ordinal % 7 = 0) GROUP BY archive_id, url),
+k AS (SELECT archive_id, url, seen, 200 AS status, 'text/html' AS mime, html AS body, '' AS location FROM p WHERE html <> ''
+  UNION ALL SELECT archive_id, requested_url, seen, 302, 'text/html', '', url FROM p WHERE html <> '' AND requested_url <> url
+  UNION ALL SELECT archive_id, url, seen, status, split_part(mime, ';', 1), body, '' FROM r WHERE (archive_id, url) NOT IN (SELECT archive_id, url FROM p)
+  UNION ALL SELECT a.archive_id, alias, r.seen, 302, 'text/html', '', target FROM aliases a JOIN r ON r.archive_id = a.archive_id AND r.url = a.target WHERE (a.archive_id, alias) NOT IN (SELECT archive_id, url FROM r))
+"""
+
+
+def packaged(s, d) -> DataFrame:
+    """Packages of the archives with captured pages: their pages, resources and aliases."""
+    pages = view(s, d, "captures").withColumn("captured_at", F.timestamp_seconds(F.col("ordinal") * 60))
+    ids = cut(pages.groupBy("archive_id").agg(F.min_by("url", "ordinal").alias("start_url"), F.min("captured_at").alias("main_date"), F.concat(F.lit("Archive "), F.first("archive_id").cast("string")).alias("title")))
+    none = F.lit(None).cast("map<string,string>")
+    found = view(s, d, "resources").join(F.broadcast(ids.select("archive_id")), "archive_id", "left_semi")
+    found = found.select("archive_id", "ordinal", "url", F.col("saved_at").cast("timestamp").alias("captured_at"), "status", none.alias("headers"), "mime_type", F.col("digest").cast("binary").alias("body"))
+    again = pages.filter("ordinal % 7 = 0").select("archive_id", "ordinal", "url", "captured_at", F.lit(200).alias("status"), none.alias("headers"), F.lit("text/html; charset=x").alias("mime_type"), F.lit(b"page").alias("body"))
+    records = C.package_records(pages, found.unionByName(again), view(s, d, "aliases"))
+    return wacz.write_wacz(ids, records, pages.filter("html <> ''").select("archive_id", "url", "captured_at", "title"), most_bytes=1 << 19)
+
+
+@query("SNK7_wacz", cte("captures", "resources", "aliases") + PACKAGED + f"""
+SELECT archive_id, {SURT} AS surt, strftime(seen, '%Y%m%d%H%M%S') AS stamp, url, mime, status, strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS date, location, sha256(body) AS digest FROM k""")
+def _(s, d):
+    found = wacz.fetch(wacz.read_index(packaged(s, d)))
+    return found.select("archive_id", "surt", "stamp", "url", "mime", "status", "date", F.regexp_extract("headers", r"\nLocation: (\S*)", 1).alias("location"), F.sha2("body", 256).alias("digest"))
+
+
+@query("SNK7_package_pages", cte("captures", "resources", "aliases") + PACKAGED + """
+SELECT p.archive_id, p.url, strftime(seen, '%Y-%m-%dT%H:%M:%SZ') AS ts, p.title, m.title AS package, m.main, true AS whole
+FROM p JOIN (SELECT archive_id, 'Archive ' || archive_id AS title, arg_min(url, ordinal) AS main FROM p GROUP BY archive_id) m USING (archive_id) WHERE html <> ''""")
+def _(s, d):
+    made = packaged(s, d)
+    lines = wacz.read_lines(made)
+    about = lines.filter("entry = 'datapackage.json'").select("path", F.from_json("line", "title string, mainPageUrl string").alias("a"))
+    about = about.select("path", F.col("a.title").alias("package"), F.col("a.mainPageUrl").alias("main"))
+    texts = wacz.verified(made).groupBy("path").agg(F.min("whole").alias("whole"))
+    page = F.from_json("line", "url string, ts string, title string")
+    pages = lines.filter((F.col("entry") == wacz.PAGES) & ~F.col("line").contains("json-pages-1.0")).select("archive_id", "path", page.alias("p")).select("archive_id", "path", "p.*")
+    return pages.join(about, "path").join(texts, "path").select("archive_id", "url", "ts", "title", "package", "main", "whole")
 
 
 @query("SNK10_metric_days", "SELECT event_id FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-20' - 7")

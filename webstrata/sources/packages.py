@@ -1,4 +1,4 @@
-"""Archive packages: a tar file for each archive, and WACZ packages with their index, page list and checksums.
+"""Archive packages: a tar file for each archive (WACZ packages: ``wacz``).
 
 A package is one file, so one task writes it, entry by entry, from rows sorted by archive and place; nothing but the entry at hand is held in memory. Files
 get a name of their own and only those of tasks that ended are listed.
@@ -6,12 +6,9 @@ get a name of their own and only those of tasks that ended are listed.
 
 from __future__ import annotations
 
-import hashlib
 import io
-import json
 import tarfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -39,23 +36,6 @@ class TarPackage:
         self.tar.close()
 
 
-class WaczPackage:
-    """Zip entries on a binary stream; datapackage.json with the size and SHA-256 of all others comes last."""
-
-    ending = ".wacz"
-
-    def __init__(self, stream):
-        self.zip, self.entries = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED), []
-
-    def add(self, name: str, data: bytes) -> None:
-        self.zip.writestr(zipfile.ZipInfo(name), data)
-        self.entries.append({"name": name.rsplit("/", 1)[-1], "path": name, "hash": f"sha256:{hashlib.sha256(data).hexdigest()}", "bytes": len(data)})
-
-    def close(self) -> None:
-        self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": self.entries}))
-        self.zip.close()
-
-
 def write_packages(files: DataFrame, kind: type = TarPackage, folder: str | None = None) -> DataFrame:
     """Write files (archive_id, place, name, content) to a package for each archive; returns (archive_id, path, entries). Entries keep the order of ``place``."""
     folder = folder or shared_dir(files.sparkSession)
@@ -105,21 +85,6 @@ def read_tars(packages: DataFrame) -> DataFrame:
     return packages.select("archive_id", "path").repartition("path").mapInArrow(read, "archive_id long, place long, name string, content binary")
 
 
-def read_wacz(packages: DataFrame) -> DataFrame:
-    """(archive_id, name, content, hash) of WACZ packages; hash as datapackage.json has it, null for itself."""
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, at = _store(path)
-                with store.open_input_file(at) as f, zipfile.ZipFile(f) as z:
-                    hashes = {r["path"]: r["hash"] for r in json.loads(z.read("datapackage.json"))["resources"]}
-                    for name in z.namelist():
-                        yield pa.RecordBatch.from_arrays([pa.array([archive], pa.int64()), pa.array([name]), pa.array([z.read(name)], pa.binary()), pa.array([hashes.get(name)], pa.string())], names=["archive_id", "name", "content", "hash"])
-
-    return packages.select("archive_id", "path").repartition("path").mapInArrow(read, "archive_id long, name string, content binary, hash string")
-
-
 def listed(spark: SparkSession, folder: str, ending: str = ".tar") -> DataFrame:
     """(archive_id, path) of the packages in a folder; the archive is the number their name begins with."""
     rows = spark.createDataFrame([(p,) for p in files_of(folder, (ending,))], "path string")
