@@ -75,6 +75,14 @@ def audit_counts(references: DataFrame, audit: DataFrame) -> DataFrame:
     return checked.join(lost, "archive_id", "left").fillna(0)
 
 
+def snippets(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """rank, url, title and the text around the first place of the first term, else its beginning."""
+    at = F.instr(F.lower("text"), terms[0]) - 1
+    start = F.greatest(F.lit(0), at - 60)
+    around = F.concat(F.when(start > 0, "…").otherwise(""), F.substring("text", start + 1, at + len(terms[0]) + 80 - start), F.lit("…"))
+    return docs.select("rank", "url", "title", F.when(at >= 0, around).otherwise(F.substring("text", 1, 140)).alias("snippet"))
+
+
 def search(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
     """Documents that hold all (at most eight) terms: doc order, snippet around the first term, and the total of all hits.
 
@@ -85,10 +93,7 @@ def search(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
         return docs.filter("false").select("rank", "url", "title", F.lit("").alias("snippet"), F.lit(0).cast("long").alias("total"))
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
     hits = docs.filter(F.forall(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(hay, t)))
-    at = F.instr(F.lower("text"), terms[0]) - 1
-    start = F.greatest(F.lit(0), at - 60)
-    around = F.concat(F.when(start > 0, "…").otherwise(""), F.substring("text", start + 1, at + len(terms[0]) + 80 - start), F.lit("…"))
-    shown = hits.select("rank", "url", "title", F.when(at >= 0, around).otherwise(F.substring("text", 1, 140)).alias("snippet"))
+    shown = snippets(hits, terms)
     total = hits.agg(F.count("*").alias("total"))  # one row
     return shown.orderBy("rank").limit(limit).crossJoin(F.broadcast(total))
 

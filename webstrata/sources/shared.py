@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir; where that is unset a local one is made and set, on one machine only."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset a local one is made and set, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="webstrata-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
