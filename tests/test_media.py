@@ -20,7 +20,46 @@ def test_dash_timeline_list_and_base():
     assert list(dash_segments("<MPD>", BASE)) == []
 
 
+def urls_of(manifest):
+    return [u.removeprefix("https://m.example/v/") for _, u in dash_segments(manifest, BASE)]
+
+
+def test_dash_takes_every_representation_and_period():
+    reps = '<Representation id="a" bandwidth="1"/><Representation id="b" bandwidth="high"><BaseURL>b/</BaseURL></Representation>'
+    inner = '<AdaptationSet><SegmentTemplate media="$RepresentationID$$Number%03d$$$.m4s" duration="2"/>' + reps + "</AdaptationSet>"
+    two = f'<MPD mediaPresentationDuration="PT8S"><Period duration="PT4S">{inner}</Period><Period duration="PT4S"><BaseURL>https://q.example/</BaseURL>{inner}</Period></MPD>'
+    own = ["a001$.m4s", "a002$.m4s", "b/b001$.m4s", "b/b002$.m4s"]
+    assert urls_of(two) == [*own, *["https://q.example/" + x for x in own]]
+    assert urls_of(two.replace(' duration="PT4S"', "")) == [*[f"{x}00{i}$.m4s" for x in ("a", "b/b") for i in (1, 2, 3, 4)], *[f"https://q.example/{x}00{i}$.m4s" for x in ("a", "b/b") for i in (1, 2, 3, 4)]]
+    alone = '<MPD><Period><AdaptationSet><BaseURL>s/</BaseURL><Representation id="a"><BaseURL> v.mp4?a=1&amp;b </BaseURL></Representation><Representation id="b"/></AdaptationSet></Period></MPD>'
+    assert urls_of(alone) == ["s/v.mp4?a=1&b"]
+
+
+def test_dash_templates_add_to_those_above():
+    m = '<x:MPD mediaPresentationDuration="PT3S"><x:Period><SegmentTemplate timescale="10" startNumber="7"/><x:AdaptationSet><SegmentTemplate media="$Bandwidth$/$Number$" duration="10"/><Representation bandwidth="5"><SegmentTemplate media="own-$Number$"/></Representation><Representation bandwidth="6"/></x:AdaptationSet></x:Period></x:MPD>'
+    assert urls_of(m) == ["own-7", "own-8", "own-9", "6/7", "6/8", "6/9"]
+
+
+@pytest.mark.parametrize("number", ["0", "", "x", "nan", "inf", "-3", "1e999"])
+def test_dash_with_numbers_that_cannot_be_read(number):
+    for name in ("duration", "timescale", "startNumber"):
+        attributes = {"duration": "2", "timescale": "1", "startNumber": "1"} | {name: number}
+        got = urls_of(wrap("<SegmentTemplate media='$Number$' " + " ".join(f"{k}='{v}'" for k, v in attributes.items()) + "/>", '<Representation id="a" bandwidth="high"/>'))
+        assert len(got) in (0, 3)
+    for s in (f'<S d="{number}"/>', f'<S t="{number}" d="2"/>', f'<S d="2" r="{number}"/>'):
+        assert len(urls_of(wrap(f'<SegmentTemplate media="$Time$"><SegmentTimeline>{s}</SegmentTimeline></SegmentTemplate>'))) == 1
+
+
+def test_dash_of_broken_and_large_texts():
+    for text in ("", "<", "<MPD", "<MPD><Period><AdaptationSet><Representation>", "</MPD>", "<MPD><!-- " * 50_000, "<MPD>" + "<a b='" * 50_000, "<" + "a" * 200_000, "<!MPD>", "<MPD><Period></AdaptationSet></Period>"):
+        assert urls_of(text) == []
+    many = wrap('<SegmentTemplate media="$Number$" duration="1" timescale="100000"/>')
+    assert len(list(dash_segments(many, BASE, most=1000))) == 1000
+
+
 def test_assigned_json():
+    assert assigned_json("var ytData = {'a': '}' , b: \"x", "ytData") is None and assigned_json("ytData = {'a\\'}': {}} ;", "ytData") == "{'a\\'}': {}}"
+    assert assigned_json("ytData = {" + '"a' * 100_000, "ytData") is None
     assert assigned_json('window["ytData"] = {"a": "}\\"{", "b": {}};', "ytData") == '{"a": "}\\"{", "b": {}}'
     assert assigned_json("var ytData = {open", "ytData") is None and assigned_json("", "x") is None
 

@@ -62,6 +62,7 @@ ADVISORY_MESSAGE = r"(?i)falling back to|deprecated|third-party cookie|\bAbortEr
 ISOLATION_MESSAGE = r"(?i)content security policy|violates the following .* directive|refused to (?:connect|frame|load|execute)|failed to load resource:.*(?:404|405)|mime type .*not executable|second declarative shadow root cannot be created"
 ISOLATION_ERROR = r"(?i)ERR_BLOCKED|BLOCKED_BY_RESPONSE|CSP"
 BLOCK_END = "title|head|p|div|li|tr|h[1-6]|section|article|header|footer|nav|main|aside|dd|dt|blockquote|pre|table|ul|ol|figure|figcaption|summary|details|option"
+ISO_DURATION = r"(?i)^P(?:([\d.]+)D)?(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)?$"
 SCRIPT_LITERAL = r"""(?i)["'`]((?:https?://|\.{1,2}/|/)[^"'`\s<>()]{1,300}?\.(?:m?js|css)(?:\?[^"'`\s<>()]{0,200})?)["'`]"""
 SCRIPT_IMPORT = r"""(?i)\bimport\s*\(\s*["'`]([^"'`\s]{1,300}\.m?js(?:\?[^"'`\s]{0,200})?)["'`]\s*\)"""
 INLINE_HANDLER = r"""(?i)(<[a-z][a-z0-9:-]*\b[^<>]*?)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""

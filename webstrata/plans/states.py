@@ -249,18 +249,29 @@ def _(s, d):
     return T(s, d, "events").select("event_id", S.describe_diff(F.when(F.col("event_id") % 11 > 0, n("event_id", 3)), n("user_id", 4), n("event_id", 2)).alias("says"))
 
 
-@query("TXT11_dash", """SELECT page_id, 'https://m.example/v/i-hi.mp4' AS url FROM pages WHERE page_id % 3 < 2 UNION ALL SELECT page_id, 'https://m.example/v/hi-' || lpad(CAST(unnest(range(1, 2 + page_id % 7)) AS VARCHAR), 5, '0') || '.m4s' FROM pages WHERE page_id % 3 = 0
-UNION ALL SELECT page_id, 'https://m.example/v/hi/t' || unnest(range(0, 10 * (1 + page_id % 5), 10)) || '.m4s' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'https://n.example/' || unnest(['s' || page_id || '.mp4', 'last.mp4']) FROM pages WHERE page_id % 3 = 2""")
-def _(s, d):
-    k, n = F.col("page_id").cast("string"), F.col("page_id") % 3
-    head = lambda body, length: F.concat(F.lit('<MPD mediaPresentationDuration="PT'), length, F.lit('S"><Period><AdaptationSet>'), body, F.lit("</AdaptationSet></Period></MPD>"))
+# five kinds of manifests by page: numbered, timeline, list, two periods, bases alone beside numbers that can't be read
+@query("TXT11_dash", """
+WITH p AS (SELECT page_id, page_id % 5 AS kind, page_id % 7 AS k FROM pages), reps AS (SELECT unnest(['lo', 'hi']) AS rep), periods AS (SELECT unnest([1, 2]) AS period)
+SELECT page_id, 'https://m.example/v/i-' || rep || '.mp4' AS url, rep AS representation FROM p, reps WHERE kind < 2
+UNION ALL SELECT page_id, 'https://m.example/v/' || rep || '-' || lpad(CAST(unnest(range(1, 2 + k)) AS VARCHAR), 5, '0') || '.m4s', rep FROM p, reps WHERE kind = 0
+UNION ALL SELECT page_id, 'https://m.example/v/' || rep || '/t' || unnest(list_concat(range(0, 10 * (1 + k), 10), [1000, 1003])) || '.m4s', rep FROM p, reps WHERE kind = 1
+UNION ALL SELECT page_id, 'https://n.example/' || unnest(['s' || page_id || '.mp4', 'last.mp4']), 'a' FROM p WHERE kind = 2
+UNION ALL SELECT page_id, 'https://m.example/v/p' || period || '/' || CASE rep WHEN 'lo' THEN 1 ELSE 9 END || '-' || unnest(range(CASE period WHEN 1 THEN 5 ELSE 1 END, CASE period WHEN 1 THEN 6 + k ELSE 3 END)) || '$.m4s', rep FROM p, reps, periods WHERE kind = 3
+UNION ALL SELECT page_id, 'https://m.example/v/' || rep || page_id || '.mp4?a=1&b', rep FROM p, reps WHERE kind = 4""")
+def _(s, d):
+    k, seven, kind = F.col("page_id").cast("string"), F.col("page_id") % 7, F.col("page_id") % 5
+    mpd = lambda body, length: F.concat(F.lit('<?xml version="1.0"?><!-- <AdaptationSet> --><MPD mediaPresentationDuration="PT'), length, F.lit('S">'), body, F.lit("</MPD>"))
+    head = lambda body, length: mpd(F.concat(F.lit("<Period><AdaptationSet>"), body, F.lit("</AdaptationSet></Period>")), length)
     two = '<Representation id="lo" bandwidth="1"/><Representation id="hi" bandwidth="9"/>'
-    numbered = head(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$-$Number%05d$.m4s" duration="2" timescale="1"/>' + two), (2 * (1 + F.col("page_id") % 7)).cast("string"))
-    timeline = head(F.concat(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$/t$Time$.m4s" timescale="1"><SegmentTimeline><S t="0" d="10" r="'), (F.col("page_id") % 5).cast("string"), F.lit('"/></SegmentTimeline></SegmentTemplate>' + two)), F.lit("9"))
+    numbered = head(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$-$Number%05d$.m4s" duration="2" timescale="1"/>' + two), (2 * (1 + seven)).cast("string"))
+    timeline = head(F.concat(F.lit('<SegmentTemplate initialization="i-$RepresentationID$.mp4" media="$RepresentationID$/t$Time$.m4s" timescale="1"><SegmentTimeline><S t="0" d="10" r="'), seven.cast("string"), F.lit('"/><S t="1000" d="3"/><S d="3"/></SegmentTimeline></SegmentTemplate>' + two)), F.lit("9"))
     listed = head(F.concat(F.lit('<Representation id="a" bandwidth="1"><BaseURL>https://n.example/</BaseURL><SegmentList><SegmentURL media="s'), k, F.lit('.mp4"/><SegmentURL media="last.mp4"/></SegmentList></Representation>')), F.lit("9"))
+    period = lambda i, length, start: F.concat(F.lit(f'<Period duration="PT'), length, F.lit(f'S"><BaseURL>p{i}/</BaseURL><SegmentTemplate timescale="1000" {start}/><AdaptationSet><SegmentTemplate media="$Bandwidth$-$Number$$$.m4s" duration="2000"/>{two}</AdaptationSet></Period>'))
+    periods = mpd(F.concat(period(1, (2 * (1 + seven)).cast("string"), 'startNumber="5"'), period(2, F.lit("4"), 'startNumber="x"')), F.lit("8"))
+    alone = mpd(F.concat(F.lit('<Period><AdaptationSet><Representation id="lo" bandwidth="high"><BaseURL>lo'), k, F.lit('.mp4?a=1&amp;b</BaseURL></Representation><Representation id="hi"><BaseURL>hi'), k, F.lit('.mp4?a=1&amp;b</BaseURL></Representation></AdaptationSet><AdaptationSet><SegmentTemplate media="$Number$" duration="0"/><Representation id="z"/></AdaptationSet></Period>')), F.lit("9"))
     s.udtf.register("dash_segments", media.DashSegments)
-    rows = T(s, d, "pages").select("page_id", F.when(n == 0, numbered).when(n == 1, timeline).otherwise(listed).alias("mpd"))
-    return s.sql("SELECT r.page_id, t.url FROM {rows} r, LATERAL dash_segments(r.mpd, 'https://m.example/v/m.mpd') t", rows=rows)
+    rows = T(s, d, "pages").select("page_id", F.when(kind == 0, numbered).when(kind == 1, timeline).when(kind == 2, listed).when(kind == 3, periods).otherwise(alone).alias("mpd"))
+    return s.sql("SELECT r.page_id, t.url, t.representation FROM {rows} r, LATERAL dash_segments(r.mpd, 'https://m.example/v/m.mpd') t", rows=rows)
 
 
 @query("TXT22_assigned_json", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"a":{"b":"}' || page_id || '"}}' WHEN 1 THEN '{"q":"\\"{' || page_id || '","l":[{},{"m":1}]}' ELSE '{}' END AS json FROM pages WHERE page_id % 4 < 3""")
