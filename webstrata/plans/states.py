@@ -14,6 +14,7 @@ from ..operators import jobs as J
 from ..operators import pages as P
 from ..sources.shared import shared_dir
 from ..streaming import services as streams
+from ..streaming import timers
 from .queries import HOST, T
 from .reports import CLASS, classified
 from .views import cte, view
@@ -226,6 +227,56 @@ def _(s, d):
     return s.read.schema("watch_id string, ts timestamp, before string, now string").parquet(f"{out}/rows").select("watch_id", "ts", "now")
 
 
+PASSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("STM1_watch_timers", f"""
+WITH e AS (SELECT user_id, ts, event_type AS now, lag(event_type) OVER w AS before, lead(ts) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+c AS (SELECT user_id, ts, before, now, list(now) OVER (PARTITION BY user_id ORDER BY ts) AS kept FROM e WHERE before IS NULL OR before <> now)
+SELECT CAST(user_id AS VARCHAR) AS watch_id, 'changed' AS kind, ts, before, now, list_reverse(kept)[:20] AS history FROM c WHERE before IS NOT NULL
+UNION ALL SELECT CAST(e.user_id AS VARCHAR), 'due', e.ts + INTERVAL 12 HOUR, NULL, NULL, list_reverse(c.kept)[:20] FROM e ASOF JOIN c ON c.user_id = e.user_id AND e.ts >= c.ts WHERE coalesce(after, {PASSED}) > e.ts + INTERVAL 12 HOUR""")
+def _(s, d):
+    seen = event_stream(s, d).select(F.col("user_id").cast("string").alias("watch_id"), "ts", F.col("event_type").alias("text"), F.lit(720).alias("minutes"))
+    return timers.run_to_end(timers.watch_stream(seen), shared_dir(s))
+
+
+@query("STM5_schedule_timers", f"""
+WITH RECURSIVE e AS (SELECT user_id, ts, CASE WHEN row_number() OVER w = 1 THEN 'plan' WHEN event_type IN ('click', 'error') THEN 'busy' ELSE 'free' END AS event FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+b AS (SELECT user_id, ts AS since, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS until, event = 'busy' AS busy FROM e),
+n AS (SELECT user_id, ts + INTERVAL 1 DAY AS at_time FROM e WHERE event = 'plan' AND ts + INTERVAL 1 DAY <= {PASSED}
+  UNION ALL SELECT n.user_id, n.at_time + CASE WHEN busy THEN INTERVAL 10 MINUTE ELSE INTERVAL 1 DAY END FROM n JOIN b ON b.user_id = n.user_id AND n.at_time > since AND n.at_time <= coalesce(until, n.at_time)
+  WHERE n.at_time + CASE WHEN busy THEN INTERVAL 10 MINUTE ELSE INTERVAL 1 DAY END <= {PASSED})
+SELECT CAST(n.user_id AS VARCHAR) AS schedule_id, at_time AS ts, CASE WHEN busy THEN 'waiting' ELSE 'start' END AS action FROM n JOIN b ON b.user_id = n.user_id AND n.at_time > since AND n.at_time <= coalesce(until, n.at_time)""")
+def _(s, d):
+    first = T(s, d, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("first"))
+    event = F.when(F.col("ts") == F.col("first"), "plan").when(F.col("event_type").isin("click", "error"), "busy").otherwise("free")
+    rows = event_stream(s, d).join(first, "user_id").select(F.col("user_id").alias("schedule_id"), "ts", event.alias("event"), F.lit(1440).alias("minutes"))
+    return timers.run_to_end(timers.schedule_stream(rows), shared_dir(s))
+
+
+@query("STM18_stalled_stream", f"WITH g AS (SELECT user_id, ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts), {PASSED}) - ts AS gap FROM events) SELECT CAST(user_id AS VARCHAR) AS job_id, min(ts) AS ts FROM g WHERE gap >= INTERVAL 6 HOUR GROUP BY user_id")
+def _(s, d):
+    return timers.run_to_end(timers.stalled_stream(event_stream(s, d).select(F.col("user_id").alias("job_id"), "ts"), 6 * 3600), shared_dir(s))
+
+
+@query("STM10_tuner_stream", """
+WITH RECURSIVE a AS (SELECT CAST(user_id % 7 AS VARCHAR) AS kind, ts FROM events WHERE event_type = 'error'), e AS (SELECT * FROM a WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM a)),
+t AS (SELECT kind, min(ts) AS ts, 0 AS n FROM e GROUP BY kind UNION ALL SELECT t.kind, min(e.ts), t.n + 1 FROM t JOIN e ON e.kind = t.kind AND e.ts >= t.ts + INTERVAL 1 HOUR WHERE t.n < 28 GROUP BY t.kind, t.n)
+SELECT kind, ts, 30 - n AS "from", 29 - n AS "to" FROM t""")
+def _(s, d):
+    errors = event_stream(s, d).filter("event_type = 'error'").select((F.col("user_id") % 7).cast("string").alias("kind"), "ts")
+    out = timers.run_to_end(timers.spaced_stream(errors, 3600, 29), shared_dir(s))
+    return out.select("kind", "ts", (30 - F.col("n")).alias("from"), (29 - F.col("n")).alias("to"))
+
+
+@query("STM17_alert_stream", """
+WITH RECURSIVE a AS (SELECT ts FROM events WHERE value > 200), e AS (SELECT * FROM a WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM a)),
+t AS (SELECT min(ts) AS ts FROM e HAVING min(ts) IS NOT NULL UNION ALL SELECT min(e.ts) FROM t JOIN e ON e.ts >= t.ts + INTERVAL 24 HOUR HAVING min(e.ts) IS NOT NULL) SELECT ts FROM t""")
+def _(s, d):
+    over = event_stream(s, d).filter("value > 200").select(F.lit("storage").alias("kind"), "ts")
+    return timers.run_to_end(timers.spaced_stream(over, 24 * 3600), shared_dir(s)).select("ts")
+
+
 @query("STM8_pressure_stream", "SELECT CASE WHEN value >= 90 THEN 'critical' WHEN value >= 78 THEN 'high' WHEN value >= 65 THEN 'elevated' ELSE 'normal' END AS pressure, count(*) AS n FROM events GROUP BY pressure")
 def _(s, d):
     none = F.lit(None).cast("double")

@@ -14,6 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import rules
 
 
+def excerpt(text: str | None) -> tuple[str, str]:
+    """Hash and beginning of a watched text, its white space made even; null is empty."""
+    plain = re.sub(r"\s+", " ", text if isinstance(text, str) else "").strip()
+    return hashlib.sha256(plain.encode()).hexdigest(), plain[:120]
+
+
 def watch_notifications(observations: DataFrame) -> DataFrame:
     """(watch_id, ts, before, now) on each change of watched text; the first observation of a watch is its baseline.
 
@@ -25,8 +31,7 @@ def watch_notifications(observations: DataFrame) -> DataFrame:
         last = state.get if state.exists else (None, None)
         rows, out = pd.concat(list(batches)).sort_values("ts"), []
         for ts, text in zip(rows["ts"], rows["text"], strict=True):
-            plain = re.sub(r"\s+", " ", text if isinstance(text, str) else "").strip()
-            digest, shown = hashlib.sha256(plain.encode()).hexdigest(), plain[:120]
+            digest, shown = excerpt(text)
             if last[0] is not None and digest != last[0]:
                 out.append((key[0], ts, last[1], shown))
             last = (digest, shown)
