@@ -10,10 +10,14 @@ character of each control string, so no control string is left inside a text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import let
+
 OPEN, BODY, ESCAPED, CLOSE = "[INST]", "[/INST]", "[ESC]", "</s>"
 CONTROL = r"\[/?INST\]|\[ESC\]|</s>"
 
@@ -85,12 +89,25 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id", turn: str = "t
     return out.withColumn("recovered", back).withColumn("round_trip", F.col("recovered").eqNullSafe(F.col("source"))).drop("source")
 
 
+CHUNK = 1024
+
+
 def loss_text(formatted: str = "formatted", loss_spans: str = "loss_spans") -> Column:
-    """All text under the loss mask, read from the formatted string and unescaped."""
+    """All text under the loss mask, read from the formatted string and unescaped.
+
+    The string is cut into parts of CHUNK characters once, and a span is read from the parts it lies in, so many spans don't walk from the start each.
+    """
+
+    def piece(chunks: Column) -> Callable[[Column], Column]:
+        def read(span: Column) -> Column:
+            begin = span["start"] - len(ESCAPED)  # a turn's head is longer than that
+            first = F.floor(begin / CHUNK).cast("int")
+            last = F.floor((span["end"] - 1) / CHUNK).cast("int")
+            near = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+            window = F.substring(near, (begin - first * CHUNK + 1).cast("int"), (span["end"] - begin).cast("int"))
+            return let(window, lambda w: F.when(w.startswith(ESCAPED), unescape(F.substring(w, len(ESCAPED) + 1, F.length(w)))).otherwise(F.substring(w, len(ESCAPED) + 1, F.length(w))))
 
-    def piece(span: Column) -> Column:
-        raw = F.substring(F.col(formatted), (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-        before = F.substring(F.col(formatted), (span["start"] + 1 - len(ESCAPED)).cast("int"), F.lit(len(ESCAPED)))
-        return F.when(before == ESCAPED, unescape(raw)).otherwise(raw)
+        return read
 
-    return F.array_join(F.transform(F.col(loss_spans), piece), "")
+    parts = F.regexp_extract_all(F.col(formatted), F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(parts, lambda chunks: F.array_join(F.transform(F.col(loss_spans), piece(chunks)), ""))
