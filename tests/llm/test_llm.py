@@ -71,6 +71,18 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.filter("false")).count() == 0
 
 
+def test_chat_of_very_long_and_repeated_turns(spark):
+    """Many turns take time in proportion; repeated rows are turns of their own; a very long text comes back."""
+    long = "a [INST] b \\\\ </s> é 𝒳 " * 20_000
+    data = [(1, t, "assistant" if t % 2 else "user", f"</s> turn {t} 𝒳" if t % 3 else "same") for t in range(20_000)]
+    data += [(2, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", long), (2, 1, "assistant", long), (3, 0, "assistant", None), (3, 0, "assistant", "")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: r for r in chat.format_conversations(df).withColumn("loss", chat.loss_text()).select("conv_id", "n_turns", "round_trip", "loss").collect()}
+    assert all(r.round_trip for r in out.values()) and {k: r.n_turns for k, r in out.items()} == {1: 20_000, 2: 4, 3: 2}
+    assert out[1].loss == "".join(t for c, _, role, t in data if c == 1 and role == "assistant")
+    assert out[2].loss == long + long and out[3].loss == ""
+
+
 # sharding
 
 
@@ -556,6 +568,31 @@ def test_secrets_by_an_index_that_knows_no_rules(spark, tmp_path):
     assert asked == {i for i, _ in low if any(held(i, q) for q in queries.values())}
 
 
+def scanned(df):
+    """Rows that the file scans of a plan without shuffles put out when it runs."""
+    plan = df._jdf.queryExecution()
+    plan.toRdd().count()
+    leaves = plan.executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_secrets_read_the_postings_they_ask_for(spark, tmp_path):
+    """Rows read from the index are within five times the rows wanted, with many more trigrams than a filter takes at once."""
+    rng = random.Random(12)
+    syllables = ["ka", "lo", "mi", "ne", "pu", "ro", "si", "ta", "ve", "zu", "cha", "the"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5)))
+    texts = [" ".join(word() for _ in range(150)) + rng.choice(["", "", " password = abcdefgh1", " AKIA" + "Z" * 16, " ghp_" + "a" * 36]) for _ in range(6000)]
+    index = secrets.build_index(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2), path=str(tmp_path / "index"))
+    queries = {r.kind: q for r in secrets.BASE + secrets.ADDED if (q := secrets.trigram_query(r.pattern)) is not None}
+    trigrams = sorted({g for q in queries.values() for grams in q for g in grams})
+    rows = secrets.postings(index, trigrams)
+    wanted = rows.count()
+    assert len(trigrams) > 2 * secrets.AT_ONCE and wanted > 1000
+    assert scanned(rows) <= 5 * wanted and scanned(rows) < index.count() / 10
+    found = {r.doc_id for r in secrets.candidates(index, queries).collect()}
+    assert found >= {i for i, t in enumerate(texts) if "password" in t or "AKIA" in t} and len(found) < 3500
+
+
 def test_secrets_equal_brute_force(spark, none):
     data = noisy(2, ["password=", "PassWd: ", "api_key", "ApiKey", "=", '"', ":", " ", "abcdefgh", "deadbeef" * 4, "AKIA", "ABCDEFGHIJKL12", "secret", "token='", "short", "é", "\n", "0123456789abcdef" * 3])
     out = secrets.find_secrets(spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, rules int"))

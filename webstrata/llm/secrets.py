@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from re import _constants as rc
 from re import _parser as rp
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import marked, materialize, whole_text
+from .common import marked, materialize, shared_dir, whole_text
 from .spans import count_kind, find_spans, spans_string
 
 
@@ -78,33 +79,42 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
 
 
 PIECE = 4096
+#: rows of a page of postings; trigrams that one scan asks for: beyond ten values Parquet's filters know only the smallest and the largest
+PAGE_ROWS, AT_ONCE = 256, 10
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """Postings (trigram, doc_id) of all trigrams of whole lower-cased texts, written to ``path``; rows with a null id have none.
 
-    A task writes the segment of its own documents, sorted by trigram, so nothing is shuffled and a reader that asks for some trigrams skips the
-    row groups of others. Long texts are cut into pieces that overlap by two characters.
+    A task writes the segment of its own documents, sorted by trigram and in small pages, so nothing is shuffled and a reader that asks for a trigram by equality skips the
+    pages of others. Long texts are cut into pieces that overlap by two characters.
     """
     low = docs.select(docs[doc_id].alias("doc_id"), F.lower(whole_text(docs[text])).alias("low")).filter("doc_id is not null")
     piece = F.regexp_extract_all("low", F.lit(rf"(?s)(?=(.{{3,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
     grams = low.select("doc_id", F.explode(piece).alias("piece")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("piece", F.lit("(?s)(?=(...))"), F.lit(1)))).alias("trigram"))
-    return materialize(grams.select("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"), path)
+    path = path or shared_dir(docs.sparkSession)
+    made = grams.select("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id")
+    made.write.option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
+    return docs.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def postings(index: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The postings of some trigrams, in as many scans as let each trigram be an equality that the file format filters by."""
+    parts = [index.filter(F.col("trigram").isin(trigrams[i : i + AT_ONCE])) for i in range(0, len(trigrams), AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
-    """(doc_id, rules): documents in the intersection of the postings of one of a rule's ANDs."""
-    trigrams = sorted({g for q in queries.values() for grams in q for g in grams})
-    held = index.filter(F.col("trigram").isin(trigrams)).groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-
-    def satisfied(query: list[list[str]]) -> Column:
-        out = F.lit(False)
-        for grams in query:
-            out = out | (F.size(F.array_except(F.array(*[F.lit(g) for g in grams]), F.col("held"))) == 0)
-        return out
-
-    rules = F.array_compact(F.array(*[F.when(satisfied(q), F.lit(k)) for k, q in queries.items()]))
-    return held.select("doc_id", rules.alias("rules")).filter(F.size("rules") > 0)
+    """(doc_id, rules): documents in the intersection of the postings of one of a rule's ANDs.
+
+    A trigram is one bit of each AND that names it; the lists of an AND are intersected by joining the bits of a document, in part before the shuffle.
+    """
+    ands = [(kind, sorted(set(grams))[:63]) for kind, q in queries.items() for grams in q]  # as many as a long has bits; what is left out only widens
+    rows = postings(index, sorted({g for _, grams in ands for g in grams}))
+    bits = [F.bit_or(F.create_map(*[F.lit(x) for i, g in enumerate(grams) for x in (g, 1 << i)])[F.col("trigram")].cast("long")).alias(f"and{k}") for k, (_, grams) in enumerate(ands)]
+    held = rows.groupBy("doc_id").agg(*bits)
+    whole = [F.when(F.col(f"and{k}") == (1 << len(grams)) - 1, F.lit(kind)) for k, (kind, grams) in enumerate(ands)]
+    return held.select("doc_id", F.array_distinct(F.array_compact(F.array(*whole))).alias("rules")).filter(F.size("rules") > 0)
 
 
 def find_secrets(df: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id", text: str = "text", index: DataFrame | None = None) -> DataFrame:

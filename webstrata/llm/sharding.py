@@ -3,7 +3,9 @@
 Every shard draws a straw ln(u) / weight, with u hashed from the key and the shard's name. The straw of a rack is the longest of its
 shards', that of a region the longest of its racks', which is how a draw of the summed weight is distributed. A key descends from
 the root to the region, rack and shard whose straw is longest. A draw depends on its own shard's name and weight only, so a changed weight
-moves keys into or out of that shard alone, and a new shard takes keys without moving any between older ones.
+moves keys into or out of that shard alone, and a new shard takes keys without moving any between older ones. Put plainly: because a node's straw is that of a leaf
+below it, the descent ends where one flat draw among all shards would, and a row costs a hash for each shard. Draws of a node's own would be cheaper, but a changed
+weight would then also move keys between the shards below that node, against the law.
 """
 
 from __future__ import annotations
