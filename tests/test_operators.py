@@ -59,6 +59,21 @@ def test_crawl_cycle_and_scope(spark):
     assert G.crawl_frontier(seeds.filter("false"), links).count() == 0
 
 
+def test_page_found_again_with_a_smaller_external_depth_is_opened_again(spark):
+    """Over the short way the page lies two outside, over the long way one: only then its link still fits the limit."""
+    a, x = (lambda n: f"https://a.example/{n}"), (lambda n: f"https://{n}.test/")
+    links = [(a(0), x("x1")), (x("x1"), x("p")), (a(0), a(1)), (a(1), a(2)), (a(2), x("p")), (x("p"), x("q")), (x("q"), x("r")), (x("q"), a(0))]
+    out = G.crawl_frontier(spark.createDataFrame([(a(0),)], "url string"), spark.createDataFrame(links, "src string, dst string"), max_external=2)
+    assert rows(out.select("url", "depth", "external_depth"), "url") == [(a(0), 0, 0), (a(1), 1, 0), (a(2), 2, 0), (x("p"), 2, 1), (x("q"), 4, 2), (x("x1"), 1, 1)]
+    assert {r.url: r.parent for r in out.collect()}[x("p")] == x("x1")
+
+
+def test_long_redirect_chains_are_no_loops(spark):
+    edges = spark.range(400).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    out = G.redirect_chains(edges, 50)
+    assert {r.state: r["count"] for r in out.groupBy("state").count().collect()} == {"ok": 50, "too-long": 350}
+
+
 def test_redirect_chains(spark):
     out = G.redirect_chains(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string"))
     assert rows(out, "url") == [("a", "c", 2, "ok"), ("b", "c", 1, "ok"), ("x", None, None, "loop"), ("y", None, None, "loop")]

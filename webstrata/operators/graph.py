@@ -11,46 +11,56 @@ from ..sources.shared import cut as _cut
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int | None = None, max_external: int | None = None, keywords: list[str] | None = None) -> DataFrame:
-    """(url, depth, external_depth, scope, parent): pages in breadth-first order from (url) seeds along (src, dst) links.
+    """(url, depth, external_depth, scope, parent): what breadth-first search from (url) seeds along (src, dst) links opens within the limits.
 
-    A page is visited once, at its smallest depth; of equal depths the smallest external depth and then parent counts. Null limits are none; the rounds
-    go on until nothing new is found. Cycles end because visited pages aren't entered again. Each round writes its own pages only.
+    A page found again at a greater depth but with a smaller external depth than before is opened again, since more of what it links to then fits the limit on external depth.
+    depth and external_depth are the smallest of all ways to a page, scope and parent those of the first way (smallest depth, then external depth, then parent). Null limits are none; rounds
+    go on until nothing new is found. Cycles end because a page is only opened again with a smaller external depth. Each round writes its own pages only, and a URL's
+    scope is read once a round.
     """
     words = F.array(*[F.lit(k) for k in keywords]) if keywords else None
     start = seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(0).alias("external_depth"), F.lit("origin").alias("scope"), F.lit(None).cast("string").alias("parent"), F.col("url").alias("root"))
     folder = shared_dir(seeds.sparkSession)
-    visited = frontier = put(start, folder, 0)
+    opened = frontier = put(start, folder, 0)
     depth = 0
     while max_depth is None or depth < max_depth:
-        step = frontier.select(F.col("url").alias("src"), "depth", "external_depth", "scope", "root").join(links, "src")
-        scope = urls.classify_scope(F.col("root"), F.col("dst"), words)
-        step = step.withColumn("next", scope).withColumn("outside", urls.next_external_depth(F.col("next"), F.col("scope"), F.col("external_depth")))
+        step = frontier.select(F.col("url").alias("src"), "external_depth", "scope", "root").join(links, "src")
+        # the external depth of an outside page; an inside one has none, which is known once its URL is read
+        carried = urls.next_external_depth(F.lit("external"), F.col("scope"), F.col("external_depth"))
+        best = step.groupBy(F.col("dst").alias("url"), "root").agg(F.min(F.struct(carried.alias("outside"), "src")).alias("b"))
+        before = opened.groupBy("url", "root").agg(F.min("external_depth").alias("least"))
+        best = best.join(before, ["url", "root"], "left").filter("least is null or b.outside < least")
+        best = best.withColumn("scope", urls.classify_scope(F.col("root"), F.col("url"), words))
+        outside = urls.next_external_depth(F.col("scope"), F.lit("external"), F.col("b.outside") - 1)
+        fresh = best.withColumn("external_depth", F.when(F.col("scope") == "external", F.col("b.outside")).otherwise(outside)).filter("least is null or external_depth < least")
         if max_external is not None:
-            step = step.filter(F.col("outside") <= max_external)
-        best = step.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("outside", "src", "next", "root", "depth")).alias("b"))
-        fresh = best.join(visited.select("url"), "url", "left_anti")
+            fresh = fresh.filter(F.col("external_depth") <= max_external)
         depth += 1
-        frontier = put(fresh.select("url", (F.col("b.depth") + 1).alias("depth"), F.col("b.outside").alias("external_depth"), F.col("b.next").alias("scope"), F.col("b.src").alias("parent"), F.col("b.root").alias("root")), folder, depth)
+        frontier = put(fresh.select("url", F.lit(depth).alias("depth"), F.col("external_depth").cast("int").alias("external_depth"), "scope", F.col("b.src").alias("parent"), "root"), folder, depth)
         if frontier.limit(1).count() == 0:
             break
-        visited = all_rounds(frontier, folder)
-    return visited.drop("root")
+        opened = all_rounds(frontier, folder)
+    first = F.min(F.struct("depth", "external_depth", "parent", "scope")).alias("f")
+    return opened.groupBy("url").agg(first, F.min("external_depth").alias("external_depth")).select("url", "f.depth", "external_depth", "f.scope", "f.parent")
 
 
 def redirect_chains(edges: DataFrame, limit: int = 50) -> DataFrame:
     """(url, final, hops, state): where each redirect (src, dst) ends; loop or too-long where it doesn't.
 
-    Pointers double their reach each round, so a chain of n hops takes log(n) rounds.
+    Pointers double their reach each round, so a chain of n hops takes log(n) rounds. While some chain hasn't ended, each round ends at least one more of them, or all that are left turn in loops.
     """
     once = edges.groupBy("src").agg(F.min("dst").alias("dst"))
+    turning = once.select(F.col("src").alias("final"), F.lit(True).alias("_goes_on"))
     reach = _cut(once.select("src", F.col("dst").alias("final"), F.lit(1).cast("long").alias("hops")))
-    steps = 1
-    while steps < 2 * limit:
+    going = None
+    while True:
+        left = reach.join(turning, "final", "left_semi").count()
+        if left == going or not left:
+            break
+        going = left
         ahead = reach.select(F.col("src").alias("final"), F.col("final").alias("next"), F.col("hops").alias("more"))
         jumped = reach.join(ahead, "final", "left")
         reach = _cut(jumped.select("src", F.coalesce("next", "final").alias("final"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
-        steps *= 2
-    turning = once.select(F.col("src").alias("final"), F.lit(True).alias("_goes_on"))
     state = F.when(F.coalesce("_goes_on", F.lit(False)), "loop").when(F.col("hops") > limit, "too-long").otherwise("ok")
     return reach.join(turning, "final", "left").select(F.col("src").alias("url"), F.when(state == "ok", F.col("final")).alias("final"), F.when(state == "ok", F.col("hops")).alias("hops"), state.alias("state"))
 

@@ -141,13 +141,15 @@ def _(s, d):
 # joins
 
 
-@query("JN1_reference_audit", cte("resources", "aliases") + """
-SELECT r.archive_id, count(DISTINCT r.url) AS checked, count(DISTINCT r.url) FILTER (NOT EXISTS (SELECT 1 FROM resources k WHERE k.archive_id = r.archive_id AND k.status = 200 AND k.url = r.url)) AS missing FROM resources r GROUP BY r.archive_id""")
+@query("JN1_reference_audit", cte("resources", "aliases", "blocked") + f"""
+, r AS (SELECT archive_id, url FROM resources UNION SELECT archive_id, url FROM blocked), k AS (SELECT DISTINCT archive_id, url FROM resources WHERE status = 200),
+l AS (SELECT archive_id, url, {BOUNDARY} AS boundary FROM r WHERE (archive_id, url) NOT IN (SELECT archive_id, url FROM k) AND (archive_id, url) NOT IN (SELECT a.archive_id, alias FROM aliases a JOIN k ON k.archive_id = a.archive_id AND k.url = a.target))
+SELECT archive_id, count(DISTINCT r.url) AS checked, count(DISTINCT l.url) FILTER (NOT boundary) AS missing, count(DISTINCT l.url) FILTER (boundary) AS boundaries FROM r LEFT JOIN l USING (archive_id, url) GROUP BY archive_id""")
 def _(s, d):
     res = view(s, d, "resources")
-    refs = res.select("archive_id", F.col("url").alias("ref"))
-    audit = P.reference_audit(refs, res.filter("status = 200").select("archive_id", "url"), s.createDataFrame([], "archive_id long, alias string, target string"))
-    return P.audit_counts(refs, audit).select("archive_id", "checked", "missing")
+    refs = res.select("archive_id", F.col("url").alias("ref")).unionByName(view(s, d, "blocked").select("archive_id", F.col("url").alias("ref")))
+    audit = P.reference_audit(refs, res.filter("status = 200").select("archive_id", "url"), view(s, d, "aliases"))
+    return P.audit_counts(refs, audit).select("archive_id", "checked", "missing", "boundaries")
 
 
 @query("JN3_archive_diff", cte("captures") + """
@@ -275,11 +277,25 @@ def _(s, d):
     return R.graphql_match(ask, saved)
 
 
-@query("JN19_saved_page", cte("captures") + "SELECT DISTINCT archive_id, 'https://start.example/in?nonce=zz' AS target, 'stable-key' AS via FROM captures WHERE page_id % 13 = 0 AND html <> ''")
+REDIRECT_SAID = "ログイン誘導先は保存済みです: "
+
+
+@query("JN19_saved_page", cte("captures") + """
+, k AS (SELECT archive_id, arg_min(url, ordinal) AS saved_url FROM captures WHERE page_id % 13 = 0 AND html <> '' GROUP BY archive_id)
+SELECT archive_id, 'https://start.example/in?nonce=zz' AS target, saved_url, 'stable-key' AS via FROM k
+UNION ALL SELECT archive_id, 'https://login.example/a' || page_id, url, 'redirect' FROM captures WHERE page_id % 10 = 4 AND html <> ''""")
 def _(s, d):
     c = view(s, d, "captures")
-    asked = c.select("archive_id", F.lit("https://start.example/in?nonce=zz").alias("target")).distinct()
-    return P.missing_page_match(asked, c, view(s, d, "blocked")).filter("via = 'stable-key'").select("archive_id", "target", "via")
+    login = F.concat(F.lit("https://login.example/a"), F.col("page_id").cast("string"))
+    asked = c.select("archive_id", F.explode(F.array(F.lit("https://start.example/in?nonce=zz"), F.lit("https://nowhere.example/?nonce=1"), login)).alias("target")).distinct()
+    # a reason that names a saved page, for every tenth page, and for the target that has a page of its own as well
+    tenth = c.filter("page_id % 10 = 4").select("archive_id", "ordinal", F.concat(F.lit(REDIRECT_SAID), "url").alias("reason"), F.concat(login, F.lit("?nonce=5")).alias("asked"))
+    sent = tenth.select("archive_id", "ordinal", F.explode(F.array("asked", F.lit("https://start.example/in?nonce=3"))).alias("url"), "reason")
+    own = c.filter("page_id % 13 = 0 and html <> ''").select("archive_id").distinct()
+    both = sent.filter("url like '%nonce=3'").join(own, "archive_id", "left_semi").select(*sent.columns)
+    sent = sent.filter("url like '%nonce=5'").unionByName(both)
+    other = view(s, d, "blocked").select("archive_id", "ordinal", "url", "reason")
+    return P.missing_page_match(asked, c, sent.unionByName(other))
 
 
 @query("JN20_peer_archives", cte("archives") + f""", a AS (SELECT archive_id, saved_at, previous_archive_id, {HOST.format('start_url')} AS host FROM archives),
@@ -546,12 +562,13 @@ def _(s, d):
     return S.visual_pages(e).select("url", "similarity")
 
 
-@query("GRF1_crawl_frontier", cte("links").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, e AS (SELECT DISTINCT src, dst FROM links WHERE dst NOT LIKE '%.other/%'), walk AS (SELECT 'https://g0.example/1' AS url, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 4)
-SELECT url, min(depth) AS depth FROM walk GROUP BY url""")
+@query("GRF1_crawl_frontier", cte("links").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, e AS (SELECT DISTINCT src, dst FROM links),
+walk AS (SELECT 'https://g0.example/1' AS url, 0 AS depth, 0 AS outside UNION SELECT * FROM (
+  SELECT e.dst AS url, w.depth + 1 AS depth, CASE WHEN e.dst LIKE 'https://g0.example/%' THEN 0 WHEN w.url LIKE 'https://g0.example/%' THEN 1 ELSE greatest(1, w.outside) + 1 END AS outside FROM walk w JOIN e ON e.src = w.url WHERE w.depth < 5) WHERE outside <= 2)
+SELECT url, min(depth) AS depth, min(outside) AS external_depth FROM walk GROUP BY url""")
 def _(s, d):
     seeds = s.createDataFrame([("https://g0.example/1",)], "url string")
-    links = view(s, d, "links").filter("dst not like '%.other/%'").distinct()
-    return G.crawl_frontier(seeds, links, max_depth=4).select("url", "depth")
+    return G.crawl_frontier(seeds, view(s, d, "links").distinct(), max_depth=5, max_external=2).select("url", "depth", "external_depth")
 
 
 @query("GRF3_external_depth", "SELECT event_id, CASE WHEN event_type = 'view' THEN 0 WHEN event_id % 2 = 0 THEN greatest(1, user_id % 3) + 1 ELSE 1 END AS depth FROM events")
@@ -566,17 +583,24 @@ def _(s, d):
     return T(s, d, "events").select("event_id", w.isNotNull().alias("warned"))
 
 
-@query("GRF6_reference_closure", "SELECT n AS url, CAST(n AS INT) AS level FROM range(0, 7) t(n)")
+@query("GRF6_reference_closure", cte("links").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """, e AS (SELECT DISTINCT src, dst FROM links),
+need AS (SELECT DISTINCT src AS url, 0 AS level FROM e WHERE src LIKE '%/11' UNION SELECT e.dst, n.level + 1 FROM need n JOIN e ON e.src = n.url WHERE n.level < 4) SELECT url, min(level) AS level FROM need GROUP BY url""")
 def _(s, d):
-    edges = s.range(40).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
-    return G.reference_closure(s.createDataFrame([("0",)], "url string"), edges, 6).select(F.col("url").cast("long").alias("url"), "level")
+    links = view(s, d, "links")
+    return G.reference_closure(links.filter("src like '%/11'").select(F.col("src").alias("url")), links, 4)
 
 
-@query("GRF8_redirect_chains", "SELECT 'a' || n AS url, 'a50' AS final, 50 - n AS hops, 'ok' AS state FROM range(10, 50) t(n) UNION ALL SELECT 'a' || n, NULL, NULL, 'too-long' FROM range(0, 0) t(n) UNION ALL SELECT 'l' || n, NULL, NULL, 'loop' FROM range(0, 3) t(n)")
+# chains of up to 96 hops, and loops at the end of every third
+@query("GRF8_redirect_chains", """
+WITH RECURSIVE r AS (SELECT doc_id AS src, CASE WHEN doc_id % 97 < 96 THEN doc_id + 1 ELSE doc_id - 6 END AS dst FROM documents WHERE doc_id % 97 < 96 OR doc_id // 97 % 3 = 1),
+w AS (SELECT src, dst AS last, 1 AS hops FROM r UNION ALL SELECT w.src, r.dst, w.hops + 1 FROM w JOIN r ON r.src = w.last WHERE w.hops < 200),
+f AS (SELECT src, max(hops) AS hops, arg_max(last, hops) AS last FROM w GROUP BY src)
+SELECT 'https://r.example/' || src AS url, CASE WHEN hops <= 50 THEN 'https://r.example/' || last END AS final, CASE WHEN hops <= 50 THEN hops END AS hops, CASE WHEN hops = 200 THEN 'loop' WHEN hops > 50 THEN 'too-long' ELSE 'ok' END AS state FROM f""")
 def _(s, d):
-    chain = s.range(10, 50).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("a"), (F.col("id") + 1).cast("string")).alias("dst"))
-    loop = s.range(3).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("l"), ((F.col("id") + 1) % 3).cast("string")).alias("dst"))
-    return G.redirect_chains(chain.union(loop))
+    k = F.col("doc_id")
+    to = F.when(k % 97 < 96, k + 1).when(F.expr("doc_id div 97 % 3 = 1"), k - 6)
+    named = lambda c: F.concat(F.lit("https://r.example/"), c.cast("string"))
+    return G.redirect_chains(T(s, d, "documents").filter(to.isNotNull()).select(named(k).alias("src"), named(to).alias("dst")))
 
 
 @query("SET2_site_urls", cte("captures") + "SELECT DISTINCT url FROM (SELECT url FROM captures WHERE scope <> 'external' UNION ALL SELECT requested_url FROM captures WHERE scope <> 'external') WHERE url IS NOT NULL")
@@ -684,10 +708,17 @@ def _(s, d):
     return S.stalled(T(s, d, "events").select(F.col("user_id").alias("job_id"), "ts"), 3600).select("job_id", "ts")
 
 
-@query("EVT1_correlate", "SELECT user_id AS session, event_type AS request, arg_max('u' || (event_id % 4), event_id) AS url, count(DISTINCT event_id % 4) - 1 AS aliases FROM events GROUP BY ALL")
+@query("EVT1_correlate", """
+WITH e AS (SELECT user_id % 40 AS session, event_id % 11 AS request, event_id AS seq, CASE event_id % 5 WHEN 0 THEN 'redirect' WHEN 1 THEN 'response' WHEN 2 THEN 'failure' ELSE 'request' END AS kind,
+  CASE WHEN event_id % 7 > 0 THEN 'u' || (event_id % 4) END AS url, 200 + event_id % 300 AS status FROM events),
+g AS (SELECT session, request, arg_max(url, seq) FILTER (url IS NOT NULL) AS url, CAST(arg_max(status, seq) FILTER (kind = 'response') AS INTEGER) AS status, bool_or(kind = 'failure') AS failed, list(DISTINCT url) FILTER (url IS NOT NULL) AS seen FROM e GROUP BY ALL)
+SELECT session, request, url, status, failed, array_to_string(list_sort(list_filter(seen, lambda x: x <> url)), ',') AS aliases FROM g""")
 def _(s, d):
-    e = T(s, d, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("request"), F.col("event_id").alias("seq"), F.lit("response").alias("kind"), F.concat(F.lit("u"), (F.col("event_id") % 4).cast("string")).alias("url"), F.lit(200).alias("status"))
-    return R.correlate_requests(e).select("session", "request", "url", F.size("aliases").alias("aliases"))
+    k = F.col("event_id")
+    kind = F.when(k % 5 == 0, "redirect").when(k % 5 == 1, "response").when(k % 5 == 2, "failure").otherwise("request")
+    url = F.when(k % 7 > 0, F.concat(F.lit("u"), (k % 4).cast("string")))
+    e = T(s, d, "events").select((F.col("user_id") % 40).alias("session"), (k % 11).alias("request"), k.alias("seq"), kind.alias("kind"), url.alias("url"), (200 + k % 300).cast("int").alias("status"))
+    return R.correlate_requests(e).withColumn("aliases", F.array_join("aliases", ","))
 
 
 @query("EVT3_stage_timings", "SELECT user_id AS job_id, event_id AS stage, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1000.0 AS ms FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
