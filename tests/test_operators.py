@@ -74,6 +74,53 @@ def test_long_redirect_chains_are_no_loops(spark):
     assert {r.state: r["count"] for r in out.groupBy("state").count().collect()} == {"ok": 50, "too-long": 350}
 
 
+SUFFIX_LIST = """// ===BEGIN ICANN DOMAINS===
+com
+ck
+*.ck
+!www.ck
+uk
+co.uk  // with a remark
+*.kawasaki.jp
+!city.kawasaki.jp
+jp
+
+// ===END ICANN DOMAINS===
+// ===BEGIN PRIVATE DOMAINS===
+github.io
+*.compute.example.com
+// ===END PRIVATE DOMAINS===
+"""
+
+
+def test_suffix_rules_of_a_list(spark, tmp_path):
+    from webstrata.operators import suffixes
+
+    (tmp_path / "list.dat").write_text(SUFFIX_LIST)
+    rules = suffixes.read_rules(spark, f"file://{tmp_path}/list.dat")
+    assert {r.rule: r.section for r in rules.collect()}["*.compute.example.com"] == "private" and rules.count() == 11
+    want = {
+        "a.b.com": ("com", "icann", "b.com"), "B.Com.": ("com", "icann", "b.com"), "com": ("com", "icann", "com"), "x.y.z.co.uk": ("co.uk", "icann", "z.co.uk"), "co.uk": ("co.uk", "icann", "co.uk"),
+        "a.b.c.ck": ("c.ck", "icann", "b.c.ck"), "c.ck": ("c.ck", "icann", "c.ck"), "ck": ("ck", "icann", "ck"), "www.ck": ("ck", "icann", "www.ck"), "a.www.ck": ("ck", "icann", "www.ck"),
+        "x.y.kawasaki.jp": ("y.kawasaki.jp", "icann", "x.y.kawasaki.jp"), "x.city.kawasaki.jp": ("kawasaki.jp", "icann", "city.kawasaki.jp"), "u.github.io": ("github.io", "private", "u.github.io"), "a.u.github.io": ("github.io", "private", "u.github.io"),
+        "h.r.compute.example.com": ("r.compute.example.com", "private", "h.r.compute.example.com"), "compute.example.com": ("com", "icann", "example.com"), "a.b.unknown": ("unknown", None, "b.unknown"), "local": ("local", None, "local"),
+        "10.0.0.1": (None, None, "10.0.0.1"), "[::1]": (None, None, "::1"), "": ("", None, ""),
+    }
+    hosts = spark.createDataFrame([(h,) for h in [*want, None, "a.b.com"]], "host string")
+    assert {r.host: (r.suffix, r.section, r.domain) for r in suffixes.registrable(hosts, rules).collect()} == want
+    assert suffixes.registrable(hosts.filter("false"), rules).count() == 0 and suffixes.registrable(hosts, rules.filter("false")).filter("host = 'x.y.z.co.uk'").first().domain == "co.uk"
+
+
+def test_join_and_column_agree_on_the_listed_rules(spark):
+    from webstrata.functions import urls
+    from webstrata.operators import suffixes
+    from webstrata.plans.queries import ENDS
+
+    hosts = spark.createDataFrame([(f"{p}{e}",) for e in [*ENDS, "org.de", "a.co.nz", "b.gov.xx", "x.y.bd"] for p in ("", "m.", "a.b.")], "host string").filter("host not like '%.192.0.2.7'")
+    joined = suffixes.registrable(hosts, suffixes.own_rules(spark)).withColumn("column", urls.registrable_domain(F.col("host")))
+    assert joined.filter("not domain <=> column").collect() == []
+
+
 def test_redirect_chains(spark):
     out = G.redirect_chains(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string"))
     assert rows(out, "url") == [("a", "c", 2, "ok"), ("b", "c", 1, "ok"), ("x", None, None, "loop"), ("y", None, None, "loop")]

@@ -68,8 +68,14 @@ SCRIPT_IMPORT = r"""(?i)\bimport\s*\(\s*["'`]([^"'`\s]{1,300}\.m?js(?:\?[^"'`\s]
 INLINE_HANDLER = r"""(?i)(<[a-z][a-z0-9:-]*\b[^<>]*?)\s+on[a-z]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)"""
 AUTOPLAY = r"""(?i)(<(?:video|audio)\b[^>]*?)\s+autoplay(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+))?"""
 SECRET_NAME = r"(?i)(?:pass(?:word|wd)?|secret|token|cookie|authorization|api[-_]?key|session|credential)"
-# public suffixes of two labels: common second levels under two-letter countries, and private ones; of our own choice
-SECOND_LEVEL = r"(?:^|\.)(?:ac|co|com|ed|edu|gob|go|gov|gouv|govt|gv|ltd|mil|ne|net|nhs|nom|or|org|plc|sch|school)\.[a-z]{2}$"
+# public suffixes below countries, wildcards with their exceptions, and private ones: entries of the public list that are met most. The whole list is a parameter of operators.suffixes
+COUNTRY_SUFFIXES = {
+    "uk": "ac co gov ltd me net nhs org plc police", "jp": "ac ad co ed go gr lg ne or", "au": "asn com edu gov id net org", "nz": "ac co geek govt iwi net org school", "br": "com edu gov net org", "in": "ac co edu gov net org",
+    "kr": "ac co go ne or re", "za": "ac co edu gov net org", "cn": "ac com edu gov net org", "tw": "com edu gov net org", "hk": "com edu gov net org", "sg": "com edu gov net org", "my": "com edu gov net org", "id": "ac co go or sch web",
+    "th": "ac co go in or", "tr": "com edu gov net org", "mx": "com edu gob net org", "ar": "com edu gob net org", "il": "ac co gov net org", "ua": "com edu gov net org", "pl": "com edu gov net org", "vn": "com edu gov net org",
+    "ph": "com edu gov net org", "pk": "com edu gov net org", "eg": "com edu gov net org", "sa": "com edu gov net org", "ae": "ac co gov net org", "ke": "ac co go ne or", "ng": "com edu gov net org", "pe": "com edu gob net org", "co": "com edu gov net org",
+}
+WILDCARD_COUNTRIES, SUFFIX_EXCEPTIONS = ["bd", "ck", "er", "fk", "jm", "kh", "mm", "np", "pg"], ["www.ck"]
 PRIVATE_SUFFIXES = ["github.io", "gitlab.io", "pages.dev", "workers.dev", "web.app", "firebaseapp.com", "vercel.app", "netlify.app", "herokuapp.com", "myshopify.com", "blogspot.com", "azurewebsites.net", "cloudfront.net", "appspot.com", "onrender.com", "fly.dev", "s3.amazonaws.com", "glitch.me", "surge.sh", "readthedocs.io", "translate.goog", "wordpress.com"]
 STATUS_TEXT = {"complete": "完了", "complete-with-errors": "一部エラー", "cancelled": "中止", "limit-reached": "上限停止", "failed": "保存失敗", "blocked": "アクセス確認で停止", "login-required": "ログインが必要"}
 # fmt: on

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .fixed import (
     ACCOUNT_HOSTS, ACCOUNT_SEGMENT, AUTH_PATH, CLIP_HOST, CLIP_PATH, DISPLAY_FILE, FILE_EXTENSION, GENERIC_KEYWORDS, IPV4_RANGES, LOGIN_WITH_SHOP, NOISE_HOST, NOISE_HOST_PATH, NOISE_PATH, PIXEL_PATH, PIXEL_WORKER,
-    PRIVATE_SUFFIXES, SECOND_LEVEL, SHOP_BOUNDARY, SIGN_IN_BOUNDARY, SIGNED_TOKEN, SIZED_HOST, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VIEWER_HOST, VIEWER_PATH, VOLATILE_KEY, VOLATILE_NAMES, VOLATILE_VALUE,
+    PRIVATE_SUFFIXES, SHOP_BOUNDARY, SIGN_IN_BOUNDARY, SIGNED_TOKEN, SIZED_HOST, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VIEWER_HOST, VIEWER_PATH, VOLATILE_KEY, VOLATILE_NAMES, VOLATILE_VALUE, COUNTRY_SUFFIXES, SUFFIX_EXCEPTIONS, WILDCARD_COUNTRIES,
 )
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*):/{0,2}([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -137,13 +137,17 @@ def is_ip(host: Column) -> Column:
 def registrable_domain(host: Column) -> Column:
     """The label in front of the public suffix, with the suffix; addresses as they are.
 
-    Suffixes: a country's second level under a common name (co.jp, edu.au), the listed private ones (github.io, s3.amazonaws.com), else the last label.
+    Suffixes: the listed ones below countries (co.jp, edu.au), any label below some (x.ck, but for the exceptions), the listed private ones (github.io, s3.amazonaws.com), else
+    the last label. ``operators.suffixes`` joins hosts with a whole suffix table.
     """
 
     def domain(h: Column) -> Column:
         labels = F.split(h, r"\.")
         last = lambda n: F.concat_ws(".", F.slice(labels, -n, n))
-        suffix = F.greatest(F.lit(1), *[F.when((F.size(labels) >= n) & last(n).isin([x for x in PRIVATE_SUFFIXES if x.count(".") == n - 1]), n).otherwise(1) for n in (2, 3)], F.when(h.rlike(SECOND_LEVEL), 2).otherwise(1))
+        listed = {n: [x for x in PRIVATE_SUFFIXES if x.count(".") == n - 1] for n in (2, 3)}
+        listed[2] += [f"{second}.{country}" for country, seconds in COUNTRY_SUFFIXES.items() for second in seconds.split()]
+        wild = last(1).isin(WILDCARD_COUNTRIES) & ~last(2).isin(SUFFIX_EXCEPTIONS)
+        suffix = F.greatest(F.lit(1), *[F.when((F.size(labels) >= n) & (last(n).isin(listed[n]) | (wild if n == 2 else F.lit(False))), n).otherwise(1) for n in (2, 3)])
         size = F.least(F.size(labels), suffix + 1)
         return F.when(is_ip(h), h).otherwise(F.concat_ws(".", F.slice(labels, -size, size)))
 

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, rules, text, urls
+from ..functions.fixed import COUNTRY_SUFFIXES, PRIVATE_SUFFIXES, SUFFIX_EXCEPTIONS, WILDCARD_COUNTRIES
 from ..operators import pages as P
 from ..operators import requests as R
+from ..operators import suffixes
 from .views import cte, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +49,32 @@ def _(s, d):
     return view(s, d, "archives").select("archive_id", urls.registrable_domain(urls.parts(F.col("start_url"))["host"]).alias("domain"))
 
 
+ENDS = ["example.com", "example.co.uk", "example.me.uk", "x.org.de", "a.b.ck", "www.ck", "c.www.ck", "user.github.io", "bucket.s3.amazonaws.com", "co.jp", "192.0.2.7", "deep.a.com.au", "city.np", "plain"]
+
+
+def suffix_hosts(s, d) -> DataFrame:
+    """Hosts of all pages below domains of many kinds."""
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDS]), (F.col("page_id") % len(ENDS) + 1).cast("int"))
+    own = F.when(F.col("page_id") % 3 > 0, F.concat(F.regexp_extract(F.lower("url"), r"^https?://([a-z0-9-]+)", 1), F.lit("."))).otherwise("")
+    return T(s, d, "pages").select("page_id", F.when(end.isin("192.0.2.7", "co.jp"), end).otherwise(F.concat(own, end)).alias("host"))
+
+
+RULES = ", ".join(f"('{r}')" for r in [f"{x}.{c}" for c, xs in COUNTRY_SUFFIXES.items() for x in xs.split()] + [f"*.{c}" for c in WILDCARD_COUNTRIES] + [f"!{h}" for h in SUFFIX_EXCEPTIONS] + PRIVATE_SUFFIXES)
+
+
+@query("URL2_suffix_join", f"""
+WITH p AS (SELECT page_id, ({ENDS})[page_id % {len(ENDS)} + 1] AS e, regexp_extract(lower(url), '^https?://([a-z0-9-]+)', 1) AS own FROM pages),
+h AS (SELECT page_id, CASE WHEN page_id % 3 > 0 AND e NOT IN ('192.0.2.7', 'co.jp') THEN own || '.' ELSE '' END || e AS host FROM p),
+r AS (SELECT rule, CASE WHEN rule LIKE '!%' THEN substr(rule, 2) WHEN rule LIKE '*.%' THEN substr(rule, 3) ELSE rule END AS bare FROM (VALUES {RULES}) t(rule)),
+m AS (SELECT page_id, host, CASE WHEN rule LIKE '!%' THEN 99 WHEN rule LIKE '*.%' THEN len(string_split(bare, '.')) + 1 ELSE len(string_split(bare, '.')) END AS weight, len(string_split(bare, '.')) + CASE WHEN rule LIKE '!%' THEN -1 WHEN rule LIKE '*.%' THEN 1 ELSE 0 END AS size
+  FROM h JOIN r ON host = bare AND rule NOT LIKE '*.%' OR host LIKE '%.' || bare),
+b AS (SELECT page_id, arg_max(size, weight) AS size FROM m GROUP BY page_id)
+SELECT h.page_id, host, CASE WHEN host = '192.0.2.7' OR len(string_split(host, '.')) <= coalesce(size, 1) THEN host ELSE array_to_string(list_slice(string_split(host, '.'), -coalesce(size, 1) - 1, -1), '.') END AS domain FROM h LEFT JOIN b USING (page_id)""")
+def _(s, d):
+    hosts = suffix_hosts(s, d)
+    return hosts.join(suffixes.registrable(hosts, suffixes.own_rules(s)), "host").select("page_id", "host", "domain")
+
+
 @query("URL3_classify_scope", cte("links") + f""", l AS (SELECT DISTINCT src, dst, (length(dst) + length(src)) % 4 AS k FROM links), u AS (SELECT src, dst, 'https://' || CASE k WHEN 0 THEN 'www.' WHEN 1 THEN 'gamma.' ELSE '' END || regexp_replace({HOST.format('src')}, 'example', 'example.co.uk') || '/' AS a, 'https://' || CASE k WHEN 1 THEN 'docs.gamma.' WHEN 2 THEN 'm.' ELSE '' END || regexp_replace({HOST.format('dst')}, 'example', 'example.co.uk') || '/x' AS b FROM l),
 h AS (SELECT src, dst, {HOST.format('a')} AS a, {HOST.format('b')} AS b FROM u), t AS (SELECT *, array_to_string(list_slice(string_split(a, '.'), CASE WHEN a LIKE '%.co.uk' THEN -3 ELSE -2 END, -1), '.') AS da, array_to_string(list_slice(string_split(b, '.'), CASE WHEN b LIKE '%.co.uk' THEN -3 ELSE -2 END, -1), '.') AS db FROM h)
 SELECT src, dst, CASE WHEN a = b THEN 'origin' WHEN da = db THEN 'site' WHEN contains(a, 'gamma') AND contains(b, 'gamma') THEN 'keyword-site' ELSE 'external' END AS scope FROM t""")
