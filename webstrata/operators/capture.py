@@ -165,6 +165,36 @@ def _replaced(source: Column, pattern: str, new) -> Column:
     return F.array_join(F.flatten(F.zip_with(F.split(source, pattern, -1), F.concat(F.transform(found, new), F.array(F.lit(""))), lambda gap, m: F.array(gap, m))), "")
 
 
+IMPORT_MAP = "imports map<string,string>, scopes map<string,map<string,string>>, integrity map<string,string>"
+
+
+def rewrite_import_map(source: Column, page_url: Column, archive_id: Column) -> Column:
+    """An import map with its modules and scopes led to the archive; names stay, and so do maps that aren't JSON. Signs that could end a script element are escaped.
+
+    Of scopes that become the same the last counts.
+    """
+    saved = lambda v: urls.archived_path(archive_id, resolve_asset(v, page_url, archive_id))
+    led = lambda entries: F.transform_values(entries, lambda _, v: F.when(v.isNotNull(), saved(v)))
+
+    def scopes(m: Column) -> Column:
+        moved = F.transform(F.map_entries(m), lambda e: F.struct(saved(e["key"]).alias("key"), led(e["value"]).alias("value")))
+        return urls.let(moved, lambda all_: F.map_from_entries(F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda later: later["key"] == e["key"]))))
+
+    def written(m: Column) -> Column:
+        imports = F.coalesce(led(m["imports"]), F.create_map().cast("map<string,string>"))
+        out = F.to_json(F.struct(imports.alias("imports"), F.when(m["scopes"].isNotNull(), scopes(m["scopes"])).alias("scopes"), m["integrity"].alias("integrity")))
+        return F.replace(out, F.lit("<"), F.lit("\\u003c"))
+
+    return F.when(F.try_parse_json(source).isNull(), source).otherwise(urls.let(F.from_json(source, IMPORT_MAP), written))
+
+
+def rewrite_import_maps(html: Column, page_url: Column, archive_id: Column) -> Column:
+    """Pages with the import maps in their script elements led to the archive."""
+    element = r"""(?is)(<script\b(?=[^>]*\btype\s*=\s*["']?importmap\b)[^>]*>)(.*?)(</script>)"""
+    part = lambda m, i: F.regexp_extract(m, element, i)
+    return _replaced(html, element, lambda m: F.concat(part(m, 1), rewrite_import_map(part(m, 2), page_url, archive_id), part(m, 3)))
+
+
 def rewrite_css(css: Column, page_url: Column, archive_id: Column) -> Column:
     """Style sheets with their references led to the archive."""
     saved = lambda v: urls.archived_path(archive_id, resolve_asset(v, page_url, archive_id))

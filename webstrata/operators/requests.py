@@ -123,3 +123,52 @@ def audit_bucket(events: DataFrame, per_bucket: int = 100) -> DataFrame:
     once = events.withColumn("bucket", bucket).groupBy("page", "bucket", "url", "message").agg(F.min("seq").alias("seq"))
     place = F.row_number().over(W.partitionBy("page", "bucket").orderBy("seq", "url"))
     return once.withColumn("place", place).filter(F.col("place") <= per_bucket).drop("place")
+
+
+JSON_SCRIPT = r"""(?is)<script\b[^>]*type\s*=\s*["']application/(?:ld\+)?json["'][^>]*>(.*?)</script>"""
+PRODUCT_PATH = r"(?i)/products/([^/]+)\.(js|json)/*$"
+VIDEO_HOST, VIDEO_NAME = r"(?i)(?:^|\.)(?:youtube\.com|youtube-nocookie\.com|youtu\.be)$", "^[A-Za-z0-9_-]{6,20}$"
+
+
+def product_lookup(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """(id, product, form): what a shop's product request is answered with: the product of that handle that a saved page of the same host holds as JSON.
+
+    requests(id, archive_id, url), where the path ends in /products/<handle>.js or .json; pages(archive_id, ordinal, url, html). The product is a script's object, or what it has under
+    product, with the handle and an array of variants; the first of the first page. form: js or json. Requests without one have no row. Objects come with their keys sorted.
+    """
+    asked = urls.parsed(requests, "url").select("id", "archive_id", F.col("_p")["host"].alias("host"), F.col("_p")["path"].alias("path"))
+    asked = asked.select("id", "archive_id", "host", F.url_decode(F.regexp_extract("path", PRODUCT_PATH, 1)).alias("handle"), F.lower(F.regexp_extract("path", PRODUCT_PATH, 2)).alias("form")).filter("handle <> ''")
+    shown = urls.parsed(pages.filter("html <> ''").select("archive_id", "ordinal", "url", "html"), "url")
+    name = F.regexp_extract(F.col("_p")["path"], r"/products/([^/]+)/*$", 1)
+    shown = shown.select("archive_id", "ordinal", F.col("_p")["host"].alias("host"), F.url_decode(name).alias("handle"), "html").filter("handle <> ''")
+    # a page's scripts are read once, whoever asks for it
+    wanted = shown.join(asked.select("archive_id", "host", "handle").distinct(), ["archive_id", "host", "handle"], "left_semi")
+    data = wanted.select("archive_id", "host", "handle", "ordinal", F.posexplode(F.regexp_extract_all("html", F.lit(JSON_SCRIPT), F.lit(1))).alias("n", "script"))
+    data = data.withColumn("v", F.try_parse_json(F.trim("script")))
+    either = F.posexplode(F.array(F.col("v"), F.try_variant_get("v", "$.product", "variant"))).alias("inner", "found")
+    data = data.select("archive_id", "host", "handle", "ordinal", "n", either)
+    fits = (F.try_variant_get("found", "$.handle", "string") == F.col("handle")) & F.schema_of_variant(F.try_variant_get("found", "$.variants", "variant")).startswith("ARRAY")
+    best = data.filter(fits).groupBy("archive_id", "host", "handle").agg(F.min_by(F.to_json("found"), F.struct("ordinal", "n", "inner")).alias("product"))
+    return asked.join(best, ["archive_id", "host", "handle"]).select("id", "product", "form")
+
+
+def video_lookup(requests: DataFrame, pages: DataFrame, variable: str = "ytInitialPlayerResponse") -> DataFrame:
+    """(id, player): what a player request for a video is answered with: the object that a saved page of it assigns to ``variable``, if it names the video.
+
+    requests(id, archive_id, video_id); pages(archive_id, ordinal, url, html) of a video host with the id as v or at the end of the path. The first page that has it counts.
+    """
+    from ..functions.media import AssignedJson
+
+    asked = requests.select("id", "archive_id", "video_id").filter(F.col("video_id").rlike(VIDEO_NAME))
+    p = F.col("_p")
+    shown = urls.parsed(pages.filter("html <> ''").select("archive_id", "ordinal", "url", "html"), "url").filter(p["host"].rlike(VIDEO_HOST))
+    named = F.filter(urls.query_pairs(p["query"]), lambda q: q["name"] == "v")
+    ids = F.array_distinct(F.array_compact(F.array(F.get(named, F.lit(0))["value"], F.regexp_extract(p["path"], r"/([^/]+)$", 1))))
+    shown = shown.select("archive_id", "ordinal", F.explode(ids).alias("video_id"), "html")
+    wanted = shown.join(asked.select("archive_id", "video_id").distinct(), ["archive_id", "video_id"], "left_semi")
+    spark = requests.sparkSession
+    spark.udtf.register("assigned_json", AssignedJson)
+    held = spark.sql("SELECT w.archive_id, w.video_id, w.ordinal, t.json FROM {w} w, LATERAL assigned_json(w.html, {name}) t", w=wanted, name=variable)
+    own = held.filter(F.try_variant_get(F.try_parse_json("json"), "$.videoDetails.videoId", "string") == F.col("video_id"))
+    best = own.groupBy("archive_id", "video_id").agg(F.min_by("json", F.struct("ordinal", "json")).alias("player"))
+    return asked.join(best, ["archive_id", "video_id"]).select("id", "player")

@@ -201,6 +201,40 @@ def _(s, d):
     return T(s, d, "pages").select("page_id", M.rewrite_css(css, base, F.col("page_id")).alias("css"), M.rewrite_script(script, base, F.col("page_id")).alias("script"))
 
 
+@query("TXT26_import_maps", f"""
+SELECT page_id, '<script>a</script><script type="importmap">' || CASE WHEN page_id % 5 = 0 THEN '{{broken ' || page_id ELSE '{{"imports":{{"app":"' || {SAVED.format("'https://c.example/s/m' || page_id || '.js'")} || '","lib/":"' || {SAVED.format("'https://c.example/lib/'")} || '","x":null}}'
+  || CASE page_id % 3 WHEN 0 THEN ',"scopes":{{"' || {SAVED.format("'https://c.example/p/'")} || '":{{"app":"' || {SAVED.format("'https://d.example/' || page_id")} || '"}}}}' ELSE '' END || '}}' END || '</script>' AS html FROM pages""")
+def _(s, d):
+    k, base = F.col("page_id").cast("string"), F.lit("https://c.example/s/page")
+    scopes = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(',"scopes":{"/q/../p/":{"app":"//d.example/0"},"/p/":{"app":"//d.example/'), k, F.lit('"}}'))).otherwise("")
+    good = F.concat(F.lit('{"imports": {"app":"./m'), k, F.lit('.js","lib/":"../lib/","x":null}'), scopes, F.lit("}"))
+    html = F.concat(F.lit('<script>a</script><script type="importmap">'), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("{broken "), k)).otherwise(good), F.lit("</script>"))
+    return T(s, d, "pages").select("page_id", M.rewrite_import_maps(html, base, F.col("page_id")).alias("html"))
+
+
+@query("JN18_products_videos", """
+SELECT 'p' || page_id AS id, CASE page_id % 3 WHEN 0 THEN '{"handle":"h' || page_id || '","id":' || page_id || ',"variants":[{"id":1}]}' ELSE '{"handle":"h' || page_id || '","variants":[]}' END AS answer FROM pages WHERE page_id % 3 < 2
+UNION ALL SELECT 'v' || page_id, '{"videoDetails":{"videoId":"video_' || page_id || '","t":"}"}}' FROM pages WHERE page_id % 4 = 1""")
+def _(s, d):
+    from ..operators import requests as R
+
+    k, n = F.col("page_id").cast("string"), F.col("page_id")
+    archive, shop = (n % 40).alias("archive_id"), F.concat(F.lit("https://shop"), (n % 7).cast("string"), F.lit(".example"))
+    script = lambda body: F.concat(F.lit("<script type='application/json'>"), body, F.lit("</script>"))
+    product = F.concat(F.lit('{"id":'), k, F.lit(',"handle":"h'), k, F.lit('","variants":[{"id":1}]}'))
+    inside = F.concat(F.lit('{"product":{"variants":[],"handle":"h'), k, F.lit('"}}'))
+    wrong = F.concat(F.lit('{"handle":"h'), k, F.lit('","variants":3}'))
+    html = F.concat(script(F.lit("{broken")), script(F.lit('{"handle":"other","variants":[]}')), script(F.when(n % 3 == 0, product).when(n % 3 == 1, inside).otherwise(wrong)), script(wrong))
+    pages = T(s, d, "pages")
+    shown = pages.select(archive, n.alias("ordinal"), F.concat(shop, F.lit("/en/products/h"), k, F.lit("/")).alias("url"), html.alias("html"))
+    asked = pages.select(F.concat(F.lit("p"), k).alias("id"), archive, F.concat(shop, F.lit("/products/h"), k, F.when(n % 2 == 0, ".js").otherwise(".json"), F.lit("?x=1")).alias("url"))
+    video = F.concat(F.lit("<script>var ytInitialPlayerResponse = {\"videoDetails\":{\"videoId\":\"video_"), F.when(n % 4 == 3, "other").otherwise(k), F.lit('","t":"}"}};</script>'))
+    at = F.when(n % 8 == 1, F.concat(F.lit("https://www.youtube.com/watch?x=1&v=video_"), k)).when(n % 8 == 2, F.concat(F.lit("https://tube.example/watch?v=video_"), k)).otherwise(F.concat(F.lit("https://youtu.be/video_"), k))
+    clips = pages.filter("page_id % 4 > 0").select(archive, n.alias("ordinal"), at.alias("url"), F.when(n % 4 == 2, "").otherwise(video).alias("html"))
+    wanted = pages.select(F.concat(F.lit("v"), k).alias("id"), archive, F.concat(F.lit("video_"), k).alias("video_id"))
+    return R.product_lookup(asked, shown).select("id", F.col("product").alias("answer")).unionByName(R.video_lookup(wanted, clips).select("id", F.col("player").alias("answer")))
+
+
 @query("TXT15_stored_text", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'shift_jis' WHEN 1 THEN 'euc-jp' WHEN 2 THEN 'utf-8' ELSE 'windows-1252' END AS charset, CASE page_id % 4 WHEN 3 THEN 'caf' || chr(233) ELSE chr(26085) || chr(26412) END || page_id AS body FROM pages")
 def _(s, d):
     n, k = F.col("page_id") % 4, F.col("page_id").cast("string").cast("binary")
