@@ -163,6 +163,18 @@ def test_signs_behind_any_letter_are_encoded_as_by_the_library(name, texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in k.encode_all(texts)] == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_signs_behind_every_latin_letter_stand_alone(name):
+    """What stems rest on, for all letters they are taken at: alone, in words of several kinds, with and without a blank before."""
+    k = FastTokens(vocabulary(name))
+    ids = lambda t: k.tokenizer.encode(t, add_special_tokens=False).ids
+    letters = [chr(c) for c in range(256) if chr(c).isalpha() or "0" <= chr(c) <= "9"]
+    for c in letters:
+        for before in ("", " ", "a", " word", "é", "1", "'", "-", "X\u0307", "日"):
+            for sign in ".,":
+                assert ids(before + c + sign) == ids(before + c) + ids(sign), (before, c, sign)
+
+
 def test_pack_of_composed_letters_equals_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -539,6 +551,75 @@ def test_pii_found_instances_induce_patterns(spark):
     assert found(4) == want and 42 not in found(1)
 
 
+def plain_rounds(texts, rounds, support=5, confidence=0.8):
+    """Bootstrapping over texts of words between single blanks: what it finds in each, as (kind, start, end)."""
+
+    def context(text, start, end):
+        strip = lambda w: re.sub(r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "", w) != ""
+        before, after = [w for w in re.split(r"[ \n]+", text[:start]) if w and strip(w)], [w for w in re.split(r"[ \n]+", text[end:]) if w and strip(w)]
+        one, two, right = " ".join(before[-1:]).lower(), " ".join(before[-2:]).lower() if len(before) > 1 else "", (after[:1] or [""])[0].lower()
+        found = [k + x for k, x in (("L:", one), ("LL:", two), ("R:", right)) if x]
+        return found + ([f"B:{one} {right}"] if one and right else [])
+
+    value = lambda m: re.sub(r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "", m)
+    edges, tokens = {}, []
+    for i, text in enumerate(texts):
+        spans = [(x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in brute(PII, text).split(",") if x]
+        masked = text
+        for kind, a, b in spans:
+            masked = masked[:a] + "@" * (b - a) + masked[b:]
+            for p in context(text, a, b):
+                edges.setdefault((p, value(text[a:b])), []).append(kind)
+        for m in re.finditer(pii.RUN, masked):
+            if "@@@@@@" not in m[0] and len(m[0]) >= 6 and len(value(m[0])) >= 6:
+                tokens.append((i, m.start(), m.end(), value(m[0]), context(text, m.start(), m.end())))
+                for p in tokens[-1][4]:
+                    edges.setdefault((p, tokens[-1][3]), [])
+    seed = {e: max(k) for e, k in edges.items() if k}
+    instances = {}
+    for p, v in edges:
+        instances.setdefault(p, set()).add(v)
+    seeds = {(v, k): 1.0 for (_, v), k in seed.items()}
+    known = dict(seeds)
+    for _ in range(rounds):
+        votes = {}
+        for p, v in edges:
+            for (w, kind), score in known.items():
+                if w == v:
+                    total, n = votes.get((p, kind), (0.0, 0))
+                    votes[p, kind] = total + score, n + (score >= confidence)
+        patterns = {k: min(1.0, total / len(instances[k[0]])) for k, (total, n) in votes.items() if n >= support and len(instances[k[0]]) >= support}
+        known = dict(seeds)
+        for p, v in edges:
+            for (q, kind), c in patterns.items():
+                if q == p and (p, v) not in seed and all(w != v for w, _ in seeds):
+                    known[v, kind] = max(c, known.get((v, kind), 0))
+    best = {}
+    for (p, kind), c in patterns.items():
+        if c >= confidence:
+            best[p] = max(best.get(p, (0, 0, "")), (c, -pii.KINDS.index(kind), kind))
+    out = set()
+    for i, a, b, _, around in tokens:
+        given = [best[p] for p in around if p in best]
+        if given:
+            out.add((i, max(given)[2], a, b))
+    return out
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_pii_rounds_equal_a_plain_version(spark, rounds):
+    rng, texts = random.Random(rounds), []
+    cues = ["mail", "write to", "call", "host", "card no", "ref", "from", "see"]
+    for i in range(240):
+        cue, end = rng.choice(cues), rng.choice(["today", "now", "please", "ok", ""])
+        kind = cue if rng.random() < 0.8 else rng.choice(cues)
+        made = {"mail": f"u{i}@m{i % 9}.example.com", "write to": f"acct{i % 12}_77", "call": f"+1 (0{i % 90:02d}) 555-77{i % 90:02d}", "host": f"10.0.{i % 200}.{i % 250}", "card no": "4111 1111 1111 1111", "ref": f"zz-{i % 15:04d}x", "from": f"acct{i % 12}_77", "see": f"page {i:06d}"}[kind]
+        texts.append(" ".join(x for x in [f"w{rng.randrange(5)}x", cue, made, end] if x))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.personal_data(docs, rounds=rounds).collect() for s in r.found}
+    assert got == plain_rounds(texts, rounds) and len(got) > 5
+
+
 def test_pii_and_secrets_of_very_long_texts(spark):
     texts = ["7" * 1_000_000, "a@b" + ".c1" * 300_000, "1.2.3.4 " * 20_000, "x " * 1000 + "+1 (017) 555-7713 " * 3000, "4041894974608795 " * 3000, "x " * 500_000, "deadbeef" * 5 + " x " * 300_000 + "password=abcdefgh1", "-----BEGIN " + "A" * 300_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)

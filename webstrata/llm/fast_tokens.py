@@ -65,13 +65,13 @@ class FastTokens:
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        """A point or comma between an ASCII letter or digit and the end of a part is always encoded by itself.
+        """A point or comma between a Latin-1 letter or ASCII digit and the end of a part is always encoded by itself.
 
         Behind other characters it may not be: some are normalised to several, the last of which joins a sign that follows.
         """
         known, stems = self.known, {}
         for part in parts:
-            ends = part[-1] in ".," and len(part) > 1 and part[-2].isascii() and part[-2].isalnum()
+            ends = part[-1] in ".," and len(part) > 1 and part[-2] < "\u0100" and (part[-2].isalpha() or "0" <= part[-2] <= "9")
             stems[part] = part[:-1] if ends else part
         for x in {*stems.values(), ".", ","}.intersection(self.old):
             known.setdefault(x, self.old[x])
