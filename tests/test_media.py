@@ -72,3 +72,16 @@ def tar(names):
             info.size = 2
             t.addfile(info, io.BytesIO(b"hi"))
     return out.getvalue()
+
+
+def test_html_tokens():
+    from webstrata.functions.html import html_tokens
+
+    opened = lambda html: [(n, a) for kind, n, a, _ in html_tokens(html) if kind == "open"]
+    assert opened("""<a HREF = "x>y" title='<b>' data-q=1/2 disabled href=z>t</a>""") == [("a", {"href": "x>y", "title": "<b>", "data-q": "1/2", "disabled": ""})]
+    assert opened("<!-- <i> --><!doctype html><?x <u>?><br/><p") == [("br", {})]
+    assert list(html_tokens("<SCRIPT src=a>if (a<b) '<img>'</scripts></Script x>z<p>")) == [("open", "script", {"src": "a"}, None), ("raw", "script", None, "if (a<b) '<img>'</scripts>"), ("close", "script", None, None), ("open", "p", {}, None)]
+    assert opened("""<img alt="a" src='b.png"' x>""") == [("img", {"alt": "a", "src": 'b.png"', "x": ""})]
+    assert opened("<style>a{}") == [("style", {})] and list(html_tokens("")) == [] and opened("a < b > c") == []
+    for text in ("<" * 100_000, "<a " * 50_000, '<a b="' * 50_000, "<!--" * 50_000, "<a " + "x" * 500_000, "<script>" * 30_000, "<a ='" * 50_000 + ">"):
+        assert len(list(html_tokens(text))) < 3

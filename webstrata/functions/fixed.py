@@ -62,6 +62,12 @@ ADVISORY_MESSAGE = r"(?i)falling back to|deprecated|third-party cookie|\bAbortEr
 ISOLATION_MESSAGE = r"(?i)content security policy|violates the following .* directive|refused to (?:connect|frame|load|execute)|failed to load resource:.*(?:404|405)|mime type .*not executable|second declarative shadow root cannot be created"
 ISOLATION_ERROR = r"(?i)ERR_BLOCKED|BLOCKED_BY_RESPONSE|CSP"
 BLOCK_END = "title|head|p|div|li|tr|h[1-6]|section|article|header|footer|nav|main|aside|dd|dt|blockquote|pre|table|ul|ol|figure|figcaption|summary|details|option"
+PRELOAD_REL, NOT_PRELOADED = r"(?i)\brel\s*=\s*[\"']?[^\"'>]*(?:preload|modulepreload|prefetch)", r"(?i)\bas\s*=\s*[\"']?(?:image|font|fetch|video|audio)"
+SHOWN_REL = r"(?i)\brel\s*=\s*[\"']?[^\"'>]*(?:stylesheet|preload|modulepreload|icon)"
+SHOWN_RELATION = "(?i)(?:stylesheet|preload|modulepreload|icon)"
+IMAGE_ATTRIBUTES = ["data_max_resolution", "data-max-resolution", "data-original", "data-zoom-src", "data-zoom-image", "data-large-image", "data-large_image", "data-full-src"]
+PIXEL_SCRIPT, SCRIPT_MIME, WORKER_FILE, SCRIPT_FILE, PAY_SESSION = "(?i)/cdn/wpm/", "(?i)javascript|ecmascript", r"(?i)(?:worker|\.m?js)(?:$|/)", r"(?i)\.m?js$", "(?i)/pay/session(?:/|$)"
+COUNTER_IMAGE, FONT_FILES = ("p.typekit.net", "/p.gif"), ("use.typekit.net", "/af/")
 ISO_DURATION = r"(?i)^P(?:([\d.]+)D)?(?:T(?:([\d.]+)H)?(?:([\d.]+)M)?(?:([\d.]+)S)?)?$"
 SCRIPT_LITERAL = r"""(?i)["'`]((?:https?://|\.{1,2}/|/)[^"'`\s<>()]{1,300}?\.(?:m?js|css)(?:\?[^"'`\s<>()]{0,200})?)["'`]"""
 SCRIPT_IMPORT = r"""(?i)\bimport\s*\(\s*["'`]([^"'`\s]{1,300}\.m?js(?:\?[^"'`\s]{0,200})?)["'`]\s*\)"""

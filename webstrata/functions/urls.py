@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .fixed import (
     ACCOUNT_HOSTS, ACCOUNT_SEGMENT, AUTH_PATH, CLIP_HOST, CLIP_PATH, DISPLAY_FILE, FILE_EXTENSION, GENERIC_KEYWORDS, IPV4_RANGES, LOGIN_WITH_SHOP, NOISE_HOST, NOISE_HOST_PATH, NOISE_PATH, PIXEL_PATH, PIXEL_WORKER,
-    PRIVATE_SUFFIXES, SHOP_BOUNDARY, SIGN_IN_BOUNDARY, SIGNED_TOKEN, SIZED_HOST, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VIEWER_HOST, VIEWER_PATH, VOLATILE_KEY, VOLATILE_NAMES, VOLATILE_VALUE, COUNTRY_SUFFIXES, SUFFIX_EXCEPTIONS, WILDCARD_COUNTRIES,
+    PRIVATE_SUFFIXES, SHOP_BOUNDARY, SIGN_IN_BOUNDARY, SIGNED_TOKEN, SIZED_HOST, TELEMETRY_HOST, TELEMETRY_PATH, TRACKING_KEYS, VIEWER_HOST, VIEWER_PATH, VOLATILE_KEY, VOLATILE_NAMES, VOLATILE_VALUE, COUNTER_IMAGE, COUNTRY_SUFFIXES, SUFFIX_EXCEPTIONS, WILDCARD_COUNTRIES,
 )
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*):/{0,2}([^/?#\\]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -396,7 +396,7 @@ def is_auxiliary(url: Column) -> Column:
 def auxiliary_of(p: Column) -> Column:
     """``is_auxiliary`` of a URL's parts."""
     host, path = p["host"], p["path"]
-    pixel = (host == "p.typekit.net") & (path == "/p.gif")
+    pixel = (host == COUNTER_IMAGE[0]) & (path == COUNTER_IMAGE[1])
     collector = path.rlike(TELEMETRY_PATH) & ~path.rlike(DISPLAY_FILE)
     return F.coalesce(pixel | path.rlike(PIXEL_PATH) | host.rlike(TELEMETRY_HOST) | collector | path.rlike(PIXEL_WORKER), F.lit(False))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import rules, text, urls
-from ..functions.fixed import IDENTITY_LEAF
+from ..functions.fixed import COUNTER_IMAGE, IDENTITY_LEAF, NOT_PRELOADED, PAY_SESSION, PIXEL_SCRIPT, PRELOAD_REL, SCRIPT_FILE, SCRIPT_MIME, WORKER_FILE
 from .graph import crawl_frontier
 from .pages import archive_diff, line_rows, srcset_urls
 
@@ -57,7 +57,7 @@ def prefetch_candidates(pages: DataFrame, scripts: DataFrame, known: DataFrame,
 
     pages(page_id, url, html), scripts(page_id, url, body), known(page_id, url). Only of the page's site or that of the script that names them, no trackers, nothing known; the first ``limit``.
     """
-    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?i)<link\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*(?:preload|modulepreload|prefetch)") & ~t.rlike(r"(?i)\bas\s*=\s*[\"']?(?:image|font|fetch|video|audio)"))
+    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?i)<link\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(PRELOAD_REL) & ~t.rlike(NOT_PRELOADED))
     preloads = F.array_compact(F.transform(tags, lambda t: urls.normalize_url(text.attribute_decode(F.regexp_extract(t, r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)), F.col("url"))))
     inline = F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<script\b[^>]*>(.*?)</script>"), F.lit(1)), lambda b: text.script_references(b, F.col("url"))))
     own = pages.select("page_id", F.col("url").alias("page"), F.col("url").alias("source"), F.lit(0).alias("rank"), F.posexplode(F.concat(preloads, inline)).alias("n", "url"))
@@ -125,9 +125,9 @@ def substitute(url: Column, mime: Column) -> Column:
 
     def of(p: Column) -> Column:
         path = p["path"]
-        script = path.rlike("(?i)/cdn/wpm/") | rules.text(mime).rlike("(?i)javascript|ecmascript") | path.rlike(r"(?i)(?:worker|\.m?js)(?:$|/)")
-        noise = F.when((p["host"] == "p.typekit.net") & (path == "/p.gif"), "gif").when(script, "script").otherwise("document")
-        boundary = F.when(path.rlike(r"(?i)\.m?js$"), "script").when(path.rlike("(?i)/pay/session(?:/|$)"), "json").otherwise("document")
+        script = path.rlike(PIXEL_SCRIPT) | rules.text(mime).rlike(SCRIPT_MIME) | path.rlike(WORKER_FILE)
+        noise = F.when((p["host"] == COUNTER_IMAGE[0]) & (path == COUNTER_IMAGE[1]), "gif").when(script, "script").otherwise("document")
+        boundary = F.when(path.rlike(SCRIPT_FILE), "script").when(path.rlike(PAY_SESSION), "json").otherwise("document")
         return F.when(urls.boundary_of(p), boundary).when(urls.auxiliary_of(p), noise)
 
     return urls.let(urls.parts(url), of)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from ..functions.fixed import IMAGE_SIZES, SAVED_REDIRECT
+from ..functions.fixed import FONT_FILES, IMAGE_ATTRIBUTES, IMAGE_SIZES, SAVED_REDIRECT, SHOWN_REL, SHOWN_RELATION
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -31,8 +31,8 @@ def asset_references(pages: DataFrame) -> DataFrame:
     base = text.document_base(F.col("html"), F.col("url"))
     value = r"""\s*=\s*["']?([^"'\s>]+)"""
     source = F.regexp_extract_all(html, F.lit(rf"(?i)<[a-z][^<>]*?\s(?:src|poster|data-src){value}"), F.lit(1))
-    images = F.regexp_extract_all(html, F.lit(rf"(?i)<(?:img|source)\b[^<>]*?\s(?:data_max_resolution|data-max-resolution|data-original|data-zoom-src|data-zoom-image|data-large-image|data-large_image|data-full-src){value}"), F.lit(1))
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*(?:stylesheet|preload|modulepreload|icon)"))
+    images = F.regexp_extract_all(html, F.lit(rf"(?i)<(?:img|source)\b[^<>]*?\s(?:{"|".join(IMAGE_ATTRIBUTES)}){value}"), F.lit(1))
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^<>]*>"), F.lit(0)), lambda t: t.rlike(SHOWN_REL))
     linked = F.transform(links, lambda t: F.regexp_extract(t, rf"(?i)\bhref{value}", 1))
     sets = F.flatten(F.transform(F.regexp_extract_all(html, F.lit(r"""(?i)\s(?:data-)?srcset\s*=\s*["']([^"']*)"""), F.lit(1)), srcset_urls))
     styles = F.concat(F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style>"), F.lit(1)), F.regexp_extract_all(html, F.lit(r"""(?i)\sstyle\s*=\s*"([^"]*)\""""), F.lit(1)))
@@ -41,6 +41,29 @@ def asset_references(pages: DataFrame) -> DataFrame:
     return plain
 
 
+def token_references(pages: DataFrame) -> DataFrame:
+    """(page_id, ref): ``asset_references`` from the tokens of pages (page_id, url, html), so that quoted signs, comments and raw text are read as a browser reads them."""
+    from ..functions.html import HtmlTokens
+
+    spark = pages.sparkSession
+    spark.udtf.register("html_tokens", HtmlTokens)
+    # only tags that may hold a reference come back from the tokenizer's rows
+    tokens = spark.sql("SELECT p.page_id, p.url, t.n, t.kind, t.name, t.attributes AS a, t.text FROM {p} p, LATERAL html_tokens(p.html) t WHERE t.kind <> 'close'", p=pages.select("page_id", "url", "html"))
+    value = lambda *names: [F.try_element_at("a", F.lit(x)) for x in names]
+    base = F.when((F.col("name") == "base") & (value("href")[0] != ""), F.struct("n", value("href")[0].alias("href")))
+    image = F.when(F.col("name").isin("img", "source"), F.array(*value(*IMAGE_ATTRIBUTES))).otherwise(F.array().cast("array<string>"))
+    shown = (F.col("name") == "link") & F.coalesce(value("rel")[0], F.lit("")).rlike(SHOWN_RELATION)
+    sets = F.flatten(F.transform(F.array_compact(F.array(*value("srcset", "data-srcset"))), srcset_urls))
+    found = F.concat(F.array(*value("src", "poster", "data-src")), image, F.array(F.when(shown, value("href")[0])), sets)
+    css = F.when((F.col("kind") == "raw") & (F.col("name") == "style"), F.col("text")).otherwise(text.attribute_decode(value("style")[0]))
+    rows = tokens.select("page_id", "url", base.alias("base"), F.array_compact(F.coalesce(found, F.array().cast("array<string>"))).alias("found"), css.alias("css"))
+    rows = rows.filter("base is not null or size(found) > 0 or css <> ''")
+    first = rows.filter("base is not null").groupBy("page_id").agg(F.min("base").alias("first")).select("page_id", F.col("first.href").alias("href"))
+    led = rows.join(first, "page_id", "left").withColumn("at", F.coalesce(F.when(F.col("href").isNotNull(), urls.normalize_url(text.attribute_decode(F.col("href")), F.col("url"))), "url"))
+    named = F.concat(text._resolved(F.col("found"), F.col("at")), F.coalesce(text.css_references(F.col("css"), F.col("at")), F.array().cast("array<string>")))
+    return led.select("page_id", F.explode(named).alias("ref")).distinct()
+
+
 def srcset_urls(value: Column) -> Column:
     """URLs of a srcset: a comma inside parentheses or a URL doesn't end a candidate."""
     return F.transform(F.regexp_extract_all(value, F.lit(r"[\s,]*([^\s,]\S*[^\s,]|[^\s,])(?:,+(?=\s|$)|\s+(?:\([^)]*\)|[^,(])*|$)"), F.lit(1)), lambda u: F.regexp_replace(u, ",+$", ""))
@@ -56,8 +79,8 @@ def reference_audit(references: DataFrame, known: DataFrame, aliases: DataFrame)
     have = known.select("archive_id", "url").distinct()
     lost = via.join(have.withColumnRenamed("url", "ref"), ["archive_id", "ref"], "left_anti")
     lost = lost.join(have.withColumnRenamed("url", "target"), ["archive_id", "target"], "left_anti").select("archive_id", "ref").distinct()
-    p, host = F.col("_p"), "use.typekit.net"
-    font = p["host"].eqNullSafe(host) & p["path"].startswith("/af/")
+    p, (host, folder) = F.col("_p"), FONT_FILES
+    font = p["host"].eqNullSafe(host) & p["path"].startswith(folder)
     whole = urls.parsed(have.filter(F.contains("url", F.lit(host))), "url").filter(font & F.exists(urls.query_pairs(p["query"]), lambda q: (q["name"] == "chunks") & (q["value"] == "0")))
     whole = whole.select("archive_id", urls.endpoint_of(p, F.col("url")).alias("_font")).distinct().withColumn("_whole", F.lit(True))
     # only references to that host can have a font in their place

@@ -228,6 +228,16 @@ def _(s, d):
     return P.asset_references(T(s, d, "pages").withColumn("html", extra))
 
 
+@query("TXT5_token_references", f"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*') AS o, regexp_extract(url, '^https?://[^/?#]*') || CASE WHEN {PATH.format('url')} = '' THEN '/' ELSE regexp_replace({PATH.format('url')}, '[^/]*$', '') END AS dir FROM pages)
+SELECT page_id, o || '/i/' || page_id || '.png' AS ref FROM u UNION ALL SELECT page_id, dir || unnest(['a.png', 'b,c.png', 'fav.ico', 'bg.png', 'plain.webp', 'st.png']) FROM u""")
+def _(s, d):
+    k = F.col("page_id").cast("string")
+    extra = F.concat("html", F.lit('<img alt="a > b <img src=no.png>" src="/i/'), k, F.lit('.png" srcset="a.png 1x, b,c.png 2x"><!-- <img src=gone.png> --><link rel="icon" title=\'x>y\' href="fav.ico"><div style="background:url(bg.png)"></div>'),
+                     F.lit("<script>var x = '<img src=never.png>';</script><IMG SRC=plain.webp><style>p{background:url(st.png)}</style><img data-x='\"' alt=\"src='lost.png'\">"))
+    return P.token_references(T(s, d, "pages").withColumn("html", extra))
+
+
 @query("TXT6_css_references", "SELECT page_id, 'https://c.example/s/a' || page_id || '.png' AS ref FROM pages UNION SELECT page_id, 'https://c.example/b' || (page_id % 3) || '.css' FROM pages WHERE page_id % 2 = 0 UNION SELECT page_id, 'https://d.example/' || unnest(range(page_id % 4)) || '/f.woff2' FROM pages")
 def _(s, d):
     k = F.col("page_id").cast("string")
