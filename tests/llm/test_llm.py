@@ -617,7 +617,7 @@ def test_pii_rounds_equal_a_plain_version(spark, rounds):
         texts.append(" ".join(x for x in [f"w{rng.randrange(5)}x", cue, made, end] if x))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, s.kind, s.start, s.end) for r in pii.personal_data(docs, rounds=rounds).collect() for s in r.found}
-    assert got == plain_rounds(texts, rounds) and len(got) > 5
+    assert got and got == plain_rounds(texts, rounds)
 
 
 def test_pii_and_secrets_of_very_long_texts(spark):
