@@ -27,6 +27,13 @@ def equals_sql(spark, folder, name, **tables):
     assert want and sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_replaced_pages_of_a_url_captured_twice(spark, tmp_path):
+    old = spark.createDataFrame([("u", 1, False, "a"), ("u", 2, False, "b"), ("v", 3, True, "c")], "url string, n int, partial boolean, html string")
+    new = spark.createDataFrame([("u", 1, False, "A"), ("u", 2, True, "B"), ("w", 4, True, "D")], old.schema)
+    assert rows(J.replace_pages(old, new, "n").select("url", "n", "html"), "n") == [("u", 1, "A"), ("u", 2, "b"), ("v", 3, "c"), ("w", 4, "D")]
+    equals_sql(spark, tmp_path, "DML9_replace_pages", pages=spark.createDataFrame([(1, "u", "x"), (2, "u", "y"), (3, "v", "z")], "page_id long, url string, html string"))
+
+
 def test_alias_with_several_targets(spark):
     refs = spark.createDataFrame([(1, "https://a.example/x"), (1, "https://a.example/y")], "archive_id int, ref string")
     known = spark.createDataFrame([(1, "https://a.example/k")], "archive_id int, url string")

@@ -103,12 +103,16 @@ def new_variants(found: DataFrame, known: DataFrame, variants: DataFrame) -> Dat
     return other.join(have, ["archive_id", "url", "digest"], "left").select("archive_id", "url", "digest", F.when(F.col("_have"), "known-variant").otherwise("new-variant").alias("state"))
 
 
-def replace_pages(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Repaired pages (url, partial, html) replace old ones, unless the new one is still partial and there is an old one."""
-    a, b = old.alias("a"), new.alias("b")
-    both = a.join(b, F.col("a.url") == F.col("b.url"), "full_outer")
-    take = F.col("b.url").isNotNull() & (F.col("a.url").isNull() | ~F.coalesce("b.partial", F.lit(False)))
-    return both.select(F.coalesce("a.url", "b.url").alias("url"), *[F.when(take, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("partial", "html")])
+def replace_pages(old: DataFrame, new: DataFrame, capture: str | None = None) -> DataFrame:
+    """Repaired pages (url, partial, html) replace old ones, unless the new one is still partial and there is an old one.
+
+    A URL is one page; where it may have been captured several times, ``capture`` names the column that tells the captures apart.
+    """
+    keys = ["url", *([capture] if capture else [])]
+    a, b = old.withColumn("_old", F.lit(True)).alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
+    both = a.join(b, keys, "full_outer")
+    take = F.coalesce("_new", F.lit(False)) & (F.col("_old").isNull() | ~F.coalesce("b.partial", F.lit(False)))
+    return both.select(*keys, *[F.when(take, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in ("partial", "html")])
 
 
 def needs_write(old_status: Column, old_size: Column, status: Column, size: Column) -> Column:
