@@ -50,6 +50,16 @@ def test_references_of_any_archive(spark, tmp_path):
     equals_sql(spark, tmp_path, "JN7_references_to", events=events(spark, [(at, u, "view") for u in (2, 60, 61, 1110, 1160, 70_010)]))
 
 
+def test_page_list_takes_files_by_name(spark, tmp_path):
+    line = '{"url":"/a","title":"%s"}\n'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part-0.json").write_text(line % "old")
+    (tmp_path / "log" / "part-1.json").write_text(line % "new" * 50)
+    (tmp_path / "log" / "part-2.json").write_text(line % "last" * 2)
+    assert [r.title for r in logs.page_list(spark, str(tmp_path / "log")).collect()] == ["last"]
+    equals_sql(spark, tmp_path, "SRC4_SNK8_page_list", pages=spark.createDataFrame([(1, "https://u.example/", "x"), (2, "https://u.example/", "y"), (3, "https://v.example/#a", "z")], "page_id long, url string, html string"))
+
+
 def test_schedule_up_to_the_watermark(spark, tmp_path):
     at, day = datetime(2024, 1, 1), timedelta(days=1)
     # user 1 is busy: its run five minutes before the end lies between two of its events, behind the watermark
