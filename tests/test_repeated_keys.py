@@ -2,7 +2,10 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from webstrata import catalog
+from webstrata.functions import urls
 from webstrata.operators import archives as A
 from webstrata.operators import capture as M
 from webstrata.operators import jobs as J
@@ -90,3 +93,18 @@ def test_page_identity_compares_each_page_once(spark):
     assert rows(out, "id") == [(n, 10 + n % 2, 1) for n in range(6)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert any("Aggregate [archive_id" in x and "page#" in x and "values" not in x for x in plan.splitlines())
+
+
+def test_sites_of_a_redirect_are_worked_out_once(spark):
+    found = [None, "", "https://www.example.com/a", "https://b.example.com/", "https://c.other.net/x", "https://d.other.net/", "ftp://x/"]
+    df = spark.createDataFrame([(a, b, d) for a in found for b in found for d in (None, 0, 3)], "a string, b string, d int")
+    start = F.lit("https://www.example.com/")
+    outside = lambda u: urls.classify_scope(start, F.col(u)) == "external"
+    same = urls.registrable_domain(urls.parts(F.col("a"))["host"]) == urls.registrable_domain(urls.parts(F.col("b"))["host"])
+    reached = F.greatest(F.lit(1), F.coalesce("d", F.lit(1)))
+    depth = F.when(~outside("b"), 0).when(F.coalesce(same, F.lit(False)), reached).when(outside("a"), reached + 1).otherwise(1)
+    out = df.select(urls.redirect_external_depth(start, F.col("a"), F.col("d"), F.col("b")).alias("depth"), depth.alias("plain"))
+    assert out.filter("not depth <=> plain").collect() == []
+    cuts = lambda c: df.select(c)._jdf.queryExecution().analyzed().toString().count("a-z0-9.-]++")
+    # each of the three URLs is cut in one place
+    assert cuts(urls.redirect_external_depth(start, F.col("a"), F.col("d"), F.col("b"))) <= 3 * cuts(urls.parts(F.col("a")))

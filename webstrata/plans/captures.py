@@ -93,8 +93,11 @@ def _(s, d):
 def _(s, d):
     site = lambda n: F.element_at(F.array(*[F.lit(u) for u in ("https://a.example.com/x", "https://b.other.net/y", "https://c.third.co.jp/z")]), (n + 1).cast("int"))
     e = T(s, d, "events").select("event_id", site(F.col("user_id") % 3).alias("source"), site(F.col("event_id") % 3).alias("target"), (F.col("user_id") % 4).alias("d"))
-    start = F.lit("https://www.example.com/")
-    return e.select("event_id", urls.redirect_external_depth(start, F.col("source"), F.col("d"), F.col("target")).alias("depth"), urls.redirect_chain_depth(start, F.col("source"), F.col("d"), F.col("target")).alias("chain"))
+    # the sites are worked out once a row, for both depths: a generated column isn't put into what is made from it
+    sites = F.explode(F.array(F.struct(urls.site_of(F.lit("https://www.example.com/")).alias("start"), urls.site_of(F.col("source")).alias("source"), urls.site_of(F.col("target")).alias("target"))))
+    e = e.select("event_id", "d", sites.alias("at")).select("event_id", "d", "at.*")
+    at = (F.col("start"), F.col("source"), F.col("d"), F.col("target"))
+    return e.select("event_id", urls.external_depth_between(*at).alias("depth"), urls.chain_depth_between(*at).alias("chain"))
 
 
 @query("GRF7_prefetch", """
