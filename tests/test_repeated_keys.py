@@ -95,6 +95,16 @@ def test_page_identity_compares_each_page_once(spark):
     assert any("Aggregate [archive_id" in x and "page#" in x and "values" not in x for x in plan.splitlines())
 
 
+def test_variants_are_looked_for_only_where_nothing_is_saved(spark):
+    res = spark.createDataFrame([(1, 1, "https://a.example/x?v=1&id=7", "", 200, 9), (1, 2, "https://i.ytimg.com/vi/clipclip/hqdefault.jpg", "image/jpeg", 200, 9)], "archive_id int, ordinal int, url string, mime_type string, status int, size int")
+    aliases = spark.createDataFrame([(1, "https://a.example/x?v=3&id=7", "https://a.example/x?v=1&id=7"), (1, "https://a.example/x?v=3&id=7", "https://a.example/gone")], "archive_id int, alias string, target string")
+    asked = ["https://a.example/x?v=1&id=7", "https://a.example/x?v=2&id=7", "https://a.example/x?v=3&id=7", "https://I.ytimg.com/vi/clipclip/hq720.jpg", "https://a.example/y"]
+    out = P.resolve_resource(spark.createDataFrame([(1, u) for u in asked], "archive_id int, target string"), res, aliases)
+    assert dict(map(tuple, out.select("target", "via").collect())) == dict(zip(asked, ["direct", "query-variant", "alias", "image-size", "none"], strict=True))
+    # the ways are joined to each request; they aren't listed below each other, grouped and sorted
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sites_of_a_redirect_are_worked_out_once(spark):
     found = [None, "", "https://www.example.com/a", "https://b.example.com/", "https://c.other.net/x", "https://d.other.net/", "ftp://x/"]
     df = spark.createDataFrame([(a, b, d) for a in found for b in found for d in (None, 0, 3)], "a string, b string, d int")

@@ -33,6 +33,8 @@ SIGNED_TOKEN = r"^eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}$"
 VOLATILE_VALUE = r"^\d{8,}$|^(?i:[a-f0-9]{16,})$|^0?\.\d{6,}$|^(?i:[a-f0-9]{8}(?:-[a-f0-9]{4}){3}-[a-f0-9]{12})$"
 CLIP_PATH = r"^/(?:vi|vi_webp|an_webp)/([A-Za-z0-9_-]{6,20})/[A-Za-z0-9_]+\.(?:jpg|jpeg|webp)$"
 CLIP_HOST = r"^i\d?\.ytimg\.com$"
+#: in every URL whose host is one of these two
+IMAGE_HOSTS = r"(?i)(?:ytimg|googleusercontent|ggpht)\.com"
 SIZED_HOST = r"(?:^|\.)(?:googleusercontent\.com|ggpht\.com)$"
 IMAGE_SIZES = ["maxresdefault", "maxres2", "sddefault", "hq720", "hqdefault", "mqdefault", "default"]
 SHOP_BOUNDARY = r"(?i)^/(?:accounts/pre_auth|checkouts|pay|__manifest)(?:/|$)"
