@@ -74,17 +74,18 @@ def classify_title(title: Column, start_url: Column) -> Column:
 
 def issue_category(url: Column, reason: Column) -> Column:
     """One of nine categories; the first rule that holds."""
+    return let(parts(url), lambda p: issue_category_of(p, reason))
 
-    def of(p: Column) -> Column:
-        login = boundary_of(p) | account_of(p) | text(p["path"]).rlike(LOGIN_ISSUE_PATH) | text(reason).contains("ログイン")
-        says = text(reason)
-        return (
-            F.when(says.rlike(OUT_OF_SCOPE), "outOfScope").when(says.rlike(BROWSER_START), "browser").when(login, "login")
-            .when(says.rlike(NOT_FOUND_REASON), "originMissing").when(says.rlike(REFUSED_REASON), "refused").when(says.rlike(TIMEOUT_REASON), "timeout")
-            .when(says.rlike(NETWORK_REASON), "network").when(says.rlike(UNAVAILABLE_REASON), "unavailable").otherwise("other")
-        )
 
-    return let(parts(url), of)
+def issue_category_of(p: Column, reason: Column) -> Column:
+    """``issue_category`` of a URL's parts."""
+    login = boundary_of(p) | account_of(p) | text(p["path"]).rlike(LOGIN_ISSUE_PATH) | text(reason).contains("ログイン")
+    says = text(reason)
+    return (
+        F.when(says.rlike(OUT_OF_SCOPE), "outOfScope").when(says.rlike(BROWSER_START), "browser").when(login, "login")
+        .when(says.rlike(NOT_FOUND_REASON), "originMissing").when(says.rlike(REFUSED_REASON), "refused").when(says.rlike(TIMEOUT_REASON), "timeout")
+        .when(says.rlike(NETWORK_REASON), "network").when(says.rlike(UNAVAILABLE_REASON), "unavailable").otherwise("other")
+    )
 
 
 def retryable_status(status: Column) -> Column:
