@@ -66,6 +66,8 @@ def build_index(docs: DataFrame, path: str) -> SearchIndex:
     """Write the index of ``docs`` (rank, url, title, text), one row for each rank, to ``path``. Null titles and texts are empty; rows with a null rank are left out."""
     rows = docs.filter("rank is not null").select(F.col("rank").cast("long").alias("doc"), "url", "title", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a range reads its rows twice: texts are written before it and not made again, while postings are made faster than written
+    rows = cut(rows)
     rows.repartitionByRange(n, "doc").sortWithinPartitions("doc").write.options(**SMALL_PAGES).parquet(f"{path}/docs")
     kept = SearchIndex(path)
     hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
