@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from webstrata.operators import services as O
@@ -96,3 +97,109 @@ def test_spaced_times_do_not_depend_on_their_order(spark, tmp_path, cuts):
     got = in_batches(spark, tmp_path, rows, schema, lambda s: T.spaced_stream(s, 3600, 12, "30 minutes"), cuts)
     want = O.spaced(spark.createDataFrame(rows, schema).fillna("", ["kind"]).filter("kind <> 'z'"), 3_600_000_000, 12)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+class Kept:
+    """State of one grouping key in a dictionary; counts the timers that are set."""
+
+    def __init__(self):
+        self.values, self.timers, self.set = {}, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return KeptMap()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return "v" in self.values
+
+    def get(self):
+        return self.values.get("v")
+
+    def update(self, v):
+        self.values["v"] = v
+
+    put = update
+
+    def clear(self):
+        self.values.clear()
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.add(ms)
+        self.set += 1
+
+    def deleteTimer(self, ms):  # noqa: N802
+        self.timers.discard(ms)
+
+
+class KeptMap(dict):
+    def exists(self):
+        return bool(self)
+
+    def getValue(self, key):  # noqa: N802
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_watches_of_a_group_share_frames_and_timer():
+    handle, watch = Kept(), T._Watch(False)
+    watch.init(handle)
+    rows = [(f"w{i}", us, text, 1 + i % 2) for i in range(200) for us, text in ((5_000_000, "b"), (1_000_000, "a"))]
+    frames = list(watch.handleInputRows((0,), iter([pd.DataFrame(rows[:77], columns=["watch_id", "us", "text", "minutes"]), pd.DataFrame(rows[77:], columns=["watch_id", "us", "text", "minutes"])]), At(0)))
+    assert len(frames) == 1 and handle.set == 1 and handle.timers == {65_000}
+    got = list(zip(frames[0]["watch_id"], frames[0]["before"], frames[0]["now"], frames[0]["history"].map(tuple), strict=True))
+    assert sorted(got) == sorted((f"w{i}", "a", "b", ("b", "a")) for i in range(200))
+    for ms, due, timers in ((65_000, range(0, 200, 2), {125_000}), (125_000, range(1, 200, 2), set())):
+        handle.timers.clear()  # as Spark does for a timer that has rung
+        (frame,) = watch.handleExpiredTimer((0,), At(ms), None)
+        assert sorted(frame["watch_id"]) == sorted(f"w{i}" for i in due) and set(frame["us"]) == {ms * 1000} and handle.timers == timers
+
+
+def test_watches_of_a_group_are_kept_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "GROUPS", 2)
+    rng = random.Random(5)
+    seen = [(f"w{rng.randrange(12)}", minute, rng.choice("abc")) for minute in range(0, 240, 2)] + [("end", 280, "e")]
+    rows = [(w, day(m), t, 15 + int(w[1:], 36) % 3) for w, m, t in seen]
+    got = in_batches(spark, tmp_path, rows, "watch_id string, ts timestamp, text string, minutes int", T.watch_stream, [50])
+    want = []
+    for w in {r[0] for r in rows}:
+        own, kept = [r for r in rows if r[0] == w], []
+        for (_, ts, text, minutes), after in zip(own, [*[r[1] for r in own[1:]], day(270)], strict=True):
+            if kept[:1] != [text]:
+                kept = [text, *kept][:20]
+                if len(kept) > 1:
+                    want.append((w, "changed", kept[1], text, kept, ts))
+            if ts + timedelta(minutes=minutes) < after:
+                want.append((w, "due", None, None, kept, ts + timedelta(minutes=minutes)))
+    assert len(want) > 100 and sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("cut", [3])
+def test_schedules_and_silent_jobs_of_a_group_are_kept_apart(spark, tmp_path, monkeypatch, cut):
+    monkeypatch.setattr(T, "GROUPS", 1)
+    rows = [("s", day(0), "plan", 60), ("t", day(10), "plan", 45), ("s", day(50), "busy", None), ("s", day(85), "free", None), ("t", day(110), "stop", None), ("u", day(200), "free", None)]
+    got = in_batches(spark, tmp_path / "a", rows, "schedule_id string, ts timestamp, event string, minutes int", T.schedule_stream, [cut])
+    assert sorted((r.schedule_id, r.ts, r.action) for r in got) == [("s", day(60), "waiting"), ("s", day(70), "waiting"), ("s", day(80), "waiting"), ("s", day(90), "start"), ("s", day(150), "start"), ("t", day(55), "start"), ("t", day(100), "start")]
+    rows = [("a", day(0)), ("b", day(1)), ("b", day(3)), ("a", day(6)), ("c", day(7)), ("b", day(8)), ("d", day(60))]
+    got = in_batches(spark, tmp_path / "b", rows, "job_id string, ts timestamp", lambda s: T.stalled_stream(s, 180, "1 minute"), [cut])
+    assert sorted((r.job_id, r.ts) for r in got) == [("a", day(0)), ("b", day(3)), ("c", day(7))]
