@@ -175,6 +175,80 @@ def test_signs_behind_every_latin_letter_stand_alone(name):
                 assert ids(before + c + sign) == ids(before + c) + ids(sign), (before, c, sign)
 
 
+class Counted:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.chars = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.chars += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_given_to_the_library_once_whatever_signs_follow(name):
+    whole, k = library(vocabulary(name)), FastTokens(vocabulary(name))
+    k.tokenizer = Counted(k.tokenizer)
+    words = [f"{a}{b}word{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in ("", "é", "1")]
+    texts = [" ".join(w + sign for w in words) for sign in ("", ".", "***", "$$$", "?!", ";", ")", "_", ".,.", '"')]
+    assert list(k.encode_all(texts)) == [whole(t) for t in texts]
+    assert k.tokenizer.chars < 1.5 * len(texts[0])  # beside the blanks, and marks between parts
+
+
+def test_white_space_that_makes_cuts_uncertain_is_that_of_python():
+    import sys
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from webstrata.llm.fast_tokens import UNCERTAIN
+
+    chars = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    found = pc.match_substring_regex(pa.array([f"a{c}b" for c in chars]), UNCERTAIN).to_pylist()
+    assert [c for c, f in zip(chars, found, strict=True) if f] == [c for c in chars if c.isspace() and c not in " \n"]
+    texts = {"": True, " ": True, "a": False, " a": True, "a ": True, "a\n": True, "\na": True, "a b\nc": False, "a  b": True, "a \nb": True, "a\n\nb": True}
+    assert pc.match_substring_regex(pa.array(list(texts)), UNCERTAIN).to_pylist() == list(texts.values())
+
+
+SIGNED = st.sampled_from([*"aZé÷×ªµÿß1_'\"`^~|<=>;:!?()[]{}@#$%&*+/\\.,- \n", "\u0301", "\u0338", "\u0307", "İ", "日", "Ġ", "Ċ", "\u00a0", "'s", "'ll", "x's", "word***", "</w>", "<|endoftext|>", "<|"])
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.lists(SIGNED, max_size=16).map("".join), max_size=40))
+def test_texts_of_signs_are_encoded_as_by_the_library(name, texts):
+    from webstrata.llm.fast_tokens import tokens_of
+
+    k = tokens_of(vocabulary(name))
+    k.clear()
+    want = [np.array(e.ids, "<u4").tobytes() for e in k.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert list(k.encode_all(texts)) == want
+    assert list(k.encode_all(texts, chars=9)) == want  # all parts are known now
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_begin_only_where_the_library_begins_one(name):
+    """All pairs of a character of two bytes or less and an ASCII one, in words of several kinds: parts by themselves give the ids of the whole."""
+    from webstrata.llm.fast_tokens import cuts
+
+    k = FastTokens(vocabulary(name))
+    chars, n = [chr(c) for c in range(0x21, 0x180) if not chr(c).isspace()], 0
+    for before, after in (("", ""), ("w", "x"), ("-", "\u0338")):
+        words = [f" {before}{a}{b}{after}" for a in chars for b in map(chr, range(0x21, 0x7F))]
+        split = []
+        for w in words:
+            data = np.frombuffer(w.encode(), np.uint8)
+            at = [*cuts(data).tolist(), len(data)]
+            split.append([data[i:j].tobytes().decode() for i, j in zip(at, at[1:], strict=False)])
+        some = [(w, p) for w, p in zip(words, split, strict=True) if len(p) > 1]
+        parts = dict.fromkeys(x for _, p in some for x in p)
+        ids = dict(zip(parts, k._library(list(parts)), strict=True))
+        assert k._library([w for w, _ in some]) == [b"".join(ids[x] for x in p) for _, p in some]
+        n += len(some)
+    assert n > 10_000
+
+
 def test_pack_of_composed_letters_equals_the_library(spark):
     from tokenizers import Tokenizer
 
