@@ -139,7 +139,7 @@ def _(s, d):
 # requests
 
 
-@query("JN16_page_identity", cte("posts") + """, r AS (SELECT archive_id, url, id, 'abcdef' || (id % 11) AS v, 'zzzzzz' || (id % 3) AS w FROM posts WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY archive_id, url ORDER BY id DESC) <= 400),
+@query("JN16_page_identity", cte("posts") + """, r AS (SELECT archive_id, url, id, 'abcdef' || (id % 11) AS v, 'zzzzzz' || (id % 3) AS w FROM posts WHERE id % 3 = 0),
 q AS (SELECT archive_id, url, id, 'https://p.example/watch?v=abcdef' || (id % 13) || CASE WHEN id % 2 = 0 THEN '&w=zzzzzz' || (id % 5) ELSE '' END AS page FROM posts WHERE id % 3 = 1),
 s AS (SELECT q.id, r.id AS response, CASE WHEN contains(page, v) THEN 1 ELSE 0 END + CASE WHEN contains(page, w) THEN 1 ELSE 0 END AS score FROM q JOIN r ON q.archive_id = r.archive_id AND q.url = r.url)
 SELECT id, arg_min(response, struct_pack(a := -score, b := 2 - score, c := response)) AS response, max(score) AS score FROM s WHERE score > 0 GROUP BY id""")
