@@ -23,6 +23,8 @@ from .pages import snippets
 
 #: bits of a character in a trigram's code, the code that pads a document's end, folders of postings, values of an IN that Parquet filters one by one
 BITS, END, FOLDERS, AT_ONCE = 21, (1 << 21) - 1, 64, 10
+#: raised when the same files give other texts or postings than before, so that an index of an earlier version isn't read
+VERSION = 2
 SMALL_PAGES = {"parquet.page.row.count.limit": "1000"}
 POSTINGS = "folder int, trigram long, doc long, places array<int>"
 
@@ -78,11 +80,11 @@ def build_index(docs: DataFrame, path: str) -> SearchIndex:
 
 
 def index_of(docs: DataFrame, source: DataFrame, name: str) -> SearchIndex:
-    """The index of ``docs``, which come from the files of ``source``. It is kept in the shared folder under the names, sizes and times of these files and built only if they have changed."""
+    """The index of ``docs``, which come from the files of ``source``. It is kept in the shared folder under the names, sizes and times of these files and built only if they, or ``VERSION``, have changed."""
     spark = docs.sparkSession
     meta = source.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct()
     state = meta.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("p", "s", "t")).alias("h")).first()
-    root = f"{shared_root(spark)}/search-{name}-{state.n}-{(state.h or 0) & (1 << 64) - 1:016x}"
+    root = f"{shared_root(spark)}/search-{name}-v{VERSION}-{state.n}-{(state.h or 0) & (1 << 64) - 1:016x}"
     # each build has a folder of its own, which ends with a marker: half of an index is never read
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/postings/_SUCCESS")
     found = marker.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marker)
